@@ -4,13 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode, read_ranks
+from .chat_format import chat_examples, conversation_digest
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import pfair_mix
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def bpe_digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text."""
+    ranks = read_ranks(vocabulary)
+    encoded = bpe_encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False)
+    return bpe_decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -31,9 +54,45 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix(docs).select("doc_id", "source", "source_block", "slot", "place")
 
 
+#: Turns that hold the template's own control strings and its escape character.
+PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    return conversation_digest(chat_examples(turns.unionByName(probe)))
+
+
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+n AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS m,
+         14 + length(role) + 4 * (length(role) - length(replace(role, '&', ''))) + 3 * (length(role) - length(replace(role, '<', '')))
+            + 4 * (length(role) - length(replace(role, '#', ''))) + 6 * (length(role) - length(replace(role, ':', '')))
+            + 3 * (length(role) - length(replace(role, chr(10), '')))
+            + length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(replace(text, '<', '')))
+            + 4 * (length(text) - length(replace(text, '#', ''))) AS size
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS flat,
+         coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss,
+         sum(upto) FILTER (role = 'assistant' OR i = m) AS formatted_chars
+  FROM p GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(flat) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars FROM g
+""".replace("\\\\", "\\")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_pfair_mix": op7_pfair_mix,
+    "op8_chat_format": op8_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}

@@ -12,7 +12,22 @@ from .bpe import bpe_decode, bpe_encode, read_ranks
 from .chat_format import chat_examples, conversation_digest
 from .common import table
 from .exact_dedup import exact_dedup
+from .labelled import held_out, training_rows
 from .mixing import pfair_mix
+from .quality_rules import fit_quality, quality_scores
+from .toxicity import fit, scored
+
+
+#: Labelled rows that a classifier is fitted on, at most.
+LABELLED_TOXIC, LABELLED_QUALITY = 6000, 8000
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    rows = training_rows(docs, labels, "toxic", LABELLED_TOXIC).select("doc_id", "text", "__label").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    model = fit([t or "" for t in rows["text"]], rows["__label"].tolist())
+    out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored(docs, model, F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -88,11 +103,20 @@ SELECT conv_id, n_turns, sha256(flat) AS turns_sha256, length(loss) AS loss_char
 """.replace("\\\\", "\\")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = fit_quality(docs, table(spark, sf_dir, "labels"), most=LABELLED_QUALITY)
+    out = quality_scores(docs, rules, out_col="score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_pfair_mix": op7_pfair_mix,
     "op8_chat_format": op8_chat_format,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}

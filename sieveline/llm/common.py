@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +44,41 @@ def drop_names(df: DataFrame, *names: str) -> DataFrame:
     """Without the given columns, matched as Spark does (case does not count)."""
     low = {n.lower() for n in names}
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Runs of whole groups from rows that are sorted by the keys: what is held is a batch and the group it breaks off in."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(batch.schema.names.index(k))[batch.num_rows - 1].as_py() for k in keys]
+        same = np.ones(batch.num_rows, bool)
+        for k, v in zip(keys, last, strict=True):
+            column = batch.column(batch.schema.names.index(k))
+            same &= pc.equal(column, pa.scalar(v, column.type)).to_numpy(zero_copy_only=False)
+        cut = batch.num_rows - int(same.sum())  # sorted: the rows of the last group stand at the end
+        if cut or (held and [held[-1].column(held[-1].schema.names.index(k))[held[-1].num_rows - 1].as_py() for k in keys] != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_bounds(*columns: np.ndarray) -> np.ndarray:
+    """Where groups of equal neighbouring rows begin, and the number of rows at the end."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), n)
+
+
+def in_ranges(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by sampled ranges of the keys and sorted: a key with many rows is cut where the later keys differ.
+
+    ``df`` should be cheap to read twice (a written table): Spark samples it first.
+    """
+    return df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)

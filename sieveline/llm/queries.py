@@ -13,6 +13,7 @@ from .chat_format import chat_examples, conversation_digest
 from .common import table
 from .exact_dedup import exact_dedup
 from .labelled import held_out, training_rows
+from .minhash_dedup import near_dedup
 from .mixing import pfair_mix
 from .quality_rules import fit_quality, quality_scores
 from .toxicity import fit, scored
@@ -103,6 +104,11 @@ SELECT conv_id, n_turns, sha256(flat) AS turns_sha256, length(loss) AS loss_char
 """.replace("\\\\", "\\")
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup(docs).select("doc_id", "class_id", "kept")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = fit_quality(docs, table(spark, sf_dir, "labels"), most=LABELLED_QUALITY)
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_pfair_mix": op7_pfair_mix,
     "op8_chat_format": op8_chat_format,
+    "op9_order_minhash": op9_order_minhash,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode, read_ranks
@@ -15,10 +15,26 @@ from .exact_dedup import exact_dedup
 from .labelled import held_out, training_rows
 from .minhash_dedup import near_dedup
 from .mixing import pfair_mix
+from .pii_crf import KINDS, find_pii, fit_crf, labelled_table
 from .quality_rules import fit_quality, quality_scores
 from .toxicity import fit, scored
 
 
+def _written_out(spans: Column) -> Column:
+    """kind:start:end of the spans, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, fit_crf(labelled_table()), keep_text=False)
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    added = F.size("pii").cast("long") - F.size(base)
+    return found.select("doc_id", *counts, F.sha2(_written_out(base), 256).alias("base_sha256"), _written_out(F.col("pii")).alias("spans"), added.alias("n_added"))
+
+
 #: Labelled rows that a classifier is fitted on, at most.
 LABELLED_TOXIC, LABELLED_QUALITY = 6000, 8000
 
@@ -117,6 +133,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_crf": op1_pii_crf,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,

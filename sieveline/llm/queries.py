@@ -12,6 +12,7 @@ from .bpe import bpe_decode, bpe_encode, read_ranks
 from .chat_format import chat_examples, conversation_digest
 from .common import table
 from .exact_dedup import exact_dedup
+from .embedding_dedup import near_embeddings
 from .labelled import held_out, training_rows
 from .minhash_dedup import near_dedup
 from .mixing import pfair_mix
@@ -81,6 +82,10 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op6_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).withColumnRenamed("id", "vec_id")
+
+
 def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return pfair_mix(docs).select("doc_id", "source", "source_block", "slot", "place")
@@ -137,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_e8_lattice": op6_e8_lattice,
     "op7_pfair_mix": op7_pfair_mix,
     "op8_chat_format": op8_chat_format,
     "op9_order_minhash": op9_order_minhash,

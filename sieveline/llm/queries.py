@@ -18,6 +18,7 @@ from .minhash_dedup import near_dedup
 from .mixing import pfair_mix
 from .pii_crf import KINDS, find_pii, fit_crf, labelled_table
 from .quality_rules import fit_quality, quality_scores
+from .suffix_dedup import remove_passages
 from .toxicity import fit, scored
 
 
@@ -36,6 +37,11 @@ def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written_out(base), 256).alias("base_sha256"), _written_out(F.col("pii")).alias("spans"), added.alias("n_added"))
 
 
+def op2_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_passages(docs).drop("kept").withColumnRenamed("id", "doc_id")
+
+
 #: Labelled rows that a classifier is fitted on, at most.
 LABELLED_TOXIC, LABELLED_QUALITY = 6000, 8000
 
@@ -139,6 +145,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
+    "op2_suffix_radix": op2_suffix_radix,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,

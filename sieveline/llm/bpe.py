@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,7 +51,7 @@ def merge(ranks: dict[bytes, int], piece: bytes, stop: int = -1) -> list[int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -75,9 +74,9 @@ class Transducer:
         self._fits: dict[int, bool] = {}
         self._ids: dict[tuple, int] = {}
         self._sets: list[tuple] = []
-        self.moves: list[dict[int, tuple[tuple[int, ...], int]]] = []
-        self.final: list[tuple[int, ...] | None] = []
-        self._state((((), -1, _ROOT),))
+        #: state << 8 | byte: the next state, or the tokens emitted and the next state.
+        self.moves: dict[int, int | tuple[tuple[int, ...], int]] = {}
+        self._state(((_ROOT, -1, ()),))
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte and for what merges don't reach."""
@@ -111,78 +110,71 @@ class Transducer:
                 return True
 
     def _state(self, configs: tuple) -> int:
-        if (known := self._ids.get(configs)) is None:
-            known = self._ids[configs] = len(self._sets)
+        known = self._ids.setdefault(configs, len(self._sets))
+        if known == len(self._sets):
             self._sets.append(configs)
-            self.moves.append({})
-            done = [pending for pending, _, node in configs if node == _ROOT]
-            self.final.append(done[0] if len(done) == 1 else None)
         return known
 
-    def _move(self, state: int, b: int) -> tuple[tuple[int, ...], int]:
-        """Determinises one more transition."""
-        reached = []
+    def _move(self, state: int, b: int) -> int | tuple[tuple[int, ...], int]:
+        """Determinises one more transition. Configurations stand in the order of where their token begins."""
+        reached, whole = [], None
         children, token_at = self.children, self.token_at
-        for pending, last, node in self._sets[state]:
+        for node, last, pending in self._sets[state]:
             if (nxt := children[node].get(b)) is None:
                 continue
             if children[nxt]:
-                reached.append((pending, last, nxt))
-            if (token := token_at[nxt]) >= 0:
+                reached.append((nxt, last, pending))
+            if whole is None and (token := token_at[nxt]) >= 0:
                 pair = (last + 1) << 32 | token
                 if (fits := self._fits.get(pair)) is None:
                     fits = self._fits[pair] = self.fits(last, token)
                 if fits:
-                    reached.append(((*pending, token), token, _ROOT))
-        shared: tuple[int, ...] = ()
-        if reached and (first := min((c[0] for c in reached), key=len)):
-            n = 0
-            while n < len(first) and all(c[0][n] == first[n] for c in reached):
+                    whole = (_ROOT, token, (*pending, token))
+        if whole:
+            reached.append(whole)
+        n = 0
+        if reached and reached[0][2]:
+            first = reached[0][2]
+            while n < len(first) and all(len(c[2]) > n and c[2][n] == first[n] for c in reached):
                 n += 1
-            if n:
-                shared = first[:n]
-                reached = [(pending[n:], last, node) for pending, last, node in reached]
-        step = self.moves[state][b] = (shared, self._state(tuple(reached)))
+        if n:
+            step = first[:n], self._state(tuple([(node, last, pending[n:]) for node, last, pending in reached]))
+        else:
+            step = self._state(tuple(reached))
+        self.moves[state << 8 | b] = step
         return step
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece. A piece that is a token is that token, as in the library that reads these files."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.moves) > self.max_states:
+        if len(self._sets) > self.max_states:
             self.forget()
         out: list[int] = []
-        state, moves = 0, self.moves
+        state, known = 0, self.moves.get
         for b in piece:
-            emitted, state = moves[state].get(b) or self._move(state, b)
-            if emitted:
+            step = known(state << 8 | b)
+            if step is None:
+                step = self._move(state, b)
+            if type(step) is int:
+                state = step
+            else:
+                emitted, state = step
                 out += emitted
-        last = self.final[state]
-        return merge(self.ranks, piece) if last is None else [*out, *last]
-
-
-def _ranges(prop: str) -> str:
-    """The inside of a character class with all code points of a Unicode property."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    runs = regex.findall(rf"{prop}+", every)
-    return "".join(re.escape(r[0]) + ("-" + re.escape(r[-1]) if len(r) > 1 else "") for r in runs)
+        ends = self._sets[state]
+        return [*out, *ends[-1][2]] if ends and ends[-1][0] == _ROOT else merge(self.ranks, piece)
 
 
-def splitter(pattern: str) -> re.Pattern:
-    """The pattern with Unicode properties spelled out, for the faster of the two regular expression libraries."""
-    sets = {p: _ranges(p) for p in (r"\p{L}", r"\p{N}", r"\s") if p in pattern or p == r"\s"}
+class _Known(dict):
+    """A memo that learns what it is asked for."""
 
-    def outside(text: str) -> str:
-        for p, inside in sets.items():
-            text = text.replace(p, f"[{inside}]")
-        return text.replace(r"\S", f"[^{sets[r'\s']}]")
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
 
-    def within(text: str) -> str:
-        for p, inside in sets.items():
-            text = text.replace(p, inside)
-        return text
-
-    return re.compile("".join(within(x) if x.startswith("[") else outside(x) for x in re.split(r"(\[[^\]]*\])", pattern)))
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = self.learn(piece, len(self))
+        return n
 
 
 class Encoder:
@@ -190,16 +182,16 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
         self.fst, self.memo = Transducer(ranks), memo
-        self.split = splitter(pattern).findall
+        self.split = regex.compile(pattern).findall
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known(self._learn)
         self.flat = np.empty(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
 
-    def _learn(self, piece: str) -> int:
-        ids, n = self.fst.encode(piece.encode()), len(self.known)
+    def _learn(self, piece: str, n: int) -> int:
+        ids = self.fst.encode(piece.encode())
         start = int(self.ends[n])
         if start + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), np.int32)])
@@ -207,21 +199,16 @@ class Encoder:
             self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
         self.flat[start : start + len(ids)] = ids
         self.ends[n + 1] = start + len(ids)
-        self.known[piece] = n
         return n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin and end."""
         if len(self.known) > self.memo:
             self._clear()
-        found, counts = [], []
+        found = []
         for text in texts:
-            known, learn = self.known, self._learn
             pieces = self.split(text)
-            try:
-                found.append(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))
-            except KeyError:
-                found.append(np.fromiter([known[p] if p in known else learn(p) for p in pieces], np.int64, len(pieces)))
+            found.append(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
         parts = np.concatenate(found) if found else np.empty(0, np.int64)
         begin = self.ends[parts]
         size = self.ends[parts + 1] - begin

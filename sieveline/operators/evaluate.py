@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def first_hits(ranking: DataFrame, qrels: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """(query_id, hit): the rank of the first relevant document, null if there is none; a row for each query."""
@@ -78,10 +80,11 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """Adds position, from 0 in the given total order, without one task that sees all rows.
 
     Rows are dealt by sampled ranges of the order; a window numbers them inside a range, and the sizes of the ranges before
-    it, as many as there are partitions, are added.
+    it, as many as there are partitions, are added. The dealt rows are written once: a second dealing could sample otherwise.
     """
     keys = [f"__o{i}" for i in range(len(order))]
     dealt = rows.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*keys)) - 1

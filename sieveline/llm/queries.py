@@ -42,6 +42,23 @@ def op2_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(docs).drop("kept").withColumnRenamed("id", "doc_id")
 
 
+#: Windows are cut from chunks of 256 bytes and their overlap, as SQL functions walk a long text from its start.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+h AS (SELECT doc_id, octet_length(raw) AS n, hex(raw) AS hx FROM d),
+k AS (SELECT doc_id, n, hx, unnest(range((n + 255) // 256)) AS k FROM h),
+p AS (SELECT doc_id, n, k, substr(hx, 512 * k + 1, 712) AS part FROM k),
+w AS (SELECT doc_id, n, k, part, unnest(range(least(256, n - 256 * k))) AS j FROM p),
+b AS (SELECT doc_id, 256 * k + j AS i, substr(part, 2 * j + 1, 2) AS byte, CASE WHEN 256 * k + j + 100 <= n THEN substr(part, 2 * j + 1, 200) END AS win FROM w),
+f AS (SELECT doc_id, i, byte, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS later FROM b),
+c AS (SELECT doc_id, i, byte, max(CASE WHEN later THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM f),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c)
+SELECT h.doc_id, h.n AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+       sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+FROM h LEFT JOIN g USING (doc_id) GROUP BY h.doc_id, h.n
+"""
+
+
 #: Labelled rows that a classifier is fitted on, at most.
 LABELLED_TOXIC, LABELLED_QUALITY = 6000, 8000
 
@@ -156,4 +173,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_radix": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}

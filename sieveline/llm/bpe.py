@@ -4,8 +4,8 @@ The merges (ranks of byte strings) are compiled into a transducer over bytes. A
 token written, node of the vocabulary trie reached since). Reading a byte moves to the node's child; where that node is a
 token which may stand after the last one, the token may be written. Two tokens may stand side by side when the merges,
 run on their joined bytes, give just these two; a chain of such pairs is the encoding and there is exactly one. The subset
-construction runs on demand: a deterministic state is a set of configurations with the output they don't share yet, and
-is built when a text first needs it. Output that all configurations share is emitted, so the lookahead is bounded by the
+construction runs on demand: a deterministic state is a set of configurations with the output they don't share yet, and a
+transition is built when it is needed for the second time; the first time, the non-deterministic machine runs on. Output that all configurations share is emitted, so the lookahead is bounded by the
 longest token. States are forgotten, all at once and between pieces, beyond ``max_states``.
 
 The decoder turns ids into bytes and bytes into text through an incremental UTF-8 state machine: a code point that is split
@@ -51,7 +51,7 @@ def merge(ranks: dict[bytes, int], piece: bytes, stop: int = -1) -> list[int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -76,6 +76,7 @@ class Transducer:
         self._sets: list[tuple] = []
         #: state << 8 | byte: the next state, or the tokens emitted and the next state.
         self.moves: dict[int, int | tuple[tuple[int, ...], int]] = {}
+        self._asked: set[int] = set()
         self._state(((_ROOT, -1, ()),))
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -115,6 +116,37 @@ class Transducer:
             self._sets.append(configs)
         return known
 
+    def _run_on(self, piece: bytes, at: int, configs: tuple) -> tuple[int, ...] | None:
+        """The rest of a piece from a deterministic state, by the non-deterministic machine: what is written by its end.
+
+        For every place that a token may end at, the one way to get there is kept.
+        """
+        children, token_at, known, size = self.children, self.token_at, self._fits, len(piece)
+        ways: list[tuple[int, tuple[int, ...]] | None] = [None] * (size + 1)
+        todo = [(at, node, last, pending) for node, last, pending in configs]
+        place = at
+        while True:
+            for begin, node, last, pending in todo:
+                for j in range(begin, size):
+                    nxt = children[node].get(piece[j])
+                    if nxt is None:
+                        break
+                    node = nxt
+                    token = token_at[node]
+                    if token >= 0 and ways[j + 1] is None:
+                        pair = (last + 1) << 32 | token
+                        fits = known.get(pair)
+                        if fits is None:
+                            fits = known[pair] = self.fits(last, token)
+                        if fits:
+                            ways[j + 1] = token, (*pending, token)
+            place += 1
+            while place < size and ways[place] is None:
+                place += 1
+            if place >= size:
+                return ways[size][1] if ways[size] else None
+            todo = [(place, _ROOT, *ways[place])]
+
     def _move(self, state: int, b: int) -> int | tuple[tuple[int, ...], int]:
         """Determinises one more transition. Configurations stand in the order of where their token begins."""
         reached, whole = [], None
@@ -148,13 +180,17 @@ class Transducer:
         """The ids of one piece. A piece that is a token is that token, as in the library that reads these files."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self._sets) > self.max_states:
+        if len(self._sets) > self.max_states or len(self._asked) > 10 * self.max_states:
             self.forget()
         out: list[int] = []
         state, known = 0, self.moves.get
-        for b in piece:
+        for at, b in enumerate(piece):
             step = known(state << 8 | b)
             if step is None:
+                if state << 8 | b not in self._asked:
+                    self._asked.add(state << 8 | b)
+                    rest = self._run_on(piece, at, self._sets[state])
+                    return merge(self.ranks, piece) if rest is None else [*out, *rest]
                 step = self._move(state, b)
             if type(step) is int:
                 state = step
@@ -298,9 +334,11 @@ def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids"
             table[rank] = token
         for batch in batches:
             ids = batch.column(batch.schema.names.index(ids_col))
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
             sizes = ids.value_lengths().fill_null(0).to_pylist()
+            ends = np.cumsum([0, *sizes]).tolist()
             for a, b in by_size(batch, sizes, 1 << 18):
-                out = pa.array([decode_ids(table, x or []) for x in ids.slice(a, b - a).to_pylist()], pa.string())
+                out = pa.array([decode_ids(table, flat[ends[i] : ends[i + 1]].tolist()) for i in range(a, b)], pa.string())
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], out], [*kept, out_col])
 
     return encoded.mapInArrow(run, _with_columns(encoded, T.StructField(out_col, T.StringType())))

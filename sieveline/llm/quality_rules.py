@@ -59,9 +59,14 @@ def statistics(text: Column) -> dict[str, Column]:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct __stats."""
+    """``docs`` with a struct __stats.
+
+    Each struct is given out by a generator of one row: a filter on what follows from it can't be pushed below, where Spark
+    would put a copy of every expression into each of the rules.
+    """
     stats = statistics(F.col(text_col))
-    return docs.withColumn("__base", stats.pop("__base")).withColumn("__stats", F.struct(*[c.cast("double").alias(k) for k, c in stats.items()])).drop("__base")
+    rows = docs.select("*", F.explode(F.array(stats.pop("__base"))).alias("__base"))
+    return rows.select("*", F.explode(F.array(F.struct(*[c.cast("double").alias(k) for k, c in stats.items()]))).alias("__stats")).drop("__base")
 
 
 @dataclass

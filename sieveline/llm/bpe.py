@@ -5,8 +5,8 @@ token written, node of the vocabulary trie reached since). Reading a byte moves
 token which may stand after the last one, the token may be written. Two tokens may stand side by side when the merges,
 run on their joined bytes, give just these two; a chain of such pairs is the encoding and there is exactly one. The subset
 construction runs on demand: a deterministic state is a set of configurations with the output they don't share yet, and a
-transition is built when it is needed for the second time; the first time, the non-deterministic machine runs on. Output that all configurations share is emitted, so the lookahead is bounded by the
-longest token. States are forgotten, all at once and between pieces, beyond ``max_states``.
+transition is built when it is needed for the second time; the first time, the non-deterministic machine runs on. Output
+that all configurations share is emitted, so the lookahead is bounded by the longest token. States are forgotten, all at once and between pieces, beyond ``max_states``.
 
 The decoder turns ids into bytes and bytes into text through an incremental UTF-8 state machine: a code point that is split
 between tokens or chunks comes out once it is whole; malformed bytes become U+FFFD.
@@ -116,17 +116,18 @@ class Transducer:
             self._sets.append(configs)
         return known
 
-    def _run_on(self, piece: bytes, at: int, configs: tuple) -> tuple[int, ...] | None:
+    def _run_on(self, piece: bytes, at: int, configs: tuple) -> list[int] | None:
         """The rest of a piece from a deterministic state, by the non-deterministic machine: what is written by its end.
 
-        For every place that a token may end at, the one way to get there is kept.
+        For every place that a token may end at, that token is kept with the place before it and, for the first token, the
+        output that was pending: memory is linear in the piece.
         """
         children, token_at, known, size = self.children, self.token_at, self._fits, len(piece)
-        ways: list[tuple[int, tuple[int, ...]] | None] = [None] * (size + 1)
-        todo = [(at, node, last, pending) for node, last, pending in configs]
+        ways: list[tuple[int, int, tuple[int, ...]] | None] = [None] * (size + 1)
+        todo = [(-1, at, node, last, pending) for node, last, pending in configs]
         place = at
         while True:
-            for begin, node, last, pending in todo:
+            for before, begin, node, last, pending in todo:
                 for j in range(begin, size):
                     nxt = children[node].get(piece[j])
                     if nxt is None:
@@ -139,13 +140,22 @@ class Transducer:
                         if fits is None:
                             fits = known[pair] = self.fits(last, token)
                         if fits:
-                            ways[j + 1] = token, (*pending, token)
+                            ways[j + 1] = token, before, pending
             place += 1
             while place < size and ways[place] is None:
                 place += 1
             if place >= size:
-                return ways[size][1] if ways[size] else None
-            todo = [(place, _ROOT, *ways[place])]
+                break
+            todo = [(place, place, _ROOT, ways[place][0], ())]
+        out: list[int] = []
+        place = size
+        while place >= 0:
+            if ways[place] is None:
+                return None
+            token, place, pending = ways[place]
+            out += (token, *reversed(pending))
+        out.reverse()
+        return out
 
     def _move(self, state: int, b: int) -> int | tuple[tuple[int, ...], int]:
         """Determinises one more transition. Configurations stand in the order of where their token begins."""

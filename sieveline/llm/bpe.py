@@ -119,43 +119,52 @@ class Transducer:
     def _run_on(self, piece: bytes, at: int, configs: tuple) -> list[int] | None:
         """The rest of a piece from a deterministic state, by the non-deterministic machine: what is written by its end.
 
-        For every place that a token may end at, that token is kept with the place before it and, for the first token, the
-        output that was pending: memory is linear in the piece.
+        Longer tokens are tried first. There is one way to a place at most, so a place that was left again is never
+        reached anew, and both time and memory are linear in the piece.
         """
         children, token_at, known, size = self.children, self.token_at, self._fits, len(piece)
-        ways: list[tuple[int, int, tuple[int, ...]] | None] = [None] * (size + 1)
-        todo = [(-1, at, node, last, pending) for node, last, pending in configs]
-        place = at
-        while True:
-            for before, begin, node, last, pending in todo:
-                for j in range(begin, size):
-                    nxt = children[node].get(piece[j])
-                    if nxt is None:
-                        break
-                    node = nxt
-                    token = token_at[node]
-                    if token >= 0 and ways[j + 1] is None:
-                        pair = (last + 1) << 32 | token
-                        fits = known.get(pair)
-                        if fits is None:
-                            fits = known[pair] = self.fits(last, token)
-                        if fits:
-                            ways[j + 1] = token, before, pending
-            place += 1
-            while place < size and ways[place] is None:
-                place += 1
-            if place >= size:
-                break
-            todo = [(place, place, _ROOT, ways[place][0], ())]
+        first = []
+        for node, last, pending in configs:
+            for j in range(at, size):
+                node = children[node].get(piece[j], -1)
+                if node < 0:
+                    break
+                if (token := token_at[node]) >= 0:
+                    first.append((j + 1, token, last, pending))
+        first.sort()
         out: list[int] = []
-        place = size
-        while place >= 0:
-            if ways[place] is None:
-                return None
-            token, place, pending = ways[place]
-            out += (token, *reversed(pending))
-        out.reverse()
-        return out
+        begun: tuple[int, ...] = ()
+        last, todo = -1, [first]
+        while todo:
+            options = todo[-1]
+            if not options:
+                todo.pop()
+                if out:
+                    out.pop()
+                continue
+            place, token, *more = options.pop()
+            if more:
+                last, begun = more
+            else:
+                last = out[-1]
+            pair = (last + 1) << 32 | token
+            fits = known.get(pair)
+            if fits is None:
+                fits = known[pair] = self.fits(last, token)
+            if not fits:
+                continue
+            out.append(token)
+            if place == size:
+                return [*begun, *out]
+            node, nxt = _ROOT, []
+            for j in range(place, size):
+                node = children[node].get(piece[j], -1)
+                if node < 0:
+                    break
+                if (token := token_at[node]) >= 0:
+                    nxt.append((j + 1, token))
+            todo.append(nxt)
+        return None
 
     def _move(self, state: int, b: int) -> int | tuple[tuple[int, ...], int]:
         """Determinises one more transition. Configurations stand in the order of where their token begins."""

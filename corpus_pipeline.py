@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.bpe import bpe_decode, bpe_encode, read_ranks
+from sieveline.llm.bpe import bpe_round_trip, read_ranks
 from sieveline.llm.common import shuffle_partitions, table, written
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.minhash_dedup import near_dedup
@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether they decode to it."""
     ranks = read_ranks(VOCABULARY)
-    out = bpe_decode(bpe_encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    out = bpe_round_trip(docs, ranks, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -318,46 +319,61 @@ def by_size(batch: pa.RecordBatch, sizes: Iterable[int], limit: int = 1 << 20) -
         yield start, batch.num_rows
 
 
+def _ids_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType()))
+
+
 def _with_columns(df: DataFrame, *more: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *more])
 
 
+def _encode_batches(spread: Broadcast, batches: Iterator[pa.RecordBatch], text_col: str, ids_col: str, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """Batches with the ids of ``text_col`` as a last column; spread holds the ranks and the pattern."""
+    encoder = encoder_of(*spread.value)
+    for batch in batches:
+        kept = [c for c in batch.schema.names if keep_text or c != text_col]
+        texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
+        for a, b in by_size(batch, map(len, texts)):
+            ids, ends = encoder.encode(texts[a:b])
+            arrays = [batch.column(batch.schema.names.index(c)).slice(a, b - a) for c in kept]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], [*kept, ids_col])
+
+
+def _decode_batches(spread: Broadcast, batches: Iterator[pa.RecordBatch], ids_col: str, out_col: str) -> Iterator[pa.RecordBatch]:
+    """Batches with the text of ``ids_col`` as a last column."""
+    ranks = spread.value[0]
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    for batch in batches:
+        ids = batch.column(batch.schema.names.index(ids_col))
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        sizes = ids.value_lengths().fill_null(0).to_pylist()
+        ends = np.cumsum([0, *sizes]).tolist()
+        for a, b in by_size(batch, sizes, 1 << 18):
+            out = pa.array([decode_ids(table, flat[ends[i] : ends[i + 1]].tolist()) for i in range(a, b)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], out], [*batch.schema.names, out_col])
+
+
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` with the ids of every whole text. The vocabulary, of fixed size, is broadcast once."""
     docs = drop_names(docs, ids_col)
     spread = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     rest = docs if keep_text else drop_names(docs, text_col)
-    kept = rest.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(*spread.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
-            for a, b in by_size(batch, map(len, texts)):
-                ids, ends = encoder.encode(texts[a:b])
-                arrays = [batch.column(batch.schema.names.index(c)).slice(a, b - a) for c in kept]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], [*kept, ids_col])
-
-    return docs.mapInArrow(run, _with_columns(rest, T.StructField(ids_col, T.ArrayType(T.IntegerType()))))
+    return docs.mapInArrow(lambda batches: _encode_batches(spread, batches, text_col, ids_col, keep_text), _with_columns(rest, _ids_field(ids_col)))
 
 
 def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids."""
     encoded = drop_names(encoded, out_col)
-    spread = encoded.sparkSession.sparkContext.broadcast(ranks)
-    kept = encoded.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b""] * (max(spread.value.values(), default=-1) + 1)
-        for token, rank in spread.value.items():
-            table[rank] = token
-        for batch in batches:
-            ids = batch.column(batch.schema.names.index(ids_col))
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            sizes = ids.value_lengths().fill_null(0).to_pylist()
-            ends = np.cumsum([0, *sizes]).tolist()
-            for a, b in by_size(batch, sizes, 1 << 18):
-                out = pa.array([decode_ids(table, flat[ends[i] : ends[i + 1]].tolist()) for i in range(a, b)], pa.string())
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], out], [*kept, out_col])
-
-    return encoded.mapInArrow(run, _with_columns(encoded, T.StructField(out_col, T.StringType())))
+    spread = encoded.sparkSession.sparkContext.broadcast((ranks, ""))
+    return encoded.mapInArrow(lambda batches: _decode_batches(spread, batches, ids_col, out_col), _with_columns(encoded, T.StructField(out_col, T.StringType())))
+
+
+def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", keep_text: bool = True) -> DataFrame:
+    """``bpe_decode`` of ``bpe_encode``, in one pass through one Python worker."""
+    docs = drop_names(docs, ids_col, out_col)
+    spread = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    rest = docs if keep_text else drop_names(docs, text_col)
+    schema = _with_columns(rest, _ids_field(ids_col), T.StructField(out_col, T.StringType()))
+    return docs.mapInArrow(lambda batches: _decode_batches(spread, _encode_batches(spread, batches, text_col, ids_col, keep_text), ids_col, out_col), schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode, read_ranks
+from .bpe import bpe_round_trip, read_ranks
 from .chat_format import chat_examples, conversation_digest
 from .common import table
 from .exact_dedup import exact_dedup
@@ -77,8 +77,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def bpe_digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text."""
     ranks = read_ranks(vocabulary)
-    encoded = bpe_encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False)
-    return bpe_decode(encoded, ranks).select(
+    return bpe_round_trip(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

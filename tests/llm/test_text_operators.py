@@ -55,6 +55,7 @@ def test_bpe_on_spark(spark):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, IDS string")
     out = bpe.bpe_decode(bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
     rows = out.collect()
+    assert sorted(bpe.bpe_round_trip(docs, RANKS, public_tokenizers.PATTERN).collect(), key=lambda r: r.doc_id) == sorted(rows, key=lambda r: r.doc_id)
     assert len(rows) == len(texts)
     for r in rows:
         assert r.decoded == (texts[r.doc_id] or "")

@@ -11,8 +11,8 @@ more links. Matches farther from the diagonal than (n + m) / 9 can't belong to s
 the longest increasing run of matches is the alignment.
 
 Copies (equal word sequences) are put together first, by ranges of their digest. Candidates are gathered in clusters, whose
-texts are shipped once; a cluster beyond ``block_rows`` is cut into blocks and each pair of blocks is one group of work. In a
-group, pairs that are already joined are skipped, so a large group of near copies costs comparisons, not rows.
+texts are shipped once; a cluster beyond ``block_rows`` or 16 million characters is cut into blocks, and each pair of blocks is
+one group of work. In a group, pairs that are already joined are skipped, so a large group of near copies costs comparisons, not rows.
 
 Defined cases: null counts as empty; texts without words are copies of one another; ties go to the smaller id; rows
 that share an id are taken for one text and share its fate; a null id is in a class of its own; an empty table gives no
@@ -36,6 +36,8 @@ from .components import components
 SHINGLE, MINIMA, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 RESULT = ("class_id", "kept")
+#: A block of a cluster holds so many characters or so, and texts are held against so many labels in one step.
+BLOCK_CHARS, LABELS_AT_ONCE = 16 << 20, 1 << 20
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -50,7 +52,7 @@ class Shingler:
         self.width, self.memo = width, {}
 
     def _word(self, word: str) -> int:
-        if len(self.memo) > 400_000:
+        if len(self.memo) > 150_000:
             self.memo.clear()
         h = self.memo[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -120,22 +122,24 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, d1, d2, keys): a digest of the word sequence, and the sketches of what has words."""
+    """(id, d1, d2, keys, chars): a digest of the word sequence, the sketches, the length of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, own = Shingler(), seeds()
         for batch in batches:
-            keys, digests = [], []
-            for text in batch.column(1):
-                words = shingler.words(text.as_py() or "")
+            keys, digests, sizes = [], [], []
+            for value in batch.column(1):
+                text = value.as_py() or ""
+                words = shingler.words(text)
+                sizes.append(len(text))
                 digests.append(xxhash.xxh3_128_intdigest(words.tobytes()))
                 keys.append(sketch(shingler.labels(words), own) if len(words) else np.zeros(len(own), np.int64))
             d = np.array([[x >> 64, x & (1 << 64) - 1] for x in digests], np.uint64).reshape(-1, 2).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), lists], ["id", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), lists, pa.array(sizes, pa.int64())], ["id", "d1", "d2", "keys", "chars"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, d1 long, d2 long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, d1 long, d2 long, keys array<long>, chars long")
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,7 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if before and before[0] == (d1[0], d2[0]):
             rep[: bounds[1]] = before[1]
         before = ((d1[-1], d2[-1]), rep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rep), batch.column(3)], ["id", "rep", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rep), batch.column(3), batch.column(4)], ["id", "rep", "keys", "chars"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +213,15 @@ def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np
         if not size[x]:
             links += [(int(ids[x]), int(ids[y])) for y in near]
             continue
-        #: Shared labels bound the similarity from above.
-        whole = np.concatenate([flat[place[y] : place[y + 1]] for y in near])
-        at = np.minimum(np.searchsorted(order[x], whole), size[x] - 1)
-        ends = np.cumsum(size[near])
-        shared = np.add.reduceat((order[x][at] == whole).astype(np.int64), ends - size[near])
-        likely = near[shared >= SIMILARITY * (size[near] + size[x] - shared) - 1e-9]
-        for y in likely.tolist():
+        #: Shared labels bound the similarity from above; they are counted for so many labels at a time.
+        upto = np.cumsum(size[near])
+        likely = []
+        for some in np.split(near, np.flatnonzero(np.diff(upto // LABELS_AT_ONCE)) + 1):
+            whole = np.concatenate([flat[place[y] : place[y + 1]] for y in some])
+            at = np.minimum(np.searchsorted(order[x], whole), size[x] - 1)
+            shared = np.add.reduceat((order[x][at] == whole).astype(np.int64), np.cumsum(size[some]) - size[some])
+            likely += some[shared >= SIMILARITY * (size[some] + size[x] - shared) - 1e-9].tolist()
+        for y in likely:
             a, b = _find(parent, x), _find(parent, y)
             if a != b and similarity(labels[x], labels[y]) >= SIMILARITY:
                 parent[max(a, b)] = min(a, b)
@@ -241,18 +247,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     p = shuffle_partitions(docs.sparkSession)
     docs = docs.filter(F.col(id_col).isNotNull())
     raw = written(_sketched(docs, id_col, text_col), "sketches")
-    reps = written(in_ranges(raw.select("id", "d1", "d2", "keys"), "d1", "d2", "id").mapInArrow(_copies, "id long, rep long, keys array<long>"), "copies")
+    reps = written(in_ranges(raw, "d1", "d2", "id").mapInArrow(_copies, "id long, rep long, keys array<long>, chars long"), "copies")
     distinct = reps.filter("id = rep").dropDuplicates(["id"])
     hits = written(distinct.select(F.explode("keys").alias("key"), F.col("rep")), "keys")
     stars = written(in_ranges(hits, "key", "rep").mapInArrow(_stars, "key long, a long, b long"), "stars")
     ends = stars.filter("b is null").select("key", "a")
     stitch = ends.groupBy("key").agg(F.min("a").alias("b"), F.collect_set("a").alias("all")).select(F.explode("all").alias("a"), "b")
     clusters = components(stars.filter("b is not null").select("a", "b").unionByName(stitch), "a", "b")
-    clusters = written(clusters, "clusters")
+    clusters = written(clusters.join(distinct.select("id", "keys", "chars"), "id"), "clusters")
 
-    size = clusters.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_rows))
-    size = written(size, "sizes")
-    members = clusters.join(size, "component").join(distinct.select("id", "keys"), "id")
+    blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum("chars") / BLOCK_CHARS))
+    size = written(clusters.groupBy("component").agg(blocks.alias("blocks")), "sizes")
+    members = clusters.join(size, "component").drop("chars")
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     members = members.join(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id")
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))

@@ -6,9 +6,10 @@ a shingle is labelled with i, so labels are unique in a text. A sketch takes, fo
 shingles in the same order. Texts that agree on one sketch are candidates. At a similarity of 0.8 each of 24 sketches of 4
 minima agrees with a probability of 0.8 ** 4, so a pair is missed with (1 - 0.41) ** 24, or 3 in a million.
 
-Similarity is that of the best alignment of the two label sequences, matched / (matched + unmatched of both), and 0.8 or
-more links. Matches farther from the diagonal than (n + m) / 9 can't belong to such an alignment, which is the band; in it
-the longest increasing run of matches is the alignment.
+Similarity is that of the best alignment of the two shingle sequences, matched / (matched + unmatched of both), and 0.8 or
+more links. Matches farther from the diagonal than (n + m) / 9 can't belong to such an alignment, which is the band. Labels
+are matched first: the longest increasing run of equal ones is an alignment. Where it is too short and a shingle is repeated,
+equal shingles may be matched across their numbers, and the longest common subsequence in the band decides.
 
 Copies (equal word sequences) are put together first, by ranges of their digest. Candidates are gathered in clusters, whose
 texts are shipped once; a cluster beyond ``block_rows`` or 16 million characters is cut into blocks, and each pair of blocks is
@@ -38,6 +39,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 RESULT = ("class_id", "kept")
 #: A block of a cluster holds so many characters or so, and texts are held against so many labels in one step.
 BLOCK_CHARS, LABELS_AT_ONCE = 16 << 20, 1 << 20
+#: Bits of the masks that an alignment of shingles holds at a time (32 MB).
+MASK_BITS = 1 << 28
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -65,23 +68,34 @@ class Shingler:
             memo = self.memo
             return np.fromiter([memo[w] if w in memo else self._word(w) for w in words], np.uint64, len(words))
 
-    def labels(self, words: np.ndarray) -> np.ndarray:
-        """A label for every shingle, in the order of the text."""
+    def shingles(self, words: np.ndarray) -> np.ndarray:
+        """The hash of every shingle, in the order of the text."""
         if not len(words):
             return words
         width = min(self.width, len(words))
         h = np.zeros(len(words) - width + 1, np.uint64)
         for i in range(width):
             h = _scrambled(h * _MIX + words[i : i + len(h)])
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        fresh = np.append(True, s[1:] != s[:-1])
-        if fresh.all():
-            return h
-        at = np.arange(len(s))
-        nth = np.empty(len(s), np.uint64)
-        nth[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
-        return h + nth * np.uint64(0xD6E8FEB86659FD93)
+        return h
+
+    def labels(self, words: np.ndarray) -> np.ndarray:
+        """A label for every shingle, in the order of the text."""
+        return numbered(self.shingles(words))
+
+
+def numbered(h: np.ndarray) -> np.ndarray:
+    """Shingles with their occurrences told apart; ``h`` itself if none is repeated."""
+    if not len(h):
+        return h
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    fresh = np.append(True, s[1:] != s[:-1])
+    if fresh.all():
+        return h
+    at = np.arange(len(s))
+    nth = np.empty(len(s), np.uint64)
+    nth[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return h + nth * np.uint64(0xD6E8FEB86659FD93)
 
 
 def sketch(labels: np.ndarray, seeds: np.ndarray, minima: int = MINIMA) -> np.ndarray:
@@ -121,6 +135,56 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return len(run) / (n + m - len(run))
 
 
+def common(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence whose matches lie within ``band`` of the diagonal (some farther ones may count).
+
+    Bit-parallel: bit j is 0 where the length grows at b[j]. The window of bits follows the band, in steps of some elements of a;
+    bits that it leaves behind don't change any more, those ahead are 1.
+    """
+    n, m = len(a), len(b)
+    least = min(n, m)
+    differ = np.flatnonzero(a[:least] != b[:least])
+    head = int(differ[0]) if len(differ) else least
+    a, b = a[head:], b[head:]
+    least = min(len(a), len(b))
+    differ = np.flatnonzero(a[::-1][:least] != b[::-1][:least])
+    tail = int(differ[0]) if len(differ) else least
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    n, m = len(a), len(b)
+    grown, bits, lo, hi = head + tail, 0, 0, 0
+    step = max(1, min(max(64, band // 2), MASK_BITS // (3 * band + 64)))
+    for i in range(0, n, step):
+        rows = a[i : i + step]
+        left, right = min(m, max(0, i - band)), min(m, i + len(rows) + band)
+        grown += left - lo - (bits & (1 << left - lo) - 1).bit_count()
+        bits = bits >> left - lo | ((1 << right - hi) - 1) << hi - left
+        lo, hi = left, right
+        order = np.argsort(b[lo:hi], kind="stable")
+        s, full, masks = b[lo:hi][order], (1 << hi - lo) - 1, {}
+        for x, y in zip(np.searchsorted(s, rows).tolist(), np.searchsorted(s, rows, "right").tolist(), strict=True):
+            if x == y:
+                continue
+            if x not in masks:
+                if y - x == 1:
+                    masks[x] = 1 << int(order[x])
+                else:
+                    at = np.zeros(hi - lo, np.uint8)
+                    at[order[x:y]] = 1
+                    masks[x] = int.from_bytes(np.packbits(at, bitorder="little").tobytes(), "little")
+            hit = bits & masks[x]
+            bits = (bits + hit | bits - hit) & full
+    return grown + hi - lo - bits.bit_count()
+
+
+def shingle_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Of two shingle sequences, with repeats; right where it is ``least`` or more, else some value below."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return float(n == m)
+    run = common(a, b, int((n + m) * (1 - least) / (1 + least) + 1e-9))
+    return run / (n + m - run)
+
+
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, d1, d2, keys, chars): a digest of the word sequence, the sketches, the length of the text."""
 
@@ -190,7 +254,17 @@ def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np
 
     side: texts of sides 0 and 1 are compared with the other side only (two blocks); -1 with all.
     """
-    labels = [shingler.labels(shingler.words(t)) for t in texts]
+    labels, repeats = [], []
+    for t in texts:
+        h = shingler.shingles(shingler.words(t))
+        labels.append(numbered(h))
+        repeats.append(labels[-1] is not h)
+
+    def alike(x: int, y: int) -> bool:
+        if similarity(labels[x], labels[y]) >= SIMILARITY:
+            return True
+        return (repeats[x] or repeats[y]) and shingle_similarity(*(shingler.shingles(shingler.words(texts[i])) for i in (x, y))) >= SIMILARITY
+
     order = [np.sort(x) for x in labels]
     size = np.array([len(x) for x in labels])
     flat, place = np.concatenate(order), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -223,7 +297,7 @@ def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np
             likely += some[shared >= SIMILARITY * (size[some] + size[x] - shared) - 1e-9].tolist()
         for y in likely:
             a, b = _find(parent, x), _find(parent, y)
-            if a != b and similarity(labels[x], labels[y]) >= SIMILARITY:
+            if a != b and alike(x, y):
                 parent[max(a, b)] = min(a, b)
                 links.append((int(ids[x]), int(ids[y])))
     return links

@@ -250,3 +250,34 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     good = [k for k, q in labels.items() if q == 1]
     assert sum(k in rows[0] for k in good) >= 0.98 * len(good)
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()} == rows[4]
+
+
+def test_alignment_of_repeated_lines_equals_longest_common_subsequence(spark):
+    def by_force(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a.tolist():
+            row, before = [0], row
+            for j, y in enumerate(b.tolist()):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        return row[-1] / (len(a) + len(b) - row[-1])
+
+    rnd, shingler = random.Random(8), minhash_dedup.Shingler()
+    shingles = lambda words: shingler.shingles(shingler.words(" ".join(words)))
+    linked = 0
+    for k in range(150):
+        lines = [[f"w{rnd.randrange(40)}" for _ in range(rnd.randint(1, 12))] for _ in range(rnd.randint(1, 5))]
+        a = [w for _ in range(rnd.randint(3, 30)) for w in rnd.choice(lines)]
+        b = a[len(a) // 15 :] if k % 2 else list(a)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(b))
+            b[at : at + rnd.randint(0, 3)] = rnd.choice([[], rnd.choice(lines), ["new"]])
+        x, y = shingles(a), shingles(b)
+        want, got = by_force(x, y), minhash_dedup.shingle_similarity(x, y)
+        assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
+        linked += want >= 0.8
+    assert 30 < linked < 150
+    block = [f"w{i}" for i in range(60)] * 10
+    docs = spark.createDataFrame([(1, " ".join(block)), (2, " ".join(block[30:]))], "doc_id long, text string")
+    a, b = (shingler.labels(shingler.words(" ".join(t))) for t in (block, block[30:]))
+    assert minhash_dedup.similarity(a, b) < 0.8 < by_force(shingles(block), shingles(block[30:]))
+    assert {r.class_id for r in minhash_dedup.near_classes(docs).collect()} == {1}

@@ -65,25 +65,42 @@ def vector_search(docs: DataFrame, queries: DataFrame, k: int = 50, metric: str
 
 
 def ivf_search(docs: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 4, sample: int = 20_000, seed: int = 1) -> DataFrame:
-    """Approximate best k by cosine: k-means cells are fitted on a bounded sample, every row is put in a cell, and a query
-    looks into its ``probes`` nearest cells."""
+    """The exact best k by cosine: k-means cells are fitted on a bounded sample, every row is put in a cell, and a query looks
+    into its ``probes`` nearest cells, then into each other cell that may hold a better row than its k-th so far.
+
+    The angle between a query and any row of a cell is at least that to the centre less that of the cell's farthest row.
+    """
     unit = lambda df, i: df.filter("v is not null").select(i, F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("f", array_to_vector("v"))
     rows = unit(docs, "doc_id")
     drawn = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(sample)
     model = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell", distanceMeasure="cosine", maxIter=10).fit(drawn)
     centres = np.array(model.clusterCenters())
+    from ..functions.vectors import cosine
+
+    placed = model.transform(rows).select("doc_id", "v", "cell")
+    table = docs.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, c array<double>")
+    reach = np.zeros(len(centres))
+    for r in placed.join(F.broadcast(table), "cell").groupBy("cell").agg(F.min(cosine(F.col("c"), F.col("v"))).alias("least")).collect():
+        reach[r.cell] = np.pi if r.least is None else np.arccos(np.clip(r.least, -1, 1))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                best = np.argsort(-_scores(_doubles(pdf["v"]), centres, "cosine"), axis=1)[:, :probes]
-                yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), best.shape[1]), "q": [v for v in pdf["v"] for _ in range(best.shape[1])], "cell": best.ravel().astype("int32")})
+                s = _scores(_doubles(pdf["v"]), centres, "cosine")
+                order = np.argsort(-s, axis=1)
+                most = np.cos(np.maximum(np.arccos(np.clip(s, -1, 1)) - reach, 0))
+                n = s.shape[1]
+                yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), n), "q": [v for v in pdf["v"] for _ in range(n)], "cell": order.ravel().astype("int32"), "first": np.tile(np.arange(n) < probes, len(pdf)), "most": np.take_along_axis(most, order, 1).ravel()})
 
-    asked = unit(queries, "query_id").select("query_id", "v").mapInPandas(nearest, "query_id long, q array<double>, cell int")
-    from ..functions.vectors import cosine
+    asked = unit(queries, "query_id").select("query_id", "v").mapInPandas(nearest, "query_id long, q array<double>, cell int, first boolean, most double")
+
+    def hits(some: DataFrame) -> DataFrame:
+        return placed.join(some, "cell").select("query_id", "doc_id", cosine(F.col("q"), F.col("v")).alias("score")).filter("score is not null")
 
-    hits = model.transform(rows).select("doc_id", "v", "cell").join(asked, "cell")
-    return ranked(hits.select("query_id", "doc_id", cosine(F.col("q"), F.col("v")).alias("score")).filter("score is not null"), k)
+    best = ranked(hits(asked.filter("first")), k).drop("rank")
+    kth = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    open_ = asked.filter("not first").join(kth, "query_id", "left").filter(F.coalesce(F.col("n") < k, F.lit(True)) | (F.col("most") >= F.col("kth") - 1e-6))
+    return ranked(best.unionByName(hits(open_.select("query_id", "q", "cell"))), k)
 
 
 def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000) -> DataFrame:

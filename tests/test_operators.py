@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sieveline.functions.scoring import FACTORS
 from sieveline.operators import evaluate, fusion, labels, learn, lexical, plugins, store, vector
 from sieveline.operators.ranking import ranked
+from sieveline.plans import queries
 
 M1 = dict(zip(FACTORS, (1.2, 1.0, 1.2, 1.0, 1.0, 1.1), strict=True))
 
@@ -49,6 +50,14 @@ def test_ivf_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_ivf_query_recall_on_the_given_vectors(spark):
+    for sf in ("sf0.001", "sf0.1"):
+        d = f"/root/testdata/{sf}"
+        exact = {(r.query_id, r.doc_id) for r in vector.vector_search(queries.vectors(spark, d), queries.asked(spark, d), 10).collect()}
+        found = {(r.query_id, r.doc_id) for r in queries.ivf_topk(spark, d).collect()}
+        assert len(exact & found) >= 0.9 * len(exact), len(exact & found) / len(exact)
+
+
 def test_pairs_above_in_blocks(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(50, 4))

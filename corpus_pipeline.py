@@ -39,8 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture."""
-    placed = pfair_mix(docs.select("doc_id", "source")).select(F.col("doc_id").alias("__id"), "place")
-    ordered = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")))
+    ordered = pfair_mix(docs)
     return ordered.repartitionByRange(shuffle_partitions(spark), "place").sortWithinPartitions("place").select(*COLUMNS)
 
 

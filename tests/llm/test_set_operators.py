@@ -281,3 +281,10 @@ def test_alignment_of_repeated_lines_equals_longest_common_subsequence(spark):
     a, b = (shingler.labels(shingler.words(" ".join(t))) for t in (block, block[30:]))
     assert minhash_dedup.similarity(a, b) < 0.8 < by_force(shingles(block), shingles(block[30:]))
     assert {r.class_id for r in minhash_dedup.near_classes(docs).collect()} == {1}
+
+
+def test_mixing_stage_keeps_each_row_of_null_and_repeated_ids_once(spark):
+    ids = [None] * 5 + [7] * 4 + list(range(20, 40))
+    rows = [(i, f"text {k}", "en", f"s{k % 3}", 6) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text for r in corpus_pipeline.mix(spark, docs, DATA).collect()) == sorted(r[1] for r in rows)

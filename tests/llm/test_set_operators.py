@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveline.llm import embedding_dedup, minhash_dedup, quality_rules, toxicity
+from sieveline.llm import embedding_dedup, minhash_dedup, mixing, quality_rules, toxicity
 from sieveline.llm.components import components
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.labelled import held_out, training_rows
@@ -154,30 +154,54 @@ def test_embedding_links(spark, block_rows):
     assert embedding_dedup.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-@pytest.mark.parametrize(("frame", "piece_rows"), [(1000, None), (40, 7)])
-def test_mixture_deviates_by_less_than_a_block(spark, frame, piece_rows):
-    sizes = {"a": 400, "b": 100, None: 60, "c": 3}
-    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+def edf_by_force(shares, blocks):
+    """Slots of each source's blocks: the released block with the earliest deadline, slot by slot, in whole numbers."""
+    total, done, out, t = sum(shares), [0] * len(shares), [[] for _ in shares], 0
+    while any(d < m for d, m in zip(done, blocks, strict=True)):
+        ready = [(-(-(d + 1) * total // a), i) for i, (a, d, m) in enumerate(zip(shares, done, blocks, strict=True)) if d < m and d * total // a <= t]
+        if ready:
+            _, i = min(ready)
+            out[i].append(t)
+            done[i] += 1
+        t += 1
+    return out
+
+
+@pytest.mark.parametrize("piece_rows", [None, 7])
+def test_mixture_equals_the_simulation(spark, piece_rows):
+    sizes = {None: 60, "a": 400, "b": 100, "c": 3, "d": 9}
+    rows = [(i if i % 9 else None, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, source string, slot int")
-    w = spark.createDataFrame([("a", 5.0), ("b", 2.0), (None, 1.5)], "source string, weight double")
-    got = pfair_mix(docs, w, block_rows=4, frame=frame, piece_rows=piece_rows).collect()
+    w = spark.createDataFrame([("a", 5.0), ("b", 2.0), (None, 3.0), ("d", float("nan")), ("zz", 4.0)], "source string, weight double")
+    got = pfair_mix(docs, w, block_rows=4, piece_rows=piece_rows).collect()
     assert len(got) == len(rows) == len({r.place for r in got})
     slots = defaultdict(set)
     for r in got:
         slots[r.source].add((r.source_block, r.slot))
-    frame = max(frame, 16)
-    for source, pairs in slots.items():
-        order = sorted(pairs)
-        assert [b for b, _ in order] == list(range(-(-sizes[source] // 4)))
-        assert [s for _, s in order] == sorted(s for _, s in order)
-    used = sorted(s for pairs in slots.values() for _, s in pairs)
-    assert len(used) == len(set(used))
-    share = {"a": 5 / 8.5, "b": 2 / 8.5, None: 1.5 / 8.5}
-    last = min(max(s for _, s in slots[k]) for k in share)
-    for source, x in share.items():
-        for t in range(1, last):
-            assert abs(sum(s < t for _, s in slots[source]) - x * t) < 1 + 4 * t / frame  # whole slots in a frame
+        assert r.place // 4 == r.slot
+    by_source = {k: [s for _, s in sorted(v)] for k, v in slots.items()}
+    want = edf_by_force([3, 5, 2], [15, 100, 25])
+    assert [by_source[k] for k in (None, "a", "b")] == want
+    last = max(max(x) for x in want) + 1
+    assert [by_source["c"], by_source["d"]] == [[last], [last + 1, last + 2, last + 3]]
     assert pfair_mix(docs.filter("false")).count() == 0
+    assert pfair_mix(docs.drop("slot")).count() == len(rows)
+
+
+@pytest.mark.parametrize(("weights", "blocks"), [([0.7004, 0.2996], [175_100, 74_900]), ([5.0, 2.5, 0.31, 1.7, 0.0007], [20_000, 10_000, 1240, 6800, 3])])
+def test_deviation_stays_below_one_block(spark, weights, blocks):
+    """At every slot until a source runs out."""
+    sizes = spark.createDataFrame(list(enumerate(blocks)), "source int, n long")
+    share = mixing.shares(sizes, spark.createDataFrame(list(enumerate(weights)), "source int, weight double"), 1 << 41).withColumnRenamed("n", "blocks")
+    plan = mixing.schedule(share).toPandas()
+    assert plan.slot.is_unique
+    ends = plan.groupby("idx").slot.max()
+    for i, w in enumerate(weights):
+        own = np.sort(plan.slot[plan.idx == i].to_numpy())
+        assert len(own) == blocks[i]
+        x, k = w / sum(weights), np.arange(len(own))
+        upto = own <= ends.min()
+        assert (k - x * own > -1)[upto].all() and (k + 1 - x * (own + 1) < 1)[upto].all()
 
 
 def test_held_out_and_bounded_sample(spark):

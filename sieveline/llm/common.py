@@ -46,6 +46,14 @@ def drop_names(df: DataFrame, *names: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to differ from every column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
     """Runs of whole groups from rows that are sorted by the keys: what is held is a batch and the group it breaks off in."""
     held: list[pa.RecordBatch] = []

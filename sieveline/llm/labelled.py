@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,14 +11,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 1 << 26) -> DataFrame:
     """``docs`` joined with at most ``most`` of the labelled rows that aren't held out, as column __label.
 
     The sample is the rows with the lowest hash of the id: the same at every run, and of a size that doesn't grow, so it
-    is broadcast and each row of ``docs`` is looked up in it.
+    is broadcast and each row of ``docs`` is looked up in it. Of rows that share an id all are met, so they are counted again
+    here; rows beyond ``most``, or ``most_chars`` characters of whole texts, are left out, in the order of the hash.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__label"))
     known = known.filter(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & ~held_out(F.col("__id")))
     known = known.groupBy("__id").agg(F.max("__label").alias("__label"))
-    known = known.orderBy(F.xxhash64(F.lit(11), "__id"), "__id").limit(most)
-    return docs.join(F.broadcast(known), docs[id_col] == F.col("__id"))
+    known = known.withColumn("__h", F.xxhash64(F.lit(11), "__id")).orderBy("__h", "__id").limit(most)
+    met = docs.join(F.broadcast(known), docs[id_col] == F.col("__id"))
+    met = met.withColumn("__chars", F.coalesce(F.char_length(F.col(text_col)), F.lit(0)).cast("long")).withColumn("__t", F.xxhash64(text_col))
+    met = met.orderBy("__h", "__id", "__t").limit(most)  # bounded, so one window may go over it
+    upto = F.sum("__chars").over(Window.orderBy("__h", "__id", "__t").rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("__upto", upto).filter(F.col("__upto") <= most_chars).drop("__h", "__t", "__chars", "__upto")

@@ -8,7 +8,8 @@ one Spark column: the sigmoid of a sum of CASE terms. Scoring needs no Python an
 Defined cases: null counts as empty; an empty text has zero for every statistic and is scored by the rules like any other;
 texts of any length are measured whole; labels that are null or other than 0 and 1 are not used; without labelled rows of
 both classes the score is the share of class 1 among those there are, 1 if there are none (nothing is rejected without
-evidence); repeated rows are scored alike; columns of the input pass through.
+evidence); repeated rows are scored alike; columns of the input pass through, whatever their names, and one with the name of the
+score is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_names, free_name
 from .labelled import training_rows
 
 
-def statistics(text: Column) -> dict[str, Column]:
+def statistics(text: Column, base_col: str = "__base") -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(t, r"\s+"), "")
     lines = F.array_remove(F.split(t, "\n"), "")
@@ -40,7 +42,7 @@ def statistics(text: Column) -> dict[str, Column]:
         F.regexp_count(t, F.lit("[0-9]")).alias("digits"),
         F.regexp_count(t, F.lit("[.?!]")).alias("ends"),
     )
-    b = F.col("__base")
+    b = F.col(base_col)
     return {
         "__base": base,
         "log_words": F.ln(F.lit(1.0) + b.words),
@@ -58,15 +60,16 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct __stats.
+def measured(docs: DataFrame, text_col: str = "text", out_col: str = "__stats") -> DataFrame:
+    """``docs`` with a struct of the statistics.
 
     Each struct is given out by a generator of one row: a filter on what follows from it can't be pushed below, where Spark
     would put a copy of every expression into each of the rules.
     """
-    stats = statistics(F.col(text_col))
-    rows = docs.select("*", F.explode(F.array(stats.pop("__base"))).alias("__base"))
-    return rows.select("*", F.explode(F.array(F.struct(*[c.cast("double").alias(k) for k, c in stats.items()]))).alias("__stats")).drop("__base")
+    between = free_name(docs, "__base")
+    stats = statistics(F.col(text_col), between)
+    rows = docs.select("*", F.explode(F.array(stats.pop("__base"))).alias(between))
+    return rows.select("*", F.explode(F.array(F.struct(*[c.cast("double").alias(k) for k, c in stats.items()]))).alias(out_col)).drop(between)
 
 
 @dataclass
@@ -151,7 +154,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 48, d
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", most: int = 8000) -> Rules:
     """Fits on at most ``most`` labelled rows; only their statistics reach the driver."""
-    rows = measured(training_rows(docs.select("doc_id", text_col), labels, "quality", most), text_col)
+    rows = measured(training_rows(docs.select("doc_id", text_col), labels, "quality", most, text_col=text_col), text_col)
     names = [k for k in statistics(F.lit("")) if k != "__base"]
     got = rows.select("doc_id", "__label", *[F.col("__stats")[k].alias(k) for k in names]).toPandas().sort_values(["doc_id", *names], kind="stable")
     return fit_rules(got[names].to_numpy(float), got["__label"].to_numpy(int), names)
@@ -159,5 +162,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", most
 
 def quality_scores(docs: DataFrame, rules: Rules, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
     """``docs`` with the score of every row."""
-    rows = measured(docs, text_col)
-    return rows.withColumn(out_col, rules.column(F.col("__stats"))).drop("__stats")
+    docs = drop_names(docs, out_col)
+    stats = free_name(docs, "__stats")
+    return measured(docs, text_col, stats).withColumn(out_col, rules.column(F.col(stats))).drop(stats)

@@ -2,19 +2,25 @@
 
 A word is the bag of its character n-grams (with its ends marked), each hashed to one of ``buckets`` embedding rows; a bag is
 averaged and goes through a linear layer and a softmax over the two classes. Embeddings and layer are trained together by
-Adagrad, so a misspelling that was never seen shares the vectors of the n-grams it keeps.
+Adagrad, so a misspelling that was never seen shares the vectors of the n-grams it keeps. A run of word characters beyond
+``PIECE`` (a script without blanks, words glued together) is read as several words, pieces that overlap by all but one
+character of the longest n-gram: each of its n-grams is in one of them, whatever the length of the run.
 
 A few insults in a long text vanish in the average over all of it. So the bag that is averaged is a window of ``window``
 words (a shorter last window is filled up with zeros), and a document is as toxic as its three most toxic windows are on
 average. Training alternates: the present model picks for each document of class 1 the windows it finds most toxic, and for
-class 0 the hardest ones and some at random; those are the next examples. The odds of n-grams pick the first ones.
-
-The layer is linear, so a word's share of its window's logit is computed once for each distinct word (a bounded memo);
-scoring a text is a running sum over its words.
-
-Defined cases: null and empty texts, and texts without a word, get the share of class 1 among the labelled rows; texts of any
-length are scored whole; labels that are null or other than 0 and 1 are not used; without labelled rows of both classes the
-score is the share of class 1 among those there are, 0 if none; repeated rows are scored alike.
+class 0 the hardest ones and some at random; those are the next examples. The odds of n-grams pick the first ones. A document
+of class 1 whose odds are those of class 0 may carry a wrong label: it is kept, with the weight ``DOUBTFUL``, and counts in full
+where the cut is chosen.
+
+The layer is linear, so a word's share of its window's logit is computed once for each distinct word (a bounded memo). A
+batch of texts is flattened to word numbers; windows are sums of slices, and the best windows of each text are found by one
+sort of the batch.
+
+Defined cases: null and empty texts, and texts without a word, get the share of class 1 among the labelled rows; texts and words of
+any length are scored whole; labels that are null or other than 0 and 1 are not used; without labelled rows of both classes the
+score is the share of class 1 among those there are, 0 if none; repeated rows are scored alike, and of rows that share an id each
+is scored by its own text; an empty table gives no rows; columns of the input pass through untouched, as the score is a column.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,12 +38,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WORDS = re.compile(r"\w+").findall
+_RUNS = re.compile(r"\w+").findall
+LOW, HIGH = 3, 6
+#: Characters of a word, at most; longer runs are cut into overlapping pieces of so many.
+PIECE = 40
+#: Weight of training documents of class 1 that look like class 0.
+DOUBTFUL = 0.25
+#: Characters of a batch that is scored at once; a longer text stands alone.
+BATCH_CHARS = 1 << 20
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of word characters, long ones in pieces."""
+    runs = _RUNS(text.lower())
+    if not runs or max(map(len, runs)) <= PIECE:
+        return runs
+    return [piece for run in runs for piece in ((run,) if len(run) <= PIECE else pieces(run))]
 
 
-def grams(word: str, buckets: int, low: int = 3, high: int = 6) -> list[int]:
+def pieces(run: str) -> list[str]:
+    step = PIECE - (HIGH - 1)
+    return [run[i : i + PIECE] for i in range(0, len(run) - (HIGH - 1), step)]
+
+
+def grams(word: str, buckets: int, low: int = LOW, high: int = HIGH) -> list[int]:
     """Rows of the word's n-grams, and of the word itself."""
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     found = {marked, *(marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1))}
     return sorted({xxhash.xxh32_intdigest(g) % buckets for g in found})
 
@@ -45,17 +72,41 @@ def grams(word: str, buckets: int, low: int = 3, high: int = 6) -> list[int]:
 POOL = 3
 
 
-def window_logits(words: np.ndarray, window: int, bias: float) -> np.ndarray:
-    """From the logits that the words add."""
-    if not len(words):
-        return np.array([bias])
-    return np.add.reduceat(words, np.arange(0, len(words), window)) + bias
-
-
-def pooled(logits: np.ndarray) -> float:
-    if len(logits) > POOL:
-        logits = np.partition(logits, len(logits) - POOL)[-POOL:]
-    return float(logits.mean())
+def window_logits(words: np.ndarray, counts: np.ndarray, window: int, bias: float, wordless: float) -> tuple[np.ndarray, np.ndarray]:
+    """From the logits that the words of texts add, with the number of words of each text: the logit of every window, and where the
+    windows of each text end. A text without words has one window."""
+    sizes = np.maximum(-(-counts // window), 1)
+    ends = np.cumsum(sizes)
+    out = np.full(int(ends[-1]) if len(ends) else 0, wordless)
+    if len(words):
+        some = counts > 0
+        of = np.repeat(np.flatnonzero(some), sizes[some])
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+        begin = (np.cumsum(counts) - counts)[of] + nth * window
+        out[(ends - sizes)[of] + nth] = np.add.reduceat(words, begin) + bias
+    return out, ends
+
+
+def pooled(logits: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The mean of the POOL highest windows of each text."""
+    sizes = np.diff(ends, prepend=0)
+    of = np.repeat(np.arange(len(ends)), sizes)
+    best = logits[np.lexsort((-logits, of))]
+    nth = np.arange(len(best)) - np.repeat(ends - sizes, sizes)
+    best = np.where(nth < POOL, best, 0.0)
+    return np.add.reduceat(best, ends - sizes) / np.minimum(sizes, POOL) if len(ends) else np.empty(0)
+
+
+class _Memo(dict):
+    """What each word adds, learnt when it is asked for."""
+
+    def __init__(self, weight: np.ndarray):
+        super().__init__()
+        self.weight = weight
+
+    def __missing__(self, word: str) -> float:
+        known = self[word] = float(self.weight[grams(word, len(self.weight))].mean())
+        return known
 
 
 @dataclass
@@ -66,33 +117,24 @@ class SubwordModel:
     bias: float
     window: int = 8
     wordless: float = 0.0
-    memo: dict[str, float] = field(default_factory=dict, repr=False)
+    memo: _Memo | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
-
-    def word(self, word: str) -> float:
-        if (known := self.memo.get(word)) is None:
-            if len(self.memo) > 400_000:
-                self.memo.clear()
-            rows = grams(word, len(self.weight))
-            known = self.memo[word] = float(self.weight[rows].mean())
-        return known
+        return self.__dict__ | {"memo": None}
 
-    def logits(self, text: str) -> np.ndarray:
-        """The logit of every window."""
-        words = _WORDS(text.lower())
-        if not words:
-            return np.array([self.wordless])
-        memo = self.memo
-        try:
-            each = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-        except KeyError:
-            each = np.fromiter(map(self.word, words), np.float64, len(words))
-        return window_logits(each, self.window, self.bias)
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.memo is None or len(self.memo) > 400_000:
+            self.memo = _Memo(self.weight)
+        read = [words_of(t) for t in texts]
+        counts = np.fromiter(map(len, read), np.int64, len(read))
+        each = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(read)), np.float64, int(counts.sum()))
+        return window_logits(each, counts, self.window, self.bias, self.wordless)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(pooled(*self.logits([t or "" for t in texts])), -30, 30)))
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, pooled(self.logits(text or ""))))))
+        return float(self.scores([text])[0])
 
 
 class _Bags:
@@ -101,7 +143,7 @@ class _Bags:
     def __init__(self, texts: list[str], window: int, buckets: int):
         number: dict[str, int] = {}
         self.window = window
-        self.words = [np.array([number.setdefault(w, len(number)) for w in _WORDS(t.lower())], np.int64) for t in texts]
+        self.words = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
         rows = [grams(w, buckets) for w in number]
         self.size = np.array([len(r) for r in rows], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
@@ -117,14 +159,14 @@ class _Bags:
     def logits(self, weight: np.ndarray, bias: float) -> list[np.ndarray]:
         """Of every window of every text."""
         word = np.add.reduceat(weight[self.flat], self.begin[:-1]) / self.size if len(self.flat) else np.empty(0)
-        return [window_logits(word[w], self.window, bias) for w in self.words]
+        return [window_logits(word[w], np.array([len(w)]), self.window, bias, bias)[0] for w in self.words]
 
 
 def fit(texts: list[str], labels: list[int], window: int = 8, dim: int = 8, buckets: int = 1 << 18, rounds: int = 4, epochs: int = 2, rate: float = 0.2, decay: float = 1e-3, seed: int = 5) -> SubwordModel:
     """Trains on whole texts with a label each. Deterministic for a given order of the rows."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.int64)
-    if len(set(labels)) < 2 or not any(map(_WORDS, texts)):
+    if len(set(labels)) < 2 or not any(map(_RUNS, texts)):
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return SubwordModel(np.zeros(1), math.log(share / (1 - share)), window, math.log(share / (1 - share)))
     bags = _Bags(texts, window, buckets)
@@ -139,21 +181,18 @@ def fit(texts: list[str], labels: list[int], window: int = 8, dim: int = 8, buck
     seen = in_class.sum(0) - 1
     odds = (np.log(in_class[1] / (y.sum() + 1)) - np.log(in_class[0] / (len(y) - y.sum() + 1))) * seen / (seen + 5)
     each = bags.logits(odds, 0.0)
-    #: A document of class 1 that looks like the median of class 0 even so is taken for a wrong label.
-    top = np.array([pooled(x) for x in each])
-    used = (y == 0) | (top > np.median(top[y == 0]))
-    if not used[y == 1].any():
-        used[:] = True
+    top = best_windows(each)
+    trust = np.where((y == 1) & (top <= np.median(top[y == 0])), DOUBTFUL, 1.0)
     for _ in range(rounds):
-        examples: list[tuple[np.ndarray, int]] = []
-        for i in np.flatnonzero(used):
+        examples: list[tuple[np.ndarray, int, float]] = []
+        for i in range(len(y)):
             order = np.argsort(-each[i], kind="stable")[:POOL]
             if y[i]:
                 order = order[each[i][order] > each[i][order[0]] - 3]
             else:
                 order = np.unique(np.concatenate([order, rng.integers(0, len(each[i]), 2)]))
-            examples += [(bags.words[i][j * window : (j + 1) * window], int(y[i])) for j in order]
-        target = np.array([label for _, label in examples])
+            examples += [(bags.words[i][j * window : (j + 1) * window], int(y[i]), 2.0 * trust[i] if y[i] else 1.0) for j in order]
+        target, worth = np.array([label for _, label, _ in examples]), np.array([x for *_, x in examples])
         for _ in range(epochs):
             for chunk in np.array_split(rng.permutation(len(examples)), max(1, len(examples) // 64)):
                 words = [examples[i][0] for i in chunk]
@@ -165,7 +204,7 @@ def fit(texts: list[str], labels: list[int], window: int = 8, dim: int = 8, buck
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 error = p - np.eye(2)[target[chunk]]
-                error *= np.where(target[chunk] > 0, 2.0, 1.0)[:, None]
+                error *= worth[chunk][:, None]
                 g_layer, g_bias = hidden.T @ error / len(chunk) + decay * layer, error.mean(0)
                 g = (error @ layer.T)[at] * part[:, None] + decay * emb[rows]
                 sum_layer += g_layer**2
@@ -177,11 +216,15 @@ def fit(texts: list[str], labels: list[int], window: int = 8, dim: int = 8, buck
         weight = emb @ (layer[:, 1] - layer[:, 0])
         each = bags.logits(weight, float(bias[1] - bias[0]))
     model = SubwordModel(weight, float(bias[1] - bias[0]), window, math.log(y.sum() / (len(y) - y.sum())))
-    top = np.array([pooled(x) for x in each])
-    model.bias -= _best_cut(top[used], y[used])
+    model.bias -= _best_cut(best_windows(each), y)
     return model
 
 
+def best_windows(each: list[np.ndarray]) -> np.ndarray:
+    """The pooled logit of each text."""
+    return pooled(np.concatenate(each), np.cumsum([len(x) for x in each]))
+
+
 def _best_cut(top: np.ndarray, y: np.ndarray) -> float:
     """Where most of the training documents fall on their own side, both classes counting alike."""
     order = np.unique(top)
@@ -199,7 +242,15 @@ def scored(docs: DataFrame, model: SubwordModel, text: Column) -> Column:
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = spread.value
-        for texts in batches:
-            yield pd.Series([own.score(t) for t in texts], dtype="float64")
+        for series in batches:
+            texts, out, k = series.tolist(), [], 0
+            while k < len(texts):
+                end, size = k, 0
+                while end < len(texts) and (size < BATCH_CHARS or end == k):
+                    size += len(texts[end] or "")
+                    end += 1
+                out.append(own.scores(texts[k:end]))
+                k = end
+            yield pd.Series(np.concatenate([*out, np.empty(0)]))
 
     return score(text)

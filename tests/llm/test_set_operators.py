@@ -14,7 +14,7 @@ from sieveline.llm.components import components
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.labelled import held_out, training_rows
 from sieveline.llm.mixing import pfair_mix
-from sieveline.llm.queries import op5_exact_dedup
+from sieveline.llm.queries import op3_toxicity, op5_exact_dedup, op10_quality_rules
 
 DATA = "/root/testdata/sf0.001"
 lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -205,13 +205,80 @@ def test_deviation_stays_below_one_block(spark, weights, blocks):
 
 
 def test_held_out_and_bounded_sample(spark):
-    ids = spark.range(0, 200).withColumnRenamed("id", "doc_id")
+    ids = spark.range(0, 200).select(F.col("id").alias("doc_id"), F.lit("four").alias("text"))
     got = {r.doc_id: r.h for r in ids.select("doc_id", held_out(F.col("doc_id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)}
     labels = ids.select("doc_id", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("doc_id") % 2).alias("toxic"))
     rows = training_rows(ids, labels, "toxic", 30).collect()
     assert len(rows) == 30
     assert not any(got[r.doc_id] or r.doc_id % 7 == 0 for r in rows)
+    assert len(training_rows(ids.unionByName(ids), labels, "toxic", 30).collect()) == 30
+    assert len(training_rows(ids, labels, "toxic", 30, most_chars=40).collect()) == 10
+
+
+def auc(score, label):
+    pairs = sorted(zip(score, label, strict=True))
+    below = ahead = 0.0
+    for k, (x, y) in enumerate(pairs):
+        if y:
+            same = [z for s, z in pairs[max(0, k - 50) : k + 50] if s == x]
+            ahead += below + (len(same) - sum(same)) / 2 if len(same) > 1 else below
+        else:
+            below += 1
+    return ahead / max(1, below * sum(label))
+
+
+@pytest.mark.parametrize(("query", "column", "cut", "least"), [(op3_toxicity, "toxic", 0.5, 0.9), (op10_quality_rules, "quality", 0.3, 0.85)])
+def test_held_out_labels_are_told_apart(spark, query, column, cut, least):
+    """The query itself over sf0.1: only labels that no model has seen are looked at."""
+    got = query(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter(f"{column} in (0, 1)").select(F.col("doc_id").alias("k"), F.col(column).alias("label"))
+    rows = got.join(F.broadcast(labels), F.col("doc_id") == F.col("k"), "left").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.1/documents.parquet").count()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= cut) for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    seen = [r for r in rows if r.held_out and r.label is not None]
+    assert auc([r.score for r in seen], [r.label for r in seen]) >= least
+
+
+def test_toxicity_of_odd_rows(spark):
+    clean = [f"the river and the green stone walk {i} " * 4 for i in range(60)]
+    model = toxicity.fit(clean + [t + " horribleperson" for t in clean[:30]], [0] * 60 + [1] * 30)
+    run = "好" * 500
+    texts = [None, "", "  \n", "horribleperson", "river", "river", run, run + "horribleperson" + run, "x" * 300_000, "word " * 100_000]
+    docs = spark.createDataFrame([(i % 8, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = docs.select("doc_id", "text", toxicity.scored(docs, model, F.col("text")).alias("own")).collect()
+    assert len(got) == len(texts)
+    own = defaultdict(set)
+    for r in got:
+        own[r.text].add(r.own)
+    low = {t: min(v) for t, v in own.items()}
+    assert all(len(v) == 1 and 0 <= min(v) <= 1 for v in own.values())
+    assert own[None] == own[""] == own["  \n"]
+    assert low["horribleperson"] > low["river"]
+    assert low[run + "horribleperson" + run] > low[run]  # what stands behind the fortieth character counts
+    for t, v in own.items():
+        assert model.score(t) == pytest.approx(min(v))
+    assert docs.filter("false").select(toxicity.scored(docs, model, F.col("text"))).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 39, 40, 41, 75, 76, 500])
+def test_pieces_hold_every_ngram(n):
+    word = "".join(chr(0x4E00 + i) for i in range(n))
+    found = toxicity.words_of(word)
+    assert max(map(len, found)) <= toxicity.PIECE
+    for size in range(1, toxicity.HIGH + 1):
+        for i in range(n - size + 1):
+            assert any(word[i : i + size] in p for p in found)
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(1, None, "a"), (None, "", "b"), (2, "One two three.", "c"), (2, "One two three.", "c"), (3, "x" * 200_000, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __stats string").withColumn("quality_score", F.lit(5)).withColumn("__base", F.lit(1)).withColumn("__row", F.lit(2))
+    rules = quality_rules.Rules([(("log_words", True, 1.0),)], [2.0], -1.0)
+    got = quality_rules.quality_scores(docs, rules).collect()
+    assert sorted((r["__stats"], r["__base"], round(r.quality_score, 3)) for r in got) == [("a", 1, 0.269), ("b", 1, 0.269), ("c", 1, 0.731), ("c", 1, 0.731), ("d", 1, 0.269)]
+    assert quality_rules.quality_scores(docs.filter("false"), rules).count() == 0
 
 
 def test_toxicity_shares_ngrams():

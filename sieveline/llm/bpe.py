@@ -1,25 +1,27 @@
 """Byte-level BPE by a lazily determinised finite-state transducer, and streaming decoding.
 
-The merges (ranks of byte strings) are compiled into a transducer over bytes. A non-deterministic configuration is (last
-token written, node of the vocabulary trie reached since). Reading a byte moves to the node's child; where that node is a
+The merges (ranks of byte strings) are compiled into a transducer over bytes. A non-deterministic configuration is (node of the
+vocabulary trie reached since the last token, that token). Reading a byte moves to the node's child; where that node is a
 token which may stand after the last one, the token may be written. Two tokens may stand side by side when the merges,
-run on their joined bytes, give just these two; a chain of such pairs is the encoding and there is exactly one. The subset
-construction runs on demand: a deterministic state is a set of configurations with the output they don't share yet, and a
-transition is built when it is needed for the second time; the first time, the non-deterministic machine runs on. Output
-that all configurations share is emitted, so the lookahead is bounded by the longest token. States are forgotten, all at once and between pieces, beyond ``max_states``.
+run on their joined bytes, give just these two; a chain of such pairs is the encoding and there is exactly one, so of the ways to a
+place one is left: the token that ends there. The subset construction runs on demand: a deterministic state is the set of
+configurations at a place, and a transition, with the token that ends behind it, is built the first time it is needed. All pieces
+that aren't tokens themselves go through it, and through nothing else. Tokens are written once all ways from the present place
+back run through their end, which the longest token bounds; short pieces are written at their end. States are forgotten, all at
+once and between pieces, beyond ``max_states``.
 
 The decoder turns ids into bytes and bytes into text through an incremental UTF-8 state machine: a code point that is split
-between tokens or chunks comes out once it is whole; malformed bytes become U+FFFD.
+between tokens or chunks comes out once it is whole; malformed bytes become U+FFFD, one for each longest part that could have begun a
+code point. The bytes themselves can be asked for too.
 
 Defined cases: a null or empty text has no tokens; texts of any length are encoded whole, in slices of bounded size; null ids
-decode to the empty text; repeated rows are encoded each; columns of the input pass through, and one that has the name of
-an output column is replaced.
+decode to the empty text; repeated rows, and rows that share an id, are encoded each; an empty table gives no rows; columns of the
+input pass through, and one that has the name of an output column is replaced.
 """
 
 from __future__ import annotations
 
 import base64
-import codecs
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,11 +54,16 @@ def merge(ranks: dict[bytes, int], piece: bytes, stop: int = -1) -> list[int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000):
-        self.ranks, self.max_states = ranks, max_states
+    """States are tuples of (node, last), oldest begun token first; a move is next state << TOKEN | the token that ends here."""
+
+    TOKEN = 24
+
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, flush: int = 256):
+        self.ranks, self.max_states, self.flush = ranks, max_states, flush
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.size_of = {rank: len(token) for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
+        self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = _ROOT
             for b in token:
@@ -65,20 +72,22 @@ class Transducer:
                     nxt = self.children[node][b] = len(self.children)
                     self.children.append({})
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = rank
         self._halves: dict[int, tuple[int, int] | None] = {}
+        self._fits: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
         """Back to the start state alone."""
-        self._fits: dict[int, bool] = {}
         self._ids: dict[tuple, int] = {}
         self._sets: list[tuple] = []
-        #: state << 8 | byte: the next state, or the tokens emitted and the next state.
-        self.moves: dict[int, int | tuple[tuple[int, ...], int]] = {}
-        self._asked: set[int] = set()
-        self._state(((_ROOT, -1, ()),))
+        #: By state << 8 | byte.
+        self.moves: dict[int, int] = {}
+        self._state(((_ROOT, -1),))
+        if len(self._fits) > 4 * self.max_states:
+            self._fits.clear()
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte and for what merges don't reach."""
@@ -117,108 +126,66 @@ class Transducer:
             self._sets.append(configs)
         return known
 
-    def _run_on(self, piece: bytes, at: int, configs: tuple) -> list[int] | None:
-        """The rest of a piece from a deterministic state, by the non-deterministic machine: what is written by its end.
-
-        Longer tokens are tried first. There is one way to a place at most, so a place that was left again is never
-        reached anew, and both time and memory are linear in the piece.
-        """
-        children, token_at, known, size = self.children, self.token_at, self._fits, len(piece)
-        first = []
-        for node, last, pending in configs:
-            for j in range(at, size):
-                node = children[node].get(piece[j], -1)
-                if node < 0:
-                    break
-                if (token := token_at[node]) >= 0:
-                    first.append((j + 1, token, last, pending))
-        first.sort()
-        out: list[int] = []
-        begun: tuple[int, ...] = ()
-        last, todo = -1, [first]
-        while todo:
-            options = todo[-1]
-            if not options:
-                todo.pop()
-                if out:
-                    out.pop()
-                continue
-            place, token, *more = options.pop()
-            if more:
-                last, begun = more
-            else:
-                last = out[-1]
-            pair = (last + 1) << 32 | token
-            fits = known.get(pair)
-            if fits is None:
-                fits = known[pair] = self.fits(last, token)
-            if not fits:
-                continue
-            out.append(token)
-            if place == size:
-                return [*begun, *out]
-            node, nxt = _ROOT, []
-            for j in range(place, size):
-                node = children[node].get(piece[j], -1)
-                if node < 0:
-                    break
-                if (token := token_at[node]) >= 0:
-                    nxt.append((j + 1, token))
-            todo.append(nxt)
-        return None
-
-    def _move(self, state: int, b: int) -> int | tuple[tuple[int, ...], int]:
+    def _move(self, state: int, b: int) -> int:
         """Determinises one more transition. Configurations stand in the order of where their token begins."""
-        reached, whole = [], None
-        children, token_at = self.children, self.token_at
-        for node, last, pending in self._sets[state]:
-            if (nxt := children[node].get(b)) is None:
+        reached, whole = [], -1
+        children, token_at, known = self.children, self.token_at, self._fits
+        for node, last in self._sets[state]:
+            nxt = children[node].get(b)
+            if nxt is None:
                 continue
             if children[nxt]:
-                reached.append((nxt, last, pending))
-            if whole is None and (token := token_at[nxt]) >= 0:
+                reached.append((nxt, last))
+            if whole < 0 and (token := token_at[nxt]) >= 0:
                 pair = (last + 1) << 32 | token
-                if (fits := self._fits.get(pair)) is None:
-                    fits = self._fits[pair] = self.fits(last, token)
+                fits = known.get(pair)
+                if fits is None:
+                    fits = known[pair] = self.fits(last, token)
                 if fits:
-                    whole = (_ROOT, token, (*pending, token))
-        if whole:
-            reached.append(whole)
-        n = 0
-        if reached and reached[0][2]:
-            first = reached[0][2]
-            while n < len(first) and all(len(c[2]) > n and c[2][n] == first[n] for c in reached):
-                n += 1
-        if n:
-            step = first[:n], self._state(tuple([(node, last, pending[n:]) for node, last, pending in reached]))
-        else:
-            step = self._state(tuple(reached))
-        self.moves[state << 8 | b] = step
+                    whole = token
+        if whole < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        reached.append((_ROOT, whole))
+        step = self.moves[state << 8 | b] = self._state(tuple(reached)) << self.TOKEN | whole
         return step
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece. A piece that is a token is that token, as in the library that reads these files."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self._sets) > self.max_states or len(self._asked) > 10 * self.max_states:
+        if len(self._sets) > self.max_states:
             self.forget()
         out: list[int] = []
-        state, known = 0, self.moves.get
-        for at, b in enumerate(piece):
+        ended: list[int] = []  # the token that ends at each place since what was written out
+        state, known, token, mask = 0, self.moves.get, self.TOKEN, (1 << self.TOKEN) - 1
+        for b in piece:
             step = known(state << 8 | b)
             if step is None:
-                if state << 8 | b not in self._asked:
-                    self._asked.add(state << 8 | b)
-                    rest = self._run_on(piece, at, self._sets[state])
-                    return merge(self.ranks, piece) if rest is None else [*out, *rest]
                 step = self._move(state, b)
-            if type(step) is int:
-                state = step
-            else:
-                emitted, state = step
-                out += emitted
-        ends = self._sets[state]
-        return [*out, *ends[-1][2]] if ends and ends[-1][0] == _ROOT else merge(self.ranks, piece)
+            ended.append(step & mask)
+            state = step >> token
+            if len(ended) > 2 * self.flush:
+                self._write(out, ended, self._agreed(ended, state))
+        self._write(out, ended, len(ended))
+        return out
+
+    def _agreed(self, ended: list[int], state: int) -> int:
+        """The last place that every way from here back runs through; 0 is one."""
+        places = {len(ended) - self.depth[node] for node, _ in self._sets[state]}
+        while len(places) > 1:
+            last = max(places)
+            places.remove(last)
+            places.add(last - self.size_of[ended[last - 1]])
+        return places.pop()
+
+    def _write(self, out: list[int], ended: list[int], place: int) -> None:
+        """Writes the tokens of the way that leads to a place, and forgets the places before it."""
+        way, at = [], place
+        while at:
+            way.append(ended[at - 1])
+            at -= self.size_of[way[-1]]
+        out += way[::-1]
+        del ended[:place]
 
 
 class _Known(dict):
@@ -286,25 +253,91 @@ def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _LAST[key]
 
 
+def _utf8_rows() -> tuple[list[int], list[list[int]]]:
+    """Classes of bytes, and the state after each class. 0: between code points, 1: malformed; the others name what must follow.
+
+    The byte after E0, ED, F0 and F4 has a smaller range, which leaves out overlong forms, surrogates and what is too large.
+    """
+    starts = {"2": (0xC2, 0xDF), "E0": (0xE0, 0xE0), "3": (0xE1, 0xEC), "ED": (0xED, 0xED), "3b": (0xEE, 0xEF), "F0": (0xF0, 0xF0), "4": (0xF1, 0xF3), "F4": (0xF4, 0xF4)}
+    #: By state: the range of the next byte, and the state after it.
+    after = {2: (0x80, 0xBF, 0), 3: (0x80, 0xBF, 2), 4: (0xA0, 0xBF, 2), 5: (0x80, 0x9F, 2), 6: (0x80, 0xBF, 3), 7: (0x90, 0xBF, 3), 8: (0x80, 0x8F, 3)}
+    begins = {"2": 2, "E0": 4, "3": 3, "ED": 5, "3b": 3, "F0": 7, "4": 6, "F4": 8}
+    edges = sorted({0, 0x80, *(x for a, b in starts.values() for x in (a, b + 1)), *(x for a, b, _ in after.values() for x in (a, b + 1))})
+    class_of = [sum(e <= byte for e in edges) - 1 for byte in range(256)]
+    rows = []
+    for state in range(9):
+        row = []
+        for e in edges:
+            if state == 0:
+                row.append(0 if e < 0x80 else next((begins[k] for k, (a, b) in starts.items() if a <= e <= b), 1))
+            else:
+                row.append(after[state][2] if state > 1 and after[state][0] <= e <= after[state][1] else 1)
+        rows.append(row)
+    return class_of, rows
+
+
+_CLASS, _NEXT = _utf8_rows()
+
+
+def _run(data: bytes) -> int:
+    """The state after bytes that begin a code point."""
+    state = 0
+    for byte in data:
+        state = _NEXT[state][_CLASS[byte]]
+    return state
+
+
 class Utf8Stream:
     """Bytes in chunks to text: what is given out is made of whole code points only."""
 
     def __init__(self) -> None:
-        self._machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self.begun = b""
 
     def feed(self, chunk: bytes) -> str:
-        return self._machine.decode(chunk)
+        data = self.begun + chunk
+        cut = self._open(data)
+        head, self.begun = data[:cut], data[cut:]
+        try:
+            return head.decode()  # what the machine gives for well-formed bytes, all at once
+        except UnicodeDecodeError:
+            return self._mended(head)
 
     def close(self) -> str:
-        return self._machine.decode(b"", True)
+        rest, self.begun = self.begun, b""
+        return "\ufffd" if rest else ""
+
+    @staticmethod
+    def _open(data: bytes) -> int:
+        """Where a code point begins that the end of the data cuts; the end itself if there is none."""
+        for back in range(1, min(3, len(data)) + 1):
+            if data[-back] & 0xC0 != 0x80:
+                return len(data) - back if _run(data[-back:]) > 1 else len(data)
+        return len(data)
+
+    @staticmethod
+    def _mended(data: bytes) -> str:
+        """Byte by byte; what is malformed becomes U+FFFD, and the byte that made it so is looked at anew unless it stood alone."""
+        out, run, begin, at, state = [], 0, 0, 0, 0
+        while at < len(data):
+            nxt = _NEXT[state][_CLASS[data[at]]]
+            if nxt == 1:
+                out += [data[run:begin].decode(), "\ufffd"]
+                at += state == 0
+                run, begin, state = at, at, 0
+                continue
+            at, state = at + 1, nxt
+            if not state:
+                begin = at
+        return "".join([*out, data[run:begin].decode(), "\ufffd" if state else ""])
 
 
-def decode_ids(table: list[bytes], ids: list[int], chunk: int = 4096) -> str:
-    """Text of the ids, ``chunk`` tokens at a time."""
-    stream, out = Utf8Stream(), []
+def decode_ids(table: list[bytes], ids: list[int], chunk: int = 4096) -> tuple[str, bytes]:
+    """Text and bytes of the ids; the text comes out of the stream ``chunk`` tokens at a time."""
+    stream, out, raw = Utf8Stream(), [], []
     for i in range(0, len(ids), chunk):
-        out.append(stream.feed(b"".join(map(table.__getitem__, ids[i : i + chunk]))))
-    return "".join([*out, stream.close()])
+        raw.append(b"".join(map(table.__getitem__, ids[i : i + chunk])))
+        out.append(stream.feed(raw[-1]))
+    return "".join([*out, stream.close()]), b"".join(raw)
 
 
 def by_size(batch: pa.RecordBatch, sizes: Iterable[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -339,8 +372,8 @@ def _encode_batches(spread: Broadcast, batches: Iterator[pa.RecordBatch], text_c
             yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], [*kept, ids_col])
 
 
-def _decode_batches(spread: Broadcast, batches: Iterator[pa.RecordBatch], ids_col: str, out_col: str) -> Iterator[pa.RecordBatch]:
-    """Batches with the text of ``ids_col`` as a last column."""
+def _decode_batches(spread: Broadcast, batches: Iterator[pa.RecordBatch], ids_col: str, out_col: str, raw: bool) -> Iterator[pa.RecordBatch]:
+    """Batches with the text of ``ids_col``, or its bytes, as a last column."""
     ranks = spread.value[0]
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
@@ -351,7 +384,8 @@ def _decode_batches(spread: Broadcast, batches: Iterator[pa.RecordBatch], ids_co
         sizes = ids.value_lengths().fill_null(0).to_pylist()
         ends = np.cumsum([0, *sizes]).tolist()
         for a, b in by_size(batch, sizes, 1 << 18):
-            out = pa.array([decode_ids(table, flat[ends[i] : ends[i + 1]].tolist()) for i in range(a, b)], pa.string())
+            read = [decode_ids(table, flat[ends[i] : ends[i + 1]].tolist()) for i in range(a, b)]
+            out = pa.array([y for _, y in read], pa.binary()) if raw else pa.array([x for x, _ in read], pa.string())
             yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns], out], [*batch.schema.names, out_col])
 
 
@@ -363,17 +397,17 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
     return docs.mapInArrow(lambda batches: _encode_batches(spread, batches, text_col, ids_col, keep_text), _with_columns(rest, _ids_field(ids_col)))
 
 
-def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids."""
+def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded", raw: bool = False) -> DataFrame:
+    """``encoded`` with the text of its ids; raw: with their bytes, malformed ones as they are."""
     encoded = drop_names(encoded, out_col)
     spread = encoded.sparkSession.sparkContext.broadcast((ranks, ""))
-    return encoded.mapInArrow(lambda batches: _decode_batches(spread, batches, ids_col, out_col), _with_columns(encoded, T.StructField(out_col, T.StringType())))
+    return encoded.mapInArrow(lambda batches: _decode_batches(spread, batches, ids_col, out_col, raw), _with_columns(encoded, T.StructField(out_col, T.BinaryType() if raw else T.StringType())))
 
 
-def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", keep_text: bool = True) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", keep_text: bool = True, raw: bool = False) -> DataFrame:
     """``bpe_decode`` of ``bpe_encode``, in one pass through one Python worker."""
     docs = drop_names(docs, ids_col, out_col)
     spread = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     rest = docs if keep_text else drop_names(docs, text_col)
-    schema = _with_columns(rest, _ids_field(ids_col), T.StructField(out_col, T.StringType()))
-    return docs.mapInArrow(lambda batches: _decode_batches(spread, _encode_batches(spread, batches, text_col, ids_col, keep_text), ids_col, out_col), schema)
+    schema = _with_columns(rest, _ids_field(ids_col), T.StructField(out_col, T.BinaryType() if raw else T.StringType()))
+    return docs.mapInArrow(lambda batches: _decode_batches(spread, _encode_batches(spread, batches, text_col, ids_col, keep_text), ids_col, out_col, raw), schema)

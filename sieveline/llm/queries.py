@@ -77,7 +77,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def bpe_digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text."""
     ranks = read_ranks(vocabulary)
-    return bpe_round_trip(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False).select(
+    return bpe_round_trip(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False, raw=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

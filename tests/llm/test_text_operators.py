@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from sieveline.llm import bpe, pii_crf, suffix_dedup
+from sieveline.llm.queries import op4_byte_bpe
 from sieveline.llm.chat_format import chat_examples, conversation_digest, read_turns
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -39,6 +40,32 @@ def test_transducer_equals_the_merges_and_forgets():
     for _ in range(500):
         piece = "".join(rnd.choice("aeinrstüé") for _ in range(rnd.randint(1, 14))).encode()
         assert fst.encode(piece) == ([RANKS[piece]] if piece in RANKS else bpe.merge(RANKS, piece))
+    assert len(fst._sets) < 200
+    for flush in (1, 8, 256):  # what is written early is what is written at the end
+        fst = bpe.Transducer(RANKS, flush=flush)
+        for sign in ("ab", "etaoinshr", "aé日", " \n"):
+            piece = "".join(rnd.choice(sign) for _ in range(3000)).encode()
+            assert fst.encode(piece) == LIBRARY._encode_single_piece(piece)
+    with pytest.raises(ValueError, match="lacks a byte"):
+        bpe.Transducer({b"a": 0}).encode(b"ab")
+
+
+def test_bpe_query_equals_the_library(spark):
+    documents = "/root/testdata/sf0.01/documents.parquet"
+    got = {r.doc_id: r for r in op4_byte_bpe(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet(documents).select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids = LIBRARY.encode_ordinary(r.text or "")
+        want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256, got[r.doc_id].decoded_sha256) == want
+
+
+def test_decoded_bytes_are_those_of_the_ids(spark):
+    ids = [RANKS[bytes([b])] for b in (0xE6, 0x97, 0x41, 0xFF)]
+    docs = spark.createDataFrame([(1, ids), (2, None)], "doc_id long, ids array<int>")
+    assert [bytes(r.decoded) for r in bpe.bpe_decode(docs, RANKS, raw=True).orderBy("doc_id").collect()] == [b"\xe6\x97A\xff", b""]
+    assert [r.decoded for r in bpe.bpe_decode(docs, RANKS).orderBy("doc_id").collect()] == ["�A�", ""]
 
 
 def test_streaming_decode_splits_code_points():
@@ -48,6 +75,14 @@ def test_streaming_decode_splits_code_points():
     assert "".join(out) + stream.close() == "é日\U0001f600"
     assert stream.feed(b"\xff") + stream.close() == "�"
     assert stream.feed(b"\xe6\x97") == "" and stream.close() == "�"
+    rnd = random.Random(12)
+    some = [*range(0x7E, 0x82), *range(0x8E, 0x92), *range(0x9E, 0xA2), 0xBF, 0xC0, 0xC1, 0xC2, 0xDF, 0xE0, 0xE1, 0xED, 0xEE, 0xEF, 0xF0, 0xF1, 0xF3, 0xF4, 0xF5, 0xFF, 0x41]
+    for _ in range(20_000):
+        data = bytes(rnd.choice(some) for _ in range(rnd.randint(0, 14)))
+        cuts = sorted(rnd.randint(0, len(data)) for _ in range(rnd.randint(0, 4)))
+        own = bpe.Utf8Stream()
+        got = "".join(own.feed(data[a:b]) for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)) + own.close()
+        assert got == data.decode("utf-8", "replace"), data
 
 
 def test_bpe_on_spark(spark):

@@ -6,14 +6,20 @@ drops out at once. Of equal windows the earliest (smaller id, then earlier start
 
 Digit 1 is the anchor of a window: of the ``GRAM``-byte strings in it the one with the lowest hash, and its place. Equal
 windows have equal anchors, and neighbouring windows mostly share theirs, so one row per anchor (a fortieth of the bytes or
-so) stands for its whole stretch of suffixes. Digit 2 is the digest of that stretch: all copies of a stretch but the earliest are
-decided there, and so is a stretch whose anchor occurs in no other one. Copies are first put together inside a task, so
-that what is very common is a row per task before anything is shuffled. Only stretches that differ around a common anchor go
-on: their suffixes are sorted by the bytes themselves, eight at a time, within groups of anchor and place.
-
-Defined cases: null counts as empty; texts below ``WINDOW`` bytes lose nothing; matches never cross texts; texts of any length
-are read whole; rows that share an id count as one text, and each is returned; a null id comes before all others; an empty
-table gives no rows; extra columns are ignored.
+so) stands for its whole stretch of suffixes. Stretches whose anchor occurs once drop out; of the others the bytes are fetched, and
+the bytes decide, eight at a time: first whole stretches are sorted within their anchor, which puts copies together, then the
+suffixes of the stretches that differ, within anchor and place. Hashes deal the work; no window is taken for a copy without
+a look at its bytes.
+
+What is very common is split: copies in one slice of texts are one row from the start (their bytes are compared there); rows are put next
+to one another by ranges of (anchor, row), which cut a common anchor; an anchor with more than ``STRETCHES`` stretches is
+dealt by its windows, each to a group of its own, and a window that is itself that common goes through two rounds, parts of its
+rows first, then what each part keeps.
+
+Defined cases: null counts as empty; texts below ``WINDOW`` bytes lose nothing; matches never cross rows; texts of any length
+are read whole; rows that share an id, null or not, are texts of their own, in the order of a hash of their text (64 bits, which
+also tells them apart); of rows equal in id and text one is the first, and the others lose all if they have a window; a null id
+comes before all others; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_bounds, grouped, shuffle_partitions, written
+from .common import group_bounds, grouped, in_ranges, shuffle_partitions, written
 
 WINDOW, GRAM = 100, 32
 _SPAN = WINDOW - GRAM + 1
-#: Stretches with one anchor that one group of work sorts; beyond it their places are dealt to several groups.
-STRETCHES = 20_000
+#: Stretches with one anchor that one group of work sorts; beyond it their windows are dealt to several groups.
+STRETCHES = 4_000
+#: Bytes whose places fit into an anchor's key.
+LONG = 1 << 24
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -70,51 +78,62 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[place], place, first, last
 
 
-def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of each doc, overlapping ones joined."""
-    if not len(doc):
-        return doc, a, b
-    order = np.lexsort((a, doc))
-    doc, a, b = doc[order], a[order], b[order]
-    number = np.cumsum(np.append(0, doc[1:] != doc[:-1]))
-    reach = np.maximum.accumulate(b + number * (1 << 32)) - number * (1 << 32)
-    new = np.append(True, (doc[1:] != doc[:-1]) | (a[1:] > reach[:-1]))
-    at = np.flatnonzero(new)
-    return doc[at], a[at], reach[np.append(at[1:], len(a)) - 1]
+_DECIDED, _OPEN, _COUNT, _AGAIN = range(4)
+_ROWS = "kind int, anchor long, id long, h long, at long"
+_WORK = "anchor long, part long, salt int, salts int, id long, h long, at long, own binary"
+_DONE = "kind int, anchor long, part long, id long, h long, at long, own binary"
 
 
-_ROWS = "kind int, anchor long, stretch long, id long, at long"
-_KINDS = {"decided": 0, "open": 1}
+def _merged(key: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of each key, overlapping ones joined: a row of each, start and end."""
+    if not len(a):
+        return a, a, b
+    order = np.lexsort((a, *key[::-1]))
+    a, b = a[order], b[order]
+    bounds = group_bounds(*[k[order] for k in key])
+    number = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    reach = np.maximum.accumulate(b + number * (1 << 32)) - number * (1 << 32)
+    new = np.append(True, (number[1:] != number[:-1]) | (a[1:] > reach[:-1]))
+    at = np.flatnonzero(new)
+    return order[at], a[at], reach[np.append(at[1:], len(a)) - 1]
 
 
-def _rows(kind: str, *columns: np.ndarray) -> pa.RecordBatch:
-    n = len(columns[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, _KINDS[kind], np.int32)), *[pa.array(c.astype(np.int64)) for c in columns]], ["kind", "anchor", "stretch", "id", "at"])
+def _batch(schema: str, *columns: object) -> pa.RecordBatch:
+    """Columns by a schema as Spark writes it; a number stands for all rows."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [part.split() for part in schema.split(", ")]
+    n = next(len(c) for c in columns if not isinstance(c, int | None))
+    arrays = [pa.nulls(n, kinds[k]) if c is None else pa.array(np.full(n, c) if isinstance(c, int) else c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in names])
 
 
-def _decided(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Intervals to remove; start and end share one number."""
-    ids, a, b = _merged(ids, a, b)
-    zero = np.zeros(len(ids), np.int64)
-    return _rows("decided", zero, zero, ids, a << 32 | b)
+def _cut_rows(ids: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, h and interval of what is removed; start and end share one number."""
+    row, a, b = _merged((ids, h), a, b)
+    return ids[row], h[row], a << 32 | b
 
 
-def _later(order_keys: tuple[np.ndarray, ...], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in the order of the keys, id and place, and for each of them whether an earlier one has the same keys."""
-    order = np.lexsort((at, ids, *order_keys[::-1]))
-    bounds = group_bounds(*[k[order] for k in order_keys])
+def _later(group: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Rows for which the group has an earlier one, by the columns of place; rows at one place are one."""
+    order = np.lexsort((*place[::-1], group))
+    bounds = group_bounds(group[order])
     first = order[np.repeat(bounds[:-1], np.diff(bounds))]
-    return order, (ids[order] != ids[first]) | (at[order] != at[first])
+    return order[np.logical_or.reduce([p[order] != p[first] for p in place])]
 
 
-def _packed(first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return first << 16 | (last - first) << 8 | (place - first)
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of a size from two places are equal."""
+    if not len(a):
+        return np.empty(0, bool)
+    begin = np.cumsum(size) - size
+    nth = np.arange(int(size.sum())) - np.repeat(begin, size)
+    return np.logical_and.reduceat(data[np.repeat(a, size) + nth] == data[np.repeat(b, size) + nth], begin)
 
 
 def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to a row for each distinct stretch of a slice, and the intervals that are decided in it."""
+    """(id, h, text) to a row for each distinct stretch of a slice, and the intervals that are decided in it."""
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(), batch.column(1)
+        ids, h, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         k = 0
         while k < len(ids):
             parts, size, end = [], 0, k
@@ -122,140 +141,182 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 parts.append(texts[end].as_py().encode())
                 size += len(parts[-1])
                 end += 1
-            yield from _slice_digits(ids[k:end], parts)
+            yield from _slice_digits(ids[k:end], h[k:end], parts)
             k = end
 
 
-def _slice_digits(ids: np.ndarray, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _slice_digits(ids: np.ndarray, hashes: np.ndarray, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
     joined = b"".join(parts)
+    data = np.frombuffer(joined, np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     found: list[tuple[np.ndarray, ...]] = []
     #: A text beyond 2 ** 24 bytes is taken in overlapping stretches, as places have 24 bits.
-    step = (1 << 24) - WINDOW
-    pieces = [(0, starts)] if len(joined) < 1 << 24 else [(s + o, np.array([0, min(step + WINDOW - 1, e - s - o)])) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for o in range(0, max(1, e - s - WINDOW + 1), step)]
-    for offset, own in pieces:
-        h, place, first, last = anchors(np.frombuffer(joined, np.uint8)[offset : offset + int(own[-1])], own)
+    step = LONG - WINDOW
+    spans = [(0, starts)] if len(joined) < LONG else [(s + o, np.array([0, min(step + WINDOW - 1, e - s - o)])) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for o in range(0, max(1, e - s - WINDOW + 1), step)]
+    for offset, own in spans:
+        h, place, first, last = anchors(data[offset : offset + int(own[-1])], own)
         found.append((h, place + offset, first + offset, last + offset))
     h, place, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(h):
         return
-    view = memoryview(joined)
-    digest = xxhash.xxh3_64_intdigest
-    stretch = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + WINDOW).tolist(), strict=True)), np.uint64, len(h)).view(np.int64)
-    anchor = h.view(np.int64)
+    view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
+    size = last - first + WINDOW
+    mark = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)), np.uint64, len(h)).view(np.int64)
     text = np.searchsorted(starts, first, side="right") - 1
     begin = starts[text]
-    doc, at = ids[text], _packed(first - begin, last - begin, place - begin)
-    order, later = _later((anchor, stretch), doc, at)
-    gone = order[later]
-    yield _decided(doc[gone], (first - begin)[gone], (last - begin)[gone] + WINDOW)
-    stay = order[~later]
-    fresh = np.append(True, (anchor[stay][1:] != anchor[stay][:-1]) | (stretch[stay][1:] != stretch[stay][:-1]))
-    stay = stay[fresh]
-    yield _rows("open", anchor[stay], stretch[stay], doc[stay], at[stay])
-
-
-def _second_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: copies of a stretch are decided; what differs around an anchor stays open, with how many do."""
-    for table in grouped(batches, "anchor"):
-        anchor, stretch, ids, at = (table[k].to_numpy() for k in ("anchor", "stretch", "id", "at"))
-        order, later = _later((anchor, stretch), ids, at)
-        gone = order[later]
-        first = at[gone] >> 16
-        yield _decided(ids[gone], first, first + (at[gone] >> 8 & 255) + WINDOW)
-        stay = order[~later]
-        a, s = anchor[stay], stretch[stay]
-        stay = stay[np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))]
-        bounds = group_bounds(anchor[stay])
-        several = np.repeat(np.diff(bounds), np.diff(bounds))
-        some = several > 1
-        yield _rows("open", anchor[stay][some], several[some], ids[stay][some], at[stay][some])
+    doc, own, at = ids[text], hashes[text], (first - begin) << 16 | (last - first) << 8 | (place - first)
+    #: Stretches with one digest are held against the first of them; those that differ after all stay.
+    order = np.lexsort((at, own, doc, mark))
+    bounds = group_bounds(mark[order])
+    head = order[np.repeat(bounds[:-1], np.diff(bounds))]
+    copy = np.flatnonzero((order != head) & (size[order] == size[head]))
+    copy = copy[_same_bytes(data, first[order[copy]], first[head[copy]], size[order[copy]])]
+    stay = np.ones(len(h), bool)
+    stay[order[copy]] = False
+    moved = (doc[order[copy]] != doc[head[copy]]) | (own[order[copy]] != own[head[copy]]) | (at[order[copy]] != at[head[copy]])
+    gone = order[copy][moved]
+    i, j, cut = _cut_rows(doc[gone], own[gone], (first - begin)[gone], (first - begin + size)[gone])
+    yield _batch(_ROWS, _DECIDED, 0, i, j, cut)
+    yield _batch(_ROWS, _OPEN, h.view(np.int64)[stay], doc[stay], own[stay], at[stay])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a range, sorted by anchor: those whose anchor another row has, or may have in the next range; counts of long runs."""
+    held: list[np.ndarray] | None = None
+    first = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy() for i in range(4)]
+        known = held is not None
+        if known:
+            rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
+        anchor = rows[0]
+        if first is None:
+            first = anchor[0]
+        same = anchor[1:] == anchor[:-1]
+        keep = (np.append(seen_before if known else False, same) | np.append(same, False) | (anchor == first))[:-1]
+        yield _batch(_ROWS, _OPEN, *[r[:-1][keep] for r in rows])
+        bounds = group_bounds(anchor[:-1]) if len(anchor) > 1 else np.zeros(1, np.int64)
+        long = np.flatnonzero(np.diff(bounds) >= 32)
+        yield _batch(_ROWS, _COUNT, anchor[bounds[:-1]][long], 0, 0, np.diff(bounds)[long])
+        seen_before = bool(len(same) and same[-1])
+        held = [r[-1:] for r in rows]
+    if held:
+        yield _batch(_ROWS, _OPEN, *held)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, id, open rows of the text) to (anchor, part, parts, id, at, bytes of the stretch)."""
+    """(own id, text, id, h, open rows of the text) to the bytes of stretches; for very common anchors to those of windows."""
     for batch in batches:
-        texts, opened = batch.column(0), batch.column(2)
+        texts, opened = batch.column(1), batch.column(4)
         out: list[tuple] = []
-        for r, i in enumerate(batch.column(1).to_pylist()):
+        held = 0
+        for r, (i, h) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             data = texts[r].as_py().encode()
             for x in opened[r].as_py():
-                first = x["at"] >> 16
-                last = first + (x["at"] >> 8 & 255)
-                parts = -(-x["several"] // STRETCHES)
-                own = data[first : last + WINDOW]
-                out += [(x["anchor"], p, min(parts, _SPAN), i, x["at"], own) for p in range(min(parts, _SPAN))]
-            if len(out) > 20_000:
-                yield _stretch_rows(out)
-                out = []
-        yield _stretch_rows(out)
-
-
-def _stretch_rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], ["anchor", "part", "parts", "id", "at", "own"])
-
-
-def radix_passes(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the suffixes at ``start`` within their groups, WINDOW bytes deep; rows of the equal ones, and their groups.
-
-    Each pass takes the next eight bytes as the digit; groups of one drop out after it.
+                anchor, at, several = x["anchor"], x["at"], x["several"]
+                first, width = at >> 16, at >> 8 & 255
+                if several is None:
+                    out.append((anchor, 0, 0, 1, i, h, at, data[first : first + width + WINDOW]))
+                else:
+                    salts = -(-several // STRETCHES)
+                    for start in range(first, first + width + 1):
+                        own = data[start : start + WINDOW]
+                        out.append((anchor, xxhash.xxh3_64_intdigest(own) >> 1 | 1, h % salts, salts, i, h, start << 16, own))
+                held += width + WINDOW if several is None else WINDOW * width
+                if held > 1 << 22:
+                    yield _batch(_WORK, *map(list, zip(*out, strict=True)))
+                    out, held = [], 0
+        if out:
+            yield _batch(_WORK, *map(list, zip(*out, strict=True)))
+
+
+def radix_passes(data: np.ndarray, start: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts strings within their groups by most-significant digits; rows of the equal ones, and their groups.
+
+    Strings of a group have one size. Each pass takes the next eight bytes as the digit; groups of one drop out after it. data
+    has eight bytes more than the strings.
     """
-    rows = np.arange(len(start))
-    for depth in range(0, WINDOW, 8):
-        digit = np.zeros(len(rows), np.uint64)
-        for k in range(min(8, WINDOW - depth)):
-            digit = digit << np.uint64(8) | data[start[rows] + depth + k].astype(np.uint64)
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    bounds = group_bounds(group[order := np.argsort(group, kind="stable")])
+    count = np.diff(bounds)
+    more = np.repeat(count > 1, count)
+    rows, group = order[more], np.repeat(np.arange(len(count)), count)[more]
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    depth, passed = 0, len(count)
+    while len(rows):
+        left = size[rows] - depth
+        digit = eight[np.minimum(start[rows] + depth, len(eight) - 1)].view(">u8").ravel().astype(np.uint64)
+        digit >>= (8 * np.maximum(8 - left, 0)).astype(np.uint64)
         order = np.lexsort((digit, group))
         bounds = group_bounds(group[order], digit[order])
-        size = np.diff(bounds)
-        number = np.repeat(np.arange(len(size)), size)
-        more = np.repeat(size > 1, size)
+        count = np.diff(bounds)
+        number = np.repeat(np.arange(len(count)) + passed, count)
+        passed += len(count)
+        more = np.repeat(count > 1, count)
         rows, group = rows[order][more], number[more]
-        if not len(rows):
-            break
-    return rows, group
+        depth += 8
+        whole = size[rows] <= depth
+        done.append((rows[whole], group[whole]))
+        rows, group = rows[~whole], group[~whole]
+    return (np.concatenate([r for r, _ in done]), np.concatenate([g for _, g in done])) if done else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _last_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches with one anchor, whole groups: their suffixes by place, then by bytes."""
-    for table in grouped(batches, "anchor", "part"):
-        anchor, part, parts, ids, at = (table[k].to_numpy() for k in ("anchor", "part", "parts", "id", "at"))
+    """Stretches, or windows, in whole groups: copies of a stretch by its bytes, then the suffixes of those that differ."""
+    for table in grouped(batches, "anchor", "part", "salt"):
+        anchor, part, salt, salts, ids, h, at = (table[k].to_numpy() for k in ("anchor", "part", "salt", "salts", "id", "h", "at"))
         own = table["own"].combine_chunks()
         offsets = np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64)
-        data = np.frombuffer(own.buffers()[2], np.uint8)
-        bounds = group_bounds(anchor, part)
+        data = np.concatenate([np.frombuffer(own.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.zeros(8, np.uint8)])
+        offsets -= offsets[0]
+        bounds = group_bounds(anchor, part, salt)
+        number = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        width = at >> 8 & 255
         k = 0
         while k < len(bounds) - 1:  # as many groups at a time as have a million suffixes or so
             end = max(k + 1, int(np.searchsorted(bounds, bounds[k] + 30_000, side="right")) - 1)
-            r = slice(bounds[k], bounds[end])
-            size = (at[r] >> 8 & 255) + 1
-            row = np.repeat(np.arange(r.start, r.stop), size)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            place = (at[row] & 255) - nth  # of the anchor in this suffix
-            mine = place % parts[row] == part[row]
-            row, nth, place = row[mine], nth[mine], place[mine]
-            number = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[row]
-            rows, group = radix_passes(data, offsets[row] + nth, number * 128 + place)
-            doc, start = ids[row][rows], (at[row][rows] >> 16) + nth[rows]
-            order, later = _later((group,), doc, start)
-            gone = order[later]
-            yield _decided(doc[gone], start[gone], start[gone] + WINDOW)
+            base = int(bounds[k])
+            r = slice(base, int(bounds[end]))
+            rows, equal = radix_passes(data, offsets[r], number[r] << 8 | width[r], width[r] + WINDOW)
+            rows += base
+            gone = rows[_later(equal, ids[rows], h[rows], at[rows])]
+            yield _batch(_DONE, _DECIDED, 0, 0, *_cut_rows(ids[gone], h[gone], at[gone] >> 16, (at[gone] >> 16) + width[gone] + WINDOW), None)
+            stay = np.ones(r.stop - base, bool)
+            stay[gone - base] = False
+            rest = np.flatnonzero(stay) + base
+            again = rest[salts[rest] > 1]
+            if len(again):
+                yield _batch(_DONE, _AGAIN, anchor[again], part[again], ids[again], h[again], at[again], own.take(pa.array(again)))
+            rest = rest[np.bincount(number[rest])[number[rest]] > 1]
+            if len(rest):
+                size = width[rest] + 1
+                row = np.repeat(rest, size)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                place = (at[row] & 255) - nth  # of the anchor in this suffix
+                found, equal = radix_passes(data, offsets[row] + nth, number[row] << 8 | place & 255, np.full(len(row), WINDOW))
+                start = (at[row] >> 16) + nth
+                gone = found[_later(equal, ids[row[found]], h[row[found]], start[found])]
+                i = row[gone]
+                yield _batch(_DONE, _DECIDED, 0, 0, *_cut_rows(ids[i], h[i], start[gone], start[gone] + WINDOW), None)
             k = end
 
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, intervals): what is removed, and the rest."""
+    """(own id, text, cuts, nth of the rows equal to it): what is removed, and the rest."""
     for batch in batches:
         n = batch.num_rows
         size, removed, spans = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         kept: list[bytes] = []
-        for r, (text, cuts) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+        for r, (text, cuts, nth) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True)):
             data = text.as_py().encode()
             size[r] = len(data)
-            if cuts.is_valid:
+            if nth > 1 and len(data) >= WINDOW:
+                spans[r], removed[r], data = 1, len(data), b""
+            elif cuts.is_valid:
                 each = cuts.values.to_numpy()
-                _, a, b = _merged(np.zeros(len(each), np.int64), each >> 32, each & (1 << 32) - 1)
+                _, a, b = _merged((np.zeros(len(each), np.int64),), each >> 32, each & (1 << 32) - 1)
                 spans[r], removed[r] = len(a), (b - a).sum()
                 edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(data)]
                 data = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
@@ -263,24 +324,33 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(d).hexdigest() for d in kept]), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, cuts): for each id with repeated windows, its intervals as start << 32 | end, in bytes of UTF-8."""
-    p = shuffle_partitions(docs.sparkSession)
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(ident.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    one = written(rows.mapInArrow(_first_digits, _ROWS), "digits1")
-    two = one.filter("kind = 1").select("anchor", "stretch", "id", "at").repartition(p, "anchor").sortWithinPartitions("anchor")
-    two = written(two.mapInArrow(_second_digits, _ROWS), "digits2")
-    opened = two.filter("kind = 1").groupBy("id").agg(F.collect_list(F.struct("anchor", F.col("stretch").alias("several"), "at")).alias("opened"))
-    cut = rows.join(opened, "id").select("text", "id", "opened").mapInArrow(_cut_out, "anchor long, part int, parts int, id long, at long, own binary")
-    last = cut.repartition(p, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_last_digits, _ROWS)
-    cuts = one.filter("kind = 0").unionByName(two.filter("kind = 0")).unionByName(last)
-    return cuts.groupBy("id").agg(F.collect_list("at").alias("cuts"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(own, text, id, h): id and h name a text. Texts without a window are never looked up, so they are dealt evenly."""
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    h = F.when(F.octet_length(text) < WINDOW, F.monotonically_increasing_id()).otherwise(F.xxhash64(text))
+    return docs.select(own.alias("own"), text.alias("text"), F.coalesce(own, F.lit(-(1 << 63))).alias("id"), h.alias("h"))
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """(id, h, cuts) of texts with repeated windows: intervals as start << 32 | end, in bytes of UTF-8."""
+    p = shuffle_partitions(rows.sparkSession)
+    one = written(rows.select("id", "h", "text").mapInArrow(_first_digits, _ROWS), "digits1")
+    two = written(in_ranges(one.filter(F.col("kind") == _OPEN).select("anchor", "id", "h", "at"), "anchor", "h").mapInArrow(_shared, _ROWS), "digits2")
+    common = two.filter(F.col("kind") == _COUNT).groupBy("anchor").agg(F.sum("at").alias("several")).filter(F.col("several") > STRETCHES)
+    opened = two.filter(F.col("kind") == _OPEN).join(common, "anchor", "left").groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "several", "at")).alias("opened"))
+    work = rows.join(opened, ["id", "h"]).select("own", "text", "id", "h", "opened").mapInArrow(_cut_out, _WORK)
+    keys = ("anchor", "part", "salt")
+    three = written(work.repartition(p, *keys).sortWithinPartitions(*keys).mapInArrow(_last_digits, _DONE), "digits3")
+    again = three.filter(F.col("kind") == _AGAIN).select("anchor", "part", F.lit(0).alias("salt"), F.lit(1).alias("salts"), "id", "h", "at", "own")
+    last = again.repartition(p, *keys).sortWithinPartitions(*keys).mapInArrow(_last_digits, _DONE)
+    decided = [x.filter(F.col("kind") == _DECIDED).select("id", "h", "at") for x in (one, three, last)]
+    return decided[0].unionByName(decided[1]).unionByName(decided[2]).groupBy("id", "h").agg(F.collect_list("at").alias("cuts"))
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept), a row for each of ``docs``; kept has the remaining bytes."""
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col(id_col).cast("long").alias("own"), ident.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    both = rows.join(repeated_passages(docs, id_col, text_col), "id", "left").select(F.col("own").alias("id"), "text", "cuts")
+    rows = _texts(docs, id_col, text_col)
+    #: Both joins of the texts read one exchange by (id, h).
+    nth = F.row_number().over(Window.partitionBy("id", "h").orderBy("own"))
+    both = rows.withColumn("nth", nth).join(_cuts(rows), ["id", "h"], "left").select("own", "text", "cuts", "nth")
     return both.mapInArrow(_applied, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

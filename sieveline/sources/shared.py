@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import uuid
+from tempfile import gettempdir
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a local default serves tests only."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sieveline-checkpoints").rstrip("/")
+    """What spark.checkpoint.dir names. Only a local master, as in tests, has a default."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"{gettempdir()}/sieveline-checkpoints"
+    return path.rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: lineage ends there, and lost executors cost nothing."""
+    """``df`` as a table in the shared folder, read back: lineage ends there, and lost executors cost nothing.
+
+    The table goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

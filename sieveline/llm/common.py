@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from tempfile import gettempdir
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default serves tests only."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sieveline-checkpoints").rstrip("/")
+    """The folder that driver and executors share. Only a local master, as in tests, has a default."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"{gettempdir()}/sieveline-checkpoints"
+    return path.rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: lineage ends there, and lost executors cost nothing."""
+    """``df`` as a table in the shared folder, read back: lineage ends there, and lost executors cost nothing.
+
+    The table goes when the application ends, or before with ``forget``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -3,32 +3,33 @@
 Every edge is kept as (hi, lo), hi > lo. A round looks at each vertex from above only: its smallest lower neighbour becomes its
 parent, and its other lower neighbours are joined to that one (union by minimum). Lower ends are then replaced by their own
 parents, which halves paths. What has one lower neighbour for every vertex and that neighbour has none is a forest of depth
-one: the result. Grouping by the higher end keeps hubs harmless, as a hub is the lower end of its edges; the lookups by
-lower end are joins of two written tables, which Spark can split when a key is hot.
+one: the result. Rounds go on until it is reached, which takes about the logarithm of the longest path. Minima are combined
+before they are shuffled, whatever the degree of a vertex; the lookups are joins of written tables, which Spark splits when a
+key is hot.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component) for every vertex that has an edge to another one; component is the smallest id reachable."""
-    now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
-    now = written(now, "edges")
-    for _ in range(most_rounds):
-        low = F.min("lo").over(Window.partitionBy("hi"))
-        each = now.withColumn("m", low)
+    now = written(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct(), "edges")
+    while True:
+        low = now.groupBy("hi").agg(F.min("lo").alias("m"))
+        each = now.join(low, "hi")
         pairs = each.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").filter("hi <> lo").distinct()
         pairs = written(pairs, "pairs")
         parents = written(pairs.groupBy("hi").agg(F.min("lo").alias("up")), "parents")
         jumped = pairs.join(parents.select(F.col("hi").alias("lo"), "up"), "lo", "left")
         nxt = written(jumped.select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved")).groupBy("hi", "lo").agg(F.max("moved").alias("moved")), "edges")
+        forget(now, pairs, parents)
         state = nxt.groupBy().agg(F.count("*").alias("n"), F.countDistinct("hi").alias("v"), F.max("moved").alias("moved")).first()
         now = nxt.select("hi", "lo")
+        now.written_to = nxt.written_to
         if not state.moved and state.n == state.v:
             return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
-    raise RuntimeError("components did not settle")

@@ -11,27 +11,39 @@ more links. Matches farther from the diagonal than (n + m) / 9 can't belong to s
 are matched first: the longest increasing run of equal ones is an alignment. Where it is too short and a shingle is repeated,
 equal shingles may be matched across their numbers, and the longest common subsequence in the band decides.
 
-Copies (equal word sequences) are put together first, by ranges of their digest. Candidates are gathered in clusters, whose
-texts are shipped once; a cluster beyond ``block_rows`` or 16 million characters is cut into blocks, and each pair of blocks is
-one group of work. In a group, pairs that are already joined are skipped, so a large group of near copies costs comparisons, not rows.
-
-Defined cases: null counts as empty; texts without words are copies of one another; ties go to the smaller id; rows
-that share an id are taken for one text and share its fate; a null id is in a class of its own; an empty table gives no
-rows; other columns pass through.
+Copies (equal word sequences) are put together first, by ranges of their digest, and one of them stands for all. Candidates are
+gathered in clusters, and a cluster is one group of work. One beyond ``block_rows`` or 16 million characters is taken in rounds.
+The first compares the texts of each block; what is joined there is a class. In the next ones a class sends one text for each
+sketch that other classes have too, so that large groups of near copies come together through few texts. Where a round joins
+nothing more, all texts with a sketch that several classes share are compared, block by block. In a group, pairs that are joined
+already are skipped. So a large group of near copies costs texts in proportion to its size, and only what agrees on sketches
+without being similar is compared in full.
+
+A pair of long texts at a similarity of 0.8 is missed 3 times in a million, as said; order counts, so of two texts whose agreeing
+shingles stand in another order fewer sketches agree, but there the alignment, and so the similarity, is lower too. Short
+texts have few shingles: 4 against 5 share a sketch only where it takes the 4 common ones, and about one pair in 200 is missed.
+
+Defined cases: null counts as empty; texts without words are copies of one another; the smallest id of a class stays, and of
+rows that share it the one whose text has the lower hash, of equal rows one; rows that share an id, null or not, are texts of their
+own, told apart by a hash of their text (64 bits); null ids come last, and a class of null ids alone has a null class_id; an empty
+table gives no rows; other columns pass through, those with the name of an output column are replaced.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_names, group_bounds, grouped, in_ranges, shuffle_partitions, written
+from .common import drop_names, forget, free_name, group_bounds, grouped, in_ranges, shuffle_partitions, written
 from .components import components
 
 SHINGLE, MINIMA, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
@@ -185,15 +197,21 @@ def shingle_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return run / (n + m - run)
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, d1, d2, keys, chars): a digest of the word sequence, the sketches, the length of the text."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, ident, h, text): ident and h name a text."""
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(own.alias("id"), F.coalesce(own, F.lit(-(1 << 63))).alias("ident"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    """(id, h, d1, d2, keys, chars): a digest of the word sequence, the sketches, the length of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, own = Shingler(), seeds()
         for batch in batches:
             keys, digests, sizes = [], [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
+            for value in batch.column(2):
+                text = value.as_py()
                 words = shingler.words(text)
                 sizes.append(len(text))
                 digests.append(xxhash.xxh3_128_intdigest(words.tobytes()))
@@ -201,58 +219,59 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             d = np.array([[x >> 64, x & (1 << 64) - 1] for x in digests], np.uint64).reshape(-1, 2).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), lists, pa.array(sizes, pa.int64())], ["id", "d1", "d2", "keys", "chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d[:, 0]), pa.array(d[:, 1]), lists, pa.array(sizes, pa.int64())], ["id", "h", "d1", "d2", "keys", "chars"])
+
+    return rows.select("id", "h", "text").mapInArrow(run, "id long, h long, d1 long, d2 long, keys array<long>, chars long")
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, d1 long, d2 long, keys array<long>, chars long")
+
+_UNITS = "id long, h long, unit long, keys array<long>, chars long"
 
 
 def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by digest and id: each gets the first id of its digest in this range, which keeps the keys."""
+    """Rows sorted by digest: a number for each digest of this range; its first row keeps the sketches."""
     before: tuple | None = None
+    seen = TaskContext.get().partitionId() << 36
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, d1, d2 = (batch.column(i).to_numpy() for i in range(3))
+        d1, d2 = (batch.column(i).to_numpy() for i in (2, 3))
         bounds = group_bounds(d1, d2)
-        rep = np.repeat(ids[bounds[:-1]], np.diff(bounds))
-        if before and before[0] == (d1[0], d2[0]):
-            rep[: bounds[1]] = before[1]
-        before = ((d1[-1], d2[-1]), rep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rep), batch.column(3), batch.column(4)], ["id", "rep", "keys", "chars"])
+        first = np.arange(len(bounds) - 1) + seen + 1
+        fresh = bounds[:-1]
+        if before == (d1[0], d2[0]):
+            first, fresh = first - 1, fresh[1:]
+        before, seen = (d1[-1], d2[-1]), int(first[-1])
+        stands = np.zeros(batch.num_rows, bool)
+        stands[fresh] = True
+        keys = pa.compute.if_else(pa.array(stands), batch.column(4), pa.scalar(None, batch.column(4).type))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.repeat(first, np.diff(bounds))), keys, batch.column(5)], ["id", "h", "unit", "keys", "chars"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, rep) sorted: an edge from each row to the first of its key here; the ends of the range as edges to stitch."""
+    """Rows (key, unit) sorted: an edge from each row to the first of its key here; the ends of the range as edges to stitch."""
     before: tuple | None = None
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key, unit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         bounds = group_bounds(key)
-        hub = np.repeat(rep[bounds[:-1]], np.diff(bounds))
+        hub = np.repeat(unit[bounds[:-1]], np.diff(bounds))
         if before and before[0] == key[0]:
             hub[: bounds[1]] = before[1]
         if before is None:
-            yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array(rep[:1]), pa.array([None], pa.int64())], ["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array(unit[:1]), pa.array([None], pa.int64())], ["key", "a", "b"])
         before, last = (key[-1], hub[-1]), (key[-1:], hub[-1:])
-        edge = hub != rep
-        yield pa.RecordBatch.from_arrays([pa.array(key[edge]), pa.array(hub[edge]), pa.array(rep[edge])], ["key", "a", "b"])
+        edge = hub != unit
+        yield pa.RecordBatch.from_arrays([pa.array(key[edge]), pa.array(hub[edge]), pa.array(unit[edge])], ["key", "a", "b"])
     if last:
         yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1]), pa.array([None], pa.int64())], ["key", "a", "b"])
 
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np.ndarray, shingler: Shingler) -> list[tuple[int, int]]:
+def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np.ndarray, classes: np.ndarray, shingler: Shingler) -> list[tuple[int, int]]:
     """Links between texts that agree on a key and are similar, except those within what is joined already.
 
-    side: texts of sides 0 and 1 are compared with the other side only (two blocks); -1 with all.
+    side: texts of sides 0 and 1 are compared with the other side only (two blocks); -1 with all. classes: what is joined at first.
     """
     labels, repeats = [], []
     for t in texts:
@@ -274,18 +293,19 @@ def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np
         by = np.argsort(keys[:, c], kind="stable")
         bounds = group_bounds(keys[by, c])
         groups.append((by, bounds, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[np.argsort(by, kind="stable")]))
-    parent, links = np.arange(len(ids)), []
+    joined, links = classes.copy(), []
     for x in range(len(ids)):
         near = [by[bounds[g[x]] : bounds[g[x] + 1]] for by, bounds, g in groups if bounds[g[x] + 1] - bounds[g[x]] > 1]
         if not near:
             continue
         near = np.unique(np.concatenate(near))
-        near = near[(near > x) & ((side[near] != side[x]) | (side[x] < 0))]
+        near = near[(near > x) & ((side[near] != side[x]) | (side[x] < 0)) & (joined[near] != joined[x])]
         near = near[np.minimum(size[near], size[x]) >= SIMILARITY * np.maximum(size[near], size[x])]
         if not len(near):
             continue
         if not size[x]:
             links += [(int(ids[x]), int(ids[y])) for y in near]
+            joined[np.isin(joined, joined[near])] = joined[x]
             continue
         #: Shared labels bound the similarity from above; they are counted for so many labels at a time.
         upto = np.cumsum(size[near])
@@ -296,9 +316,8 @@ def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np
             shared = np.add.reduceat((order[x][at] == whole).astype(np.int64), np.cumsum(size[some]) - size[some])
             likely += some[shared >= SIMILARITY * (size[some] + size[x] - shared) - 1e-9].tolist()
         for y in likely:
-            a, b = _find(parent, x), _find(parent, y)
-            if a != b and alike(x, y):
-                parent[max(a, b)] = min(a, b)
+            if joined[x] != joined[y] and alike(x, y):
+                joined[joined == joined[y]] = joined[x]
                 links.append((int(ids[x]), int(ids[y])))
     return links
 
@@ -306,49 +325,96 @@ def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for table in grouped(batches, "cluster", "i", "j"):
-        c, i, j, block, ids = (table[k].to_numpy() for k in ("cluster", "i", "j", "block", "id"))
+        c, i, j, block, ids, classes = (table[k].to_numpy() for k in ("cluster", "i", "j", "block", "unit", "class"))
         keys = np.array(table["keys"].combine_chunks().flatten()).reshape(len(ids), -1)
         bounds = group_bounds(c, i, j)
         out: list[tuple[int, int]] = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             side = np.where(i[a:b] == j[a:b], -1, (block[a:b] == j[a:b]).astype(int))
-            out += verified_links(ids[a:b], table["text"].slice(a, b - a).to_pylist(), keys[a:b], side, shingler)
+            out += verified_links(ids[a:b], table["text"].slice(a, b - a).to_pylist(), keys[a:b], side, classes[a:b], shingler)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 1500) -> DataFrame:
-    """(id, class_id) for every row with an id; class_id is the smallest id of the class."""
-    p = shuffle_partitions(docs.sparkSession)
-    docs = docs.filter(F.col(id_col).isNotNull())
-    raw = written(_sketched(docs, id_col, text_col), "sketches")
-    reps = written(in_ranges(raw, "d1", "d2", "id").mapInArrow(_copies, "id long, rep long, keys array<long>, chars long"), "copies")
-    distinct = reps.filter("id = rep").dropDuplicates(["id"])
-    hits = written(distinct.select(F.explode("keys").alias("key"), F.col("rep")), "keys")
-    stars = written(in_ranges(hits, "key", "rep").mapInArrow(_stars, "key long, a long, b long"), "stars")
+def _compared(work: DataFrame, across: bool = False) -> DataFrame:
+    """Links of (cluster, blocks, unit, class, keys, text): within blocks, or across all pairs of blocks too."""
+    p = shuffle_partitions(work.sparkSession)
+    work = work.withColumn("block", F.pmod(F.xxhash64("unit"), "blocks").cast("int"))
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))) if across else F.col("block"))
+    work = work.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "unit", "class", "keys", "text")
+    return written(work.repartition(p, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "unit").mapInArrow(_links, "a long, b long"), "links")
+
+
+def _large_links(large: DataFrame, first: DataFrame, blocks: Column) -> list[DataFrame]:
+    """The links of clusters beyond one block. large: (cluster, unit, keys, chars, text); first: links within their blocks."""
+    links = [first]
+    while True:
+        every = reduce(DataFrame.unionByName, links)
+        label = components(every, "a", "b").select(F.col("id").alias("unit"), "component")
+        now = written(large.join(label, "unit", "left").select("cluster", "unit", "keys", "chars", F.coalesce("component", "unit").alias("class")), "labelled")
+        hits = now.select("cluster", "unit", "class", "chars", F.explode("keys").alias("key"))
+        shared = hits.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
+        hits = written(hits.join(shared, "key"), "shared")
+        if hits.isEmpty():
+            return links
+        #: One text for each class and sketch that other classes have too; all of them where that brings nothing more.
+        some = hits.groupBy("key", "class").agg(F.min("unit").alias("unit")).select("unit").distinct() if links[-1].count() else None
+        chosen = now.join(some if some is not None else hits.select("unit").distinct(), "unit")
+        size = written(chosen.groupBy("cluster").agg(blocks.alias("blocks")), "sizes")
+        work = chosen.join(size, "cluster").join(large.select("unit", "text"), "unit")
+        links.append(_compared(work, across=some is None))
+        forget(size, hits, now)
+        if some is None:
+            return links
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 400) -> DataFrame:
+    """(id, h, class_id, stays) for every text: h is the hash of the text that tells rows of one id apart, class_id the smallest id of
+    the class, stays whether the row is the one of its class that stays (rows equal in id and text are one here)."""
+    rows = _named(docs, id_col, text_col)
+    raw = written(_sketched(rows), "sketches")
+    copies = written(in_ranges(raw, "d1", "d2", "id", "h").mapInArrow(_copies, _UNITS), "copies")
+    forget(raw)
+    distinct = copies.filter("keys is not null")
+    hits = written(distinct.select(F.explode("keys").alias("key"), "unit"), "keys")
+    stars = written(in_ranges(hits, "key", "unit").mapInArrow(_stars, "key long, a long, b long"), "stars")
     ends = stars.filter("b is null").select("key", "a")
     stitch = ends.groupBy("key").agg(F.min("a").alias("b"), F.collect_set("a").alias("all")).select(F.explode("all").alias("a"), "b")
     clusters = components(stars.filter("b is not null").select("a", "b").unionByName(stitch), "a", "b")
-    clusters = written(clusters.join(distinct.select("id", "keys", "chars"), "id"), "clusters")
+    clusters = written(distinct.join(clusters.select(F.col("id").alias("unit"), F.col("component").alias("cluster")), "unit"), "clusters")
+    forget(hits, stars)
 
     blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum("chars") / BLOCK_CHARS))
-    size = written(clusters.groupBy("component").agg(blocks.alias("blocks")), "sizes")
-    members = clusters.join(size, "component").drop("chars")
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    members = members.join(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "id")
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    work = members.select(F.col("component").alias("cluster"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "keys", "text")
-    work = work.repartition(p, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    links = written(work.mapInArrow(_links, "a long, b long"), "links")
-    #: Copies whose digest was cut by a range boundary have representatives that agree on everything, and are linked here.
-    classes = written(components(links, "a", "b"), "classes")
-    return reps.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    size = written(clusters.groupBy("cluster").agg(blocks.alias("blocks")), "sizes")
+    members = clusters.join(size, "cluster").select("cluster", "blocks", "unit", F.col("unit").alias("class"), F.coalesce("id", F.lit(-(1 << 63))).alias("ident"), "h", "keys", "chars")
+    texts = rows.select("ident", "h", "text").join(members.select("ident", "h"), ["ident", "h"], "left_semi").dropDuplicates(["ident", "h"])
+    whole = members.join(texts, ["ident", "h"]).drop("ident", "h")
+    large = None
+    if not size.filter("blocks > 1").isEmpty():
+        whole = written(whole, "members")
+        large = whole.filter("blocks > 1").select("cluster", "unit", "keys", "chars", "text")
+    links = [_compared(whole)]
+    if large is not None:
+        inside = links[0].join(large.select(F.col("unit").alias("a")), "a", "left_semi")
+        links += _large_links(large, inside, blocks)[1:]
+        forget(whole)
+    #: Copies whose digest was cut by a range boundary stand for themselves on each side; they agree on everything, and are linked above.
+    of_unit = components(reduce(DataFrame.unionByName, links), "a", "b").select(F.col("id").alias("unit"), "component")
+    least = copies.groupBy("unit").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("least"))
+    least = least.join(of_unit, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
+    least = written(least, "least")
+    first = least.groupBy("component").agg(F.min("least").alias("first"))
+    of_unit = written(least.join(first, "component").select("unit", "first"), "classes")
+    own = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    return copies.join(of_unit, "unit").select("id", "h", F.col("first.id").alias("class_id"), (own == F.col("first")).alias("stays")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with class_id and kept: of each class the row with the smallest id stays (of repeated ids, one row each)."""
+    """``docs`` with class_id and kept: of each class one row stays."""
     docs = drop_names(docs, *RESULT)
-    cols = docs.columns
-    classes = near_classes(docs, id_col, text_col).groupBy("id").agg(F.min("class_id").alias("class_id"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__r"), F.col(id_col).cast("long").alias("id"))
-    out = rows.join(classes, "id", "left")
-    return out.select(*[F.col("__r")[c].alias(c) for c in cols], "class_id", (F.col("class_id").isNull() | (F.col("class_id") == F.col("id"))).alias("kept"))
+    i, h, n = (free_name(docs, k) for k in ("__i", "__h", "__n"))
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
+    classes = near_classes(docs, id_col, text_col).select(F.coalesce("id", F.lit(-(1 << 63))).alias(i), F.col("h").alias(h), "class_id", "stays")
+    rows = docs.withColumns({i: ident, h: F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))})
+    rows = rows.withColumn(n, F.row_number().over(Window.partitionBy(i, h).orderBy(i)))
+    kept = classes["stays"] & (rows[n] == 1)
+    return rows.join(classes, (rows[i] == classes[i]) & (rows[h] == classes[h])).select(*[rows[f"`{c}`"] for c in docs.columns], classes["class_id"], kept.alias("kept"))

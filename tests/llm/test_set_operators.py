@@ -71,7 +71,7 @@ def classes_by_force(rows):
     return {i: top(i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("block_rows", [1500, 7])
+@pytest.mark.parametrize("block_rows", [400, 7])
 def test_near_classes_equal_all_pairs(spark, block_rows):
     rnd = random.Random(2)
     words = [f"w{i}" for i in range(400)]
@@ -87,16 +87,44 @@ def test_near_classes_equal_all_pairs(spark, block_rows):
     rows.append((8000, " ".join(["same"] * 300)))
     rows.append((8001, " ".join(["same"] * 310)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.id: r.class_id for r in minhash_dedup.near_classes(docs, block_rows=block_rows).collect()}
-    assert got == classes_by_force(rows)
+    got = minhash_dedup.near_classes(docs, block_rows=block_rows).collect()
+    assert {r.id: r.class_id for r in got} == classes_by_force(rows)
+    assert [r.id == r.class_id for r in got] == [r.stays for r in got]
+
+
+def test_large_cluster_in_rounds(spark):
+    """Two crossing families in one cluster, far beyond a block: what no single text settles is compared in full."""
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(300)]
+    other = base[:150] + [f"v{i}" for i in range(150)]
+    rows = []
+    for k in range(120):
+        own = list(base if k % 2 else other)
+        for _ in range(rnd.randint(0, 6)):
+            own[rnd.randrange(len(own))] = f"x{rnd.randrange(1000)}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = classes_by_force(rows)
+    assert len(set(want.values())) >= 2
+    assert {r.id: r.class_id for r in minhash_dedup.near_classes(docs, block_rows=5).collect()} == want
+
+
+def test_near_texts_of_null_and_shared_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    near = a + " more"
+    rows = [(7, a), (7, b), (9, near), (None, near + " x"), (None, b), (None, "alone"), (None, "alone"), (3, "one two"), (3, "one two"), (None, None), (5, "")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, __i int, __h int, kept int").repartition(3)
+    got = minhash_dedup.near_dedup(docs).collect()
+    assert len(got) == len(rows)
+    assert sorted(str((r.doc_id, r.text, r.class_id)) for r in got) == sorted(str((i, t, {a: 7, b: 7, near: 7, near + " x": 7, "alone": None, "one two": 3, None: 5, "": 5}[t])) for i, t in rows)
+    assert sorted((str(r.doc_id), r.text) for r in got if r.kept) == sorted([("7", a), ("7", b), ("None", "alone"), ("3", "one two"), ("5", "")])
 
 
 def test_order_counts(spark):
     a = [f"w{i}" for i in range(200)]
     docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[100:] + a[:100])), (None, " ".join(a))], "doc_id long, text string")
     got = minhash_dedup.near_dedup(docs).collect()
-    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 2, None: None}
-    assert all(r.kept for r in got)
+    assert {r.doc_id: (r.class_id, r.kept) for r in got} == {1: (1, True), 2: (2, True), None: (1, False)}
     assert minhash_dedup.near_dedup(docs.filter("false")).count() == 0
 
 

@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read back: lineage ends there, and lost executors cost nothing.
 
-    The table goes when the application ends, or before with ``forget``.
+    The table goes when the application ends, or before with ``forget``. by: a column whose values get folders of their own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -49,11 +49,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
+def forget(*tables: DataFrame, part: str = "") -> None:
+    """Deletes written tables, or a part of them (column=value), that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{df.written_to}/{part}" if part else df.written_to)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_bounds, grouped, in_ranges, shuffle_partitions, written
+from .common import forget, group_bounds, grouped, in_ranges, shuffle_partitions, written
 
 WINDOW, GRAM = 100, 32
 _SPAN = WINDOW - GRAM + 1
@@ -334,13 +334,15 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _cuts(rows: DataFrame) -> DataFrame:
     """(id, h, cuts) of texts with repeated windows: intervals as start << 32 | end, in bytes of UTF-8."""
     p = shuffle_partitions(rows.sparkSession)
-    one = written(rows.select("id", "h", "text").mapInArrow(_first_digits, _ROWS), "digits1")
+    one = written(rows.select("id", "h", "text").mapInArrow(_first_digits, _ROWS), "digits1", by="kind")
     two = written(in_ranges(one.filter(F.col("kind") == _OPEN).select("anchor", "id", "h", "at"), "anchor", "h").mapInArrow(_shared, _ROWS), "digits2")
+    forget(one, part=f"kind={_OPEN}")
     common = two.filter(F.col("kind") == _COUNT).groupBy("anchor").agg(F.sum("at").alias("several")).filter(F.col("several") > STRETCHES)
     opened = two.filter(F.col("kind") == _OPEN).join(common, "anchor", "left").groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "several", "at")).alias("opened"))
     work = rows.join(opened, ["id", "h"]).select("own", "text", "id", "h", "opened").mapInArrow(_cut_out, _WORK)
     keys = ("anchor", "part", "salt")
     three = written(work.repartition(p, *keys).sortWithinPartitions(*keys).mapInArrow(_last_digits, _DONE), "digits3")
+    forget(two)
     again = three.filter(F.col("kind") == _AGAIN).select("anchor", "part", F.lit(0).alias("salt"), F.lit(1).alias("salts"), "id", "h", "at", "own")
     last = again.repartition(p, *keys).sortWithinPartitions(*keys).mapInArrow(_last_digits, _DONE)
     decided = [x.filter(F.col("kind") == _DECIDED).select("id", "h", "at") for x in (one, three, last)]

@@ -13,8 +13,9 @@ At a cosine of exactly 0.9 a pair of 64-dimensional vectors meets with a probabi
 (measured in the tests). The scale suits up to some ten million vectors; for more, raise ``scale`` and ``tables`` together.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite components link with nothing; vectors of different
-lengths don't link; copies link with one another; rows that share an id are vectors of their own, but their links are summed
-under that id; a null id gives a row without links; an empty table gives no rows; extra columns are ignored.
+lengths don't link; copies link with one another; rows that share an id, null or not, are vectors of their own, told apart by a hash
+of the vector (64 bits), and each has its own links; a null id doesn't count for the smallest id, and a component of null ids
+alone has a null component_id and keeps all its rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_bounds, grouped, in_ranges, shuffle_partitions, written
+from .common import forget, group_bounds, grouped, in_ranges, shuffle_partitions, written
 from .components import components
 
 TABLES, PROBES, SCALE, COSINE = 10, 6, 0.3, 0.9
@@ -97,26 +100,32 @@ def _vectors(batch: pa.RecordBatch, column: str) -> list[np.ndarray | None]:
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, unit) to (id, d1, d2, unit) of what can link."""
+    """(id, h, vector) to (id, h, d1, d2, unit) of what can link."""
     for batch in batches:
-        got = [(i, u) for i, u in zip(batch.column(0).to_pylist(), _vectors(batch, "v"), strict=True) if u is not None and i is not None]
-        d = np.array([[x >> 64, x & (1 << 64) - 1] for x in (xxhash.xxh3_128_intdigest(u.tobytes()) for _, u in got)], np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([u for _, u in got], pa.list_(pa.float64()))], ["id", "d1", "d2", "unit"])
+        units = _vectors(batch, "v")
+        got = [r for r, u in enumerate(units) if u is not None]
+        d = np.array([[x >> 64, x & (1 << 64) - 1] for x in (xxhash.xxh3_128_intdigest(units[r].tobytes()) for r in got)], np.uint64).reshape(-1, 2).view(np.int64)
+        rows = pa.array(got, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([units[r] for r in got], pa.list_(pa.float64()))], ["id", "h", "d1", "d2", "unit"])
 
 
-def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by digest and id, each with the first id of its digest in this range."""
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by digest: a number for each digest of this range; its first row keeps the vector."""
     before: tuple | None = None
+    seen = TaskContext.get().partitionId() << 36
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, d1, d2 = (batch.column(i).to_numpy() for i in range(3))
+        d1, d2 = (batch.column(i).to_numpy() for i in (2, 3))
         bounds = group_bounds(d1, d2)
-        rep = np.repeat(ids[bounds[:-1]], np.diff(bounds))
-        if before and before[0] == (d1[0], d2[0]):
-            rep[: bounds[1]] = before[1]
-        before = ((d1[-1], d2[-1]), rep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rep)], ["id", "rep"])
+        number, fresh = np.arange(len(bounds) - 1) + seen + 1, bounds[:-1]
+        if before == (d1[0], d2[0]):
+            number, fresh = number - 1, fresh[1:]
+        before, seen = (d1[-1], d2[-1]), int(number[-1])
+        stands = np.zeros(batch.num_rows, bool)
+        stands[fresh] = True
+        units = pa.compute.if_else(pa.array(stands), batch.column(4), pa.scalar(None, batch.column(4).type))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.repeat(number, np.diff(bounds))), units], ["id", "h", "rep", "unit"])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
@@ -185,15 +194,17 @@ def cell_links(ids: np.ndarray, unit: np.ndarray, mult: np.ndarray, probing: np.
 def near_embeddings(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = COSINE, block_rows: int = 1000) -> DataFrame:
     """(id, n_links, component_id, kept), a row for each of ``rows``."""
     p = shuffle_partitions(rows.sparkSession)
-    every = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    base = written(every.mapInArrow(_digested, "id long, d1 long, d2 long, unit array<double>"), "units")
-    reps = written(in_ranges(base.select("id", "d1", "d2"), "d1", "d2", "id").mapInArrow(_firsts, "id long, rep long"), "copies")
-    mult = reps.groupBy("rep").agg(F.count("*").alias("mult"))
-    distinct = written(base.join(mult, base["id"] == mult["rep"]).select("id", "mult", "unit").dropDuplicates(["id"]), "distinct")
+    v = F.col(vec_col)
+    every = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(v, F.size(v), F.exists(v, lambda x: x.isNull())).alias("h"), v.alias("v"))
+    base = written(every.mapInArrow(_digested, "id long, h long, d1 long, d2 long, unit array<double>"), "units")
+    copies = written(in_ranges(base, "d1", "d2", "id", "h").mapInArrow(_copies, "id long, h long, rep long, unit array<double>"), "copies")
+    forget(base)
+    of_copies = copies.groupBy("rep").agg(F.count("*").alias("mult"), F.min("id").alias("own"))
+    distinct = written(copies.filter("unit is not null").select("rep", "unit").join(of_copies, "rep").select(F.col("rep").alias("id"), "mult", "own", "unit"), "distinct")
     cells = written(distinct.select("id", "unit").mapInArrow(_celled, "cell long, t int, probing boolean, id long"), "cells")
     size = cells.groupBy("cell", "t").agg(F.count("*").alias("n"), F.sum((~F.col("probing")).cast("long")).alias("homes"))
     size = written(size.filter("homes > 0 and n > 1").select("cell", "t", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "sizes")
-    work = cells.join(size, ["cell", "t"]).join(distinct, "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    work = cells.join(size, ["cell", "t"]).join(distinct.select("id", "mult", "unit"), "id").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = work.select("cell", "t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "probing", "id", "mult", "unit")
 
@@ -214,9 +225,12 @@ def near_embeddings(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = written(work.repartition(p, "cell", "t", "i", "j").sortWithinPartitions("cell", "t", "i", "j", "id").mapInArrow(run, "id long, links long, root long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(found.select("id", "root"), "id", "root").withColumnRenamed("component", "least")
-    of_rep = distinct.select(F.col("id").alias("rep"), "mult").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
-    of_rep = written(of_rep.select("rep", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "rep").alias("least")), "result")
-    own = reps.join(of_rep, "rep").groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("least").alias("least"))
-    out = every.select("id").join(own, "id", "left")
-    least_id = F.coalesce("least", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), least_id.alias("component_id"), (F.col("id") == least_id).alias("kept"))
+    of_rep = distinct.select(F.col("id").alias("rep"), "mult", "own").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
+    of_rep = written(of_rep.select("rep", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "rep").alias("least"), "own"), "result")
+    least_id = of_rep.groupBy("least").agg(F.min("own").alias("component_id"))
+    of_rep = of_rep.join(least_id, "least").select("rep", "n_links", "component_id")
+    named = lambda df: df.withColumn("ident", F.coalesce("id", F.lit(-(1 << 63))))
+    own = named(copies.join(of_rep, "rep")).select("ident", "h", "n_links", "component_id", F.lit(True).alias("known")).distinct()
+    out = named(every.select("id", "h")).join(own, ["ident", "h"], "left")
+    component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

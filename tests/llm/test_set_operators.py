@@ -14,7 +14,7 @@ from sieveline.llm.components import components
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.labelled import held_out, training_rows
 from sieveline.llm.mixing import pfair_mix
-from sieveline.llm.queries import op3_toxicity, op5_exact_dedup, op10_quality_rules
+from sieveline.llm.queries import op3_toxicity, op5_exact_dedup, op6_e8_lattice, op10_quality_rules
 
 DATA = "/root/testdata/sf0.001"
 lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -195,6 +195,33 @@ def edf_by_force(shares, blocks):
     return out
 
 
+def test_embeddings_of_null_and_shared_ids(spark):
+    rng = np.random.default_rng(9)
+    v, w = ([float(x) for x in rng.normal(size=64)] for _ in range(2))
+    near = [x + 0.01 for x in v]
+    rows = [(1, v), (None, v), (2, w), (None, near), (3, near), (3, w), (None, None), (None, [0.0] * 64), (2, w), (None, [-x for x in v]), (4, [None] + v[1:])]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<double>, id int").repartition(3)
+    got = embedding_dedup.near_embeddings(docs).collect()
+    none = lambda x: -1 if x is None else x
+    assert sorted((none(r.id), r.n_links, none(r.component_id), r.kept) for r in got) == sorted(
+        [(1, 3, 1, True), (-1, 3, 1, False), (2, 2, 2, True), (-1, 3, 1, False), (3, 3, 1, False), (3, 2, 2, False), (-1, 0, -1, True), (-1, 0, -1, True), (2, 2, 2, True), (-1, 0, -1, True), (4, 0, 4, True)]
+    )
+
+
+def test_embedding_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    v = np.array([r.embedding for r in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    s = v @ v.T >= 0.9
+    np.fill_diagonal(s, False)
+    got = {r.vec_id: r for r in op6_e8_lattice(spark, d).collect()}
+    links = np.array([got[r.vec_id].n_links for r in rows])
+    assert len(got) == len(rows) and (links <= s.sum(1)).all()
+    assert links.sum() >= 0.98 * s.sum()
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
 @pytest.mark.parametrize("piece_rows", [None, 7])
 def test_mixture_equals_the_simulation(spark, piece_rows):
     sizes = {None: 60, "a": 400, "b": 100, "c": 3, "d": 9}

@@ -41,6 +41,8 @@ _SPAN = WINDOW - GRAM + 1
 STRETCHES = 4_000
 #: Bytes whose places fit into an anchor's key.
 LONG = 1 << 24
+#: Bytes that are compared, and suffixes that are sorted, in one step.
+COMPARED, SUFFIXES = 1 << 20, 1 << 19
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -123,11 +125,13 @@ def _later(group: np.ndarray, *place: np.ndarray) -> np.ndarray:
 
 def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the strings of a size from two places are equal."""
-    if not len(a):
-        return np.empty(0, bool)
-    begin = np.cumsum(size) - size
-    nth = np.arange(int(size.sum())) - np.repeat(begin, size)
-    return np.logical_and.reduceat(data[np.repeat(a, size) + nth] == data[np.repeat(b, size) + nth], begin)
+    out = [np.empty(0, bool)]
+    upto = np.cumsum(size)
+    for some in np.split(np.arange(len(a)), np.flatnonzero(np.diff(upto // COMPARED)) + 1) if len(a) else ():
+        begin = np.cumsum(size[some]) - size[some]
+        nth = np.arange(int(size[some].sum())) - np.repeat(begin, size[some])
+        out.append(np.logical_and.reduceat(data[np.repeat(a[some], size[some]) + nth] == data[np.repeat(b[some], size[some]) + nth], begin))
+    return np.concatenate(out)
 
 
 def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +279,9 @@ def _last_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         width = at >> 8 & 255
         k = 0
-        while k < len(bounds) - 1:  # as many groups at a time as have a million suffixes or so
-            end = max(k + 1, int(np.searchsorted(bounds, bounds[k] + 30_000, side="right")) - 1)
+        upto = np.concatenate([[0], np.cumsum(width + 1)])[bounds]
+        while k < len(bounds) - 1:
+            end = max(k + 1, int(np.searchsorted(upto, upto[k] + SUFFIXES, side="right")) - 1)
             base = int(bounds[k])
             r = slice(base, int(bounds[end]))
             rows, equal = radix_passes(data, offsets[r], number[r] << 8 | width[r], width[r] + WINDOW)

@@ -21,15 +21,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct(), "edges")
     while True:
         low = now.groupBy("hi").agg(F.min("lo").alias("m"))
-        each = now.join(low, "hi")
-        pairs = each.select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").filter("hi <> lo").distinct()
+        pairs = now.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").filter("hi <> lo").distinct()
         pairs = written(pairs, "pairs")
-        parents = written(pairs.groupBy("hi").agg(F.min("lo").alias("up")), "parents")
-        jumped = pairs.join(parents.select(F.col("hi").alias("lo"), "up"), "lo", "left")
-        nxt = written(jumped.select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved")).groupBy("hi", "lo").agg(F.max("moved").alias("moved")), "edges")
-        forget(now, pairs, parents)
-        state = nxt.groupBy().agg(F.count("*").alias("n"), F.countDistinct("hi").alias("v"), F.max("moved").alias("moved")).first()
-        now = nxt.select("hi", "lo")
-        now.written_to = nxt.written_to
-        if not state.moved and state.n == state.v:
+        parents = pairs.groupBy("hi").agg(F.min("lo").alias("up")).select(F.col("hi").alias("lo"), "up")
+        jumped = pairs.join(parents, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved"))
+        nxt = written(jumped.groupBy("hi", "lo").agg(F.max("moved").alias("moved")), "edges")
+        forget(now, pairs)
+        now = nxt
+        state = now.groupBy("hi").agg(F.count("*").alias("n"), F.max("moved").alias("moved")).agg(F.max("n").alias("n"), F.max("moved").alias("moved")).first()
+        if not state.moved and (state.n or 1) == 1:
             return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())

@@ -268,8 +268,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1]), pa.array([None], pa.int64())], ["key", "a", "b"])
 
 
-def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np.ndarray, classes: np.ndarray, shingler: Shingler) -> list[tuple[int, int]]:
-    """Links between texts that agree on a key and are similar, except those within what is joined already.
+def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np.ndarray, classes: np.ndarray, shingler: Shingler) -> np.ndarray:
+    """The class of each text once texts that agree on a key and are similar are joined; pairs that are joined already are skipped.
 
     side: texts of sides 0 and 1 are compared with the other side only (two blocks); -1 with all. classes: what is joined at first.
     """
@@ -293,7 +293,7 @@ def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np
         by = np.argsort(keys[:, c], kind="stable")
         bounds = group_bounds(keys[by, c])
         groups.append((by, bounds, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[np.argsort(by, kind="stable")]))
-    joined, links = classes.copy(), []
+    joined = classes.copy()
     for x in range(len(ids)):
         near = [by[bounds[g[x]] : bounds[g[x] + 1]] for by, bounds, g in groups if bounds[g[x] + 1] - bounds[g[x]] > 1]
         if not near:
@@ -304,7 +304,6 @@ def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np
         if not len(near):
             continue
         if not size[x]:
-            links += [(int(ids[x]), int(ids[y])) for y in near]
             joined[np.isin(joined, joined[near])] = joined[x]
             continue
         #: Shared labels bound the similarity from above; they are counted for so many labels at a time.
@@ -318,21 +317,26 @@ def verified_links(ids: np.ndarray, texts: list[str], keys: np.ndarray, side: np
         for y in likely:
             if joined[x] != joined[y] and alike(x, y):
                 joined[joined == joined[y]] = joined[x]
-                links.append((int(ids[x]), int(ids[y])))
-    return links
+    return joined
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each group joins, as edges from its lowest text to one text of every class that came to it."""
     shingler = Shingler()
     for table in grouped(batches, "cluster", "i", "j"):
         c, i, j, block, ids, classes = (table[k].to_numpy() for k in ("cluster", "i", "j", "block", "unit", "class"))
         keys = np.array(table["keys"].combine_chunks().flatten()).reshape(len(ids), -1)
         bounds = group_bounds(c, i, j)
-        out: list[tuple[int, int]] = []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             side = np.where(i[a:b] == j[a:b], -1, (block[a:b] == j[a:b]).astype(int))
-            out += verified_links(ids[a:b], table["text"].slice(a, b - a).to_pylist(), keys[a:b], side, classes[a:b], shingler)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            joined = verified_links(ids[a:b], table["text"].slice(a, b - a).to_pylist(), keys[a:b], side, classes[a:b], shingler)
+            own = classes[a:b][np.unique(classes[a:b], return_index=True)[1]]  # each class by its number, which is the lowest text's
+            to = joined[np.unique(classes[a:b], return_index=True)[1]]
+            _, first, of = np.unique(to, return_index=True, return_inverse=True)
+            root = own[first][of]
+            out.append((root[root != own], own[root != own]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]), pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _compared(work: DataFrame, across: bool = False) -> DataFrame:

@@ -1,26 +1,29 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns find addresses, numbers and so on that are written as usual. The CRF adds spans that are written in other ways
-("jo (at) mail (dot) com", "(030) 555-1234", "10[.]0[.]0[.]7"). It is trained on the small labelled table below: features
-are shapes of a token and its neighbours (letters as a or A, digits as 9, runs shortened), labels are begin and inside of each
-kind, and the weights maximise the likelihood of the table by gradient ascent with the forward-backward sums. Texts are
-decoded by Viterbi over numpy batches of stretches of equal padded length.
-
-A stretch is what lies around words with a digit, ``@`` or a bracketed "at" or "dot", anywhere in the text. Words and stops
-without such a hint near them are O by definition: every span of the table holds one.
-
-Spans of the patterns stay as they are; a CRF span is added where it overlaps none of them and holds the number of digits or
-parts that its kind needs.
-
-Defined cases: a null text counts as empty and has no spans; texts of any length are read whole; repeated rows are read each;
-columns of the input pass through, and one with the output's name is replaced; an empty table gives no rows.
+("jo at mail dot com", "jo (at) mail (dot) com", "(030) 555-1234", "10[.]0[.]0[.]7"). It is trained on the small labelled table below:
+features are shapes of a token and its neighbours (letters as a or A, digits as 9, runs shortened), labels are begin and inside
+of each kind, and the weights maximise the likelihood of the table by gradient ascent with the forward-backward sums.
+
+Every token of every text is read and scored: a slice of texts becomes arrays of shape numbers, and the scores of all labels are
+sums of rows of dense tables. Lines are decoded by Viterbi over numpy batches of equal padded length. Most tokens can be
+settled before: what a label other than O can gain over O, with the best move that leads to it, bounds what a run of such
+labels can gain, and tokens that no run with a gain passes are O on the best way. That is a running sum with its minimum and
+maximum; it changes no label, as the tests show, and nothing but the model says where to look.
+
+Spans of the patterns stay as they are; a CRF span is added where it overlaps none of them and passes an exact check of its kind:
+digits, parts, Luhn, and for addresses an at and a dot, which if both are plain words have to lead to a known top-level name.
+
+Defined cases: a null text counts as empty and has no spans; texts and words of any length are read whole; repeated rows, and rows
+that share an id, are read each; columns of the input pass through, and one with the output's name is replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +86,25 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 #: Marked as {kind|text}. Lines without marks teach what numbers are not personal.
 EXAMPLES = """
 write to {email|jo.brown (at) mail.example.com} today
+mine is {email|jo at mail dot com} thanks
+send to {email|anna dot weber at firma dot de}, please
+ask {email|lee99 at box dot example dot org} about it
+{email|kim at post dot net}
+reach me at {email|max at shop dot fr} or by phone
+old {email|Eva at server dot example dot com} here
+his mail, {email|sam_b at home dot es}, is full
+her {email|nora (at) mail dot com} there
+from {email|pat at post7.example.org} with love
+we met at noon and left at six
+look at the dot on the map
+a red dot at the end of the line
+dot the i and cross the t at last
+he works at home and at sea
+at first, at last, at once
+they arrived at the station at night
+the dot and the dash at sea
+polka dot dress at the ball
+at the top. at the end.
 mail {email|anna.77 (at) mail1 (dot) example (dot) com} or call
 reach me: {email|kim[at]post.example.org}, thanks
 {email|lee_3 [at] box9 [dot] example [dot] net} is mine
@@ -158,6 +180,8 @@ def labelled_table(text: str = EXAMPLES) -> list[tuple[str, list[tuple[int, int,
 # --- The model ------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+#: The same, and blanks, so that every character is in a token.
+_ALL = re.compile(r"[^\W\d_]+|[0-9]+|\s+|\S").findall
 _LABELS = 1 + 2 * len(KINDS)
 
 
@@ -172,45 +196,112 @@ def shape(token: str) -> str:
     return token
 
 
-def _features(shapes: list[str], near: list[bool]) -> list[tuple[str, ...]]:
-    """near: whether a token stands directly at the one before it."""
+_SPACE, _NEAR, _END = range(3)
+
+
+def _features(shapes: list[str], near: list[bool]) -> list[tuple]:
+    """Of each token: tuples of the feature's number and its parts. near: whether a token stands directly at the one before it."""
     s = ["<", "<", *shapes, ">", ">"]
-    g = ["n" if x else "s" for x in near] + ["e"]
-    return [(f"0{s[i]}", f"1{s[i - 1]}{g[i - 2]}{s[i]}", f"2{s[i]}{g[i - 1]}{s[i + 1]}", f"3{s[i - 2]}|{s[i - 1]}|{s[i]}", f"4{s[i]}|{s[i + 1]}|{s[i + 2]}", f"5{s[i - 1]}|{s[i + 1]}", f"6{g[i - 2]}{g[i - 1]}") for i in range(2, len(s) - 2)]
+    g = [_NEAR if x else _SPACE for x in near] + [_END]
+    return [
+        ((0, s[i]), (1, s[i - 1], g[i - 2], s[i]), (2, s[i], g[i - 1], s[i + 1]), (3, s[i - 2], s[i - 1], s[i]), (4, s[i], s[i + 1], s[i + 2]), (5, s[i - 1], s[i + 1]), (6, g[i - 2], g[i - 1]))
+        for i in range(2, len(s) - 2)
+    ]
 
 
-def tokens(text: str) -> tuple[list[tuple[int, int]], list[tuple[str, ...]]]:
+def tokens(text: str) -> tuple[list[tuple[int, int]], list[tuple]]:
+    """Of one line of the labelled table."""
     spans = [m.span() for m in _TOKEN.finditer(text)]
     near = [i > 0 and spans[i - 1][1] == a for i, (a, _) in enumerate(spans)]
     return spans, _features([shape(text[a:b]) for a, b in spans], near)
 
 
+class _Shapes(dict):
+    """Numbers of tokens' shapes, learnt when they are asked for: 0 a shape that the table lacks, 1 and 2 the ends of a line, -1
+    a blank, -2 a blank with the end of a line. Bounded."""
+
+    def __init__(self, names: dict[str, int]):
+        super().__init__()
+        self.names = names
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        n = (-2 if "\n" in token else -1) if token.isspace() else self.names.get(shape(token), 0)
+        self[token] = n
+        return n
+
+
 @dataclass
 class Crf:
-    weights: dict[str, np.ndarray]
-    moves: np.ndarray
-
-    def emission(self, features: tuple[str, ...]) -> np.ndarray:
-        out = np.zeros(_LABELS)
-        for f in features:
-            if (w := self.weights.get(f)) is not None:
-                out = out + w
-        return out
+    """weights: a row of label scores for each feature; moves: from label to label."""
 
-    def decode(self, stretches: list[list[tuple[str, ...]]]) -> list[np.ndarray]:
-        """The likeliest labels of each stretch: Viterbi over batches padded to a common length."""
+    weights: dict[tuple, np.ndarray]
+    moves: np.ndarray
+    dense: tuple | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None}
+
+    def emission(self, features: tuple) -> np.ndarray:
+        return sum((self.weights[f] for f in features if f in self.weights), np.zeros(_LABELS))
+
+    def tables(self) -> tuple[_Shapes, list[np.ndarray]]:
+        """Shapes as numbers, and the weights of each feature by the numbers of its parts."""
+        if self.dense is None:
+            shapes = sorted({x for f in self.weights for x in f[1:] if isinstance(x, str)} - {"<", ">"})
+            number = {x: i for i, x in enumerate(["", "<", ">", *shapes])}
+            n = len(number)
+            sizes = [(n,), (n, 3, n), (n, 3, n), (n, n, n), (n, n, n), (n, n), (3, 3)]
+            tables = [np.zeros((*size, _LABELS)) for size in sizes]
+            for (k, *parts), w in self.weights.items():
+                tables[k][tuple(number[x] if isinstance(x, str) else x for x in parts)] = w
+            self.dense = _Shapes(number), tables
+        return self.dense
+
+    def scores(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens, with two marks at each end of each line: the score of every label, the place and the size (0: a mark)."""
+        shapes, (t0, t1, t2, t3, t4, t5, t6) = self.tables()
+        found = _ALL(text)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        s = np.fromiter(map(shapes.__getitem__, found), np.int64, len(found))
+        at, blank = np.cumsum(size) - size, s < 0
+        row = np.repeat(np.arange(len(s)), np.where(blank, np.where(s == -2, 4, 0), 1))
+        mark = blank[row]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        x = np.concatenate([[1, 1], np.where(mark, np.where(nth < 2, 2, 1), s[row]), [2, 2]])
+        after_blank = np.append(True, blank[:-1])[row] if len(row) else np.empty(0, bool)
+        g = np.concatenate([[_END, _END], np.where(mark, _END, np.where(after_blank, _SPACE, _NEAR)), [_END, _END]])
+        i = np.arange(2, len(x) - 2)
+        x0, left, right, g0, g1 = x[i], x[i - 1], x[i + 1], g[i], g[i + 1]
+        score = t0[x0] + t1[left, g0, x0]
+        score += t2[x0, g1, right]
+        score += t3[x[i - 2], left, x0]
+        score += t4[x0, right, x[i + 2]]
+        score += t5[left, right]
+        score += t6[g0, g1]
+        return score, at[row], np.where(mark, 0, size[row])
+
+    def open_runs(self, score: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Begins and ends of the runs of tokens that may be something else than O on the best way."""
+        enter, leave = self.moves[:, 1:].max(0) - self.moves[0, 0], max(0.0, float((self.moves[1:, 0] - self.moves[0, 0]).max()))
+        gain = (score[:, 1:] + enter).max(1) - score[:, 0]
+        gain[mark] = -1e4
+        upto = np.concatenate([[0.0], np.cumsum(gain)])
+        best = np.maximum.accumulate(upto[:0:-1])[::-1] - np.minimum.accumulate(upto[:-1])  # of all runs that pass here
+        some = (best > -leave - 1e-6) & ~mark
+        return np.flatnonzero(np.diff(np.concatenate([[False], some, [False]]))).reshape(-1, 2)
+
+    def decode(self, stretches: list[np.ndarray]) -> list[np.ndarray]:
+        """The likeliest labels of each stretch of scores, with O around it: Viterbi over batches padded to a common length."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(stretches)
-        memo: dict[tuple[str, ...], np.ndarray] = {}
-        order = sorted((i for i, s in enumerate(stretches) if s), key=lambda i: len(stretches[i]))
+        order = sorted((i for i, s in enumerate(stretches) if len(s)), key=lambda i: len(stretches[i]))
         for k in range(0, len(order), 256):
             batch = order[k : k + 256]
             length = np.array([len(stretches[i]) for i in batch])
             score = np.zeros((len(batch), length[-1], _LABELS))
             for r, i in enumerate(batch):
-                for t, f in enumerate(stretches[i]):
-                    if (e := memo.get(f)) is None:
-                        e = memo[f] = self.emission(f)
-                    score[r, t] = e
+                score[r, : length[r]] = stretches[i]
             best = score[:, 0] + self.moves[0]
             back = np.zeros(score.shape, np.int8)
             ends = best.copy()
@@ -246,7 +337,7 @@ def _allowed() -> np.ndarray:
 
 def fit_crf(table: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 150, rate: float = 0.3, decay: float = 0.02) -> Crf:
     """Full-batch Adagrad on the penalised log-likelihood; O stands before and after every line."""
-    names: dict[str, int] = {}
+    names: dict[tuple, int] = {}
     lines = []
     for text, spans in table:
         at, features = tokens(text)
@@ -290,32 +381,14 @@ def fit_crf(table: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 15
 
 # --- Texts ----------------------------------------------------------------------------------------------------------
 
-_HINT = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]").search
-_WORD = re.compile(r"\S+").finditer
-AROUND = 3
-
-
-def _stretches(text: str) -> list[tuple[int, int]]:
-    """Where the CRF has to look: words with a hint and some words around them, within a line."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        if _HINT(line):
-            words = [m.span() for m in _WORD(line)]
-            hints = [i for i, (a, b) in enumerate(words) if _HINT(line, a, b)]
-            start = end = -1
-            for i in hints:
-                if i - AROUND > end + 1 or start < 0:
-                    if start >= 0:
-                        out.append((at + words[start][0], at + words[end][1]))
-                    start = max(0, i - AROUND)
-                end = min(len(words) - 1, i + AROUND)
-            if start >= 0:
-                out.append((at + words[start][0], at + words[end][1]))
-        at += len(line) + 1
-    return out
-
-
+#: What each of the patterns needs.
+_PLAIN = re.compile(r"[0-9@]").search
 _GROUPS = re.compile(r"[0-9]+").findall
+_AT = re.compile(r"@|[(\[] ?at ?[)\]]", re.I).search
+_DOT = re.compile(r"\.|\bdot\b", re.I).search
+# Top-level names.
+TOP = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "at", "ch", "fr", "es", "it", "nl", "uk", "us", "co", "mx")
+_SPOKEN = re.compile(rf"[\w+-]+(?: dot [\w+-]+)* at [\w-]{{2,}}(?:(?: dot |\.)[\w-]{{2,}})*(?: dot |\.)(?:{'|'.join(TOP)})", re.I).fullmatch
 
 
 def _sound(kind: int, text: str) -> bool:
@@ -323,7 +396,7 @@ def _sound(kind: int, text: str) -> bool:
     groups = _GROUPS(text)
     digits = sum(map(len, groups))
     if kind == 0:
-        return bool(re.search(r"@|[(\[]at[)\]]", text)) and bool(re.search(r"\.|[(\[]dot[)\]]", text)) and len(text) >= 8
+        return len(text) >= 8 and bool(_DOT(text) if _AT(text) else _SPOKEN(text))
     if kind == 1:
         return len(groups) == 4 and all(map(_part, groups))
     if kind == 2:
@@ -332,22 +405,26 @@ def _sound(kind: int, text: str) -> bool:
 
 
 def crf_spans(texts: list[str], model: Crf, found: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """What the CRF adds to the spans found in each text."""
-    where = [(i, a, b) for i, text in enumerate(texts) for a, b in (_stretches(text) if _HINT(text) else ())]
-    read = [tokens(texts[i][a:b]) for i, a, b in where]
+    """What the CRF adds to the spans found in each text. All of the texts are scored, as the lines of one."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (i, a, _), (at, _), labels in zip(where, read, model.decode([f for _, f in read]), strict=True):
-        taken = found[i]
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    score, at, size = model.scores("\n".join(texts))
+    runs = model.open_runs(score, size == 0)
+    for (first, end), labels in zip(runs.tolist(), model.decode([score[a:b] for a, b in runs.tolist()]), strict=True):
+        if not labels.any():
+            continue
+        i = int(np.searchsorted(begins, at[first], side="right")) - 1
+        where, taken = at[first:end] - begins[i], found[i]
         t = 0
         while t < len(labels):
             if y := int(labels[t]):
-                end = t + 1
-                while end < len(labels) and labels[end] == y + y % 2 and labels[end] % 2 == 0:
-                    end += 1
-                span = ((y - 1) // 2, a + at[t][0], a + at[end - 1][1])
+                stop = t + 1
+                while stop < len(labels) and labels[stop] == y + y % 2 and labels[stop] % 2 == 0:
+                    stop += 1
+                span = ((y - 1) // 2, int(where[t]), int(where[stop - 1] + size[first + stop - 1]))
                 if _sound(span[0], texts[i][span[1] : span[2]]) and not any(span[1] < e and s < span[2] for _, s, e in taken):
                     out[i].append(span)
-                t = end
+                t = stop
             else:
                 t += 1
     return out
@@ -366,9 +443,9 @@ def find_pii(docs: DataFrame, model: Crf, text_col: str = "text", out_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.names.index(text_col)).to_pylist()]
-            for a, b in by_size(batch, map(len, texts), 1 << 21):
+            for a, b in by_size(batch, map(len, texts), 1 << 19):
                 own = texts[a:b]
-                base = [pattern_spans(t) if _HINT(t) else [] for t in own]
+                base = [pattern_spans(t) if _PLAIN(t) else [] for t in own]
                 added = crf_spans(own, spread.value, base)
                 spans = [sorted([(k, s, e, True) for k, s, e in x] + [(k, s, e, False) for k, s, e in y]) for x, y in zip(base, added, strict=True)]
                 column = pa.array([[{"kind": k, "start": s, "end": e, "base": f} for k, s, e, f in x] for x in spans], _ARROW)

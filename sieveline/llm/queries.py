@@ -28,11 +28,15 @@ def _written_out(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_pii(docs, fit_crf(labelled_table()), keep_text=False)
     base = F.filter("pii", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.size(_of_kind(base, i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     added = F.size("pii").cast("long") - F.size(base)
     return found.select("doc_id", *counts, F.sha2(_written_out(base), 256).alias("base_sha256"), _written_out(F.col("pii")).alias("spans"), added.alias("n_added"))
 

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from sieveline.llm import bpe, pii_crf, suffix_dedup
-from sieveline.llm.queries import op4_byte_bpe
+from sieveline.llm.queries import op1_pii_crf, op4_byte_bpe
 from sieveline.llm.chat_format import chat_examples, conversation_digest, read_turns
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -166,14 +166,82 @@ def test_viterbi_equals_trying_all(crf):
     e = [crf.emission(f) for f in features]
     score = lambda y: sum(e[i][v] for i, v in enumerate(y)) + crf.moves[0, y[0]] + crf.moves[y[-1], 0] + sum(crf.moves[a, b] for a, b in zip(y, y[1:], strict=False))
     best = max(product(range(len(crf.moves)), repeat=len(features)), key=score)
-    assert tuple(crf.decode([features])[0]) == best
+    assert tuple(crf.decode([np.array(e)])[0]) == best
+
+
+def odd_lines(n, seed):
+    rnd = random.Random(seed)
+    some = ["jo", "Mail", "AT", " at ", " dot ", "(at)", "[dot]", "@", ".", " ", "  ", "\t", "(030)", "555", "-", "1234", "12345678901234", "é", "_", "+", "10", "日本", "com", ",", "the", "ß9"]
+    return ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 14))) for _ in range(n)]
+
+
+def test_all_tokens_are_scored_and_what_is_settled_early_is_the_best_way(crf):
+    lines = odd_lines(3000, 15)
+    score, at, size = crf.scores("\n".join(lines))
+    want = [pii_crf.tokens(t) for t in lines]
+    flat = [crf.emission(f) for _, fs in want for f in fs]
+    assert np.allclose(score[size > 0], np.array(flat))
+    begins = np.cumsum([0, *(len(t) + 1 for t in lines)])
+    assert at[size > 0].tolist() == [b + a for b, (spans, _) in zip(begins.tolist(), want, strict=False) for a, _ in spans]
+    whole = np.concatenate(crf.decode([np.array([crf.emission(f) for f in fs]).reshape(-1, score.shape[1]) for _, fs in want]))
+    runs = crf.open_runs(score, size == 0)
+    got = np.zeros(len(score), np.int64)
+    for (a, b), labels in zip(runs.tolist(), crf.decode([score[a:b] for a, b in runs.tolist()]), strict=True):
+        got[a:b] = labels
+    assert (got[size > 0] == whole).all() and whole.any()
+
+
+def hidden(rnd):
+    """Personal data written in unusual ways: not the lines of the labelled table."""
+    name, host, top = rnd.choice(["tom", "mia", "lea.b", "ug77", "Ana"]), rnd.choice(["post3", "acme", "mail", "kontor"]), rnd.choice(["com", "org", "de", "net"])
+    digits = lambda n: "".join(str(rnd.randint(0, 9)) for _ in range(n))
+    return rnd.choice(
+        [
+            f"{name} (at) {host}.example.{top}", f"{name}[at]{host}[dot]{top}", f"{name.replace('.', ' dot ')} at {host} dot {top}", f"{name} at {host} dot example dot {top}", f"{name} @ {host}.{top}",
+            f"({digits(3)}) 555-{digits(4)}", f"1-800-555-{digits(4)}", f"{rnd.randint(1, 223)}[.]{rnd.randint(0, 255)}[.]{rnd.randint(0, 255)}[.]{rnd.randint(0, 255)}",
+        ]
+    )
+
+
+def test_hidden_data_is_found_and_prose_left_alone(spark, crf):
+    """Recall and precision of what the CRF adds to whole documents."""
+    rnd = random.Random(16)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").orderBy("doc_id").collect()]
+    before = sum(map(len, pii_crf.crf_spans(texts, crf, [pii_crf.pattern_spans(t) for t in texts])))
+    put = right = added = 0
+    for k in range(0, len(texts), 3):
+        words = texts[k].split(" ")
+        at = rnd.randint(0, len(words))
+        own = hidden(rnd)
+        left = " ".join([*words[:at], ""])
+        text = left + own + " " + " ".join(words[at:])
+        found = pii_crf.crf_spans([text], crf, [pii_crf.pattern_spans(text)])[0]
+        put, added = put + 1, added + len(found)
+        right += any(a < len(left) + len(own) and len(left) < b for _, a, b in found)
+    assert right / put >= 0.9
+    assert right / added >= 0.9
+    assert before <= len(texts) / 50
+
+
+def test_pii_query_equals_the_plain_patterns(spark):
+    got = {r.doc_id: r for r in op1_pii_crf(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    written = lambda spans: ",".join(f"{pii_crf.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    for r in rows:
+        base, own = plain_spans(r.text or ""), got[r.doc_id]
+        assert [own[f"n_{k}"] for k in pii_crf.KINDS] == [sum(x == i for x, _, _ in base) for i in range(4)]
+        assert own.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
+        spans = [tuple(x.split(":")) for x in own.spans.split(",") if x]
+        assert spans == sorted(spans, key=lambda x: (pii_crf.KINDS.index(x[0]), int(x[1]), int(x[2])))
+        assert set(filter(None, written(base).split(","))) <= set(own.spans.split(",")) and len(spans) == len(base) + own.n_added
 
 
 def test_pii_on_spark(spark, crf):
-    texts = [None, "", "mail a@b.co " * 3, "é a@b.co", "x" * 100_000]
+    texts = [None, "", "mail a@b.co " * 3, "é a@b.co", "x" * 100_000, "9" * 200_000, "a1" * 100_000, "write to jo at mail dot com today.\n" * 2, "write to jo at mail dot com today.\n" * 2]
     docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, Pii string")
     got = {r.doc_id: r for r in pii_crf.find_pii(docs, crf).collect()}
-    assert [len(got[i].pii) for i in range(5)] == [0, 0, 3, 1, 0]
+    assert [len(got[i].pii) for i in range(9)] == [0, 0, 3, 1, 0, 0, 0, 2, 2]
     assert (got[3].pii[0].start, got[3].pii[0].end, got[3].pii[0].base) == (2, 8, True)
     assert pii_crf.find_pii(docs.filter("false"), crf).count() == 0
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -55,12 +55,14 @@ def by_name(name: Column, values: dict[str, float], otherwise: float = 1.0) -> C
     return chosen([(name == k, v) for k, v in values.items()], otherwise)
 
 
-def additive_dimensions(text: Column, category: Column, edition: Additive = LONG) -> dict[str, Column]:
-    low, bare, n = F.lower(text), stripped(text), F.char_length(text)
+def additive_dimensions(text: Column, category: Column, edition: Additive = LONG, low: Column | None = None, bare: Column | None = None) -> dict[str, Column]:
+    """low, bare: the lower-cased and the stripped text, where they are at hand."""
+    low, bare, n = F.lower(text) if low is None else low, stripped(text) if bare is None else bare, F.char_length(text)
     density = entity_count(text) / F.greatest(n / 100, F.lit(1.0))
     hedges = count_of(low, edition.hedges)
     middle = [((n >= 200) & (n <= 2000), 1.0), (n > 5000, 0.5)]
-    opens = reduce(lambda a, b: a | b, [bare.rlike(f"(?iud){p}") for p in edition.openings])
+    #: One pattern with the anchor in front is tried at the start of the text only.
+    opens = bare.rlike("(?iud)^(?:" + "|".join(f"(?:{p.removeprefix('^')})" for p in edition.openings) + ")")
     return {
         "type": chosen([(any_of(low, parts), score) for score, parts in edition.types], fixed.TYPE_ELSE),
         "length": chosen([*[(n < cut, score) for cut, score in edition.lengths], *middle], 0.8),
@@ -71,28 +73,56 @@ def additive_dimensions(text: Column, category: Column, edition: Additive = LONG
     }
 
 
-def _silences(text: Column) -> list[tuple[Column, float, float]]:
-    """(test, score, length dimension) of texts that say nothing, in order; the empty text is a filler."""
-    bare = stripped(text)
+#: Score and length dimension of texts that say nothing, by the number of their test.
+_SILENCES = ((0.3, 0.1), (0.2, 0.2), (0.25, 0.3), (0.2, 0.2))
+
+
+def silence(bare: Column) -> Column:
+    """The number of the first test that the stripped text meets, or null; the empty text is a filler."""
     n = F.char_length(bare)
-    return [
-        (bare.isin(*fixed.GREETINGS) | F.regexp_replace(bare, "[.!]+$", "").isin(*fixed.GREETINGS), 0.3, 0.1),
-        ((n <= 5) & bare.rlike(f"^[{fixed.FILLERS}]*$"), 0.2, 0.2),
-        ((n >= 3) & bare.rlike(f"^[{fixed.DOTS}]+$"), 0.25, 0.3),
-        ((n >= 3) & bare.rlike(r"(?s)^(.)\1+$"), 0.2, 0.2),
+    tests = [
+        bare.isin(*fixed.GREETINGS) | ((n <= 40) & F.regexp_replace(bare, "[.!]+$", "").isin(*fixed.GREETINGS)) | bare.rlike(f"^(?:{'|'.join(fixed.GREETINGS)})[.!]+$"),
+        (n <= 5) & bare.rlike(f"^[{fixed.FILLERS}]*$"),
+        (n >= 3) & bare.rlike(f"^[{fixed.DOTS}]+$"),
+        (n >= 3) & bare.rlike(r"(?s)^(.)\1+$"),
     ]
+    return F.coalesce(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)])
 
 
-def additive_score(text: Column, category: Column, edition: Additive = LONG) -> tuple[Column, dict[str, Column]]:
-    """The score, and its dimensions."""
-    dims = additive_dimensions(text, category, edition)
+def _combined(dims: dict[str, Column], quiet: Column | None, edition: Additive) -> tuple[Column, dict[str, Column]]:
     total = reduce(lambda a, b: a + b, [dims[k] * F.lit(w) for k, w in zip(DIMENSIONS, edition.weights, strict=True)])
-    if edition.short_circuits:
-        silent = _silences(text)
-        some = reduce(lambda a, b: a | b, [test for test, _, _ in silent])
-        total = F.when(some, chosen([(t, s) for t, s, _ in silent], 0.0)).otherwise(total)
-        dims = {k: F.when(some, chosen([(t, x) for t, _, x in silent], 0.0) if k == "length" else F.lit(_SILENT[k])).otherwise(v) for k, v in dims.items()}
-    return total, dims
+    if quiet is None:
+        return total, dims
+    by = lambda place: chosen([(quiet == i, x[place]) for i, x in enumerate(_SILENCES)], 0.0)
+    return F.when(quiet.isNotNull(), by(0)).otherwise(total), {k: F.when(quiet.isNotNull(), by(1) if k == "length" else F.lit(_SILENT[k])).otherwise(v) for k, v in dims.items()}
+
+
+def additive_score(text: Column, category: Column, edition: Additive = LONG) -> tuple[Column, dict[str, Column]]:
+    """The score, and its dimensions, as columns. Over a table ``with_additive`` computes what they share once."""
+    return _combined(additive_dimensions(text, category, edition), silence(stripped(text)) if edition.short_circuits else None, edition)
+
+
+def with_additive(df: DataFrame, text: str = "content", category: str = "category", edition: Additive = LONG, out: str = "quality", dimensions: bool = False) -> DataFrame:
+    """``df`` with the score, and with dimensions its parts as d_*.
+
+    What several parts read (the stripped and the lower-cased text), and the parts that the total reads, are structs that come out
+    of generators of one row: Spark doesn't paste their expressions into each place that reads them.
+    """
+    one, two = (_free(df, k) for k in ("__texts", "__parts"))
+    t = F.col(f"`{text}`")
+    rows = df.select("*", F.explode(F.array(F.struct(F.lower(t).alias("low"), stripped(t).alias("bare")))).alias(one))
+    dims = additive_dimensions(t, F.col(f"`{category}`"), edition, F.col(one)["low"], F.col(one)["bare"])
+    quiet = silence(F.col(one)["bare"]) if edition.short_circuits else F.lit(None).cast("int")
+    rows = rows.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array(F.struct(*[c.alias(k) for k, c in dims.items()], quiet.alias("quiet")))).alias(two))
+    total, dims = _combined({k: F.col(two)[k] for k in DIMENSIONS}, F.col(two)["quiet"] if edition.short_circuits else None, edition)
+    more = [c.alias(f"d_{k}") for k, c in dims.items()] if dimensions else []
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != out], total.alias(out), *more)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def stub_score(text: Column) -> Column:

@@ -24,7 +24,8 @@ def count_of(text: Column, parts: list[str] | tuple[str, ...]) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    """Without blanks at both ends. A run of blanks is tried once, from its start, which keeps this linear."""
+    return F.regexp_replace(text, f"^{BLANK}++|(?<!{BLANK}){BLANK}++$", "")
 
 
 # --- Tokens ---

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .ranking import ranked
+from .vector import ranks_among, vector_search
 
 
 def rrf(*lists: DataFrame, k: int = 60, first: int = 1) -> DataFrame:
@@ -28,6 +30,19 @@ def weighted_rrf(vector: DataFrame, lexical: DataFrame, alpha: float, k: int = 6
     return both.select("query_id", "doc_id", (F.lit(alpha) / (k + F.col("rv")) + F.lit(1 - alpha) / (k + F.col("rl"))).alias("score"))
 
 
+def weighted_rrf_search(docs: DataFrame, queries: DataFrame, alpha: float, k: int = 60, top: int = 10, first: str = "cosine", second: str = "l2") -> DataFrame:
+    """The best of ``weighted_rrf`` over the complete rankings of all rows by two metrics, without making these.
+
+    The best ``top`` of the list with the larger weight have that weight / (k + top) at least. A row outside the first ``depth`` of
+    both lists has 1 / (k + depth + 1) at most, which is less. So only the first ``depth`` of each list can win; the place of each
+    of them in the other list is counted.
+    """
+    depth = int((k + top) / max(alpha, 1 - alpha)) - k + 1
+    lists = {m: vector_search(docs, queries, depth, m) for m in (first, second)}
+    wanted = written(lists[first].select("query_id", "doc_id").unionByName(lists[second].select("query_id", "doc_id")).distinct(), "wanted")
+    return ranked(weighted_rrf(ranks_among(docs, queries, wanted, first), ranks_among(docs, queries, wanted, second), alpha, k), top)
+
+
 def linear_blend(vector: DataFrame, lexical: DataFrame, alpha: float) -> DataFrame:
     """alpha times the one score and 1 - alpha times the other; a missing score is 0."""
     v = vector.select("query_id", "doc_id", (F.lit(alpha) * F.col("score")).alias("score"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import any_of, blank_tokens, overlap
+from ..sources.shared import written
 from .ranking import ranked
 
 # Okapi BM25.
@@ -17,7 +18,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Bm25Index:
-    """tokens: (doc_id, tokens, dl); terms: (term, idf). Both stay distributed."""
+    """tokens: (doc_id, dl, tokens), a written table; terms: (term, idf). Both stay distributed."""
 
     tokens: DataFrame
     terms: DataFrame
@@ -26,16 +27,44 @@ class Bm25Index:
 
 
 def bm25_index(docs: DataFrame, tokens: Column, ident: str = "doc_id") -> Bm25Index:
-    """A negative idf (a term of more than half the documents) becomes EPSILON times the mean idf before the repair."""
-    rows = docs.select(F.col(ident).alias("doc_id"), tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+    """Texts are cut into tokens once; counts, frequencies and scores read the written tokens."""
+    return indexed(written(docs.select(F.col(ident).alias("doc_id"), tokens.alias("tokens")).select("doc_id", F.size("tokens").alias("dl"), "tokens"), "tokens"))
+
+
+def indexed(rows: DataFrame) -> Bm25Index:
+    """An index over (doc_id, dl, tokens).
+
+    A negative idf (a term of more than half the documents) becomes EPSILON times the mean idf before the repair.
+    """
     size = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     df = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.withColumn("raw", F.log(F.lit(size.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    terms = written(df.select("term", (F.log(F.lit(size.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "terms")
     mean = terms.agg(F.avg("raw").alias("m")).first().m or 0.0
     terms = terms.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
     return Bm25Index(rows, terms, size.n, size.avgdl or 0.0)
 
 
+def changed(index: Bm25Index, added: DataFrame | None = None, tokens: Column | None = None, removed: DataFrame | None = None, ident: str = "doc_id") -> Bm25Index:
+    """The index without the ``removed`` ids, then with the ``added`` documents; only these are cut into tokens.
+
+    An id that is there already is replaced: its old tokens go.
+    """
+    rows = index.tokens if removed is None else index.tokens.join(removed.select(F.col(ident).alias("doc_id")).distinct(), "doc_id", "left_anti")
+    if added is not None:
+        new = added.select(F.col(ident).alias("doc_id"), tokens.alias("tokens")).select("doc_id", F.size("tokens").alias("dl"), "tokens")
+        rows = rows.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
+    return indexed(written(rows, "tokens"))
+
+
+def saved(index: Bm25Index, path: str) -> None:
+    """The tokens as a Parquet table, from which ``loaded`` makes the index again."""
+    index.tokens.write.mode("overwrite").parquet(path)
+
+
+def loaded(spark: SparkSession, path: str) -> Bm25Index:
+    return indexed(spark.read.parquet(path))
+
+
 def bm25_scores(index: Bm25Index, queries: DataFrame, tokens: Column, ident: str = "query_id") -> DataFrame:
     """(query_id, doc_id, score) of documents that share a term with the query; repeated query terms count again.
 

@@ -1,4 +1,4 @@
-"""Vector retrieval: a stated set of queries against all rows, in blocks; an inverted-file index; pairs above a threshold."""
+"""Vector retrieval: a stated set of queries against all rows, in blocks; ranks without rankings; an inverted-file index; pairs above a threshold."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine, dot, squared_distance
+from ..sources.shared import written
 from .ranking import ranked
 
 METRICS = ("cosine", "dot", "l2")
@@ -18,65 +20,126 @@ METRICS = ("cosine", "dot", "l2")
 
 def _scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     """Higher is better: for l2 the negative distance. A zero vector has no cosine."""
-    if metric == "l2":
-        return -np.sqrt(np.maximum(((q[:, None, :] - d[None, :, :]) ** 2).sum(2), 0))
     s = q @ d.T
+    if metric == "l2":
+        return -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (d**2).sum(1)[None, :] - 2 * s, 0))
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
             s = s / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(d, axis=1)[None, :]
     return s
 
 
+def _exact(q: np.ndarray, d: np.ndarray, s: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of pairs of rows; the expanded square of a small distance is coarse, so distances are taken again."""
+    return -np.sqrt(((q - d) ** 2).sum(1)) if metric == "l2" else s
+
+
 def _doubles(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def vector_search(docs: DataFrame, queries: DataFrame, k: int = 50, metric: str = "cosine", skip_self: bool = False, block: int = 512, places: int = 9) -> DataFrame:
-    """docs: (doc_id, v); queries: (query_id, v). The exact best k of each query.
+#: Queries of a group, rows of a group, and rows that are scored at a time.
+QUERY_BLOCK, ROW_BLOCK, STEP = 1024, 1 << 14, 2048
+
+
+def _blocks(docs: DataFrame, queries: DataFrame, query_block: int, row_block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to groups (i, j): a block of rows and a block of the stated queries."""
+    docs, queries = docs.filter("v is not null"), queries.filter("v is not null")
+    n, m = docs.count(), queries.count()
+    rows, asks = max(1, -(-n // row_block)), max(1, -(-m // query_block))
+    left = docs.select("doc_id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("doc_id"), F.lit(rows)).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    right = queries.withColumn("v", F.col("v").cast("array<double>")).withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    return left, right
+
+
+def _best(s: np.ndarray, ids: np.ndarray, k: int, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) of the best k of each query by rounded score, then id; scores that are not numbers don't count."""
+    r = np.where(np.isnan(s), -np.inf, np.round(s, places))
+    n = r.shape[1]
+    least = np.partition(r, n - k, axis=1)[:, n - k] if k < n else np.full(len(r), -np.inf)
+    q, d = np.nonzero((r >= least[:, None]) & (r > -np.inf))
+    order = np.lexsort((ids[d], -r[q, d], q))
+    q, d = q[order], d[order]
+    nth = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[nth < k], d[nth < k]
+
 
-    The queries are a stated set: they are read block by block on the driver and sent to the tasks, each of which keeps its
-    own best k of a query; only those are shuffled. Null vectors are skipped.
+def vector_search(docs: DataFrame, queries: DataFrame, k: int = 50, metric: str = "cosine", skip_self: bool = False, block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK, places: int = 9) -> DataFrame:
+    """docs: (doc_id, v); queries: (query_id, v), with skip_self also own, the doc_id that a query leaves out. The exact best k of each.
+
+    The queries are a stated set, held against all rows: blocks of queries meet blocks of rows, each pair in one group of
+    bounded size, which returns its own best k of a query; only those go on. Nothing passes through the driver. Null vectors are
+    skipped.
     """
-    found = None
-    asked = [(r.query_id, r.v) for r in queries.filter("v is not null").orderBy("query_id").toLocalIterator()]
-    for at in range(0, max(len(asked), 1), block):
-        ids = np.array([i for i, _ in asked[at : at + block]], np.int64)
-        q = np.array([v for _, v in asked[at : at + block]], np.float64).reshape(len(ids), -1)
-
-        def run(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            best = None
-            for pdf in batches:
-                if pdf.empty or not len(ids):
-                    continue
-                d = pdf["doc_id"].to_numpy()
-                s = _scores(q, _doubles(pdf["v"]), metric)
-                own = pd.DataFrame({"query_id": np.repeat(ids, len(d)), "doc_id": np.tile(d, len(ids)), "score": s.ravel()}).dropna(subset=["score"])
-                if skip_self:
-                    own = own[own.query_id != own.doc_id]
-                best = own if best is None else pd.concat([best, own])
-                best["r"] = best["score"].round(places)
-                best = best.sort_values(["query_id", "r", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best[["query_id", "doc_id", "score"]]
-
-        part = docs.filter("v is not null").select("doc_id", "v").mapInPandas(run, "query_id long, doc_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    queries = queries.select("query_id", "v", "own") if skip_self else queries.select("query_id", "v")
+    left, right = _blocks(docs, queries, block, row_block)
+
+    def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        best = pd.DataFrame({"query_id": [], "doc_id": [], "score": []}).astype({"query_id": "int64", "doc_id": "int64"})
+        if rows.empty or asks.empty:
+            return best
+        q = _doubles(asks["v"])
+        for at in range(0, len(rows), STEP):
+            some = rows.iloc[at : at + STEP]
+            ids, d = some["doc_id"].to_numpy(), _doubles(some["v"])
+            s = _scores(q, d, metric)
+            if skip_self:
+                s[asks["own"].to_numpy()[:, None] == ids[None, :]] = np.nan
+            x, y = _best(s, ids, k + 16, places - 2)  # some more, as expanded squares are coarse
+            new = pd.DataFrame({"query_id": asks["query_id"].to_numpy()[x], "doc_id": ids[y], "score": _exact(q[x], d[y], s[x, y], metric)})
+            best = pd.concat([best, new])
+            best["r"] = best["score"].round(places)
+            best = best.sort_values(["query_id", "r", "doc_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        return best[["query_id", "doc_id", "score"]]
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "query_id long, doc_id long, score double")
     return ranked(found, k, places)
 
 
-def ivf_search(docs: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 4, sample: int = 20_000, seed: int = 1) -> DataFrame:
+def ranks_among(docs: DataFrame, queries: DataFrame, wanted: DataFrame, metric: str, places: int = 9) -> DataFrame:
+    """(query_id, doc_id, rank) of the wanted pairs (query_id, doc_id) in the complete ranking of all rows, which is never made.
+
+    Each group of a block of rows counts how many of them come before a wanted one; the counts add up. Pairs without a score
+    have no rank.
+    """
+    pair = wanted.select("query_id", "doc_id").distinct().join(queries.select("query_id", F.col("v").alias("q")), "query_id").join(docs.select("doc_id", "v"), "doc_id")
+    score = cosine(F.col("q"), F.col("v")) if metric == "cosine" else dot(F.col("q"), F.col("v")) if metric == "dot" else -F.sqrt(squared_distance(F.col("q"), F.col("v")))
+    pair = pair.select("query_id", "doc_id", score.alias("score")).filter("score is not null")
+    asks = pair.groupBy("query_id").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("score").alias("scores"))  # as many as are wanted of a query
+    left, right = _blocks(docs, queries.select("query_id", "v").join(asks, "query_id"), QUERY_BLOCK // 8, ROW_BLOCK)
+
+    def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(asks):
+            ids, d = rows["doc_id"].to_numpy(), _doubles(rows["v"])
+            for query_id, v, own, scores in zip(asks["query_id"], asks["v"], asks["ids"], asks["scores"], strict=True):
+                q, own = np.array(v, np.float64)[None, :], np.array(own, np.int64)
+                s = np.round(_exact(q, d, _scores(q, d, metric)[0], metric), places)
+                s, names = s[~np.isnan(s)], ids[~np.isnan(s)]
+                order = np.lexsort((names, -s))
+                s, names, r = -s[order], names[order], -np.round(np.array(scores), places)
+                first, last = np.searchsorted(s, r), np.searchsorted(s, r, "right")
+                ahead = first + [int((names[a:b] < i).sum()) for a, b, i in zip(first, last, own, strict=True)]
+                out.append(pd.DataFrame({"query_id": query_id, "doc_id": own, "ahead": ahead}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "ahead": []}).astype("int64")
+
+    counts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "query_id long, doc_id long, ahead long")
+    return counts.groupBy("query_id", "doc_id").agg((F.sum("ahead") + 1).alias("rank"))
+
+
+def ivf_search(docs: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None, probes: int = 4, sample: int = 20_000, seed: int = 1) -> DataFrame:
     """The exact best k by cosine: k-means cells are fitted on a bounded sample, every row is put in a cell, and a query looks
     into its ``probes`` nearest cells, then into each other cell that may hold a better row than its k-th so far.
 
-    The angle between a query and any row of a cell is at least that to the centre less that of the cell's farthest row.
+    The angle between a query and any row of a cell is at least that to the centre less that of the cell's farthest row. cells:
+    by default the root of the number of rows, 16 at least and 1024 at most.
     """
+    cells = cells or int(min(1024, max(16, docs.count() ** 0.5)))
     unit = lambda df, i: df.filter("v is not null").select(i, F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("f", array_to_vector("v"))
     rows = unit(docs, "doc_id")
     drawn = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(sample)
     model = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell", distanceMeasure="cosine", maxIter=10).fit(drawn)
     centres = np.array(model.clusterCenters())
-    from ..functions.vectors import cosine
-
     placed = model.transform(rows).select("doc_id", "v", "cell")
     table = docs.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, c array<double>")
     reach = np.zeros(len(centres))
@@ -103,15 +166,51 @@ def ivf_search(docs: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16
     return ranked(best.unionByName(hits(open_.select("query_id", "q", "cell"))), k)
 
 
-def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000) -> DataFrame:
-    """(a, b, similarity), a < b, of all pairs of rows (id, v) with a cosine above the threshold.
+def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000, most_cells: int = 1024) -> DataFrame:
+    """(a, b, similarity), a < b, of all pairs of rows (id, v) with a cosine above the threshold. Exact.
 
-    Exact, so quadratic in the work: rows are dealt to blocks and each pair of blocks is compared by one matrix product.
+    Rows belong to the cell of the nearest of some of them (those of the lowest hash). A row meets another cell only if its
+    angle to the cell's centre, less that of the cell's farthest row, allows a cosine above the threshold; what is left out can't
+    hold a pair. Cells beyond ``block_rows`` are cut, and each pair of blocks that meets is one group. Centres, which the driver
+    sees, are ``most_cells`` at most.
     """
-    rows = rows.filter("v is not null")
-    blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.filter("v is not null").select("id", F.col("v").cast("array<double>").alias("v")).filter(F.exists("v", lambda x: x != 0))
+    cells = min(most_cells, max(1, -(-rows.count() // block_rows)))
+    limit = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-9
+    chosen = [r.v for r in rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(cells).collect()]
+    if not chosen:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+    centres = np.array(chosen)
+
+    def angles(v: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(_scores(v, centres, "cosine"), -1, 1))
+
+    def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                own = angles(_doubles(pdf["v"]))
+                yield pdf.assign(cell=own.argmin(1).astype("int32"), angle=own.min(1))
+
+    placed = written(rows.mapInPandas(assigned, "id long, v array<double>, cell int, angle double"), "cells")
+    reach, parts = np.zeros(len(centres)), np.ones(len(centres), np.int64)
+    for r in placed.groupBy("cell").agg(F.max("angle").alias("reach"), F.count("*").alias("n")).collect():
+        reach[r.cell], parts[r.cell] = r.reach, -(-r.n // block_rows)
+    first = np.concatenate([[0], np.cumsum(parts)])  # of each cell's blocks
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                some = pdf.iloc[at : at + 256]
+                own = angles(_doubles(some["v"])) - reach[None, :] <= limit
+                cell = some["cell"].to_numpy()
+                own[np.arange(len(some)), cell] = True
+                block = first[cell] + some["part"].to_numpy() % parts[cell]
+                r, c = np.nonzero(own)
+                other = np.concatenate([np.arange(first[x], first[x + 1]) for x in c])
+                r = np.repeat(r, parts[c])
+                yield pd.DataFrame({"id": some["id"].to_numpy()[r], "v": [some["v"].iloc[x] for x in r], "own": block[r], "i": np.minimum(block[r], other), "j": np.maximum(block[r], other)})
+
+    work = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("part")).mapInPandas(dealt, "id long, v array<double>, own long, i long, j long")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
@@ -124,4 +223,4 @@ def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000) -> Da
         keep = a < b if same else np.ones(len(a), bool)
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[x, y][keep]})
 
-    return dealt.groupBy("i", "j").applyInPandas(run, "a long, b long, similarity double")
+    return work.groupBy("i", "j").applyInPandas(run, "a long, b long, similarity double")

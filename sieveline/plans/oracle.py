@@ -45,7 +45,7 @@ MEM = f"""mem AS (SELECT doc_id AS id, coalesce(text, '') AS content, lang, sour
   ['code', 'knowledge', 'event', 'conversation', 'noise'][doc_id % 5 + 1] AS type,
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS person, doc_id % 2 = 0 AS has_metadata FROM documents)"""
 ITEMS = "items AS (SELECT item_id AS query_id, text FROM benchmark)"
-VEC = "vec AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embeddings), asked AS (SELECT doc_id AS query_id, v, label FROM vec WHERE doc_id < 40)"
+VEC = "vec AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label FROM embeddings), asked AS (SELECT doc_id // 100 AS query_id, doc_id AS own, v, label FROM vec WHERE doc_id % 100 = 0)"
 WORDS = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')"
 CHARS = r"list_filter(string_split(replace(regexp_replace({t}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), ' ', ''), ''), lambda x: x <> '')"
 
@@ -63,8 +63,7 @@ scored AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.
   FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN tok USING (doc_id), stat GROUP BY query_id, doc_id)"""
 
 
-FEW = "few AS (SELECT * FROM items WHERE query_id < 40)"
-WORD_BM25 = f"{MEM}, {ITEMS}, {FEW}, {bm25(WORDS, 'few')}"
+WORD_BM25 = f"{MEM}, {ITEMS}, {bm25(WORDS)}"
 
 
 def top(rows: str, k: int | None, cols: str = "query_id, doc_id, score") -> str:
@@ -78,7 +77,7 @@ L2 = "-list_distance(q.v, d.v)"
 
 
 def near(score: str, k: int | None, self: bool) -> str:
-    where = "" if self else "WHERE q.query_id <> d.doc_id"
+    where = "" if self else "WHERE q.own <> d.doc_id"
     return top(f"(SELECT query_id, doc_id, {score} AS score FROM asked q CROSS JOIN vec d {where})", k)
 
 
@@ -170,6 +169,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, round(quality, 6) AS quality,
 SQL["bm25_word_top50"] = f"WITH {WORD_BM25}, {LEX} {RANKED} lex"
 SQL["bm25_char_top20"] = f"WITH {MEM}, {ITEMS}, {bm25(CHARS)} {RANKED} ({top('(SELECT * FROM scored WHERE score > 0)', 20)})"
 SQL["cosine_topk"] = f"WITH {VEC}, {NEAR} {RANKED} near"
+SQL["ivf_topk"] = f"WITH {VEC} {RANKED} ({near(COSINE, 10, True)})"
 SQL["dot_topk"] = f"WITH {VEC} {RANKED} ({near('list_dot_product(q.v, d.v)', 10, True)})"
 SQL["l2_topk"] = f"WITH {VEC} {RANKED} ({near(L2, 10, True)})"
 
@@ -180,13 +180,13 @@ def rrf(first: int, a: str = "lex", b: str = "near") -> str:
 
 SQL["rrf_one_based"] = f"{BOTH} {RANKED} ({top(rrf(1), 20)})"
 SQL["rrf_zero_based"] = f"{BOTH} {RANKED} ({top(rrf(0), 20)})"
-SQL["rrf_or_vector"] = f"""{BOTH}, even AS (SELECT * FROM lex WHERE query_id % 2 = 0), has AS (SELECT DISTINCT query_id FROM even),
-u AS (SELECT * FROM {rrf(0, "(SELECT * FROM near WHERE query_id IN (SELECT query_id FROM has))", "even")}
+SQL["rrf_or_vector"] = f"""{BOTH}, has AS (SELECT DISTINCT query_id FROM lex),
+u AS (SELECT * FROM {rrf(0, "(SELECT * FROM near WHERE query_id IN (SELECT query_id FROM has))", "lex")}
   UNION ALL SELECT query_id, doc_id, score FROM near WHERE query_id NOT IN (SELECT query_id FROM has))
 {RANKED} ({top("u", 10)})"""
 SQL["rrf_weighted_full"] = f"""WITH {VEC}, a AS ({near(COSINE, None, False)}), b AS ({near(L2, None, False)}),
 w AS (SELECT query_id, doc_id, 0.7::DOUBLE / (60 + a.rank) + 0.3::DOUBLE / (60 + b.rank) AS score FROM a JOIN b USING (query_id, doc_id))
-{RANKED} ({top("w", 10)})""".replace("WHERE q.query_id <> d.doc_id", "")
+{RANKED} ({top("w", 10)})""".replace("WHERE q.own <> d.doc_id", "")
 
 
 def blend(alpha: float) -> str:
@@ -200,7 +200,7 @@ w AS (SELECT query_id, doc_id, score * (0.5 + 0.5 * quality) AS score FROM fused
 {RANKED} ({top("w", 5)})"""
 SQL["rerank_embedding_quality"] = f"""WITH {VEC}, {NEAR}, {MEM}, {MULT},
 w AS (SELECT n.query_id, n.doc_id, n.score * coalesce(m.quality, 0.5) AS score, round(coalesce(m.quality, 0.5), 6) AS quality
-  FROM near n LEFT JOIN (SELECT * FROM mult WHERE id % 3 <> 0) m ON m.id = n.doc_id WHERE rank <= 20)
+  FROM near n LEFT JOIN mult m ON m.id = n.doc_id WHERE rank <= 20)
 SELECT query_id, doc_id, round(score, 6) AS score, quality, rank FROM ({top("w", 10, "query_id, doc_id, score, quality")})"""
 BLANKS = f"list_distinct(list_filter(regexp_split_to_array(lower({{t}}), '{BLANK}+'), lambda x: x <> ''))"
 
@@ -223,7 +223,7 @@ r AS (SELECT query_id, list_filter([{", ".join(f"CASE WHEN {any_of('low', parts)
 d AS (SELECT query_id, CASE WHEN len(dirs) = 0 THEN ['/agent/memories'] ELSE dirs END AS dirs FROM r)
 SELECT query_id, unnest(range(len(dirs))) AS place, unnest(dirs) AS path FROM d"""
 SQL["keyword_overlap"] = f"""WITH {MEM}, {ITEMS},
-own AS (SELECT id AS doc_id, '/agent/' || category AS path, {BLANKS.replace("{t}", OVERVIEW)} AS ws FROM mem),
+own AS (SELECT id AS doc_id, '/' || category AS path, {BLANKS.replace("{t}", OVERVIEW)} AS ws FROM mem),
 q AS (SELECT query_id, {BLANKS.replace("{t}", "'memory skill ' || text")} AS ws, lower('memory skill ' || text) AS low FROM items),
 r AS (SELECT query_id, ws, unnest(list_filter([{", ".join(f"CASE WHEN {any_of('low', parts)} THEN {lit(path)} END" for path, parts in fixed.ROUTES)}], lambda x: x IS NOT NULL)) AS path,
   unnest(range(len(list_filter([{", ".join(f"CASE WHEN {any_of('low', parts)} THEN {lit(path)} END" for path, parts in fixed.ROUTES)}], lambda x: x IS NOT NULL)))) AS pos FROM q),
@@ -278,7 +278,7 @@ SQL["noise_accuracy"] = f"WITH {MEM}, {ACCURACY} SELECT n, round(accuracy, 6) AS
 
 # --- Evaluation -------------------------------------------------------------------------------------------------------
 
-LABEL_RELS = "rel AS (SELECT query_id, doc_id FROM asked JOIN vec USING (label) WHERE query_id <> doc_id)"
+LABEL_RELS = "rel AS (SELECT query_id, doc_id FROM asked JOIN vec USING (label) WHERE own <> doc_id)"
 
 
 def report(ranking: str, ks: tuple[int, ...] = (1, 5, 10)) -> str:
@@ -319,7 +319,7 @@ f AS (SELECT avg(x) FILTER (NOT old) - avg(x) FILTER (old) AS mc, var_pop(x) FIL
 SELECT t AS total, round(mn, 6) AS mean_norm, round(sn, 6) AS std_norm, round(n, 6) AS centroid_norm, round(s, 6) AS centroid_shift, round(cs, 6) AS centroid_cosine,
   round(mc, 6) + 0.0::DOUBLE AS mean_change, round(vc, 6) + 0.0::DOUBLE AS variance_change, CASE WHEN cs < 0.95 THEN 'HIGH' WHEN cs < 0.98 THEN 'MODERATE' ELSE 'LOW' END AS level FROM k, m, f"""
 SQL["text_match"] = f"""WITH {WORD_BM25}, {LEX}, got AS (SELECT query_id, rank, md5(content) AS t FROM lex JOIN mem ON id = doc_id WHERE rank <= 10),
-want AS (SELECT DISTINCT query_id, lower(t) AS t FROM (SELECT query_id, t FROM got WHERE rank IN (2, 5) UNION ALL SELECT query_id, text FROM few)),
+want AS (SELECT DISTINCT query_id, lower(t) AS t FROM (SELECT query_id, t FROM got WHERE rank IN (2, 5) UNION ALL SELECT query_id, text FROM items)),
 g AS (SELECT query_id, lower(t) AS t, min(rank) AS rank FROM got GROUP BY ALL),
 e AS (SELECT query_id, avg((rank IS NOT NULL)::INT) AS recall, min(rank) AS first FROM want LEFT JOIN g USING (query_id, t) GROUP BY query_id)
 SELECT count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM e"""

@@ -1,8 +1,8 @@
 """One query for each operator over the driver's tables.
 
 Documents stand for memories: category and type follow from doc_id, every third has no person, every second no metadata.
-Benchmark items are the lexical queries; vectors 0 to 39 are the vector queries, and one of them is the vector of the
-benchmark item with its number. What is relevant to an item contains its first 60 characters; to a vector, the same label.
+All benchmark items are the lexical queries; every vector whose id is divisible by 100 is a vector query, and vector 100 n belongs to
+benchmark item n. What is relevant to an item contains its first 60 characters; to a vector, the same label.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import evaluate, fusion, labels, learn, lexical, plugins, store, vector
 from ..operators.ranking import ranked
+from ..sources.shared import written
 from ..sources.tables import table
 from .search import bm25_quality, hybrid, indexed_text, quality_of
 
@@ -28,7 +29,6 @@ TYPES = ("code", "knowledge", "event", "conversation", "noise")
 #: Words of the invented texts that stand for keywords, topics and the trigger.
 KEYWORDS = ["nation", "tion", "ing", "die", "que"]
 TOPICS = {"north": ["tion", "ing"], "south": ["que", "los"], "east": ["ver", "schaft"]}
-VECTOR_QUERIES = 40
 
 
 def query(f: Query) -> Query:
@@ -51,26 +51,35 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).filter(F.col("doc_id") < VECTOR_QUERIES).select(F.col("doc_id").alias("query_id"), "v", "label")
+    """(query_id, own, v, label): own is the query's vector itself, which a search leaves out."""
+    return vectors(spark, d).filter(F.col("doc_id") % 100 == 0).select((F.col("doc_id") / 100).cast("long").alias("query_id"), F.col("doc_id").alias("own"), "v", "label")
 
 
 def item_qrels(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that contain the first 60 characters of an item: found through their first word, then compared."""
+    """Documents that contain the first 60 characters of an item.
+
+    Ids meet through the rarest word of those characters: words of documents are cut to the words of items, and counted, before
+    anything is joined. Texts are compared for the pairs that are left.
+    """
     head = F.substr("text", F.lit(1), F.lit(60))
-    word = F.regexp_extract(head, r"^\S*\s+(\S+)\s", 1)
-    own = items(spark, d).select("query_id", head.alias("head"), word.alias("word"))
+    inner = F.regexp_extract_all(head, F.lit(r"(?<=\s)\S+(?=\s)"), F.lit(0))
+    own = items(spark, d).select("query_id", head.alias("head"), F.explode(F.array_distinct(inner)).alias("word"))
     docs = memories(spark, d).select(F.col("id").alias("doc_id"), "content")
-    words = docs.select("doc_id", "content", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("word"))
-    return words.join(own, "word").filter(F.contains("content", F.col("head"))).select("query_id", "doc_id").distinct()
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("word")).join(own.select("word").distinct(), "word", "left_semi")
+    words = written(words, "words")
+    often = words.groupBy("word").agg(F.count("*").alias("n"))
+    rare = own.join(often, "word").groupBy("query_id", "head").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    pairs = rare.join(words, "word").select("query_id", "doc_id", "head")
+    return pairs.join(docs, "doc_id").filter(F.contains("content", F.col("head"))).select("query_id", "doc_id").distinct()
 
 
 def label_qrels(spark: SparkSession, d: str) -> DataFrame:
-    return asked(spark, d).join(vectors(spark, d), "label").filter("query_id <> doc_id").select("query_id", "doc_id")
+    return asked(spark, d).join(vectors(spark, d).drop("v"), "label").filter("own <> doc_id").select("query_id", "doc_id")
 
 
 def lexical_top(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     index = lexical.bm25_index(memories(spark, d), X.word_tokens(indexed_text()), "id")
-    return lexical.bm25_search(index, items(spark, d).filter(F.col("query_id") < VECTOR_QUERIES), X.word_tokens(F.col("text")), k)
+    return lexical.bm25_search(index, items(spark, d), X.word_tokens(F.col("text")), k)
 
 
 def vector_top(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
@@ -92,12 +101,12 @@ def search_bm25_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return six(hybrid(memories(spark, d), vectors(spark, d), items(spark, d).filter(F.col("query_id") < VECTOR_QUERIES), asked(spark, d), weighted=False))
+    return six(hybrid(memories(spark, d), vectors(spark, d), items(spark, d), asked(spark, d), weighted=False))
 
 
 @query
 def hybrid_search_quality(spark: SparkSession, d: str) -> DataFrame:
-    return six(hybrid(memories(spark, d), vectors(spark, d), items(spark, d).filter(F.col("query_id") < VECTOR_QUERIES), asked(spark, d), least=0.85))
+    return six(hybrid(memories(spark, d), vectors(spark, d), items(spark, d), asked(spark, d), least=0.85))
 
 
 @query
@@ -113,7 +122,7 @@ def bm25_char_top20(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
-    docs = store.placed(memories(spark, d)).select(F.col("id").alias("doc_id"), "path", X.overview(F.col("content")).alias("text"))
+    docs = memories(spark, d).select(F.col("id").alias("doc_id"), F.concat(F.lit("/"), "category").alias("path"), X.overview(F.col("content")).alias("text"))
     asks = items(spark, d).withColumn("text", F.concat(F.lit("memory skill "), "text"))
     return six(lexical.keyword_search(docs, asks).withColumn("rank", F.col("rank").cast("long")))
 
@@ -166,19 +175,12 @@ def rrf_zero_based(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rrf_or_vector(spark: SparkSession, d: str) -> DataFrame:
-    short = lexical_top(spark, d).filter(F.col("query_id") % 2 == 0)
-    return six(ranked(fusion.rrf_or_first(vector_top(spark, d), short), 10))
-
-
-def _weighted(spark: SparkSession, d: str, alpha: float, k: int) -> DataFrame:
-    by_cosine = vector.vector_search(vectors(spark, d), asked(spark, d), 1 << 30, "cosine")
-    by_distance = vector.vector_search(vectors(spark, d), asked(spark, d), 1 << 30, "l2")
-    return ranked(fusion.weighted_rrf(by_cosine, by_distance, alpha, k), 10)
+    return six(ranked(fusion.rrf_or_first(vector_top(spark, d), lexical_top(spark, d)), 10))
 
 
 @query
 def rrf_weighted_full(spark: SparkSession, d: str) -> DataFrame:
-    return six(_weighted(spark, d, 0.7, 60))
+    return six(fusion.weighted_rrf_search(vectors(spark, d), asked(spark, d), 0.7))
 
 
 @query
@@ -189,7 +191,7 @@ def linear_blend(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rerank_embedding_quality(spark: SparkSession, d: str) -> DataFrame:
     m = memories(spark, d)
-    q = m.select(F.col("id").alias("doc_id"), S.multiplicative_score(F.col("content"), F.col("type"), F.col("has_metadata")).alias("quality")).filter(F.col("doc_id") % 3 != 0)
+    q = m.select(F.col("id").alias("doc_id"), S.multiplicative_score(F.col("content"), F.col("type"), F.col("has_metadata")).alias("quality"))
     return six(ranked(fusion.quality_weighted(vector_top(spark, d, 20).drop("rank"), q, half=False, default=0.5), 10))
 
 
@@ -277,8 +279,7 @@ def parsers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def store_stats(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d)
-    return six(store.store_stats(m.withColumn("q", S.additive_score(F.col("content"), F.col("category"))[0]), quality="q"))
+    return six(store.store_stats(S.with_additive(memories(spark, d), out="q"), quality="q"))
 
 
 @query
@@ -296,8 +297,8 @@ def type_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _additive(spark: SparkSession, d: str, edition: S.Additive) -> DataFrame:
-    total, dims = S.additive_score(F.col("content"), F.col("category"), edition)
-    return six(memories(spark, d).select("id", total.alias("quality"), *[c.alias(f"d_{k}") for k, c in dims.items()]))
+    rows = S.with_additive(memories(spark, d).select("id", "content", "category"), edition=edition, dimensions=True)
+    return six(rows.drop("content", "category"))
 
 
 @query
@@ -348,8 +349,7 @@ def threshold_retention(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cleanup_noise(spark: SparkSession, d: str) -> DataFrame:
-    m = memories(spark, d).withColumn("q", S.additive_score(F.col("content"), F.col("category"))[0])
-    return store.cleaned(m, "q", 0.9).groupBy("category").agg(F.count("*").alias("kept"))
+    return store.cleaned(S.with_additive(memories(spark, d).select("id", "content", "category"), out="q"), "q", 0.9).groupBy("category").agg(F.count("*").alias("kept"))
 
 
 @query
@@ -364,9 +364,9 @@ def noise_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def noise_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    q = memories(spark, d).select("id", (S.additive_score(F.col("content"), F.col("category"))[0] < 0.9).alias("predicted"))
     truth = table(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("noise"))
-    return six(q.join(truth, "id").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("noise")).cast("double")).alias("accuracy")))
+    q = S.with_additive(memories(spark, d).select("id", "content", "category").join(truth, "id")).withColumn("predicted", F.col("quality") < 0.9)
+    return six(q.agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("noise")).cast("double")).alias("accuracy")))
 
 
 # --- Evaluation -------------------------------------------------------------------------------------------------------
@@ -419,7 +419,7 @@ def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
 def text_match(spark: SparkSession, d: str) -> DataFrame:
     docs = memories(spark, d).select(F.col("id").alias("doc_id"), F.md5("content").alias("text"))
     got = lexical_top(spark, d, 10).join(docs, "doc_id").select("query_id", "rank", "text")
-    want = got.filter("rank in (2, 5)").select("query_id", F.upper("text").alias("text")).unionByName(items(spark, d).filter(F.col("query_id") < VECTOR_QUERIES))
+    want = got.filter("rank in (2, 5)").select("query_id", F.upper("text").alias("text")).unionByName(items(spark, d))
     return six(evaluate.text_match(got, want))
 
 
@@ -520,8 +520,8 @@ def directory_listing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def trajectory_counts(spark: SparkSession, d: str) -> DataFrame:
     x, v = lexical_top(spark, d), vector_top(spark, d)
-    fused = ranked(fusion.rrf(x, v), 20)
-    kept = fusion.quality_weighted(fused, quality_of(memories(spark, d), S.LONG), 0.85)
+    fused = written(ranked(fusion.rrf(x, v), 20), "fused")
+    kept = fusion.quality_weighted(fused, quality_of(memories(spark, d), S.LONG, fused), 0.85)
     return six(store.stage_counts({"bm25": x, "vector": v, "fusion": fused, "quality": kept}))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import LONG, SHORT, Additive, additive_score
+from ..functions.scoring import LONG, SHORT, Additive, with_additive
 from ..functions.text import abstract, overview, word_tokens
 from ..operators.fusion import funnel, quality_weighted
 from ..operators.lexical import bm25_index, bm25_search
 from ..operators.ranking import ranked
 from ..operators.vector import vector_search
+from ..sources.shared import written
 
 
 def indexed_text(text: str = "content"):
@@ -18,21 +19,28 @@ def indexed_text(text: str = "content"):
     return F.concat(abstract(F.col(text)), F.lit(" "), overview(F.col(text)))
 
 
-def quality_of(memories: DataFrame, edition: Additive) -> DataFrame:
-    return memories.select(F.col("id").alias("doc_id"), additive_score(F.col("content"), F.col("category"), edition)[0].alias("quality"))
+def quality_of(memories: DataFrame, edition: Additive, found: DataFrame | None = None) -> DataFrame:
+    """(doc_id, quality), of the documents in ``found`` only if given."""
+    rows = memories.select(F.col("id").alias("doc_id"), "content", "category")
+    if found is not None:
+        rows = rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    return with_additive(rows, edition=edition).select("doc_id", "quality")
 
 
 def bm25_quality(memories: DataFrame, queries: DataFrame, k: int = 5, depth: int = 20, least: float = 0.3, edition: Additive = SHORT) -> DataFrame:
     """BM25, then quality weights: (query_id, doc_id, score, quality, rank). memories: id, content, category."""
     index = bm25_index(memories, word_tokens(indexed_text()), "id")
-    found = bm25_search(index, queries, word_tokens(F.col("text")), depth)
-    return ranked(quality_weighted(found.drop("rank"), quality_of(memories, edition), least), k)
+    found = written(bm25_search(index, queries, word_tokens(F.col("text")), depth), "found")
+    return ranked(quality_weighted(found.drop("rank"), quality_of(memories, edition, found), least), k)
 
 
 def hybrid(memories: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, k: int = 5, depth: int = 50, least: float = 0.4, edition: Additive = LONG, weighted: bool = True) -> DataFrame:
-    """BM25 and vectors, fused, cut, weighted by quality after the cut. asked: (query_id, v)."""
+    """BM25 and vectors, fused, cut, weighted by quality after the cut. asked: (query_id, own, v)."""
     index = bm25_index(memories, word_tokens(indexed_text()), "id")
     lexical = bm25_search(index, queries, word_tokens(F.col("text")), depth)
     near = vector_search(vectors, asked, depth, skip_self=True)
     best = funnel(lexical, near)
-    return ranked(quality_weighted(best.drop("rank"), quality_of(memories, edition), least).select("query_id", "doc_id", "score"), k) if weighted else best.filter(F.col("rank") <= k)
+    if not weighted:
+        return best.filter(F.col("rank") <= k)
+    best = written(best, "found")
+    return ranked(quality_weighted(best.drop("rank"), quality_of(memories, edition, best), least).select("query_id", "doc_id", "score"), k)

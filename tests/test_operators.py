@@ -33,11 +33,39 @@ def test_vector_search_matches_numpy(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
     docs = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)] + [(99, None)], "doc_id long, v array<double>").repartition(5)
-    asked = docs.filter("doc_id < 4").withColumnRenamed("doc_id", "query_id")
-    got = vector.vector_search(docs, asked, 5, block=3).collect()
+    asked = docs.filter("doc_id < 4").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("own"), "v")
+    got = vector.vector_search(docs, asked, 5, block=3, row_block=20).collect()
+    away = vector.vector_search(docs, asked, 5, "l2", skip_self=True, row_block=7).collect()
     for q in range(4):
         s = v @ v[q] / np.linalg.norm(v, axis=1) / np.linalg.norm(v[q])
         assert [r.doc_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == np.argsort(-s)[:5].tolist()
+        far = np.linalg.norm(v - v[q], axis=1)
+        assert [r.doc_id for r in sorted(away, key=lambda r: r.rank) if r.query_id == q] == np.argsort(far)[1:6].tolist()
+
+
+@pytest.mark.parametrize("alpha", [0.7, 0.5, 0.1])
+def test_top_of_weighted_fusion_needs_no_complete_rankings(spark, alpha):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 6)) * rng.uniform(0.2, 3, (300, 1))
+    docs = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)] + [(400, [0.0] * 6)], "doc_id long, v array<double>").repartition(3)
+    asked = docs.filter("doc_id in (0, 100, 200)").select(F.col("doc_id").alias("query_id"), "v")
+    got = fusion.weighted_rrf_search(docs, asked, alpha).collect()
+    whole = [vector.vector_search(docs, asked, 1000, m) for m in ("cosine", "l2")]
+    want = ranked(fusion.weighted_rrf(*whole, alpha), 10).collect()
+    assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in got) == sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in want)
+
+
+def test_index_is_kept_while_documents_come_and_go(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a w{i % 7} w{i % 3} x{i}") for i in range(40)], "doc_id long, text string")
+    cut = lambda: F.split("text", " ")
+    index = lexical.bm25_index(docs.filter("doc_id < 30"), cut())
+    index = lexical.changed(index, docs.filter("doc_id >= 30"), cut(), docs.filter("doc_id % 4 = 0"))
+    index = lexical.changed(index, docs.filter("doc_id = 5").withColumn("text", F.lit("w1 w1 new")), cut())
+    lexical.saved(index, str(tmp_path / "index"))
+    now = docs.filter("doc_id >= 30 or (doc_id % 4 <> 0 and doc_id <> 5)").unionByName(spark.createDataFrame([(5, "w1 w1 new")], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "w1 new a"), (2, "x35 x32 w2")], "query_id long, text string")
+    rows = lambda ix: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in lexical.bm25_search(ix, asked, cut()).collect())
+    assert rows(index) == rows(lexical.bm25_index(now, cut())) == rows(lexical.loaded(spark, str(tmp_path / "index")))
 
 
 def test_ivf_recall(spark):
@@ -65,6 +93,9 @@ def test_pairs_above_in_blocks(spark):
     u = v / np.linalg.norm(v, axis=1)[:, None]
     want = {(a, b) for a in range(50) for b in range(a + 1, 50) if u[a] @ u[b] > 0.8}
     assert {(r.a, r.b) for r in vector.pairs_above(docs, 0.8, block_rows=12).collect()} == want
+    zero = docs.unionByName(spark.createDataFrame([(90, [0.0] * 4), (91, None)], "id long, v array<double>"))
+    assert {(r.a, r.b) for r in vector.pairs_above(zero, 0.8, block_rows=3, most_cells=4).collect()} == want
+    assert vector.pairs_above(docs.filter("false"), 0.8).count() == 0
 
 
 def test_fusion(spark):

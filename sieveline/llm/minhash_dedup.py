@@ -14,8 +14,8 @@ equal shingles may be matched across their numbers, and the longest common subse
 Copies (equal word sequences) are put together first, by ranges of their digest, and one of them stands for all. Candidates are
 gathered in clusters, and a cluster is one group of work. One beyond ``block_rows`` or 16 million characters is taken in rounds.
 The first compares the texts of each block; what is joined there is a class. In the next ones a class sends one text for each
-sketch that other classes have too, so that large groups of near copies come together through few texts. Where a round joins
-nothing more, all texts with a sketch that several classes share are compared, block by block. In a group, pairs that are joined
+sketch that other classes have too, so that large groups of near copies come together through few texts. Once these fit into a
+block, or don't get fewer, all texts with a sketch that several classes still share are compared, block by block. In a group, pairs that are joined
 already are skipped. So a large group of near copies costs texts in proportion to its size, and only what agrees on sketches
 without being similar is compared in full.
 
@@ -348,30 +348,39 @@ def _compared(work: DataFrame, across: bool = False) -> DataFrame:
     return written(work.repartition(p, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "unit").mapInArrow(_links, "a long, b long"), "links")
 
 
-def _large_links(large: DataFrame, first: DataFrame, blocks: Column) -> list[DataFrame]:
+def _large_links(large: DataFrame, first: DataFrame, block_rows: int) -> list[DataFrame]:
     """The links of clusters beyond one block. large: (cluster, unit, keys, chars, text); first: links within their blocks."""
-    links = [first]
+    links, rows, left = [first], None, False
     while True:
-        every = reduce(DataFrame.unionByName, links)
-        label = components(every, "a", "b").select(F.col("id").alias("unit"), "component")
-        now = written(large.join(label, "unit", "left").select("cluster", "unit", "keys", "chars", F.coalesce("component", "unit").alias("class")), "labelled")
-        hits = now.select("cluster", "unit", "class", "chars", F.explode("keys").alias("key"))
+        label = components(reduce(DataFrame.unionByName, links), "a", "b").select(F.col("id").alias("unit"), "component")
+        now = written(large.drop("text").join(label, "unit", "left").select("cluster", "unit", "keys", "chars", F.coalesce("component", "unit").alias("class")), "labelled")
+        hits = now.select("unit", "class", F.explode("keys").alias("key"))
         shared = hits.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
-        hits = written(hits.join(shared, "key"), "shared")
-        if hits.isEmpty():
+        hits = hits.join(shared, "key")
+        #: One text for each class and sketch that other classes have too, while that brings them down to a block; then all texts.
+        while True:
+            some = hits.select("unit") if left else hits.groupBy("key", "class").agg(F.min("unit").alias("unit")).select("unit")
+            chosen = written(now.join(some.distinct(), "unit"), "chosen")
+            size = _blocked(chosen, block_rows)
+            state = size.agg(F.sum("rows").alias("rows"), F.max("blocks").alias("blocks")).first()
+            if left or not state.rows or rows is None or 2 * state.rows <= rows:
+                break
+            left = True  # no progress by one text each
+        if not state.rows:
             return links
-        #: One text for each class and sketch that other classes have too; all of them where that brings nothing more.
-        some = hits.groupBy("key", "class").agg(F.min("unit").alias("unit")).select("unit").distinct() if links[-1].count() else None
-        chosen = now.join(some if some is not None else hits.select("unit").distinct(), "unit")
-        size = written(chosen.groupBy("cluster").agg(blocks.alias("blocks")), "sizes")
-        work = chosen.join(size, "cluster").join(large.select("unit", "text"), "unit")
-        links.append(_compared(work, across=some is None))
-        forget(size, hits, now)
-        if some is None:
+        links.append(_compared(chosen.join(size, "cluster").join(large.select("unit", "text"), "unit"), across=left))
+        forget(now, chosen)
+        if left:
             return links
+        rows, left = state.rows, state.blocks == 1
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 400) -> DataFrame:
+def _blocked(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(cluster, rows, blocks): of bounded size in rows and characters."""
+    return rows.groupBy("cluster").agg(F.count("*").alias("rows"), F.ceil(F.greatest(F.count("*") / block_rows, F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 800) -> DataFrame:
     """(id, h, class_id, stays) for every text: h is the hash of the text that tells rows of one id apart, class_id the smallest id of
     the class, stays whether the row is the one of its class that stays (rows equal in id and text are one here)."""
     rows = _named(docs, id_col, text_col)
@@ -387,19 +396,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clusters = written(distinct.join(clusters.select(F.col("id").alias("unit"), F.col("component").alias("cluster")), "unit"), "clusters")
     forget(hits, stars)
 
-    blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum("chars") / BLOCK_CHARS))
-    size = written(clusters.groupBy("cluster").agg(blocks.alias("blocks")), "sizes")
+    size = _blocked(clusters, block_rows)
     members = clusters.join(size, "cluster").select("cluster", "blocks", "unit", F.col("unit").alias("class"), F.coalesce("id", F.lit(-(1 << 63))).alias("ident"), "h", "keys", "chars")
     texts = rows.select("ident", "h", "text").join(members.select("ident", "h"), ["ident", "h"], "left_semi").dropDuplicates(["ident", "h"])
     whole = members.join(texts, ["ident", "h"]).drop("ident", "h")
     large = None
-    if not size.filter("blocks > 1").isEmpty():
+    if (size.agg(F.max("blocks").alias("blocks")).first().blocks or 0) > 1:
         whole = written(whole, "members")
         large = whole.filter("blocks > 1").select("cluster", "unit", "keys", "chars", "text")
     links = [_compared(whole)]
     if large is not None:
         inside = links[0].join(large.select(F.col("unit").alias("a")), "a", "left_semi")
-        links += _large_links(large, inside, blocks)[1:]
+        links += _large_links(large, inside, block_rows)[1:]
         forget(whole)
     #: Copies whose digest was cut by a range boundary stand for themselves on each side; they agree on everything, and are linked above.
     of_unit = components(reduce(DataFrame.unionByName, links), "a", "b").select(F.col("id").alias("unit"), "component")
@@ -407,7 +415,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = least.join(of_unit, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     least = written(least, "least")
     first = least.groupBy("component").agg(F.min("least").alias("first"))
-    of_unit = written(least.join(first, "component").select("unit", "first"), "classes")
+    of_unit = least.join(first, "component").select("unit", "first")
     own = F.struct(F.col("id").isNull().alias("last"), "id", "h")
     return copies.join(of_unit, "unit").select("id", "h", F.col("first.id").alias("class_id"), (own == F.col("first")).alias("stays")).distinct()
 

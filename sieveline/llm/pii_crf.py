@@ -247,7 +247,7 @@ class Crf:
         return sum((self.weights[f] for f in features if f in self.weights), np.zeros(_LABELS))
 
     def tables(self) -> tuple[_Shapes, list[np.ndarray]]:
-        """Shapes as numbers, and the weights of each feature by the numbers of its parts."""
+        """Shapes as numbers, and the weights of features, added up, by the numbers of their parts."""
         if self.dense is None:
             shapes = sorted({x for f in self.weights for x in f[1:] if isinstance(x, str)} - {"<", ">"})
             number = {x: i for i, x in enumerate(["", "<", ">", *shapes])}
@@ -256,12 +256,16 @@ class Crf:
             tables = [np.zeros((*size, _LABELS)) for size in sizes]
             for (k, *parts), w in self.weights.items():
                 tables[k][tuple(number[x] if isinstance(x, str) else x for x in parts)] = w
-            self.dense = _Shapes(number), tables
+            t0, t1, t2, t3, t4, t5, t6 = tables
+            #: What is read on the same side of a token is added up beforehand: (two before, one before, gap, token), (token, gap, next, next but one).
+            before, behind = t3[:, :, None] + (t1 + t0)[None], t4[:, None] + t2[:, :, :, None]
+            self.dense = _Shapes(number), [x.reshape(-1, _LABELS) for x in (before, behind, t5, t6)]
         return self.dense
 
     def scores(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all tokens, with two marks at each end of each line: the score of every label, the place and the size (0: a mark)."""
-        shapes, (t0, t1, t2, t3, t4, t5, t6) = self.tables()
+        shapes, (before, behind, around, gaps) = self.tables()
+        n = len(shapes.names)
         found = _ALL(text)
         size = np.fromiter(map(len, found), np.int64, len(found))
         s = np.fromiter(map(shapes.__getitem__, found), np.int64, len(found))
@@ -272,14 +276,11 @@ class Crf:
         x = np.concatenate([[1, 1], np.where(mark, np.where(nth < 2, 2, 1), s[row]), [2, 2]])
         after_blank = np.append(True, blank[:-1])[row] if len(row) else np.empty(0, bool)
         g = np.concatenate([[_END, _END], np.where(mark, _END, np.where(after_blank, _SPACE, _NEAR)), [_END, _END]])
-        i = np.arange(2, len(x) - 2)
-        x0, left, right, g0, g1 = x[i], x[i - 1], x[i + 1], g[i], g[i + 1]
-        score = t0[x0] + t1[left, g0, x0]
-        score += t2[x0, g1, right]
-        score += t3[x[i - 2], left, x0]
-        score += t4[x0, right, x[i + 2]]
-        score += t5[left, right]
-        score += t6[g0, g1]
+        x0, left, right, g0, g1 = x[2:-2], x[1:-3], x[3:-1], g[2:-2], g[3:-1]
+        score = before.take(((x[:-4] * n + left) * 3 + g0) * n + x0, 0)
+        score += behind.take(((x0 * 3 + g1) * n + right) * n + x[4:], 0)
+        score += around.take(left * n + right, 0)
+        score += gaps.take(g0 * 3 + g1, 0)
         return score, at[row], np.where(mark, 0, size[row])
 
     def open_runs(self, score: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -296,12 +297,17 @@ class Crf:
         """The likeliest labels of each stretch of scores, with O around it: Viterbi over batches padded to a common length."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(stretches)
         order = sorted((i for i, s in enumerate(stretches) if len(s)), key=lambda i: len(stretches[i]))
-        for k in range(0, len(order), 256):
-            batch = order[k : k + 256]
-            length = np.array([len(stretches[i]) for i in batch])
+        sizes = np.array([len(stretches[i]) for i in order])
+        k = 0
+        while k < len(order):
+            padded = np.arange(1, len(order) - k + 1) * sizes[k:]  # as many tokens a batch holds with its next stretch
+            batch = order[k : k + max(8, int(np.searchsorted(padded, 1 << 14)))]
+            length = sizes[k : k + len(batch)]
+            k += len(batch)
             score = np.zeros((len(batch), length[-1], _LABELS))
-            for r, i in enumerate(batch):
-                score[r, : length[r]] = stretches[i]
+            row = np.repeat(np.arange(len(batch)), length)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+            score[row, nth] = np.concatenate([stretches[i] for i in batch])
             best = score[:, 0] + self.moves[0]
             back = np.zeros(score.shape, np.int8)
             ends = best.copy()
@@ -310,13 +316,17 @@ class Crf:
                 back[:, t] = each.argmax(1)
                 best = each.max(1) + score[:, t]
                 ends = np.where((length > t)[:, None], best, ends)
-            last = (ends + self.moves[:, 0]).argmax(1)
+            ends = ends + self.moves[:, 0]
+            last = ends.argmax(1)
+            plain = score[:, :, 0].sum(1) + (length + 1) * self.moves[0, 0]  # of O alone
+            some = ends[np.arange(len(batch)), last] > plain + 1e-9
             for r, i in enumerate(batch):
-                labels = np.empty(length[r], np.int64)
-                labels[-1] = last[r]
-                for t in range(length[r] - 1, 0, -1):
-                    labels[t - 1] = back[r, t, labels[t]]
-                out[i] = labels
+                out[i] = np.zeros(length[r], np.int64)
+                if some[r]:
+                    labels = out[i]
+                    labels[-1] = last[r]
+                    for t in range(length[r] - 1, 0, -1):
+                        labels[t - 1] = back[r, t, labels[t]]
         return out
 
 

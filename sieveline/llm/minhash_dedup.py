@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_names, forget, free_name, group_bounds, grouped, in_ranges, shuffle_partitions, written
-from .components import components
+from .components import SMALL, components
 
 SHINGLE, MINIMA, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -348,12 +348,14 @@ def _compared(work: DataFrame, across: bool = False) -> DataFrame:
     return written(work.repartition(p, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "unit").mapInArrow(_links, "a long, b long"), "links")
 
 
-def _large_links(large: DataFrame, first: DataFrame, block_rows: int) -> list[DataFrame]:
-    """The links of clusters beyond one block. large: (cluster, unit, keys, chars, text); first: links within their blocks."""
+def _large_links(large: DataFrame, first: DataFrame, block_rows: int, few: bool) -> list[DataFrame]:
+    """The links of clusters beyond one block. large: (cluster, unit, keys, chars, text); first: links within their blocks; few: one
+    partition is enough for what is known of these texts."""
     links, rows, left = [first], None, False
     while True:
         label = components(reduce(DataFrame.unionByName, links), "a", "b").select(F.col("id").alias("unit"), "component")
         now = written(large.drop("text").join(label, "unit", "left").select("cluster", "unit", "keys", "chars", F.coalesce("component", "unit").alias("class")), "labelled")
+        table, now = now, now.coalesce(1) if few else now
         hits = now.select("unit", "class", F.explode("keys").alias("key"))
         shared = hits.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
         hits = hits.join(shared, "key")
@@ -369,7 +371,7 @@ def _large_links(large: DataFrame, first: DataFrame, block_rows: int) -> list[Da
         if not state.rows:
             return links
         links.append(_compared(chosen.join(size, "cluster").join(large.select("unit", "text"), "unit"), across=left))
-        forget(now, chosen)
+        forget(table, chosen)
         if left:
             return links
         rows, left = state.rows, state.blocks == 1
@@ -401,13 +403,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.select("ident", "h", "text").join(members.select("ident", "h"), ["ident", "h"], "left_semi").dropDuplicates(["ident", "h"])
     whole = members.join(texts, ["ident", "h"]).drop("ident", "h")
     large = None
-    if (size.agg(F.max("blocks").alias("blocks")).first().blocks or 0) > 1:
+    beyond = size.filter("blocks > 1").agg(F.sum("rows").alias("rows")).first().rows
+    if beyond:
         whole = written(whole, "members")
         large = whole.filter("blocks > 1").select("cluster", "unit", "keys", "chars", "text")
     links = [_compared(whole)]
     if large is not None:
         inside = links[0].join(large.select(F.col("unit").alias("a")), "a", "left_semi")
-        links += _large_links(large, inside, block_rows)[1:]
+        links += _large_links(large, inside, block_rows, beyond <= SMALL)[1:]
         forget(whole)
     #: Copies whose digest was cut by a range boundary stand for themselves on each side; they agree on everything, and are linked above.
     of_unit = components(reduce(DataFrame.unionByName, links), "a", "b").select(F.col("id").alias("unit"), "component")

@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last keep the columns of documents. The mixing stage decides the order: its rows are dealt by ranges
 of their place and sorted, so the written files, read in the order of their names, are the interleaved corpus.
+
+Defined cases, for every stage: a null or empty text counts as empty (the classifier scores it like any other, empty texts are copies
+of one another, they have no tokens); null and repeated ids are rows of their own, and no stage multiplies them; of rows that are
+equal in all, the exact stage keeps one, and every other stage treats each of them alike but for the near stage, which
+keeps one too; an empty table gives an empty one; columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.bpe import bpe_round_trip, read_ranks
-from sieveline.llm.common import shuffle_partitions, table, written
+from sieveline.llm.common import forget, free_name, shuffle_partitions, table, written
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.minhash_dedup import near_dedup
 from sieveline.llm.mixing import pfair_mix
@@ -24,7 +29,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores below 0.3 go."""
     rules = fit_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), most=LABELLED_QUALITY)
-    return quality_scores(docs, rules, out_col="__score").filter(F.col("__score") >= 0.3).select(*COLUMNS)
+    score = free_name(docs, "score")
+    return quality_scores(docs, rules, out_col=score).filter(F.col(score) >= 0.3).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +72,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
+            out = written(out, name.replace(" ", "-"))
+            if i:
+                forget(docs)
+        docs = out
     return docs

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -112,3 +114,22 @@ def drift(rows: DataFrame) -> DataFrame:
     elements = parts.agg((F.avg(new) - F.avg(old)).alias("mean_change"), (F.var_pop(new) - F.var_pop(old)).alias("variance_change"))
     out = one.withColumn("k", F.lit(1)).join(centroid.withColumn("k", F.lit(1)), "k").join(elements.withColumn("k", F.lit(1)), "k").drop("k")
     return out.withColumn("level", F.when(F.col("centroid_cosine") < 0.95, "HIGH").when(F.col("centroid_cosine") < 0.98, "MODERATE").otherwise("LOW"))
+
+
+def scale_sweep(runs: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The reports of several scales, each with its name and the seconds it took; scales run one after the other, as the timing asks."""
+    out = []
+    for scale, run in runs.items():
+        began = time.perf_counter()
+        row = run().first()
+        out.append((scale, time.perf_counter() - began, *row))
+        names = row.__fields__
+    kinds = ", ".join(f"`{k}` {'long' if isinstance(v, int) else 'double'}" for k, v in zip(names, row, strict=True))
+    return SparkSession.active().createDataFrame(out, f"scale string, seconds double, {kinds}")
+
+
+def duplicate_samples(pairs: DataFrame, texts: DataFrame, n: int = 20, most: int = 100) -> DataFrame:
+    """The first pairs (a, b) with the beginnings of their texts (id, text)."""
+    some = pairs.orderBy("a", "b").limit(n)
+    cut = lambda side: texts.select(F.col("id").alias(side), F.substr("text", F.lit(1), F.lit(most)).alias(f"text_{side}"))
+    return some.join(cut("a"), "a", "left").join(cut("b"), "b", "left")

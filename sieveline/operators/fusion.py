@@ -82,3 +82,14 @@ def listwise(candidates: DataFrame, orders: DataFrame, k: int, depth: int = 50)
 def funnel(lexical: DataFrame, vector: DataFrame, fused: int = 20, kept: int = 10) -> DataFrame:
     """Fuse, keep the best 20, then 10: what a search returns is never more."""
     return ranked(ranked(rrf(lexical, vector), fused).drop("rank"), kept)
+
+
+def cross_reranked(candidates: DataFrame, logit: Column, quality: DataFrame, k: int) -> DataFrame:
+    """The best min(3 k, 50) candidates by a pair model's score, times quality, sorted anew. quality is joined by doc_id."""
+    best = reranked(candidates, logit, min(3 * k, 50))
+    return ranked(quality_weighted(best.drop("rank"), quality, half=False), k)
+
+
+def unreranked(candidates: DataFrame, k: int = 10) -> DataFrame:
+    """The first k, as they are."""
+    return candidates.filter(F.col("rank") <= k)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import FACTORS
@@ -45,11 +45,12 @@ def _dealt(events: DataFrame, alias_domains: bool) -> DataFrame:
     return rows.select("domain", "seq", "feedback", *FACTORS).repartition("domain").sortWithinPartitions("domain", "seq")
 
 
-def adaptive_weights(events: DataFrame, alias_domains: bool = False) -> DataFrame:
+def adaptive_weights(events: DataFrame, alias_domains: bool = False, start: DataFrame | None = None) -> DataFrame:
     """(domain, events, the six weights) after all events (domain, seq, feedback, the six features).
 
     alias_domains: all domains share one set of weights, as where an unseen domain starts with the general one by reference;
-    the fold is then one sequence by definition.
+    the fold is then one sequence by definition. start: such rows from before, as ``loaded_weights`` gives them; a domain goes on
+    from its own, and one without new events stays as it was.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,18 +58,58 @@ def adaptive_weights(events: DataFrame, alias_domains: bool = False) -> DataFram
         out = []
         for pdf in batches:
             x, y = pdf[list(FACTORS)].to_numpy(float), pdf["feedback"].to_numpy(float)
+            before = pdf[["b_events", *(f"b_{k}" for k in FACTORS)]].to_numpy(float)
             for i, d in enumerate(pdf["domain"]):
                 if d != domain:
                     if n:
                         out.append((domain, n, *weights))
-                    domain, weights, n = d, np.ones(len(FACTORS)), 0
-                weights, _ = step(weights, x[i], y[i])
-                n += 1
+                    domain, weights, n = d, before[i, 1:], int(before[i, 0])
+                if y[i] == y[i]:
+                    weights, _ = step(weights, x[i], y[i])
+                    n += 1
         if n:
             out.append((domain, n, *weights))
         yield pd.DataFrame(out, columns=["domain", "events", *FACTORS])
 
-    return _dealt(events, alias_domains).mapInPandas(run, "domain string, events long, " + ", ".join(f"{k} double" for k in FACTORS))
+    rows = _dealt(events, alias_domains)
+    if start is None:
+        rows = rows.select("*", F.lit(0).alias("b_events"), *[F.lit(1.0).alias(f"b_{k}") for k in FACTORS])
+    else:
+        #: A row without feedback brings each known domain in, ahead of its events.
+        known = start.select("domain", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("feedback"), *[F.lit(0.0).alias(k) for k in FACTORS], F.col("events").alias("b_events"), *[F.col(k).alias(f"b_{k}") for k in FACTORS])
+        rows = rows.select("*", F.lit(0).cast("long").alias("b_events"), *[F.lit(1.0).alias(f"b_{k}") for k in FACTORS])
+        rows = rows.unionByName(known).repartition("domain").sortWithinPartitions("domain", F.asc_nulls_first("seq"))
+    return rows.mapInPandas(run, "domain string, events long, " + ", ".join(f"{k} double" for k in FACTORS))
+
+
+def saved_weights(weights: DataFrame, path: str) -> None:
+    """(domain, events, the six) as JSON; the history itself isn't kept, only its length."""
+    weights.write.mode("overwrite").json(path)
+
+
+def loaded_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("domain string, events long, " + ", ".join(f"{k} double" for k in FACTORS)).json(path)
+
+
+def effective(factors: DataFrame, base: dict[str, float] | None = None) -> DataFrame:
+    """Base weights times the adjustments of each domain."""
+    own = dict.fromkeys(FACTORS, 1.0) | (base or {})
+    return factors.select("domain", "events", *[(F.lit(own[k]) * F.col(k)).alias(k) for k in FACTORS])
+
+
+def learner_report(factors: DataFrame, log: DataFrame, base: dict[str, float] | None = None, last: int = 20, reviewed: int = 100) -> DataFrame:
+    """A row for each domain: base, adjustment and effective weights, numbers of events and logged changes, the last entries of the
+    log, and how many of the last ``reviewed`` need a review."""
+    own = dict.fromkeys(FACTORS, 1.0) | (base or {})
+    order = Window.partitionBy("domain").orderBy(F.desc("seq"), "feature")
+    entry = F.concat_ws(":", F.col("seq").cast("string"), "feature")
+    recent = log.withColumn("r", F.row_number().over(order))
+    logs = recent.groupBy("domain").agg(
+        F.count("*").alias("changes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= last, F.struct("r", entry.alias("e"))))), lambda x: x["e"]), ",").alias("last_changes"), F.count_if((F.col("r") <= reviewed) & F.col("requires_review")).alias("pending")
+    )
+    sets = [c for k in FACTORS for c in (F.lit(own[k]).alias(f"base_{k}"), F.col(k).alias(f"adjustment_{k}"), (F.lit(own[k]) * F.col(k)).alias(f"effective_{k}"))]
+    rows = factors.join(logs, "domain", "left")
+    return rows.select("domain", "events", *sets, F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("last_changes", F.lit("")).alias("last_changes"), F.coalesce("pending", F.lit(0)).alias("pending"))
 
 
 def careful_weights(events: DataFrame, log: bool = False) -> DataFrame:

@@ -213,6 +213,17 @@ def overlap(q: str, d: str) -> str:
 SQL["rerank_lexical"] = f"""WITH {WORD_BM25}, {LEX},
 w AS (SELECT query_id, doc_id, {overlap("i.text", "substr(m.content, 1, 1000)")} AS score FROM lex JOIN items i USING (query_id) JOIN mem m ON m.id = doc_id WHERE rank <= 20)
 {RANKED} ({top("w", 10)})"""
+SPLIT = f"list_distinct(list_filter(regexp_split_to_array({{t}}, '{BLANK}+'), lambda x: x <> ''))"
+SHARED = f"len(list_intersect({SPLIT.replace('{t}', 'i.text')}, {SPLIT.replace('{t}', 'substr(m.content, 1, 500)')})) / greatest(len({SPLIT.replace('{t}', 'i.text')}), 1)"
+SQL["rerank_plugin"] = f"""WITH {WORD_BM25}, {LEX},
+w AS (SELECT query_id, doc_id, {SHARED} AS score FROM lex JOIN items i USING (query_id) JOIN mem m ON m.id = doc_id WHERE rank <= 20)
+{RANKED} ({top("w", 10)})"""
+SQL["rerank_cross_quality"] = f"""WITH {WORD_BM25}, {LEX}, {MULT},
+x AS (SELECT query_id, doc_id, {SHARED} AS score FROM lex JOIN items i USING (query_id) JOIN mem m ON m.id = doc_id),
+b AS ({top("x", 30)}), w AS (SELECT query_id, doc_id, score * quality AS score, quality FROM b JOIN mult ON id = doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score, round(quality, 6) AS quality, rank FROM ({top("w", 10, "query_id, doc_id, score, quality")})"""
+SQL["rerank_none"] = f"WITH {WORD_BM25}, {LEX} {RANKED} lex WHERE rank <= 10"
+SQL["formatted_results"] = f"WITH {WORD_BM25}, {LEX} SELECT query_id, id, md5({OVERVIEW}) AS content, round(score, 6) AS score, length({OVERVIEW}) // 4 AS tokens, category FROM lex JOIN mem ON id = doc_id WHERE rank <= 5"
 SQL["rerank_listwise"] = f"""WITH {WORD_BM25}, {LEX},
 o AS (SELECT query_id, unnest([query_id % 5, 3, 1]) AS pos, unnest([0, 1, 2]) AS place FROM items),
 f AS (SELECT query_id, pos, min(place) AS place FROM o GROUP BY ALL),
@@ -276,6 +287,13 @@ SQL["noise_ratio"] = f"WITH {MEM}, n AS (SELECT {noise(5, 0.8)} AS noise FROM me
 ACCURACY = f"acc AS (SELECT count(*) AS n, avg(((({LONG_SQL}) < 0.9) = (l.quality = 0))::INT) AS accuracy FROM mem JOIN labels l ON l.doc_id = id)"
 SQL["noise_accuracy"] = f"WITH {MEM}, {ACCURACY} SELECT n, round(accuracy, 6) AS accuracy FROM acc"
 
+SQL["noise_examples"] = f"WITH {MEM} SELECT id, CASE WHEN length(content) > 100 THEN substr(content, 1, 100) || '...' ELSE content END AS preview FROM mem WHERE {noise(60, 0.05)} ORDER BY id LIMIT 10"
+SQL["percentages"] = f"WITH {MEM}, {MULT} SELECT type, printf('%.1f%%', floor(avg((quality >= 0.9)::INT) * 100)) AS kept FROM mult GROUP BY type"
+SQL["scored_jsonl"] = f"WITH {MEM}, {MULT} SELECT id, type, md5(content) AS content, round(quality, 6) AS quality_score FROM mult"
+SQL["embedding_cache"] = "SELECT md5(vec_id::VARCHAR) AS key, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 6) + 0.0::DOUBLE AS total FROM embeddings"
+SQL["dataset_conversion"] = "SELECT 'small' AS scale, count(*) AS memories FROM documents"
+SQL["batch_insert"] = f"WITH {MEM} SELECT id, category, len(embedding) AS dim FROM mem JOIN embeddings ON vec_id = id"
+
 # --- Evaluation -------------------------------------------------------------------------------------------------------
 
 LABEL_RELS = "rel AS (SELECT query_id, doc_id FROM asked JOIN vec USING (label) WHERE own <> doc_id)"
@@ -310,6 +328,14 @@ SELECT parameter, round(value, 6) AS value, row_number() OVER (ORDER BY round(va
 PAIRS = f"pairs AS (SELECT q.doc_id AS a, d.doc_id AS b, {COSINE} AS similarity FROM vec q JOIN vec d ON q.doc_id < d.doc_id WHERE {COSINE} > 0.4)"
 SQL["near_duplicates"] = f"WITH {VEC}, {PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs"
 SQL["duplicate_ratio"] = f"WITH {VEC}, {PAIRS}, i AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs) SELECT (SELECT count(*) FROM i) AS duplicates, (SELECT count(*) FROM vec) AS total, (SELECT count(*) FROM pairs) AS pairs, round((SELECT count(*) FROM i) / (SELECT count(*) FROM vec), 6) AS ratio"
+SQL["duplicate_samples"] = f"""WITH {VEC}, {PAIRS}, {MEM}, s AS (SELECT * FROM pairs ORDER BY a, b LIMIT 20)
+SELECT a, b, round(similarity, 6) AS similarity, substr(x.content, 1, 100) AS text_a, substr(y.content, 1, 100) AS text_b FROM s LEFT JOIN mem x ON x.id = a LEFT JOIN mem y ON y.id = b"""
+RUNS = {"vector": "(SELECT * FROM near WHERE rank <= 10)", "bm25": "(SELECT * FROM lex WHERE rank <= 10)", "hybrid": f"({top(blend(0.5), 10)})"}
+SQL["benchmark_runs"] = f"{BOTH}, {ITEM_RELS} " + " UNION ALL ".join(
+    f"SELECT queries, {ROUNDED}, '{kind}' AS retrieval_type, 0.5::DOUBLE AS alpha, 10::BIGINT AS k, (SELECT count(*) FROM mem) AS corpus_size, (SELECT count(*) FROM items) AS query_size FROM {report(rows)}" for kind, rows in RUNS.items()
+)
+KEPT = MEM.replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0)")
+SQL["bm25_incremental"] = f"WITH {KEPT}, {ITEMS}, {bm25(CHARS)} {RANKED} ({top('(SELECT * FROM scored WHERE score > 0)', 20)})"
 SQL["embedding_drift"] = """WITH o AS (SELECT embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) <= (SELECT count(*) // 2 FROM embeddings) AS old FROM embeddings),
 e AS (SELECT old, unnest(v) AS x, unnest(range(len(v))) AS i FROM o),
 c AS (SELECT i, avg(x) AS c, avg(x) FILTER (old) AS a, avg(x) FILTER (NOT old) AS b FROM e GROUP BY i),
@@ -372,7 +398,7 @@ SQL["last_entries"] = "SELECT user_id, event_id FROM events QUALIFY row_number()
 # --- Learners: a recursive fold -----------------------------------------------------------------------------------------
 
 _F = list(FEATURES)
-EVENTS = f"""{MEM}, ev AS MATERIALIZED (SELECT lang AS domain, row_number() OVER (PARTITION BY lang ORDER BY id) AS rn, l.quality::DOUBLE AS y,
+EVENTS = f"""{MEM}, ev AS MATERIALIZED (SELECT lang AS domain, id, row_number() OVER (PARTITION BY lang ORDER BY id) AS rn, l.quality::DOUBLE AS y,
   {", ".join(f"{c} AS f{i}" for i, c in enumerate(FEATURES.values()))} FROM mem JOIN labels l ON l.doc_id = id)"""
 _ERROR = "(y - least(1.0, greatest(0.0, " + " * ".join(f"(w{i} * f{i})" for i in range(6)) + ")))"
 
@@ -391,5 +417,17 @@ SQL["adaptive_weights"] = weights(0.1, 2.0, 0.1, 0)
 SQL["semi_adaptive_weights"] = weights(0.8, 1.2, 0.05, 10)
 _LOGS = " UNION ALL ".join(f"SELECT a.domain, '{k}' AS feature, (b.w{i} - a.w{i}) / a.w{i} AS change FROM run a JOIN run b ON b.domain = a.domain AND b.n = a.n + 1" for i, k in enumerate(_F))
 SQL["adjustment_log"] = f"WITH RECURSIVE {EVENTS}, {fold(0.8, 1.2, 0.05, 10)}, l AS ({_LOGS}) SELECT domain, feature, count(*) AS n, round(sum(change), 6) AS change, count(*) FILTER (abs(change) > 0.1) AS reviews FROM l WHERE abs(change) > 0.01 GROUP BY domain, feature"
+SQL["weights_resumed"] = SQL["adaptive_weights"]
+_PLAIN = EVENTS.replace(f"{FEATURES['type']} AS f0", "1.0::DOUBLE AS f0").replace(f"{FEATURES['entity']} AS f2", "0.8::DOUBLE AS f2").replace(f"{FEATURES['metadata']} AS f5", "1.0::DOUBLE AS f5")
+SQL["batch_update_weights"] = SQL["adaptive_weights"].replace(EVENTS, _PLAIN)
+_BASE = (0.9, 1.1, 1.0, 1.0, 1.0, 1.0)
+_LAST = "run QUALIFY row_number() OVER (PARTITION BY domain ORDER BY n DESC) = 1"
+SQL["effective_weights"] = f"WITH RECURSIVE {EVENTS}, {fold(0.8, 1.2, 0.05, 10)} SELECT domain, n AS events, {', '.join(f'round({b} * w{i}, 6) AS {k}' for i, (k, b) in enumerate(zip(_F, _BASE, strict=True)))} FROM {_LAST}"
+_LOGGED = " UNION ALL ".join(f"SELECT a.domain, b.n, '{k}' AS feature, (b.w{i} - a.w{i}) / a.w{i} AS change FROM run a JOIN run b ON b.domain = a.domain AND b.n = a.n + 1" for i, k in enumerate(_F))
+SQL["learner_report"] = f"""WITH RECURSIVE {EVENTS}, {fold(0.8, 1.2, 0.05, 10)}, l AS (SELECT l.*, id, row_number() OVER (PARTITION BY l.domain ORDER BY id DESC, feature) AS r FROM ({_LOGGED}) l JOIN ev ON ev.domain = l.domain AND ev.rn = l.n WHERE abs(change) > 0.01),
+g AS (SELECT domain, count(*) AS changes, string_agg(id || ':' || feature, ',' ORDER BY r) FILTER (r <= 20) AS last_changes, count(*) FILTER (r <= 100 AND abs(change) > 0.1) AS pending FROM l GROUP BY domain),
+e AS (SELECT * FROM {_LAST})
+SELECT e.domain, n AS events, {', '.join(f'{b}::DOUBLE AS base_{k}, round(w{i}, 6) AS adjustment_{k}, round({b} * w{i}, 6) AS effective_{k}' for i, (k, b) in enumerate(zip(_F, _BASE, strict=True)))},
+  coalesce(changes, 0) AS changes, coalesce(last_changes, '') AS last_changes, coalesce(pending, 0) AS pending FROM e LEFT JOIN g ON g.domain = e.domain"""
 
 ORACLE_SQL = SQL

@@ -8,6 +8,8 @@ benchmark item n. What is relevant to an item contains its first 60 characters;
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,10 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import evaluate, fusion, labels, learn, lexical, plugins, store, vector
 from ..operators.ranking import ranked
-from ..sources.shared import written
+from ..sources import tables
+from ..sources.shared import shared_dir, written
 from ..sources.tables import table
-from .search import bm25_quality, hybrid, indexed_text, quality_of
+from .search import benchmark, bm25_quality, hybrid, indexed_text, quality_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,6 +220,33 @@ def rerank_plugin(spark: SparkSession, d: str) -> DataFrame:
     return six(fusion.reranked(texts, plugins.pair_scored(F.col("text"), F.col("content"), shared), 10).select("query_id", "doc_id", "score", "rank"))
 
 
+@query
+def rerank_cross_quality(spark: SparkSession, d: str) -> DataFrame:
+    """A pair model's score (here shared words) of the lexical best 50, times quality."""
+
+    def shared(queries: list[str], docs: list[str]) -> list[float]:
+        return [len(set(q.split()) & set(x.split())) / max(len(set(q.split())), 1) for q, x in zip(queries, docs, strict=True)]
+
+    found = written(lexical_top(spark, d), "found")
+    m = memories(spark, d).join(found.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    texts = found.join(items(spark, d), "query_id").join(m.select(F.col("id").alias("doc_id"), "content"), "doc_id")
+    quality = m.select(F.col("id").alias("doc_id"), S.multiplicative_score(F.col("content"), F.col("type"), F.col("has_metadata")).alias("quality"))
+    return six(fusion.cross_reranked(texts, plugins.pair_scored(F.col("text"), F.col("content"), shared), quality, 10).select("query_id", "doc_id", "score", "quality", "rank"))
+
+
+@query
+def rerank_none(spark: SparkSession, d: str) -> DataFrame:
+    return six(fusion.unreranked(lexical_top(spark, d)))
+
+
+@query
+def formatted_results(spark: SparkSession, d: str) -> DataFrame:
+    """What a search hands out: id, overview, score, tokens of the overview, category."""
+    own = memories(spark, d).select(F.col("id").alias("doc_id"), "category", X.overview(F.col("content")).alias("content"))
+    found = lexical_top(spark, d, 5).join(own, "doc_id")
+    return six(found.select("query_id", F.col("doc_id").alias("id"), F.md5("content").alias("content"), "score", X.token_estimate(F.col("content")).alias("tokens"), "category"))
+
+
 @query
 def encode_plugin(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).select("id", F.size(plugins.encoded(F.col("content"))).cast("long").alias("dim"))
@@ -362,6 +392,53 @@ def noise_ratio(spark: SparkSession, d: str) -> DataFrame:
     return six(memories(spark, d).select(S.is_noise(F.col("content")).alias("noise")).agg(F.count("*").alias("total"), F.count_if("noise").alias("noisy"), F.avg(F.col("noise").cast("double")).alias("ratio")))
 
 
+@query
+def noise_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten noisy memories."""
+    return memories(spark, d).filter(S.is_noise(F.col("content"), 60, 0.05)).orderBy("id").limit(10).select("id", X.preview(F.col("content")).alias("preview"))
+
+
+@query
+def percentages(spark: SparkSession, d: str) -> DataFrame:
+    q = _multiplied(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.avg((F.col("quality") >= 0.9).cast("double")).alias("share"))
+    return q.select("type", X.percent(F.floor(F.col("share") * 100) / 100).alias("kept"))
+
+
+@query
+def scored_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Scored memories as JSON lines, read back."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-scored-{uuid4().hex}"
+    rows = memories(spark, d)
+    tables.write_scored(rows.select("id", "content", "type", "has_metadata"), S.multiplicative_score(F.col("content"), F.col("type"), F.col("has_metadata")), path)
+    return six(spark.read.schema("id long, type string, quality_score double, content string").json(path).select("id", "type", F.md5("content").alias("content"), "quality_score"))
+
+
+@query
+def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
+    """The cache saved and loaded again."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-cache-{uuid4().hex}"
+    own = vectors(spark, d).select(F.md5(F.col("doc_id").cast("string")).alias("key"), F.col("v").alias("embedding"), F.lit("2024-01-01").cast("timestamp").alias("cached_at"))
+    tables.save_cache(own, path)
+    got = tables.load_cache(spark, path)
+    return six(got.select("key", F.size("embedding").cast("long").alias("dim"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")))
+
+
+@query
+def dataset_conversion(spark: SparkSession, d: str) -> DataFrame:
+    """A scale written as JSON lines, and one that isn't there: the counts of what was converted."""
+    top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-scales-{uuid4().hex}"
+    rows = memories(spark, d).select(F.col("id").cast("string").alias("id"), "content", "type")
+    rows.write.json(f"{top}/in/small/memories.json")
+    return tables.convert_scales(spark, f"{top}/in", f"{top}/out", ("small", "missing"), array=False)
+
+
+@query
+def batch_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Memories with the vector of their id; rows without one are left out of a batch."""
+    own = vectors(spark, d).select(F.col("doc_id").alias("id"), F.col("v").alias("embedding"))
+    return store.with_vectors(memories(spark, d).select("id", "category").join(own, "id", "left")).select("id", "category", F.size("embedding").cast("long").alias("dim"))
+
+
 @query
 def noise_accuracy(spark: SparkSession, d: str) -> DataFrame:
     truth = table(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("noise"))
@@ -410,6 +487,32 @@ def duplicate_ratio(spark: SparkSession, d: str) -> DataFrame:
     return six(evaluate.duplicate_ratio(vector.pairs_above(rows, 0.4), rows))
 
 
+@query
+def duplicate_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty pairs, with the beginnings of their texts."""
+    pairs = vector.pairs_above(vectors(spark, d).select(F.col("doc_id").alias("id"), "v"), 0.4)
+    return six(evaluate.duplicate_samples(pairs, memories(spark, d).select("id", F.col("content").alias("text"))))
+
+
+@query
+def benchmark_runs(spark: SparkSession, d: str) -> DataFrame:
+    """All three kinds of retrieval over all items."""
+    rel = written(item_qrels(spark, d), "relevant")
+    runs = [benchmark(memories(spark, d), vectors(spark, d), items(spark, d), asked(spark, d), rel, kind) for kind in ("vector", "bm25", "hybrid")]
+    return six(reduce(DataFrame.unionByName, runs))
+
+
+@query
+def bm25_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """An index that takes up a third of the documents later and then loses a seventh; only what is added is cut into tokens."""
+    m = memories(spark, d)
+    cut = X.char_tokens(indexed_text())
+    index = lexical.bm25_index(m.filter("id % 3 > 0"), cut, "id")
+    index = lexical.changed(index, m.filter("id % 3 = 0"), cut, ident="id")
+    index = lexical.changed(index, removed=m.filter("id % 7 = 0").select("id"), ident="id")
+    return six(lexical.bm25_search(index, items(spark, d), X.char_tokens(F.col("text")), 20))
+
+
 @query
 def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
     return six(evaluate.drift(evaluate.halves(vectors(spark, d), F.col("doc_id"))))
@@ -554,3 +657,30 @@ def semi_adaptive_weights(spark: SparkSession, d: str) -> DataFrame:
 @query
 def adjustment_log(spark: SparkSession, d: str) -> DataFrame:
     return six(learn.careful_weights(_events(spark, d), log=True).groupBy("domain", "feature").agg(F.count("*").alias("n"), F.sum("change").alias("change"), F.count_if("requires_review").alias("reviews")))
+
+
+@query
+def weights_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback in two parts, with the weights saved after the first one and loaded for the second: as if it were one."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-weights-{uuid4().hex}"
+    e = _events(spark, d)
+    half = e.agg(F.percentile_approx("seq", 0.5).alias("m")).first().m
+    learn.saved_weights(learn.adaptive_weights(e.filter(F.col("seq") <= half)), path)
+    return six(learn.adaptive_weights(e.filter(F.col("seq") > half), start=learn.loaded_weights(spark, path)))
+
+
+@query
+def batch_update_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Batch feedback knows neither type, nor entities, nor metadata."""
+    return six(learn.adaptive_weights(_events(spark, d).withColumns({"type": F.lit(1.0), "entity": F.lit(0.8), "metadata": F.lit(1.0)})))
+
+
+@query
+def learner_report(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    return six(learn.learner_report(learn.careful_weights(e), learn.careful_weights(e, log=True), {"type": 0.9, "length": 1.1}))
+
+
+@query
+def effective_weights(spark: SparkSession, d: str) -> DataFrame:
+    return six(learn.effective(learn.careful_weights(_events(spark, d)), {"type": 0.9, "length": 1.1}))

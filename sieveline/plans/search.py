@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import LONG, SHORT, Additive, with_additive
 from ..functions.text import abstract, overview, word_tokens
-from ..operators.fusion import funnel, quality_weighted
+from ..operators.evaluate import recall_mrr
+from ..operators.fusion import funnel, linear_blend, quality_weighted
 from ..operators.lexical import bm25_index, bm25_search
 from ..operators.ranking import ranked
 from ..operators.vector import vector_search
@@ -44,3 +47,23 @@ def hybrid(memories: DataFrame, vectors: DataFrame, queries: DataFrame, asked: D
         return best.filter(F.col("rank") <= k)
     best = written(best, "found")
     return ranked(quality_weighted(best.drop("rank"), quality_of(memories, edition, best), least).select("query_id", "doc_id", "score"), k)
+
+
+def benchmark(memories: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, relevant: DataFrame, kind: str = "hybrid", alpha: float = 0.5, k: int = 10) -> DataFrame:
+    """One row: kind, alpha, k, sizes, recall and mrr of a retrieval over all queries at once. kind: vector, bm25 or hybrid."""
+    if kind not in ("vector", "bm25", "hybrid"):
+        raise ValueError(f"kind is vector, bm25 or hybrid, not {kind}")
+    depth = k if kind != "hybrid" else 50
+    near = None if kind == "bm25" else vector_search(vectors, asked, depth, skip_self=True)
+    lexical = None if kind == "vector" else bm25_search(bm25_index(memories, word_tokens(indexed_text()), "id"), queries, word_tokens(F.col("text")), depth)
+    ranking = near if kind == "vector" else lexical if kind == "bm25" else ranked(linear_blend(near, lexical, alpha), k)
+    config = {"retrieval_type": F.lit(kind), "alpha": F.lit(alpha), "k": F.lit(k).cast("long"), "corpus_size": F.lit(memories.count()), "query_size": F.lit(queries.count())}
+    return recall_mrr(ranking, relevant).withColumns(config)
+
+
+def timed_benchmark(queries: DataFrame, **setup: object) -> DataFrame:
+    """``benchmark`` with total_time and queries_per_second: the whole batch is run once and timed."""
+    began = time.perf_counter()
+    report = benchmark(queries=queries, **setup).toPandas()
+    took = time.perf_counter() - began
+    return queries.sparkSession.createDataFrame(report).withColumns({"total_time": F.lit(took), "queries_per_second": F.col("query_size") / F.lit(took)})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +66,57 @@ def write_vectors(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).parquet(path)
 
 
+def create_vectors(spark: SparkSession, path: str, schema: str = "id long, embedding array<float>") -> bool:
+    """An empty vector table unless there is one; whether it was made."""
+    if _exists(spark, path):
+        return False
+    spark.createDataFrame([], schema).write.parquet(path)
+    return True
+
+
+def drop_vectors(spark: SparkSession, path: str) -> bool:
+    """Deletes a vector table; whether there was one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
+def save_cache(cache: DataFrame, path: str) -> None:
+    """The embedding cache (key, embedding, cached_at) as a Parquet table."""
+    cache.select("key", "embedding", "cached_at").write.mode("overwrite").parquet(path)
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """What ``save_cache`` left, or an empty cache."""
+    schema = "key string, embedding array<float>, cached_at timestamp"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def write_scored(rows: DataFrame, score: Column, path: str) -> None:
+    """Rows with their quality_score as JSON lines."""
+    rows.withColumn("quality_score", score).write.mode("overwrite").json(path)
+
+
+def convert_scales(spark: SparkSession, source: str, target: str, scales: tuple[str, ...], array: bool = True) -> DataFrame:
+    """Converts source/<scale>/memories.json (an array each, or JSON lines) to JSON lines in target/<scale>; (scale, memories) of what
+    was there.
+
+    Missing files are skipped. The counts are also written, as target/stats.
+    """
+    counts = []
+    for scale in scales:
+        if _exists(spark, f"{source}/{scale}/memories.json"):
+            converted(read_json(spark, f"{source}/{scale}/memories.json", MEMORY, array), scale).write.mode("overwrite").json(f"{target}/{scale}")
+            counts.append((scale, spark.read.schema("id string").json(f"{target}/{scale}").count()))
+    stats = spark.createDataFrame(counts, "scale string, memories long")
+    stats.coalesce(1).write.mode("overwrite").json(f"{target}/stats")
+    return stats
+
+
 def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key isn't among the deleted ones."""
     return rows.join(ids.select(key).distinct(), key, "left_anti")

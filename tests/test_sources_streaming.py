@@ -75,3 +75,50 @@ def test_windows_drop_late_events(spark, tmp_path):
     q.stop()
     first = spark.sql("select * from f order by start").first()
     assert first.events == 2
+
+
+def test_vector_tables_caches_and_conversions(spark, tmp_path):
+    from sieveline.sources import tables
+
+    path = str(tmp_path / "vectors")
+    assert tables.create_vectors(spark, path) and not tables.create_vectors(spark, path)
+    tables.write_vectors(spark.createDataFrame([(1, [0.5]), (2, [1.5])], "id long, embedding array<float>"), path, "append")
+    assert spark.read.parquet(path).count() == 2
+    assert tables.drop_vectors(spark, path) and not tables.drop_vectors(spark, path)
+
+    cache = str(tmp_path / "cache")
+    assert tables.load_cache(spark, cache).count() == 0
+    rows = spark.createDataFrame([("k", [0.25, 0.5])], "key string, embedding array<float>").withColumn("cached_at", F.lit("2024-01-01").cast("timestamp"))
+    tables.save_cache(rows, cache)
+    assert [(r.key, r.embedding) for r in tables.load_cache(spark, cache).collect()] == [("k", [0.25, 0.5])]
+
+    for scale, n in (("tiny", 2), ("small", 3)):
+        (tmp_path / "in" / scale).mkdir(parents=True)
+        (tmp_path / "in" / scale / "memories.json").write_text(json.dumps([{"id": f"m{i}", "content": f"text {i}"} for i in range(n)]))
+    stats = tables.convert_scales(spark, str(tmp_path / "in"), str(tmp_path / "out"), ("tiny", "small", "large"))
+    assert {(r.scale, r.memories) for r in stats.collect()} == {("tiny", 2), ("small", 3)}
+    assert {r.text for r in spark.read.json(str(tmp_path / "out" / "tiny")).collect()} == {"text 0", "text 1"}
+    tables.write_scored(spark.createDataFrame([("a",)], "id string"), F.lit(0.5), str(tmp_path / "scored"))
+    assert [(r.id, r.quality_score) for r in spark.read.json(str(tmp_path / "scored")).collect()] == [("a", 0.5)]
+
+
+def test_scale_sweep_and_timed_benchmark(spark):
+    from sieveline.operators.evaluate import scale_sweep
+    from sieveline.plans import queries
+    from sieveline.plans.search import timed_benchmark
+
+    d = "/root/testdata/sf0.001"
+    runs = {k: (lambda n=n: spark.createDataFrame([(n, 0.5 / n)], "queries long, recall_1 double")) for k, n in (("small", 1), ("large", 2))}
+    assert [(r.scale, r.queries, r.recall_1, r.seconds > 0) for r in scale_sweep(runs).orderBy("queries").collect()] == [("small", 1, 0.5, True), ("large", 2, 0.25, True)]
+    got = timed_benchmark(queries.items(spark, d), memories=queries.memories(spark, d), vectors=queries.vectors(spark, d), asked=queries.asked(spark, d), relevant=queries.item_qrels(spark, d), kind="bm25").first()
+    assert got.query_size == 40 and got.queries_per_second > 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from sieveline.sources import shared
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    assert shared.shared_dir(spark)  # a local master
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(spark)

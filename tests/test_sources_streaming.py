@@ -119,6 +119,6 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
     assert shared.shared_dir(spark)  # a local master
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "spark://host:7077"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(spark)

@@ -21,7 +21,7 @@ class Additive:
 
     weights: tuple[float, ...]
     types: tuple
-    hedges: list[str]
+    hedges: tuple[str, ...]
     hedge_scores: tuple[float, float]
     openings: tuple[str, ...]
     opening_score: float
@@ -32,10 +32,10 @@ class Additive:
 
 
 LONG = Additive(
-    fixed.WEIGHTS_LONG, fixed.TYPE_LONG, list(dict.fromkeys(fixed.listed(fixed.HEDGES_LONG))), (0.5, 0.2), fixed.OPENINGS_LONG, 0.2, fixed.CATEGORY_LONG,
+    fixed.WEIGHTS_LONG, fixed.TYPE_LONG, tuple(dict.fromkeys(fixed.HEDGES_LONG)), (0.5, 0.2), fixed.OPENINGS_LONG, 0.2, fixed.CATEGORY_LONG,
     ((5, 0.05), (10, 0.1), (15, 0.2), (20, 0.3), (30, 0.4), (50, 0.5), (100, 0.7)), True,
 )
-SHORT = Additive(fixed.WEIGHTS_SHORT, fixed.TYPE_SHORT, fixed.listed(fixed.HEDGES_SHORT), (0.7, 0.3), fixed.OPENINGS_SHORT, 0.4, fixed.CATEGORY_SHORT, ((50, 0.3),))
+SHORT = Additive(fixed.WEIGHTS_SHORT, fixed.TYPE_SHORT, fixed.HEDGES_SHORT, (0.7, 0.3), fixed.OPENINGS_SHORT, 0.4, fixed.CATEGORY_SHORT, ((50, 0.3),))
 
 #: Dimensions that a short-circuit reports beside its score.
 _SILENT = {"type": 0.7, "entity": 0.6, "destructive": 1.0, "template": 0.2, "metadata": 1.0}
@@ -172,7 +172,7 @@ def is_noise(text: Column, min_tokens: int = 5, stop_ratio: float = 0.8) -> Colu
     """Too short, mostly stop words, or with a placeholder."""
     chars, words = raw_char_tokens(text), blank_tokens(text)
     every = F.concat(chars, words)
-    stops = F.array(*[F.lit(w) for w in [*fixed.STOP_CHARS, *fixed.listed(fixed.STOP_WORDS)]])
+    stops = F.array(*[F.lit(w) for w in [*fixed.STOP_CHARS, *fixed.STOP_WORDS]])
     share = F.try_divide(F.size(F.filter(every, lambda t: F.array_contains(stops, t))), F.size(every))
     return ((F.size(chars) < min_tokens) & (F.size(words) < min_tokens)) | (F.size(every) == 0) | (F.coalesce(share, F.lit(0.0)) > stop_ratio) | any_of(text, fixed.PLACEHOLDERS)
 

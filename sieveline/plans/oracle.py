@@ -154,7 +154,7 @@ def noise(min_tokens: int, ratio: float) -> str:
     chars = "list_filter(string_split(replace(content, ' ', ''), ''), lambda x: x <> '')"
     words = f"list_filter(regexp_split_to_array(lower(content), '{BLANK}+'), lambda x: x <> '')"
     every = f"({chars} || {words})"
-    stops = arr([*fixed.STOP_CHARS, *fixed.listed(fixed.STOP_WORDS)])
+    stops = arr([*fixed.STOP_CHARS, *fixed.STOP_WORDS])
     share = f"len(list_filter({every}, lambda x: list_contains({stops}, x))) / nullif(len({every}), 0)"
     return f"((len({chars}) < {min_tokens} AND len({words}) < {min_tokens}) OR len({every}) = 0 OR coalesce({share}, 0) > {ratio} OR {any_of('content', fixed.PLACEHOLDERS)})"
 

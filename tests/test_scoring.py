@@ -84,3 +84,16 @@ def test_cosine_of_zero(spark):
     got = [r.x for r in df.select(cosine(F.col("a"), F.col("b")).alias("x")).collect()]
     assert got[0] is None
     assert math.isclose(got[1], 0.96)
+
+
+def test_fixed_values_as_literals():
+    """Some of the values that results depend on, written out: the DuckDB equivalents import them, so they can't notice a slip."""
+    from sieveline.functions import fixed
+    from sieveline.operators import learn, lexical
+
+    assert fixed.WEIGHTS_LONG == (0.10, 0.20, 0.10, 0.30, 0.25, 0.05) and fixed.WEIGHTS_SHORT == (0.20, 0.15, 0.20, 0.20, 0.15, 0.10)
+    assert (lexical.K1, lexical.B, lexical.EPSILON) == (1.5, 0.75, 0.25)
+    assert fixed.TYPE_FACTOR == {"code": 1.2, "knowledge": 1.2, "event": 0.9, "conversation": 0.9, "noise": 0.3}
+    assert (learn.RATE, learn.LOWEST, learn.HIGHEST, learn.CAREFUL_RATE, learn.LEAST_FACTOR, learn.MOST_FACTOR, learn.WARM_UP) == (0.1, 0.1, 2.0, 0.05, 0.8, 1.2, 10)
+    assert fixed.HEDGES_SHORT[6:10] == ("sorry", "cannot", "unable", "don't know") and len(fixed.HEDGES_LONG) == 81 and len(fixed.STOP_WORDS) == 145
+    assert [path for path, _ in fixed.ROUTES] == ["/user/preferences", "/agent/skills", "/resources/projects", "/agent/memories"]

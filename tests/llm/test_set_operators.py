@@ -434,3 +434,30 @@ def test_mixing_stage_keeps_each_row_of_null_and_repeated_ids_once(spark):
     rows = [(i, f"text {k}", "en", f"s{k % 3}", 6) for k, i in enumerate(ids)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.text for r in corpus_pipeline.mix(spark, docs, DATA).collect()) == sorted(r[1] for r in rows)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, stage):
+    """Null and repeated ids, null, empty and long texts, equal rows, extra columns, no rows at all."""
+    text = " ".join(f"word{i} is here." for i in range(60))
+    rows = [(None, text), (None, text + " One more."), (None, None), (4, ""), (4, "short one."), (4, "short one."), (5, "x" * 100_000), (6, "long words. " * 20_000), (7, text.upper())]
+    docs = spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 2 else "s", None if t is None else len(t), 1.0, "e") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, score double, extra string")
+    run = corpus_pipeline.STAGES[stage][1]
+    out = run(spark, docs, DATA)
+    assert "extra" not in out.columns and "score" not in out.columns
+    got = out.collect()
+    ids = lambda some: sorted(-1 if i is None else i for i in some)
+    if stage == 0:
+        rest = list(rows)
+        for r in got:  # what stays are rows of the input, none of them twice
+            rest.remove((r.doc_id, r.text))
+    elif stage == 1:
+        assert len(got) == 6
+        assert sorted(lower(r.text) for r in got) == sorted({lower(t) for _, t in rows})
+    elif stage == 2:
+        assert sorted((-1 if r.doc_id is None else r.doc_id, len(r.text or "")) for r in got) == sorted([(7, len(text)), (4, 0), (4, 10), (5, 100_000), (6, 240_000)])
+    elif stage == 3:
+        assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, rows))
+    else:
+        assert ids(r.doc_id for r in got) == ids(i for i, _ in rows) and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+    assert run(spark, docs.filter("false"), DATA).count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -166,6 +167,83 @@ def ivf_search(docs: DataFrame, queries: DataFrame, k: int = 10, cells: int | No
     return ranked(best.unionByName(hits(open_.select("query_id", "q", "cell"))), k)
 
 
+def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """k means of a bounded sample; a mean that nothing is nearest to stays where it is."""
+    c = x[rng.permutation(len(x))[:k]].copy()
+    for _ in range(rounds):
+        near = ((c**2).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
+        n = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c[n > 0] = total[n > 0] / n[n > 0, None]
+    return c
+
+
+def pq_search(docs: DataFrame, queries: DataFrame, k: int = 10, cells: int = 64, subs: int = 32, probes: int | None = None, refine: int = 8, sample: int = 20_000, words: int = 64, seed: int = 1) -> DataFrame:
+    """The best k by cosine through product quantisation: a row is the number of its cell and, for each of ``subs`` parts of what it
+    differs from the cell's centre, the number of the nearest of ``words`` code words.
+
+    Centres and code words are fitted on at most ``sample`` rows; every row is coded. A query adds up table entries for the rows
+    of its ``probes`` nearest cells (three quarters of them by default), and the best ``refine * k`` are compared exactly.
+    """
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    docs, queries = docs.filter("v is not null").select("doc_id", F.col("v").cast("array<double>").alias("v")), queries.filter("v is not null").select("query_id", F.col("v").cast("array<double>").alias("v"))
+    drawn = [r.v for r in docs.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample).collect()]
+    if not drawn:
+        return ranked(docs.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).limit(0), k)
+    rng, x = np.random.default_rng(seed), unit(np.array(drawn))
+    centres = _means(x, cells, rng)
+    near = (x @ centres.T * 2 - (centres**2).sum(1)).argmax(1)
+    parts = np.array_split(np.arange(x.shape[1]), min(subs, x.shape[1]))
+    books = [_means((x - centres[near])[:, p], words, rng) for p in parts]
+    probes = probes or max(1, cells * 3 // 4)
+    blocks = max(1, -(-docs.count() // (cells * ROW_BLOCK)))
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                v = unit(_doubles(pdf["v"]))
+                cell = (v @ centres.T * 2 - (centres**2).sum(1)).argmax(1)
+                rest = v - centres[cell]
+                codes = np.stack([((b**2).sum(1)[None, :] - 2 * rest[:, p] @ b.T).argmin(1) for p, b in zip(parts, books, strict=True)], 1).astype(np.uint8)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in codes]})
+
+    def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                v = unit(_doubles(pdf["v"]))
+                cell = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :probes]
+                n = cell.shape[1]
+                yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), n), "q": [list(r) for r in np.repeat(v, n, 0)], "cell": cell.ravel().astype(np.int32)})
+
+    def scored(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(asks):
+            codes, ids = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), rows["doc_id"].to_numpy()
+            for query_id, q in zip(asks["query_id"], asks["q"], strict=True):
+                q = np.array(q)
+                s = q @ centres[rows["cell"].iloc[0]] + sum((b @ q[p])[codes[:, i]] for i, (p, b) in enumerate(zip(parts, books, strict=True)))
+                best = np.argpartition(-s, min(refine * k, len(s)) - 1)[: refine * k]
+                out.append(pd.DataFrame({"query_id": query_id, "doc_id": ids[best], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []}).astype({"query_id": "int64", "doc_id": "int64"})
+
+    rows = docs.mapInPandas(coded, "doc_id long, cell int, code binary").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    asks = queries.mapInPandas(probing, "query_id long, q array<double>, cell int").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    best = ranked(rows.groupBy("cell", "block").cogroup(asks.groupBy("cell", "block")).applyInPandas(scored, "query_id long, doc_id long, score double"), refine * k)
+    pairs = best.select("query_id", "doc_id").join(docs, "doc_id").join(queries.withColumnRenamed("v", "q"), "query_id")
+    return ranked(pairs.select("query_id", "doc_id", cosine(F.col("q"), F.col("v")).alias("score")).filter("score is not null"), k)
+
+
+def index_sweep(docs: DataFrame, queries: DataFrame, configs: tuple[tuple[int, int], ...] = ((16, 16), (32, 16), (64, 32), (128, 64)), k: int = 5) -> DataFrame:
+    """(partitions, sub_vectors, recall): the share of the exact best k that each configuration of the index finds."""
+    exact = written(vector_search(docs, queries, k).select("query_id", "doc_id"), "exact")
+    runs = []
+    for cells, subs in configs:
+        hits = exact.join(pq_search(docs, queries, k, cells, subs).select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+        runs.append(hits.agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("recall")).select(F.lit(cells).alias("partitions"), F.lit(subs).alias("sub_vectors"), "recall"))
+    return reduce(DataFrame.unionByName, runs)
+
+
 def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000, most_cells: int = 1024) -> DataFrame:
     """(a, b, similarity), a < b, of all pairs of rows (id, v) with a cosine above the threshold. Exact.
 

@@ -166,6 +166,11 @@ def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
     return six(vector.ivf_search(vectors(spark, d), asked(spark, d)))
 
 
+@query
+def index_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return six(vector.index_sweep(vectors(spark, d), asked(spark, d)))
+
+
 @query
 def rrf_one_based(spark: SparkSession, d: str) -> DataFrame:
     return six(ranked(fusion.rrf(lexical_top(spark, d), vector_top(spark, d)), 20))

@@ -86,6 +86,12 @@ def test_ivf_query_recall_on_the_given_vectors(spark):
         assert len(exact & found) >= 0.9 * len(exact), len(exact & found) / len(exact)
 
 
+def test_product_quantisation_recall_of_every_configuration(spark):
+    got = {(r.partitions, r.sub_vectors): r.recall for r in queries.index_sweep(spark, "/root/testdata/sf0.1").collect()}
+    assert set(got) == {(16, 16), (32, 16), (64, 32), (128, 64)}
+    assert min(got.values()) >= 0.9, got
+
+
 def test_pairs_above_in_blocks(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(50, 4))

@@ -130,9 +130,8 @@ def stub_score(text: Column) -> Column:
 
 
 def stop_share(text: Column, stop_chars: str = fixed.STOP_CHARS) -> Column:
-    """Stop characters among those that aren't blank; null where there are none."""
-    own = F.regexp_replace(text, r"[ \n\t]", "")
-    return F.try_divide(F.char_length(F.regexp_replace(own, f"[^{stop_chars}]", "")), F.char_length(own))
+    """Stop characters, none of them a blank, among those that aren't blank; null where there are none."""
+    return F.try_divide(F.regexp_count(text, F.lit(f"[{stop_chars}]")), F.char_length(text) - F.regexp_count(text, F.lit(r"[ \n\t]")))
 
 
 def multiplicative_score(text: Column, kind: Column, has_metadata: Column) -> Column:

@@ -34,13 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def folder(spark: SparkSession, what: str, made: bool = False) -> str:
+    """The path of a new folder in the shared one; if ``made``, it is there, and goes when the application ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex}"
+    if made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read back: lineage ends there, and lost executors cost nothing.
 
     The table goes when the application ends, or before with ``forget``. by: a column whose values get folders of their own.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{what}-{uuid.uuid4().hex}"
+    path = folder(spark, what)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip, read_ranks
 from .chat_format import chat_examples, conversation_digest
 from .common import table
+from .conversation_repair import damaged, repair
 from .exact_dedup import exact_dedup
 from .embedding_dedup import near_embeddings
 from .labelled import held_out, training_rows
@@ -18,8 +19,11 @@ from .minhash_dedup import near_dedup
 from .mixing import pfair_mix
 from .pii_crf import KINDS, find_pii, fit_crf, labelled_table
 from .quality_rules import fit_quality, quality_scores
+from .repair_sql import CRC_TABLE, OP13_SQL, crc32
+from .spelling import variants
 from .suffix_dedup import remove_passages
 from .toxicity import fit, scored
+from .warc import archived
 
 
 def _written_out(spans: Column) -> Column:
@@ -163,6 +167,52 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Near words by what is left when a letter goes: the same at the same place, or the shorter word itself.
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n
+         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{7,}}')) AS r FROM documents) GROUP BY 1, 2),
+bytes AS (SELECT r, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS hx FROM runs),
+hashed AS (SELECT r, n, {crc32("hx", "length(hx) // 2")} AS h FROM bytes, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS top FROM near GROUP BY word),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN other END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS stop, 0 AS k FROM formed UNION ALL SELECT w.word, f.form, k + 1 FROM walk w JOIN formed f ON f.word = w.stop WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(stop, k) AS root FROM walk GROUP BY word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r USING (word)
+"""
+
+
+def op12_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of 160 bits: eight times twenty bits, each four letters.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, {5 * i + 1}, 5))::INT >> {b}) & 31) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS s, min(page_id) OVER (PARTITION BY b) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM g
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
     "op2_suffix_radix": op2_suffix_radix,
@@ -174,6 +224,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_order_minhash": op9_order_minhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_warc_merge": op12_warc_merge,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_suffix_radix": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_radix": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_chat_format": OP8_SQL,
+    "op11_spelling_variants": OP11_SQL, "op12_warc_merge": OP12_SQL, "op13_conversation_repair": OP13_SQL,
+}

@@ -337,7 +337,8 @@ def repair(turns: DataFrame, piece_rows: int = PIECE_ROWS, piece_chars: int = PI
     types = dict(turns.dtypes)
     ddl = _PIECE.format(c=types["conv_id"], t=types["turn"])
     keys = ("conv_id", "turn", "role", "text")
-    rows = turns.select(*keys, "gone").repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    known = turns.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")], "gone")
+    rows = known.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
     pieces = written(rows.mapInArrow(_pieces(_arrow(spark, ddl), piece_rows, piece_chars), ddl), "pieces")
     whole = pieces.filter("not open")
     cut = pieces.filter("open")

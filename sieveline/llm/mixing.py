@@ -9,7 +9,7 @@ Slots follow from one another, so their order is one fold; what it walks over ar
 most, whatever the size of the corpus: ``block_rows`` grows instead. The fold keeps its state every ``STRIDE`` blocks, and
 the slots between two states are worked out from there in parallel.
 
-Rows are numbered inside their source in the order of a seeded hash. A source is counted in pieces of bounded size (a
+Rows are numbered inside their source in the order of a seeded hash of id and text (if there is one). A source is counted in pieces of bounded size (a
 window for each piece, then a running sum over the pieces), so no task holds a whole source. Slots of a source that has
 run out stay idle; no row is dropped or repeated.
 
@@ -81,20 +81,22 @@ def schedule(blocks: DataFrame, spread: int = 8) -> DataFrame:
 
 
 def pfair_mix(
-    docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int | None = None, most_blocks: int = 200_000, seed: int = 7, piece_rows: int | None = None
+    docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_rows: int | None = None, most_blocks: int = 200_000, seed: int = 7, piece_rows: int | None = None
 ) -> DataFrame:
     """``docs`` with source_block, slot and place (the order of the mixture: slot, then the row's place in its block).
 
     weights: (source, weight), ``tempered(docs)`` by default. block_rows: rows of a block, by default 32, or more where there would
     be over ``most_blocks`` blocks. The number of sources must stay small: the fold looks at each of them for each block.
+    Rows go by id and, where there is a column ``text_col``, text: other columns change no place, save between rows that agree in both.
     piece_rows: rows numbered by one window.
     """
     spark = docs.sparkSession
     docs = drop_names(docs, *RESULT)
     cols = docs.columns
-    #: Beside the id, so that one id with very many rows is spread.
-    rest_cols = [F.col(f"`{c}`") for c, t in docs.dtypes if c != id_col and "map<" not in t and "variant" not in t]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__r"), F.col(source_col).alias("__s"), F.xxhash64(F.lit(seed), F.col(id_col), *rest_cols).alias("__o"))
+    #: Id and text say where a row goes; the other columns only break ties of those, so one more of them moves nothing.
+    own = [F.col(f"`{c}`") for c in cols if c.lower() == text_col.lower()]
+    rest_cols = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__r"), F.col(source_col).alias("__s"), F.xxhash64(F.lit(seed), F.col(id_col), *own).alias("__o"), F.xxhash64(*rest_cols).alias("__t"))
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("sources")).first()
     count, sources = total.n or 0, total.sources
@@ -114,7 +116,7 @@ def pfair_mix(
     rows = rows.withColumn("__p", F.floor((F.col("__o") / F.lit(2.0**64) + 0.5) * F.col("__m")))
     ahead = rows.groupBy("idx", "__p").agg(F.count("*").alias("__c"))
     ahead = ahead.withColumn("__before", F.sum("__c").over(Window.partitionBy("idx").orderBy("__p")) - F.col("__c")).drop("__c")
-    inside = Window.partitionBy("idx", "__p").orderBy("__o", F.col("__r")[id_col])
+    inside = Window.partitionBy("idx", "__p").orderBy("__o", F.col("__r")[id_col], "__t")
     rows = rows.withColumn("__n", F.row_number().over(inside) - 1).join(ahead, ["idx", "__p"])
     n = F.col("__before") + F.col("__n")
     rows = rows.withColumn("nth", F.floor(n / block_rows)).withColumn("__i", F.pmod(n, F.lit(block_rows)))

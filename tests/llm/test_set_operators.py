@@ -243,6 +243,16 @@ def test_mixture_equals_the_simulation(spark, piece_rows):
     assert pfair_mix(docs.drop("slot")).count() == len(rows)
 
 
+def test_other_columns_move_nothing(spark):
+    """Beside id and text, a column says at most which of two rows that agree in both comes first."""
+    docs = spark.createDataFrame([(i % 250, f"text {i % 251}", "ab"[i % 2], i) for i in range(500)], "doc_id long, text string, source string, extra long")
+    full, less = ({(r.doc_id, r.text, r.source): r.place for r in pfair_mix(d, block_rows=8, piece_rows=40).collect()} for d in (docs, docs.drop("extra")))
+    assert full == less and len(full) == 500
+    by_id = docs.filter("extra < 250").drop("text")
+    full, less = ({r.doc_id: r.place for r in pfair_mix(d, block_rows=8).collect()} for d in (by_id, by_id.drop("extra")))
+    assert full == less
+
+
 @pytest.mark.parametrize(("weights", "blocks"), [([0.7004, 0.2996], [175_100, 74_900]), ([5.0, 2.5, 0.31, 1.7, 0.0007], [20_000, 10_000, 1240, 6800, 3])])
 def test_deviation_stays_below_one_block(spark, weights, blocks):
     """At every slot until a source runs out."""
@@ -387,7 +397,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             assert rows[2] == set(classes_by_force(sorted(before.items())).values())
         if i == 3:
             assert rows[3] == rows[2]
-            placed = {r.doc_id: r.place for r in pfair_mix(spark.read.parquet(str(tmp_path / "2")).select("doc_id", "source")).collect()}
+            placed = {r.doc_id: r.place for r in pfair_mix(spark.read.parquet(str(tmp_path / "2")).select("doc_id", "text", "source")).collect()}
             stored = [r.doc_id for f in sorted((tmp_path / "3").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
             assert [placed[k] for k in stored] == sorted(placed.values())
     assert rows[4] == rows[3]

@@ -167,6 +167,11 @@ q AS (SELECT id AS doc_id, {SHORT_SQL} AS quality FROM mem),
 w AS (SELECT query_id, doc_id, score * (0.5 + 0.5 * quality) AS score, quality FROM best JOIN q USING (doc_id) WHERE quality >= 0.3)
 SELECT query_id, doc_id, round(score, 6) AS score, round(quality, 6) AS quality, rank FROM ({top("w", 5, "query_id, doc_id, score, quality")})"""
 SQL["bm25_word_top50"] = f"WITH {WORD_BM25}, {LEX} {RANKED} lex"
+SQL["bm25_block_max"] = SQL["bm25_word_top50"]
+TURNED = MEM.replace("coalesce(text, '') AS content", "CASE WHEN doc_id % 16 = 0 THEN array_to_string(list_reverse(string_split(coalesce(text, ''), chr(10))), chr(10)) ELSE coalesce(text, '') END AS content").replace(
+    "FROM documents)", "FROM documents WHERE doc_id % 11 > 0 AND doc_id % 13 > 0)")
+SQL["bm25_segments"] = f"WITH {TURNED}, {ITEMS}, {bm25(WORDS)} {top('(SELECT * FROM scored WHERE score > 0)', 20)}"
+SQL["index_vocabulary"] = f"WITH {TURNED}, {ITEMS}, {bm25(WORDS)} SELECT term, count(*) AS df, n, avgdl FROM post, stat GROUP BY term, n, avgdl"
 SQL["bm25_char_top20"] = f"WITH {MEM}, {ITEMS}, {bm25(CHARS)} {RANKED} ({top('(SELECT * FROM scored WHERE score > 0)', 20)})"
 SQL["cosine_topk"] = f"WITH {VEC}, {NEAR} {RANKED} near"
 SQL["ivf_topk"] = f"WITH {VEC} {RANKED} ({near(COSINE, 10, True)})"

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import scoring as S
 from ..functions import text as X
-from ..operators import evaluate, fusion, labels, learn, lexical, plugins, store, vector
+from ..operators import evaluate, fusion, labels, learn, lexical, plugins, segments, store, vector
 from ..operators.ranking import ranked
 from ..sources import tables
 from ..sources.shared import shared_dir, written
@@ -518,6 +518,43 @@ def bm25_incremental(spark: SparkSession, d: str) -> DataFrame:
     return six(lexical.bm25_search(index, items(spark, d), X.char_tokens(F.col("text")), 20))
 
 
+def new_index(spark: SparkSession, m: DataFrame) -> segments.Segments:
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-index-{uuid4().hex}"
+    return segments.added(segments.opened(spark, path), m, X.word_tokens(indexed_text()), "id")
+
+
+def grown_index(spark: SparkSession, d: str) -> segments.Segments:
+    """An index through its life: half of the documents; four small additions, one of which replaces some of the first; a removal of
+    every eleventh; a merge of what is due; a last removal. What is left: id % 11 > 0 and id % 13 > 0, where every 16th id has its lines
+    in reverse."""
+    m, cut = memories(spark, d), X.word_tokens(indexed_text())
+    index = new_index(spark, m.filter("id % 8 < 4"))
+    turned = m.filter("id % 16 = 0").withColumn("content", F.array_join(F.reverse(F.split("content", "\n")), "\n"))
+    for part in (m.filter("id % 8 = 4"), m.filter("id % 8 = 5").unionByName(turned), m.filter("id % 8 = 6"), m.filter("id % 8 = 7")):
+        index = segments.added(index, part, cut, "id")
+    index = segments.removed(index, m.filter("id % 11 = 0"), "id")
+    index = segments.merged(index, tuple(index.segments)[1:4])
+    return segments.removed(index, m.filter("id % 13 = 0"), "id")
+
+
+@query
+def bm25_block_max(spark: SparkSession, d: str) -> DataFrame:
+    """The same best 50 as bm25_word_top50, from an index whose blocks are skipped where they can't matter."""
+    return six(segments.search(new_index(spark, memories(spark, d)), items(spark, d), X.word_tokens(F.col("text"))))
+
+
+@query
+def bm25_segments(spark: SparkSession, d: str) -> DataFrame:
+    return six(segments.search(grown_index(spark, d), items(spark, d), X.word_tokens(F.col("text")), 20))
+
+
+@query
+def index_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of the index after its changes, and in how many live documents it is; n and mean length as columns."""
+    index = grown_index(spark, d)
+    return six(segments.vocabulary(index).withColumns({"n": F.lit(index.n).cast("long"), "avgdl": F.lit(index.avgdl)}))
+
+
 @query
 def embedding_drift(spark: SparkSession, d: str) -> DataFrame:
     return six(evaluate.drift(evaluate.halves(vectors(spark, d), F.col("doc_id"))))

@@ -201,20 +201,24 @@ class _Known(dict):
 
 
 class Encoder:
-    """Texts to ids. Pieces seen before come from a bounded memo, as numbers of rows in one flat array of ids."""
+    """Texts to ids. Pieces seen before come from a memo, as numbers of rows in one flat array of ids.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
-        self.fst, self.memo = Transducer(ranks), memo
+    The memo is bounded in pieces and in their characters, looked at after each text: what it holds beyond that is one text's.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000, memo_chars: int = 1 << 22):
+        self.fst, self.memo, self.memo_chars = Transducer(ranks), memo, memo_chars
         self.split = regex.compile(pattern).findall
         self._clear()
 
     def _clear(self) -> None:
-        self.known = _Known(self._learn)
+        self.known, self.chars = _Known(self._learn), 0
         self.flat = np.empty(1 << 16, np.int32)
         self.ends = np.zeros(1 << 16, np.int64)
 
     def _learn(self, piece: str, n: int) -> int:
         ids = self.fst.encode(piece.encode())
+        self.chars += len(piece)
         start = int(self.ends[n])
         if start + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), np.int32)])
@@ -226,12 +230,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin and end."""
-        if len(self.known) > self.memo:
-            self._clear()
-        found = []
+        done, found = [], []
         for text in texts:
             pieces = self.split(text)
             found.append(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
+            if len(self.known) > self.memo or self.chars > self.memo_chars:
+                done.append(self._looked_up(found))
+                found = []
+                self._clear()
+        done.append(self._looked_up(found))
+        if len(done) == 1:
+            return done[0]
+        ends = np.cumsum([0, *(len(ids) for ids, _ in done)])
+        return np.concatenate([ids for ids, _ in done]), np.concatenate([[0], *(counts[1:] + end for (_, counts), end in zip(done, ends, strict=False))])
+
+    def _looked_up(self, found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of each text to all ids, and where each text's begin and end."""
         parts = np.concatenate(found) if found else np.empty(0, np.int64)
         begin = self.ends[parts]
         size = self.ends[parts + 1] - begin

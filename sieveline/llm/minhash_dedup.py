@@ -60,16 +60,22 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: Longer words are hashed anew.
+REMEMBERED = 64
+
+
 class Shingler:
-    """Texts to label sequences; hashes of words seen before come from a bounded memo."""
+    """Texts to label sequences; hashes of words seen before come from a memo, bounded in words and in their length."""
 
     def __init__(self, width: int = SHINGLE):
         self.width, self.memo = width, {}
 
     def _word(self, word: str) -> int:
-        if len(self.memo) > 150_000:
-            self.memo.clear()
-        h = self.memo[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED:
+            if len(self.memo) > 150_000:
+                self.memo.clear()
+            self.memo[word] = h
         return h
 
     def words(self, text: str) -> np.ndarray:

@@ -218,17 +218,18 @@ def tokens(text: str) -> tuple[list[tuple[int, int]], list[tuple]]:
 
 class _Shapes(dict):
     """Numbers of tokens' shapes, learnt when they are asked for: 0 a shape that the table lacks, 1 and 2 the ends of a line, -1
-    a blank, -2 a blank with the end of a line. Bounded."""
+    a blank, -2 a blank with the end of a line. Bounded in tokens and in their length: longer ones are looked at anew."""
 
     def __init__(self, names: dict[str, int]):
         super().__init__()
         self.names = names
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
         n = (-2 if "\n" in token else -1) if token.isspace() else self.names.get(shape(token), 0)
-        self[token] = n
+        if len(token) <= 64:
+            if len(self) > 400_000:
+                self.clear()
+            self[token] = n
         return n
 
 
@@ -396,9 +397,7 @@ _PLAIN = re.compile(r"[0-9@]").search
 _GROUPS = re.compile(r"[0-9]+").findall
 _AT = re.compile(r"@|[(\[] ?at ?[)\]]", re.I).search
 _DOT = re.compile(r"\.|\bdot\b", re.I).search
-# Top-level names.
-TOP = ("com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "at", "ch", "fr", "es", "it", "nl", "uk", "us", "co", "mx")
-_SPOKEN = re.compile(rf"[\w+-]+(?: dot [\w+-]+)* at [\w-]{{2,}}(?:(?: dot |\.)[\w-]{{2,}})*(?: dot |\.)(?:{'|'.join(TOP)})", re.I).fullmatch
+_SPOKEN = re.compile(r"[\w+-]+(?: dot [\w+-]+)* at [\w-]{2,}(?:(?: dot |\.)[\w-]{2,})*(?: dot |\.)[^\W\d_]{2,}", re.I).fullmatch
 
 
 def _sound(kind: int, text: str) -> bool:

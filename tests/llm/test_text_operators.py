@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, pii_crf, suffix_dedup
+from sieveline.llm import bpe, minhash_dedup, pii_crf, suffix_dedup
 from sieveline.llm.queries import op1_pii_crf, op4_byte_bpe
 from sieveline.llm.chat_format import chat_examples, conversation_digest, read_turns
 
@@ -315,3 +315,26 @@ def test_equal_digests_are_not_taken_for_equal_bytes(spark, monkeypatch):
     rows = [b.to_pydict() for b in suffix_dedup._slice_digits(np.arange(4), np.arange(4), parts)]
     assert rows[0]["id"] == []  # nothing is taken for a copy of the first stretch, though the digests agree
     assert set(rows[1]["id"]) == {0, 1, 2, 3}
+
+
+def test_any_last_label_makes_a_spoken_address():
+    """No list decides which top-level names there are: what the CRF labels as an address is one."""
+    model = pii_crf.fit_crf(pii_crf.labelled_table())
+    for text in ("write to jo at mail dot pl today", "write to anna at firma dot se today", "write to jo at mail dot com today"):
+        spans = pii_crf.crf_spans([text], model, [[]])[0]
+        assert [text[a:b] for _, a, b in spans] == [text[9:-6]]
+
+
+def test_memos_are_bounded_in_characters():
+    """Ten thousand long words that all differ leave next to nothing behind, and change no result."""
+    words = [f"{i:06d}" + "ab" * 5000 for i in range(2000)]
+    shingler, shapes = minhash_dedup.Shingler(), pii_crf._Shapes({})
+    for w in words:
+        shingler.words(w + " short")
+        shapes[w]
+    assert set(shingler.memo) == {"short"} and not shapes
+    assert shingler.words(words[0])[0] == minhash_dedup.Shingler().words(words[0])[0]
+    small, large = (bpe.Encoder(RANKS, public_tokenizers.PATTERN, memo_chars=n) for n in (50, 1 << 30))
+    texts = ["q" * 300 + f" word{i} and é" for i in range(40)] + ["", "q" * 300]
+    (ids, ends), (want, want_ends) = small.encode(texts), large.encode(texts)
+    assert ids.tolist() == want.tolist() and ends.tolist() == want_ends.tolist() and small.chars <= 50

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .evaluate import numbered
 from .ranking import ranked
 from .vector import ranks_among, vector_search
 
@@ -30,17 +33,93 @@ def weighted_rrf(vector: DataFrame, lexical: DataFrame, alpha: float, k: int = 6
     return both.select("query_id", "doc_id", (F.lit(alpha) / (k + F.col("rv")) + F.lit(1 - alpha) / (k + F.col("rl"))).alias("score"))
 
 
-def weighted_rrf_search(docs: DataFrame, queries: DataFrame, alpha: float, k: int = 60, top: int = 10, first: str = "cosine", second: str = "l2") -> DataFrame:
-    """The best of ``weighted_rrf`` over the complete rankings of all rows by two metrics, without making these.
+def sparse_top(sparse: DataFrame, universe: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+    """(query_id, doc_id, rank) of the first ``depth`` of a complete ranking of which ``sparse`` holds the scores that aren't 0.
 
-    The best ``top`` of the list with the larger weight have that weight / (k + top) at least. A row outside the first ``depth`` of
-    both lists has 1 / (k + depth + 1) at most, which is less. So only the first ``depth`` of each list can win; the place of each
-    of them in the other list is counted.
+    Documents without a score tie at 0, behind all positive ones, in the order of doc_id. Only queries with fewer than
+    ``depth`` positive scores get to them, and then to the first few ids.
     """
-    depth = int((k + top) / max(alpha, 1 - alpha)) - k + 1
-    lists = {m: vector_search(docs, queries, depth, m) for m in (first, second)}
-    wanted = written(lists[first].select("query_id", "doc_id").unionByName(lists[second].select("query_id", "doc_id")).distinct(), "wanted")
-    return ranked(weighted_rrf(ranks_among(docs, queries, wanted, first), ranks_among(docs, queries, wanted, second), alpha, k), top)
+    above = sparse.filter("score > 0")
+    best = ranked(above, depth).select("query_id", "doc_id", "rank")
+    have = queries.select("query_id").join(sparse.groupBy("query_id").agg(F.count(F.when(F.col("score") > 0, 1)).alias("p"), F.count("*").alias("s")), "query_id", "left").fillna(0)
+    short = have.filter(F.col("p") < depth)
+    most = short.agg(F.max("s")).first()[0]
+    if most is None:
+        return best
+    ids = [r.doc_id for r in universe.select("doc_id").orderBy("doc_id").limit(depth + most).collect()]  # depth, and as many as a short list has
+    zeros = short.select("query_id", "p", F.explode(F.array(*[F.lit(i) for i in ids])).alias("doc_id")).join(sparse, ["query_id", "doc_id"], "left_anti")
+    zeros = ranked(zeros.withColumn("score", F.lit(0.0)), depth).withColumn("rank", F.col("p") + F.col("rank")).filter(F.col("rank") <= depth)
+    return best.unionByName(zeros.select("query_id", "doc_id", "rank"))
+
+
+def sparse_ranks_among(sparse: DataFrame, universe: DataFrame, wanted: DataFrame, places: int = 9, salts: int = 8) -> DataFrame:
+    """(query_id, doc_id, rank) of wanted pairs in that complete ranking, which is never made.
+
+    How many scores come before a wanted one is counted in pieces of each query's list; how many of the documents without a
+    score do follows from the place of the id among all ids, less the ids with a score before it.
+    """
+    pairs = wanted.select("query_id", "doc_id").distinct()
+    own = pairs.join(sparse, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        s, ids = -rows["score"].round(places).to_numpy(), rows["doc_id"].to_numpy()
+        order = np.lexsort((ids, s))
+        s, ids, named = s[order], ids[order], np.sort(ids)
+        want, who = -asks["score"].round(places).to_numpy(), asks["doc_id"].to_numpy()
+        first, last = np.searchsorted(s, want), np.searchsorted(s, want, "right")
+        ahead = first + np.array([np.searchsorted(ids[a:b], i) for a, b, i in zip(first, last, who, strict=True)], np.int64)
+        return pd.DataFrame({"query_id": asks["query_id"].to_numpy(), "doc_id": who, "score": -want, "ahead": ahead, "named": np.searchsorted(named, who)})
+
+    left = sparse.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    right = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    found = left.groupBy("query_id", "salt").cogroup(right.groupBy("query_id", "salt")).applyInPandas(run, "query_id long, doc_id long, score double, ahead long, named long")
+    found = found.groupBy("query_id", "doc_id", "score").agg(F.sum("ahead").alias("ahead"), F.sum("named").alias("named"))
+    places_of = numbered(universe.select("doc_id"), F.col("doc_id")).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes = sparse.groupBy("query_id").agg(F.count("*").alias("s"))
+    n = universe.count()
+    rows = found.join(places_of, "doc_id").join(sizes, "query_id", "left").fillna(0, ["s"])
+    zeros = F.when(F.col("score") > 0, 0).when(F.col("score") == 0, F.col("position") - F.col("named")).otherwise(F.lit(n) - F.col("s"))
+    return rows.select("query_id", "doc_id", (F.col("ahead") + zeros + 1).alias("rank"))
+
+
+def weighted_rrf_search(docs: DataFrame, queries: DataFrame, lexical: DataFrame, alpha: float, k: int = 60, top: int = 10, metric: str = "dot", counts: dict[str, int] | None = None) -> DataFrame:
+    """The best of alpha / (k + rank) by vectors + (1 - alpha) / (k + rank) by BM25, over complete rankings of all documents, without
+    making these. docs: (doc_id, v), ids that differ; queries: (query_id, v); lexical: (query_id, doc_id, score) of the documents that share a word.
+
+    A threshold algorithm in rounds. Both lists are read to a depth; what is seen has at least the parts of its known ranks, and at
+    most these and a part of the next depth; what isn't seen has 1 / (k + depth + 1) at most. A query is decided when its
+    ``top``-th best lower bound is above that; else its depth is doubled. Then only what may still be among the best gets its exact
+    ranks, which are counted. The list of the larger weight alone decides by a depth of (k + top) / weight - k, so rounds end.
+
+    Documents without a shared word tie behind all others, by doc_id. Null vectors are no documents. counts takes rounds, rows read from
+    the lists, and rows that were ranked exactly.
+    """
+    docs = docs.filter("v is not null").select("doc_id", "v")
+    universe, asks = docs.select("doc_id"), queries.filter("v is not null").select("query_id", "v")
+    sparse = lexical.select("query_id", "doc_id", F.round("score", 9).alias("score")).filter("score <> 0")
+    sparse = written(sparse.join(universe, "doc_id", "left_semi").join(asks.select("query_id"), "query_id", "left_semi"), "sparse")
+    n, depth, wanted, rounds, read = universe.count(), top, [], 0, 0
+    while True:
+        rounds += 1
+        lists = vector_search(docs, asks, depth, metric).select("query_id", "doc_id", F.col("rank").alias("rv"))
+        both = lists.join(sparse_top(sparse, universe, asks, depth).select("query_id", "doc_id", F.col("rank").alias("rl")), ["query_id", "doc_id"], "full")
+        part = lambda w, r, missing: w / (k + F.coalesce(F.col(r), F.lit(missing)))  # noqa: E731, B023
+        both = both.withColumn("low", part(alpha, "rv", float("inf")) + part(1 - alpha, "rl", float("inf"))).withColumn("high", part(alpha, "rv", depth + 1) + part(1 - alpha, "rl", depth + 1))
+        seen = written(both, "seen")
+        least = ranked(seen.withColumnRenamed("low", "score").select("query_id", "doc_id", "score"), top, places=15).groupBy("query_id").agg(F.min("score").alias("t"), F.count("*").alias("c"))
+        decided = least.filter((F.lit(depth) >= n) | ((F.col("c") == top) & (F.col("t") > 1 / (k + depth + 1))))
+        wanted.append(seen.join(decided, "query_id").filter(F.col("high") >= F.col("t") - 1e-12).select("query_id", "doc_id"))
+        if counts is not None:
+            read += seen.count()
+        left = written(asks.join(decided, "query_id", "left_anti"), "asks")
+        if left.isEmpty() or depth >= n:
+            break
+        asks, depth = left, 2 * depth
+    wanted = written(reduce(DataFrame.unionByName, wanted), "wanted")
+    if counts is not None:
+        counts.update(rounds=rounds, read=read, ranked=wanted.count())
+    exact = weighted_rrf(ranks_among(docs, queries, wanted, metric), sparse_ranks_among(sparse, universe, wanted), alpha, k)
+    return ranked(exact, top)
 
 
 def linear_blend(vector: DataFrame, lexical: DataFrame, alpha: float) -> DataFrame:

@@ -189,9 +189,13 @@ SQL["rrf_or_vector"] = f"""{BOTH}, has AS (SELECT DISTINCT query_id FROM lex),
 u AS (SELECT * FROM {rrf(0, "(SELECT * FROM near WHERE query_id IN (SELECT query_id FROM has))", "lex")}
   UNION ALL SELECT query_id, doc_id, score FROM near WHERE query_id NOT IN (SELECT query_id FROM has))
 {RANKED} ({top("u", 10)})"""
-SQL["rrf_weighted_full"] = f"""WITH {VEC}, a AS ({near(COSINE, None, False)}), b AS ({near(L2, None, False)}),
-w AS (SELECT query_id, doc_id, 0.7::DOUBLE / (60 + a.rank) + 0.3::DOUBLE / (60 + b.rank) AS score FROM a JOIN b USING (query_id, doc_id))
-{RANKED} ({top("w", 10)})""".replace("WHERE q.own <> d.doc_id", "")
+WITH_VECTOR = MEM.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL))")
+SQL["rrf_weighted_full"] = f"""WITH {VEC}, {WITH_VECTOR}, {ITEMS}, {bm25(WORDS)},
+grid AS (SELECT q.query_id, d.doc_id, list_dot_product(q.v, d.v) AS sv, round(coalesce(s.score, 0), 9) AS sl
+  FROM asked q CROSS JOIN vec d JOIN mem ON mem.id = d.doc_id LEFT JOIN scored s ON s.query_id = q.query_id AND s.doc_id = d.doc_id),
+both AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sv, 9) DESC, doc_id) AS rv, row_number() OVER (PARTITION BY query_id ORDER BY sl DESC, doc_id) AS rl FROM grid),
+w AS (SELECT query_id, doc_id, 0.7::DOUBLE / (60 + rv) + 0.3::DOUBLE / (60 + rl) AS score FROM both)
+{RANKED} ({top("w", 10)})"""
 
 
 def blend(alpha: float) -> str:

@@ -188,7 +188,12 @@ def rrf_or_vector(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rrf_weighted_full(spark: SparkSession, d: str) -> DataFrame:
-    return six(fusion.weighted_rrf_search(vectors(spark, d), asked(spark, d), 0.7))
+    """Of the memories that have a vector, all of them ranked by vector and by BM25."""
+    docs = vectors(spark, d).join(memories(spark, d).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    own = memories(spark, d).join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    asks = items(spark, d).join(asked(spark, d).select("query_id"), "query_id", "left_semi")
+    lex = lexical.bm25_scores(lexical.bm25_index(own, X.word_tokens(indexed_text()), "id"), asks, X.word_tokens(F.col("text")))
+    return six(fusion.weighted_rrf_search(docs, asked(spark, d), lex, 0.7))
 
 
 @query

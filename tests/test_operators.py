@@ -43,16 +43,27 @@ def test_vector_search_matches_numpy(spark):
         assert [r.doc_id for r in sorted(away, key=lambda r: r.rank) if r.query_id == q] == np.argsort(far)[1:6].tolist()
 
 
-@pytest.mark.parametrize("alpha", [0.7, 0.5, 0.1])
-def test_top_of_weighted_fusion_needs_no_complete_rankings(spark, alpha):
+@pytest.mark.parametrize(("alpha", "top"), [(0.7, 10), (0.5, 10), (0.1, 3), (0.9, 400)])
+def test_top_of_weighted_fusion_needs_no_complete_rankings(spark, alpha, top):
+    """Lists with hundreds of positive scores, a few, none, and negative ones, against both complete rankings."""
     rng = np.random.default_rng(4)
     v = rng.normal(size=(300, 6)) * rng.uniform(0.2, 3, (300, 1))
-    docs = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)] + [(400, [0.0] * 6)], "doc_id long, v array<double>").repartition(3)
-    asked = docs.filter("doc_id in (0, 100, 200)").select(F.col("doc_id").alias("query_id"), "v")
-    got = fusion.weighted_rrf_search(docs, asked, alpha).collect()
-    whole = [vector.vector_search(docs, asked, 1000, m) for m in ("cosine", "l2")]
-    want = ranked(fusion.weighted_rrf(*whole, alpha), 10).collect()
-    assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in got) == sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in want)
+    docs = spark.createDataFrame([(3 * i, [float(x) for x in v[i]]) for i in range(300)] + [(1000, [0.0] * 6), (1001, None)], "doc_id long, v array<double>").repartition(3)
+    asked = docs.filter("doc_id in (0, 300, 600, 900)").unionByName(docs.filter("doc_id in (3, 6)")).select(F.col("doc_id").alias("query_id"), "v")
+    lex = [(0, 3 * int(i), float(rng.integers(1, 30))) for i in rng.permutation(300)[:250]] + [(300, 9, 2.0), (300, 30, -1.0), (300, 33, -1.0), (300, 1000, 1.0), (3, 3, -0.5), (3, 0, 0.5), (3, 9999, 7.0)]
+    counts = {}
+    got = fusion.weighted_rrf_search(docs, asked, spark.createDataFrame(lex, "query_id long, doc_id long, score double"), alpha, top=top, counts=counts).collect()
+    ids = [3 * i for i in range(300)] + [1000]
+    rows, known = dict(zip(ids, [*v, np.zeros(6)], strict=True)), {(q, i): s for q, i, s in lex}
+    want = []
+    for q in (0, 300, 3, 6, 600):
+        place = lambda score: {i: n for n, i in enumerate(sorted(ids, key=lambda i: (-round(score(i), 9), i)), 1)}
+        rv, rl = place(lambda i: float(rows[i] @ rows[q])), place(lambda i: known.get((q, i), 0.0))  # noqa: B023
+        best = sorted(((round(alpha / (60 + rv[i]) + (1 - alpha) / (60 + rl[i]), 9), i) for i in ids), key=lambda x: (-x[0], x[1]))[:top]
+        want += [(q, n, i, s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in got) == sorted(want)
+    if top < 100:
+        assert counts["ranked"] < 0.5 * 5 * len(ids) and counts["rounds"] <= 5
 
 
 def test_index_is_kept_while_documents_come_and_go(spark, tmp_path):

@@ -175,6 +175,7 @@ SQL["index_vocabulary"] = f"WITH {TURNED}, {ITEMS}, {bm25(WORDS)} SELECT term, c
 SQL["bm25_char_top20"] = f"WITH {MEM}, {ITEMS}, {bm25(CHARS)} {RANKED} ({top('(SELECT * FROM scored WHERE score > 0)', 20)})"
 SQL["cosine_topk"] = f"WITH {VEC}, {NEAR} {RANKED} near"
 SQL["ivf_topk"] = f"WITH {VEC} {RANKED} ({near(COSINE, 10, True)})"
+SQL["vector_index_topk"] = SQL["ivf_topk"]
 SQL["dot_topk"] = f"WITH {VEC} {RANKED} ({near('list_dot_product(q.v, d.v)', 10, True)})"
 SQL["l2_topk"] = f"WITH {VEC} {RANKED} ({near(L2, 10, True)})"
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import scoring as S
 from ..functions import text as X
-from ..operators import evaluate, fusion, labels, learn, lexical, plugins, segments, store, vector
+from ..operators import evaluate, fusion, labels, learn, lexical, plugins, segments, store, vector, vector_index
 from ..operators.ranking import ranked
 from ..sources import tables
 from ..sources.shared import shared_dir, written
@@ -166,6 +166,15 @@ def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
     return six(vector.ivf_search(vectors(spark, d), asked(spark, d)))
 
 
+@query
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """A stored index that two thirds of the vectors are built into and a third is added to, asked for all cells and a wide funnel."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-vectors-{uuid4().hex}"
+    rows = vectors(spark, d).select("doc_id", "v")
+    index = vector_index.added(vector_index.built(rows.filter("doc_id % 3 > 0"), path), rows.filter("doc_id % 3 = 0"))
+    return six(vector_index.search(index, asked(spark, d), share=1.0, refine=40))
+
+
 @query
 def index_sweep(spark: SparkSession, d: str) -> DataFrame:
     return six(vector.index_sweep(vectors(spark, d), asked(spark, d)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import any_of, blank_tokens, capitalised_count, count_of, entity_count, raw_char_tokens, stripped
+from .text import any_of, blank_tokens, capitalised_count, chars_of, count_of, entity_count, raw_char_tokens, stripped
 
 DIMENSIONS = ("type", "length", "entity", "destructive", "template", "metadata")
 FACTORS = ("type", "length", "entity", "stopwords", "template", "metadata")
@@ -131,7 +131,7 @@ def stub_score(text: Column) -> Column:
 
 def stop_share(text: Column, stop_chars: str = fixed.STOP_CHARS) -> Column:
     """Stop characters, none of them a blank, among those that aren't blank; null where there are none."""
-    return F.try_divide(F.regexp_count(text, F.lit(f"[{stop_chars}]")), F.char_length(text) - F.regexp_count(text, F.lit(r"[ \n\t]")))
+    return F.try_divide(chars_of(text, stop_chars), F.char_length(F.translate(text, " \n\t", "")))
 
 
 def multiplicative_score(text: Column, kind: Column, has_metadata: Column) -> Column:
@@ -151,7 +151,7 @@ def multiplicative_score(text: Column, kind: Column, has_metadata: Column) -> Co
 def learner_features(text: Column, kind: Column, entities: Column, has_metadata: Column) -> dict[str, Column]:
     """The six factors that the learners weigh. entities: person, project and tech, joined."""
     n = F.char_length(text)
-    share = F.char_length(F.regexp_replace(text, f"[^{fixed.STOP_CHARS_LEARNER}]", "")) / F.greatest(n, F.lit(1))
+    share = chars_of(text, fixed.STOP_CHARS_LEARNER) / F.greatest(n, F.lit(1))
     return {
         "type": by_name(kind, fixed.TYPE_FACTOR),
         "length": chosen([(n < 10, 0.5), (n < 20, 0.8), (n > 100, 1.1)], 1.0),

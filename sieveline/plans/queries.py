@@ -42,7 +42,8 @@ def query(f: Query) -> Query:
 def memories(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
     person = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source"))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), "lang", "source", pick(CATEGORIES).alias("category"), pick(TYPES).alias("type"), person.alias("person"), (F.col("doc_id") % 2 == 0).alias("has_metadata"))
+    rows = tables.spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return rows.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), "lang", "source", pick(CATEGORIES).alias("category"), pick(TYPES).alias("type"), person.alias("person"), (F.col("doc_id") % 2 == 0).alias("has_metadata"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:

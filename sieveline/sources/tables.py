@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores, dealt by its keys: one row group is one task otherwise. Larger tables stay as they come."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType, array: bool = False) -> DataFrame:
     """JSON lines, or files that are one array each; a bad line ends the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", array).json(path)

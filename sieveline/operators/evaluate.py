@@ -70,6 +70,13 @@ def text_match(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
+def linked_ratio(links: DataFrame) -> DataFrame:
+    """The same row as ``duplicate_ratio`` from (id, n_links, ..): each pair is a link of both its rows."""
+    inside = F.count(F.when(F.col("n_links") > 0, 1))
+    one = links.agg(inside.alias("duplicates"), F.count("*").alias("total"), F.coalesce(F.floor(F.sum("n_links") / 2), F.lit(0)).cast("long").alias("pairs"))
+    return one.withColumn("ratio", F.coalesce(F.try_divide("duplicates", "total"), F.lit(0.0)))
+
+
 def duplicate_ratio(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: pairs, rows that are in any, and their share of all rows."""
     inside = pairs.select(F.explode(F.array("a", "b")).alias("id")).agg(F.countDistinct("id").alias("duplicates"))

@@ -244,8 +244,8 @@ def index_sweep(docs: DataFrame, queries: DataFrame, configs: tuple[tuple[int, i
     return reduce(DataFrame.unionByName, runs)
 
 
-def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000, most_cells: int = 1024) -> DataFrame:
-    """(a, b, similarity), a < b, of all pairs of rows (id, v) with a cosine above the threshold. Exact.
+def _met(rows: DataFrame, threshold: float, block_rows: int, most_cells: int) -> DataFrame | None:
+    """Rows (id, v) dealt to the pairs of blocks (i, j) that may hold a pair above the threshold: (id, v, own, i, j); None without rows.
 
     Rows belong to the cell of the nearest of some of them (those of the lowest hash). A row meets another cell only if its
     angle to the cell's centre, less that of the cell's farthest row, allows a cosine above the threshold; what is left out can't
@@ -257,7 +257,7 @@ def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000, most_
     limit = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-9
     chosen = [r.v for r in rows.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(cells).collect()]
     if not chosen:
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+        return None
     centres = np.array(chosen)
 
     def angles(v: np.ndarray) -> np.ndarray:
@@ -288,7 +288,15 @@ def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000, most_
                 r = np.repeat(r, parts[c])
                 yield pd.DataFrame({"id": some["id"].to_numpy()[r], "v": [some["v"].iloc[x] for x in r], "own": block[r], "i": np.minimum(block[r], other), "j": np.maximum(block[r], other)})
 
-    work = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("part")).mapInPandas(dealt, "id long, v array<double>, own long, i long, j long")
+    return placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("part")).mapInPandas(dealt, "id long, v array<double>, own long, i long, j long")
+
+
+def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000, most_cells: int = 1024) -> DataFrame:
+    """(a, b, similarity), a < b, of all pairs of rows (id, v) with a cosine above the threshold. Exact. Groups of copies give all their
+    pairs: ``links_above`` gives what is usually asked for, a row for each row."""
+    work = _met(rows, threshold, block_rows, most_cells)
+    if work is None:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
@@ -302,3 +310,100 @@ def pairs_above(rows: DataFrame, threshold: float, block_rows: int = 2000, most_
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[x, y][keep]})
 
     return work.groupBy("i", "j").applyInPandas(run, "a long, b long, similarity double")
+
+
+#: Dimensions in front after the rotation, and the share of pairs that their bound may leave open before whole products are cheaper.
+PREFIX, OPEN = 16, 0.05
+
+
+def rotation(rows: DataFrame, sample: int = 4000) -> np.ndarray:
+    """Orthogonal: the directions in which a bounded sample of (id, v), as unit vectors, is longest come first."""
+    drawn = rows.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(sample).select("v").toPandas()
+    x = _doubles(drawn["v"])
+    x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    return np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
+
+
+def joined_above(a: np.ndarray, b: np.ndarray, threshold: float, prefix: int = PREFIX) -> np.ndarray:
+    """Which pairs of rotated unit vectors have a product above the threshold.
+
+    The product of the first dimensions, and that of the norms of the rest, bound it; what the bound leaves open is worked out.
+    """
+    if a.shape[1] > prefix:
+        rest = lambda v: np.linalg.norm(v[:, prefix:], axis=1)
+        maybe = a[:, :prefix] @ b[:, :prefix].T + rest(a)[:, None] * rest(b)[None, :] > threshold - 1e-9
+        x, y = np.nonzero(maybe)
+        if len(x) <= OPEN * maybe.size:
+            for at in range(0, len(x), 1 << 16):
+                x_, y_ = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                maybe[x_, y_] = (a[x_] * b[y_]).sum(1) > threshold
+            return maybe
+    return a @ b.T > threshold
+
+
+def _smallest_reached(links: np.ndarray) -> np.ndarray:
+    """For a symmetric table of links: the smallest place that each place reaches."""
+    low = np.arange(len(links))
+    while True:
+        near = np.where(links, low[None, :], len(links)).min(1, initial=len(links))
+        new = np.minimum(low, near)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def links_above(rows: DataFrame, threshold: float, block_rows: int = 1000, most_cells: int = 1024) -> DataFrame:
+    """(id, n_links, class_id) for every row of (id, v), ids that differ: how many others have a cosine above the threshold, and the
+    smallest id that is reached through such links. Exact, and without a list of pairs.
+
+    A pair of blocks gives each of its rows a count and the smallest row that it reaches inside the two; these few edges make the
+    classes. Null and zero vectors link with nothing.
+    """
+    known = rows.select("id", "v")
+    work = _met(known, threshold, block_rows, most_cells)
+    if work is None:
+        return known.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))
+    turned = rotation(known.filter("v is not null").filter(F.exists("v", lambda x: x != 0)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        v, ids, own = _doubles(pdf["v"]), pdf["id"].to_numpy(), pdf["own"].to_numpy()
+        v = v / np.linalg.norm(v, axis=1)[:, None] @ turned
+        links = np.zeros((len(v), len(v)), bool)
+        left = np.flatnonzero(own == pdf["i"].iloc[0])
+        right = left if same else np.flatnonzero(own == pdf["j"].iloc[0])
+        links[np.ix_(left, right)] = joined_above(v[left], v[right], threshold)
+        links |= links.T
+        np.fill_diagonal(links, False)
+        n, low = links.sum(1), _smallest_reached(links)
+        some = n > 0
+        return pd.DataFrame({"id": ids[some], "n": n[some], "low": ids[low[some]]})
+
+    found = written(work.groupBy("i", "j").applyInPandas(run, "id long, n long, low long"), "links")
+    counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    classes = smallest_reached(found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+    out = known.select("id").join(counts, "id", "left").join(classes, "id", "left")
+    return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "id").alias("class_id"))
+
+
+def smallest_reached(edges: DataFrame) -> DataFrame:
+    """(id, class_id) of every end of the edges (a, b): the smallest id reachable.
+
+    Each id points to the smallest id known to be reachable. A round hands pointers on along the edges, then follows them once, so
+    the rounds grow with the logarithm of the longest path; it ends when nothing moves.
+    """
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to")), "pointers")
+    while True:
+        handed = both.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("to").alias("m"))
+        nearer = now.join(handed.withColumnRenamed("a", "id"), "id").select("id", "to", F.least("to", "m").alias("near"))
+        # Who points at a row learns what the row has learnt.
+        hooked = nearer.groupBy("to").agg(F.min("near").alias("m"))
+        best = written(nearer.join(hooked, "to").select("id", F.col("to").alias("was"), F.least("near", "m").alias("to")), "nearer")
+        jumped = best.join(best.select(F.col("id").alias("to"), F.col("to").alias("up")), "to", "left")
+        nxt = written(jumped.select("id", "was", F.coalesce("up", "to").alias("to")), "pointers")
+        if nxt.filter("`to` <> was").isEmpty():
+            return nxt.select("id", F.col("to").alias("class_id"))
+        now = nxt.select("id", "to")

@@ -337,6 +337,9 @@ u AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)
 SELECT parameter, round(value, 6) AS value, row_number() OVER (ORDER BY round(value, 9) DESC, parameter) = 1 AS best FROM u"""
 PAIRS = f"pairs AS (SELECT q.doc_id AS a, d.doc_id AS b, {COSINE} AS similarity FROM vec q JOIN vec d ON q.doc_id < d.doc_id WHERE {COSINE} > 0.4)"
 SQL["near_duplicates"] = f"WITH {VEC}, {PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs"
+SQL["duplicate_classes"] = f"""WITH RECURSIVE {VEC}, {PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT v.doc_id AS id, (SELECT count(*) FROM e WHERE e.a = v.doc_id) AS n_links, coalesce((SELECT min(seen) FROM r WHERE r.id = v.doc_id), v.doc_id) AS class_id FROM vec v"""
 SQL["duplicate_ratio"] = f"WITH {VEC}, {PAIRS}, i AS (SELECT a AS id FROM pairs UNION SELECT b FROM pairs) SELECT (SELECT count(*) FROM i) AS duplicates, (SELECT count(*) FROM vec) AS total, (SELECT count(*) FROM pairs) AS pairs, round((SELECT count(*) FROM i) / (SELECT count(*) FROM vec), 6) AS ratio"
 SQL["duplicate_samples"] = f"""WITH {VEC}, {PAIRS}, {MEM}, s AS (SELECT * FROM pairs ORDER BY a, b LIMIT 20)
 SELECT a, b, round(similarity, 6) AS similarity, substr(x.content, 1, 100) AS text_a, substr(y.content, 1, 100) AS text_b FROM s LEFT JOIN mem x ON x.id = a LEFT JOIN mem y ON y.id = b"""

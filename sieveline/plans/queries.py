@@ -269,7 +269,9 @@ def formatted_results(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def encode_plugin(spark: SparkSession, d: str) -> DataFrame:
-    return memories(spark, d).select("id", F.size(plugins.encoded(F.col("content"))).cast("long").alias("dim"))
+    """The length of every text's vector, a digest of its elements to six places, and how many differ from 0: at most as many as words."""
+    v = written(memories(spark, d).select("id", plugins.encoded(F.col("content")).alias("v")), "encoded")
+    return v.select("id", F.size("v").cast("long").alias("dim"), F.sha2(F.array_join(F.transform("v", lambda x: F.format_string("%.6f", x)), ","), 256).alias("digest"), F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("filled"))
 
 
 # --- Text and layers --------------------------------------------------------------------------------------------------
@@ -501,10 +503,15 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return six(vector.pairs_above(vectors(spark, d).select(F.col("doc_id").alias("id"), "v"), 0.4))
 
 
+@query
+def duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
+    """How many near copies every vector has, and the class that it belongs to; no list of pairs."""
+    return vector.links_above(vectors(spark, d).select(F.col("doc_id").alias("id"), "v"), 0.4)
+
+
 @query
 def duplicate_ratio(spark: SparkSession, d: str) -> DataFrame:
-    rows = vectors(spark, d).select(F.col("doc_id").alias("id"), "v")
-    return six(evaluate.duplicate_ratio(vector.pairs_above(rows, 0.4), rows))
+    return six(evaluate.linked_ratio(vector.links_above(vectors(spark, d).select(F.col("doc_id").alias("id"), "v"), 0.4)))
 
 
 @query

@@ -218,3 +218,36 @@ def test_plugins_fail_softly(spark):
     assert [r.x for r in df.select(plugins.encoded(F.col("q"), broken).alias("x")).collect()] == [None, None]
     assert [r.x for r in df.select(plugins.summarised(F.col("q"), broken, 1).alias("x")).collect()] == ["a", None]
     assert len(df.select(plugins.encoded(F.col("q")).alias("x")).first().x) == 64
+
+
+@pytest.mark.parametrize(("spread", "threshold"), [(0.05, 0.9), (0.5, 0.6), (5.0, 0.2)])
+def test_links_equal_all_pairs(spark, spread, threshold):
+    """Tight groups, one with a third of all rows; loose ones; none: counts and classes as from the whole table of pairs."""
+    rng = np.random.default_rng(8)
+    own = np.where(rng.random(400) < 1 / 3, 0, rng.integers(0, 30, 400))
+    v = rng.normal(size=(30, 24))[own] + spread * rng.normal(size=(400, 24))
+    rows = [(int(i) * 7, [float(x) for x in v[i]]) for i in range(400)] + [(1, None), (2, [0.0] * 24)]
+    got = {r.id: (r.n_links, r.class_id) for r in vector.links_above(spark.createDataFrame(rows, "id long, v array<double>").repartition(3), threshold, block_rows=60, most_cells=6).collect()}
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    links = (u @ u.T > threshold) & ~np.eye(400, dtype=bool)
+    low = vector._smallest_reached(links)
+    assert got == {7 * i: (int(links[i].sum()), 7 * int(low[i])) for i in range(400)} | {1: (0, 1), 2: (0, 2)}
+
+
+def test_prefix_bounds_leave_out_no_pair():
+    rng = np.random.default_rng(2)
+    for scale in (0.01, 0.3, 1.0):
+        v = rng.normal(size=(200, 64)) * scale ** np.arange(64)[None, :] ** 0.5
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        for threshold in (0.1, 0.7, 0.999):
+            assert (vector.joined_above(v[:120], v[120:], threshold, 8) == (v[:120] @ v[120:].T > threshold)).all()
+
+
+def test_smallest_reached_on_long_paths(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + (i * 7 + 1) % 50) for i in range(50)] + [(205, 201), (203, 205)]
+    got = {r.id: r.class_id for r in vector.smallest_reached(spark.createDataFrame(edges, "a long, b long")).collect()}
+    up = {x: x for e in edges for x in e}
+    for _ in range(300):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    assert got == up

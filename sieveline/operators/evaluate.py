@@ -19,24 +19,34 @@ def first_hits(ranking: DataFrame, qrels: DataFrame, queries: DataFrame | None =
     return every.join(hits, "query_id", "left")
 
 
-def recall_mrr(ranking: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 5, 10), mrr_at: int = 10) -> DataFrame:
-    """One row: hit rates at each k and the mean reciprocal rank within mrr_at."""
-    hits = first_hits(ranking, qrels)
+def same_label(ranking: DataFrame, queries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is relevant where rows of a query's label are: (query_id, doc_id) among the ranked pairs only, and (query_id, n), how many there
+    are in all, from a count per label. queries: (query_id, own, label), own being a row that isn't its own result; rows: (doc_id, label)."""
+    asks = queries.select("query_id", "own", "label")
+    pairs = ranking.select("query_id", "doc_id").distinct().join(asks, "query_id").join(rows.select("doc_id", "label"), ["doc_id", "label"]).filter("own <> doc_id")
+    sizes = asks.join(rows.groupBy("label").agg(F.count("*").alias("c")), "label").select("query_id", (F.col("c") - 1).alias("n"))
+    return pairs.select("query_id", "doc_id"), sizes.filter("n > 0")
+
+
+def recall_mrr(ranking: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 5, 10), mrr_at: int = 10, queries: DataFrame | None = None) -> DataFrame:
+    """One row: hit rates at each k and the mean reciprocal rank within mrr_at, over the queries given, or those of qrels."""
+    hits = first_hits(ranking, qrels, queries)
     rate = lambda k: F.avg(F.coalesce((F.col("hit") <= k).cast("double"), F.lit(0.0)))
     return hits.agg(F.count("*").alias("queries"), *[rate(k).alias(f"recall_{k}") for k in ks], F.avg(F.when(F.col("hit") <= mrr_at, 1.0 / F.col("hit")).otherwise(0.0)).alias("mrr"))
 
 
-def metric_bundle(ranking: DataFrame, qrels: DataFrame, recall_at: tuple[int, ...] = (1, 5, 10), precise_at: tuple[int, ...] = (5, 10)) -> DataFrame:
+def metric_bundle(ranking: DataFrame, qrels: DataFrame, recall_at: tuple[int, ...] = (1, 5, 10), precise_at: tuple[int, ...] = (5, 10), sizes: DataFrame | None = None) -> DataFrame:
     """One row: hit rate and recall at k, precision and binary NDCG at k, mean reciprocal rank (within 10).
 
-    The ideal DCG has min(k, relevant) hits on top.
+    The ideal DCG has min(k, relevant) hits on top. With sizes, (query_id, n), qrels need only hold ranked pairs.
     """
     relevant = qrels.select("query_id", "doc_id").distinct()
     most = max(*recall_at, *precise_at)
     hits = ranking.filter(F.col("rank") <= most).join(relevant, ["query_id", "doc_id"])
     gains = [F.sum((F.col("rank") <= k).cast("long")).alias(f"h{k}") for k in sorted({*recall_at, *precise_at})]
     dcg = [F.sum(F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"d{k}") for k in precise_at]
-    own = relevant.groupBy("query_id").agg(F.count("*").alias("n")).join(hits.groupBy("query_id").agg(F.min("rank").alias("hit"), *gains, *dcg), "query_id", "left")
+    sizes = relevant.groupBy("query_id").agg(F.count("*").alias("n")) if sizes is None else sizes
+    own = sizes.join(hits.groupBy("query_id").agg(F.min("rank").alias("hit"), *gains, *dcg), "query_id", "left")
     got = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     return own.agg(

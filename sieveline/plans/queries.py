@@ -77,8 +77,8 @@ def item_qrels(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(docs, "doc_id").filter(F.contains("content", F.col("head"))).select("query_id", "doc_id").distinct()
 
 
-def label_qrels(spark: SparkSession, d: str) -> DataFrame:
-    return asked(spark, d).join(vectors(spark, d).drop("v"), "label").filter("own <> doc_id").select("query_id", "doc_id")
+def same_label(spark: SparkSession, d: str, ranking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return evaluate.same_label(ranking, asked(spark, d), vectors(spark, d))
 
 
 def lexical_top(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
@@ -479,22 +479,26 @@ def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def precision_ndcg(spark: SparkSession, d: str) -> DataFrame:
-    return six(evaluate.metric_bundle(vector_top(spark, d, 10), label_qrels(spark, d)))
+    top = written(vector_top(spark, d, 10), "top")
+    rel, sizes = same_label(spark, d, top)
+    return six(evaluate.metric_bundle(top, rel, sizes=sizes))
 
 
 @query
 def ab_quality_delta(spark: SparkSession, d: str) -> DataFrame:
     q = _multiplied(spark, d).select(F.col("id").alias("doc_id"), "quality")
-    plain, rel = vector_top(spark, d, 50), label_qrels(spark, d)
+    plain = written(vector_top(spark, d, 50), "top")
+    rel, sizes = same_label(spark, d, plain)
     better = ranked(fusion.quality_weighted(plain.drop("rank"), q, half=False, default=0.5).select("query_id", "doc_id", "score"), 10)
     names = ("recall_1", "recall_5", "recall_10", "mrr")
-    return six(evaluate.compared(evaluate.recall_mrr(plain, rel), evaluate.recall_mrr(better, rel), names))
+    return six(evaluate.compared(evaluate.recall_mrr(plain, rel, queries=sizes), evaluate.recall_mrr(better, rel, queries=sizes), names))
 
 
 @query
 def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
-    v, x, rel = vector_top(spark, d), lexical_top(spark, d), label_qrels(spark, d)
-    reports = {a: evaluate.recall_mrr(ranked(fusion.linear_blend(v, x, a), 10), rel) for a in (0.0, 0.5, 1.0)}
+    v, x = written(vector_top(spark, d), "near"), written(lexical_top(spark, d), "lex")
+    rel, sizes = same_label(spark, d, v.unionByName(x))
+    reports = {a: evaluate.recall_mrr(ranked(fusion.linear_blend(v, x, a), 10), rel, queries=sizes) for a in (0.0, 0.5, 1.0)}
     return six(evaluate.sweep(reports, "recall_5"))
 
 

@@ -251,3 +251,15 @@ def test_smallest_reached_on_long_paths(spark):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
     assert got == up
+
+
+def test_relevance_by_label_needs_no_pairs_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, int(rng.integers(0, 4)) if i else 9) for i in range(60)], "doc_id long, label int")
+    asked = rows.filter("doc_id % 10 = 0").selectExpr("doc_id div 10 as query_id", "doc_id as own", "label")
+    top = spark.createDataFrame([(q, int(i), r + 1, 1.0 / (r + 1)) for q in range(6) for r, i in enumerate(rng.permutation(60)[:12])], "query_id long, doc_id long, rank int, score double")
+    every = asked.join(rows, "label").filter("own <> doc_id").select("query_id", "doc_id")
+    rel, sizes = evaluate.same_label(top, asked, rows)
+    assert rel.count() < every.count()
+    assert evaluate.metric_bundle(top, rel, sizes=sizes).collect() == evaluate.metric_bundle(top, every).collect()
+    assert evaluate.recall_mrr(top, rel, queries=sizes).collect() == evaluate.recall_mrr(top, every).collect()

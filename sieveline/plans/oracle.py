@@ -228,6 +228,12 @@ SHARED = f"len(list_intersect({SPLIT.replace('{t}', 'i.text')}, {SPLIT.replace('
 SQL["rerank_plugin"] = f"""WITH {WORD_BM25}, {LEX},
 w AS (SELECT query_id, doc_id, {SHARED} AS score FROM lex JOIN items i USING (query_id) JOIN mem m ON m.id = doc_id WHERE rank <= 20)
 {RANKED} ({top("w", 10)})"""
+SQL["judged_retrieval"] = f"""WITH {WORD_BM25}, {LEX},
+f AS (SELECT query_id, list(substr(content, 1, 1000)) AS found FROM lex JOIN mem m ON m.id = doc_id WHERE rank <= 5 GROUP BY query_id),
+e AS (SELECT query_id, list_filter(string_split(text, ' '), lambda w: length(w) >= 6)[1:3] AS want FROM items),
+h AS (SELECT query_id, len(want) AS n, len(list_filter(want, lambda w: len(list_filter(coalesce(found, []), lambda t: contains(t, w))) > 0)) AS hits FROM e LEFT JOIN f USING (query_id))
+SELECT query_id, CASE WHEN n > 0 AND hits = n THEN '是' WHEN hits > 0 THEN '部分' ELSE '否' END || ' ' || (100 * hits // greatest(n, 1)) || ' 分' AS reply,
+       CASE WHEN n > 0 AND hits = n OR 100 * hits // greatest(n, 1) >= 80 THEN 'success' WHEN hits > 0 OR 100 * hits // greatest(n, 1) >= 50 THEN 'partial' ELSE 'fail' END AS verdict FROM h"""
 SQL["rerank_cross_quality"] = f"""WITH {WORD_BM25}, {LEX}, {MULT},
 x AS (SELECT query_id, doc_id, {SHARED} AS score FROM lex JOIN items i USING (query_id) JOIN mem m ON m.id = doc_id),
 b AS ({top("x", 30)}), w AS (SELECT query_id, doc_id, score * quality AS score, quality FROM b JOIN mult ON id = doc_id)

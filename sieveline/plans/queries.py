@@ -329,6 +329,17 @@ def parsers(spark: SparkSession, d: str) -> DataFrame:
     return six(table(spark, d, "benchmark").select("item_id", X.parsed_score(reply).alias("score"), X.parsed_verdict(verdict).alias("verdict"), F.array_join(X.parsed_order(order, F.lit(5)).cast("array<string>"), ",").alias("order")))
 
 
+@query
+def judged_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """The judge's reply and verdict on the best five of every item, by the first three long words of its text."""
+    asks = items(spark, d).select("query_id", "text", F.slice(F.filter(F.split("text", " "), lambda w: F.char_length(w) >= 6), 1, 3).alias("expected"))
+    own = lexical_top(spark, d, 5).join(memories(spark, d).select(F.col("id").alias("doc_id"), "content"), "doc_id")
+    texts = own.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]).alias("found"))
+    replies = asks.join(texts, "query_id", "left").select("query_id", plugins.judged(F.col("text"), F.col("expected"), F.coalesce("found", F.array().cast("array<string>"))).alias("reply"))
+    replies = written(replies, "replies")  # the judge is asked once
+    return replies.select("query_id", "reply", X.parsed_verdict(F.col("reply")).alias("verdict"))
+
+
 @query
 def store_stats(spark: SparkSession, d: str) -> DataFrame:
     return six(store.store_stats(S.with_additive(memories(spark, d), out="q"), quality="q"))

@@ -263,3 +263,25 @@ def test_relevance_by_label_needs_no_pairs_of_all_rows(spark):
     assert rel.count() < every.count()
     assert evaluate.metric_bundle(top, rel, sizes=sizes).collect() == evaluate.metric_bundle(top, every).collect()
     assert evaluate.recall_mrr(top, rel, queries=sizes).collect() == evaluate.recall_mrr(top, every).collect()
+
+
+def test_a_failing_model_loses_single_rows_only(spark):
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(i, "bad" if i % 5 == 0 else "x" * i) for i in range(20)], "id long, text string").coalesce(1)
+    got = {r.id: r.v for r in rows.select("id", plugins.encoded(F.col("text"), picky).alias("v")).collect()}
+    assert got == {i: None if i % 5 == 0 else [float(i)] for i in range(20)}
+
+
+def test_judge(spark):
+    rows = spark.createDataFrame([(1, "q", ["aa", "bb"], ["x aa", "bb"]), (2, "q", ["aa", "bb"], ["x aa"]), (3, "q", ["aa"], []), (4, None, None, None), (5, "q", ["yy"], ["x" * 1000 + "yy"])], "id long, q string, e array<string>, f array<string>")
+    verdict = lambda judge: {r.id: r.v for r in rows.select("id", queries.X.parsed_verdict(plugins.judged(F.col("q"), F.col("e"), F.col("f"), judge)).alias("v")).collect()}
+    assert verdict(plugins.word_judge) == {1: "success", 2: "partial", 3: "fail", 4: "fail", 5: "fail"}
+
+    def broken(*_):
+        raise OSError
+
+    assert set(verdict(broken).values()) == {"fail"}

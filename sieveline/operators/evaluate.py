@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,33 @@ def compared(a: DataFrame, b: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return tall(a, "a").join(tall(b, "b"), "metric").withColumn("delta", (F.col("b") - F.col("a")) * 100)
 
 
+#: Where a uniform number makes Poisson(1) weights of 1, 2, ..: cumulated probabilities.
+POISSON = tuple(np.cumsum([np.exp(-1) / float(math.factorial(k)) for k in range(8)]).round(12).tolist())
+
+
+def paired_intervals(a: DataFrame, b: DataFrame, lanes: int = 200, level: float = 0.95, seed: int = 1, ks: tuple[int, ...] = (1, 5, 10), mrr_at: int = 10) -> DataFrame:
+    """(metric, delta, low, high) in percent points: how far b's metrics are from a's on the same queries, with a bootstrap interval.
+
+    a, b: (query_id, hit), the rank of the first relevant document or null, of the same queries. In each of the lanes a query counts Poisson(1)
+    times, by a hash of (seed, query, lane): lanes and metrics are sums of one aggregation, combined before the shuffle, and no
+    sample is drawn. Interval ends are order statistics of the lanes; a lane without weight has no difference.
+    """
+    gain = lambda c: [*[(F.coalesce(F.col(c) <= k, F.lit(False))).cast("double") for k in ks], F.when(F.col(c) <= mrr_at, 1.0 / F.col(c)).otherwise(0.0)]
+    names = [*[f"recall_{k}" for k in ks], "mrr"]
+    both = a.select("query_id", F.col("hit").alias("ha")).join(b.select("query_id", F.col("hit").alias("hb")), "query_id")
+    each = both.select("query_id", *[(y - x).alias(m) for m, x, y in zip(names, gain("ha"), gain("hb"), strict=True)])
+    laned = each.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("lane").cast("string"))), 1, 13), 16, 10).cast("double") / float(16**13)
+    weight = F.when(F.col("lane") == lanes, F.lit(1)).otherwise(reduce(lambda x, y: x + y, [(draw >= p).cast("int") for p in POISSON]))  # the last lane counts each query once
+    sums = laned.withColumn("w", weight).groupBy("lane").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(m)).alias(m) for m in names])
+    rate = lambda m: F.coalesce(F.try_divide(F.col(m), F.col("w")), F.lit(0.0)) * 100
+    cut = int(lanes * (1 - level) / 2)
+    tall = sums.select("lane", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), rate(m).alias("d")) for m in names])).alias("e")).select("lane", "e.*")
+    order = F.array_sort(F.collect_list(F.when(F.col("lane") < lanes, F.col("d"))))
+    out = tall.groupBy("metric").agg(F.max(F.when(F.col("lane") == lanes, F.col("d"))).alias("delta"), order.alias("all"))
+    return out.select("metric", "delta", F.col("all")[cut].alias("low"), F.col("all")[lanes - 1 - cut].alias("high"))
+
+
 def sweep(reports: dict[float, DataFrame], metric: str) -> DataFrame:
     """(parameter, value, best): a report for each parameter; the best one is the first with the highest value."""
     rows = reduce(DataFrame.unionByName, [r.select(F.lit(float(p)).alias("parameter"), F.col(metric).alias("value")) for p, r in reports.items()])

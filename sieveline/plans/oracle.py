@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed
 from ..functions.scoring import LONG, SHORT, Additive
+from ..operators.evaluate import POISSON
 
 SQL: dict[str, str] = {}
 
@@ -338,6 +339,16 @@ w AS (SELECT query_id, doc_id, score * coalesce(quality, 0.5) AS score FROM near
 a AS (SELECT * FROM {report("near")}), b AS (SELECT * FROM {report("better")})
 SELECT m AS metric, round(x, 6) AS a, round(y, 6) AS b, round((y - x) * 100, 6) AS delta FROM (
   {" UNION ALL ".join(f"SELECT '{m}' AS m, a.{m} AS x, b.{m} AS y FROM a, b" for m in ("recall_1", "recall_5", "recall_10", "mrr"))})"""
+METRICS = ("recall_1", "recall_5", "recall_10", "mrr")
+GAINS = lambda c: [*[f"(coalesce({c}, 1000000) <= {k})::INT::DOUBLE" for k in (1, 5, 10)], f"CASE WHEN {c} <= 10 THEN 1.0::DOUBLE / {c} ELSE 0 END"]
+SQL["ab_quality_interval"] = f"""WITH {VEC}, {NEAR}, {MEM}, {MULT}, {LABEL_RELS},
+w AS (SELECT query_id, doc_id, score * coalesce(quality, 0.5) AS score FROM near LEFT JOIN mult ON id = doc_id), better AS ({top("w", 10)}),
+ha AS (SELECT query_id, min(rank) AS a FROM near JOIN rel USING (query_id, doc_id) GROUP BY ALL), hb AS (SELECT query_id, min(rank) AS b FROM better JOIN rel USING (query_id, doc_id) GROUP BY ALL),
+d AS (SELECT query_id, {", ".join(f"{y} - {x} AS {m}" for m, x, y in zip(METRICS, GAINS("a"), GAINS("b"), strict=True))} FROM (SELECT DISTINCT query_id FROM rel) LEFT JOIN ha USING (query_id) LEFT JOIN hb USING (query_id)),
+l AS (SELECT *, ('0x' || substr(md5('1:' || query_id || ':' || lane), 1, 13))::BIGINT / pow(16, 13) AS u FROM (SELECT *, unnest(range(200)) AS lane FROM d)),
+v AS (SELECT *, {" + ".join(f"(u >= {p})::INT" for p in POISSON)} AS times FROM l),
+s AS (SELECT lane, {", ".join(f"CASE WHEN sum(times) > 0 THEN 100 * sum(times * {m}) / sum(times) ELSE 0 END AS {m}" for m in METRICS)} FROM v GROUP BY lane)
+{" UNION ALL ".join(f"SELECT '{m}' AS metric, round((SELECT 100 * avg({m}) FROM d), 6) AS delta, round(list_sort(list({m}))[6], 6) AS low, round(list_sort(list({m}))[195], 6) AS high FROM s" for m in METRICS)}"""
 SQL["alpha_sweep"] = f"""{BOTH}, {LABEL_RELS}, {", ".join(f"r{i} AS ({top(blend(a), 10)}), p{i} AS (SELECT {a}::DOUBLE AS parameter, recall_5 AS value FROM {report(f'r{i}')})" for i, a in enumerate((0.0, 0.5, 1.0)))},
 u AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)
 SELECT parameter, round(value, 6) AS value, row_number() OVER (ORDER BY round(value, 9) DESC, parameter) = 1 AS best FROM u"""

@@ -505,6 +505,16 @@ def ab_quality_delta(spark: SparkSession, d: str) -> DataFrame:
     return six(evaluate.compared(evaluate.recall_mrr(plain, rel, queries=sizes), evaluate.recall_mrr(better, rel, queries=sizes), names))
 
 
+@query
+def ab_quality_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The differences of ab_quality_delta with intervals over two hundred resamplings of the queries."""
+    q = _multiplied(spark, d).select(F.col("id").alias("doc_id"), "quality")
+    plain = written(vector_top(spark, d, 50), "top")
+    rel, sizes = same_label(spark, d, plain)
+    better = ranked(fusion.quality_weighted(plain.drop("rank"), q, half=False, default=0.5).select("query_id", "doc_id", "score"), 10)
+    return six(evaluate.paired_intervals(evaluate.first_hits(plain, rel, sizes), evaluate.first_hits(better, rel, sizes)))
+
+
 @query
 def alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     v, x = written(vector_top(spark, d), "near"), written(lexical_top(spark, d), "lex")

@@ -285,3 +285,22 @@ def test_judge(spark):
         raise OSError
 
     assert set(verdict(broken).values()) == {"fail"}
+
+
+def test_paired_intervals_equal_numpy(spark):
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    hits = lambda: [(q, int(x) if x else None) for q, x in enumerate(rng.integers(0, 14, 40))]
+    a, b = hits(), hits()
+    frame = lambda rows: spark.createDataFrame(rows, "query_id long, hit int")
+    got = {r.metric: r for r in evaluate.paired_intervals(frame(a), frame(b), lanes=80, seed=3).collect()}
+    u = np.array([[int(hashlib.md5(f"3:{q}:{lane}".encode()).hexdigest()[:13], 16) / 16**13 for q in range(40)] for lane in range(80)])
+    w = (u[..., None] >= np.array(evaluate.POISSON)).sum(-1)
+    assert 0.9 < w.mean() < 1.1 and 0.8 < w.var() < 1.2
+    gain = {f"recall_{k}": lambda h, k=k: float(h is not None and h <= k) for k in (1, 5, 10)} | {"mrr": lambda h: 1 / h if h and h <= 10 else 0.0}
+    for m, f in gain.items():
+        d = np.array([f(y) - f(x) for (_, x), (_, y) in zip(a, b, strict=True)])
+        lanes = np.sort(100 * (w * d).sum(1) / w.sum(1))
+        assert (got[m].delta, got[m].low, got[m].high) == pytest.approx((100 * d.mean(), lanes[2], lanes[77]))
+    assert evaluate.paired_intervals(frame([]), frame([])).count() == 0

@@ -197,7 +197,7 @@ grid AS (SELECT q.query_id, d.doc_id, list_dot_product(q.v, d.v) AS sv, round(co
   FROM asked q CROSS JOIN vec d JOIN mem ON mem.id = d.doc_id LEFT JOIN scored s ON s.query_id = q.query_id AND s.doc_id = d.doc_id),
 placed AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sv, 9) DESC, doc_id) AS rv, row_number() OVER (PARTITION BY query_id ORDER BY sl DESC, doc_id) AS rl FROM grid),
 w AS (SELECT query_id, doc_id, 0.7::DOUBLE / (60 + rv) + 0.3::DOUBLE / (60 + rl) AS score FROM placed)
-{RANKED} ({top("w", 10)})"""
+SELECT query_id, doc_id, round(round(score, 12) + 1e-10::DOUBLE, 6) AS score, rank FROM ({top("w", 10)})"""
 
 
 def blend(alpha: float) -> str:

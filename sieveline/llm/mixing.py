@@ -52,13 +52,15 @@ def shares(sizes: DataFrame, weights: DataFrame, fine: int = FINE) -> DataFrame:
     return known.select("source", "n", (F.row_number().over(order) - 1).alias("idx"), F.when(whole, F.col("w").cast("long")).otherwise(parts).alias("share"))
 
 
-#: The released block with the earliest deadline, of sources that have blocks left; where none is released yet, time moves on
-#: to the next release. Ties go to the lower index. {more} keeps what the caller wants to see of (t, i, nth).
-_FOLD = """
-aggregate(sequence(1L, {steps}), {start}, (s, k) -> transform(array(named_struct(
-    'at', greatest(s.t, array_min(transform(s.done, (d, i) -> if(d < m[i], d * total div a[i], null)))))), x -> transform(array(
-    array_min(transform(s.done, (d, i) -> if(d < m[i] and d * total div a[i] <= x.at, struct(((d + 1) * total + a[i] - 1) div a[i] as due, i as i), null))).i), p ->
-    named_struct('t', x.at + 1, 'done', transform(s.done, (d, i) -> if(i = p, d + 1, d)), 'seen', {more}))[0])[0], s -> s.seen)
+#: The block with the earliest deadline of those released by time {at}, of sources that have blocks left; ties go to the lower index.
+_NEXT = "array_min(transform(s.done, (d, i) -> if(d < m[i] and d * total div a[i] <= {at}, struct(((d + 1) * total + a[i] - 1) div a[i] as due, i as i, {at} as at), null)))"
+#: When nothing is released yet, time moves on to the next release; most steps don't have to look for it. {more} keeps what the
+#: caller wants to see of the chosen x. Names are given by an inner ``aggregate``: a ``transform`` would copy all that was seen at every step.
+_FOLD = f"""
+aggregate(sequence(1L, {{steps}}), {{start}}, (s, k) -> aggregate(array(coalesce(
+    {_NEXT.format(at="s.t")},
+    {_NEXT.format(at="array_min(transform(s.done, (d, i) -> if(d < m[i], d * total div a[i], null)))")})), s, (same, x) ->
+    named_struct('t', x.at + 1, 'done', transform(s.done, (d, i) -> if(i = x.i, d + 1, d)), 'seen', {{more}})), s -> s.seen)
 """
 _STATE = "array<struct<t:bigint,done:array<bigint>>>"
 _SLOTS = "array<struct<i:int,nth:bigint,slot:bigint>>"
@@ -69,14 +71,16 @@ def schedule(blocks: DataFrame, spread: int = 8) -> DataFrame:
     one = blocks.filter("share > 0 and blocks > 0").groupBy().agg(F.array_sort(F.collect_list(F.struct("idx", F.col("share").cast("long").alias("share"), F.col("blocks").cast("long").alias("blocks")))).alias("s")).filter(F.size("s") > 0)
     one = one.select(F.expr("transform(s, x -> x.idx)").alias("ids"), F.expr("transform(s, x -> x.share)").alias("a"), F.expr("transform(s, x -> x.blocks)").alias("m"))
     one = one.withColumn("total", F.expr("aggregate(a, 0L, (x, y) -> x + y)")).withColumn("steps", F.expr("aggregate(m, 0L, (x, y) -> x + y)"))
-    keep = f"if(k % {STRIDE} = 0, concat(s.seen, array(struct(x.at + 1 as t, transform(s.done, (d, i) -> if(i = p, d + 1, d)) as done))), s.seen)"
+    keep = f"if(k % {STRIDE} = 0, concat(s.seen, array(struct(x.at + 1 as t, transform(s.done, (d, i) -> if(i = x.i, d + 1, d)) as done))), s.seen)"
     nought = "transform(a, x -> 0L)"
     start = f"named_struct('t', 0L, 'done', {nought}, 'seen', cast(array(struct(0L as t, {nought} as done)) as {_STATE}))"
     states = one.withColumn("states", F.expr(_FOLD.format(steps="steps", start=start, more=keep)))
-    each = states.select("ids", "a", "m", "total", "steps", F.posexplode("states").alias("nr", "state")).filter(F.col("nr") * STRIDE < F.col("steps")).repartition(spread, "nr")
+    #: Neither list is ever empty. A plain explode would filter by its size first, and Spark would work out the fold for that filter once more,
+    #: with the lists of shares made anew for every number it reads.
+    each = states.select("ids", "a", "m", "total", "steps", F.posexplode_outer("states").alias("nr", "state")).filter(F.col("nr") * STRIDE < F.col("steps")).repartition(spread, "nr")
     start = f"named_struct('t', state.t, 'done', state.done, 'seen', cast(array() as {_SLOTS}))"
-    own = "concat(s.seen, array(struct(p as i, s.done[p] as nth, x.at as slot)))"
-    seen = each.select("ids", F.explode(F.expr(_FOLD.format(steps=f"least({STRIDE}L, steps - nr * {STRIDE}L)", start=start, more=own))).alias("e"))
+    own = "concat(s.seen, array(struct(x.i as i, s.done[x.i] as nth, x.at as slot)))"
+    seen = each.select("ids", F.explode_outer(F.expr(_FOLD.format(steps=f"least({STRIDE}L, steps - nr * {STRIDE}L)", start=start, more=own))).alias("e"))
     return seen.select(F.col("ids")[F.col("e.i")].alias("idx"), "e.nth", "e.slot")
 
 

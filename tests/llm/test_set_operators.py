@@ -13,7 +13,7 @@ from sieveline.llm import embedding_dedup, minhash_dedup, mixing, quality_rules,
 from sieveline.llm.components import components
 from sieveline.llm.exact_dedup import exact_dedup
 from sieveline.llm.labelled import held_out, training_rows
-from sieveline.llm.mixing import pfair_mix
+from sieveline.llm.mixing import pfair_mix, schedule
 from sieveline.llm.queries import op3_toxicity, op5_exact_dedup, op6_e8_lattice, op10_quality_rules
 
 DATA = "/root/testdata/sf0.001"
@@ -243,6 +243,17 @@ def test_mixture_equals_the_simulation(spark, piece_rows):
     assert pfair_mix(docs.drop("slot")).count() == len(rows)
 
 
+def test_schedule_of_many_sources(spark):
+    """64 sources of odd shares, some of which run out early, over several of the states that the fold keeps."""
+    shares = [1 + (i * i * 37) % 97 for i in range(64)]
+    blocks = [1 + a // (1 + i % 5) for i, a in enumerate(shares)]
+    got = defaultdict(dict)
+    for r in schedule(spark.createDataFrame([(i, a, m) for i, (a, m) in enumerate(zip(shares, blocks, strict=True))], "idx int, share long, blocks long")).collect():
+        got[r.idx][r.nth] = r.slot
+    assert [[got[i][k] for k in range(m)] for i, m in enumerate(blocks)] == edf_by_force(shares, blocks)
+    assert sum(blocks) > 2 * 512
+
+
 def test_other_columns_move_nothing(spark):
     """Beside id and text, a column says at most which of two rows that agree in both comes first."""
     docs = spark.createDataFrame([(i % 250, f"text {i % 251}", "ab"[i % 2], i) for i in range(500)], "doc_id long, text string, source string, extra long")
@@ -279,6 +290,12 @@ def test_held_out_and_bounded_sample(spark):
     assert not any(got[r.doc_id] or r.doc_id % 7 == 0 for r in rows)
     assert len(training_rows(ids.unionByName(ids), labels, "toxic", 30).collect()) == 30
     assert len(training_rows(ids, labels, "toxic", 30, most_chars=40).collect()) == 10
+    long = ids.select("doc_id", F.expr("if(doc_id % 2 = 0, null, repeat(char(65 + doc_id % 26), 1000000))").alias("text"))
+    rows = training_rows(long, labels, "toxic", 60, most_chars=9_500_000).groupBy(F.char_length("text").alias("n")).count().collect()
+    assert {r.n: r["count"] for r in rows}[1_000_000] == 9 and len(rows) == 2
+    same = ids.select(F.when(F.col("doc_id") < 100, 1).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.lit("a")).alias("text"))
+    hot = training_rows(same, labels.filter("doc_id = 1"), "toxic", 70).groupBy("doc_id", "text", "__label").count().collect()
+    assert sorted((r.doc_id, r.text or "", r["__label"], r["count"]) for r in hot) in ([(1, "", 1, 50), (1, "a", 1, 20)], [(1, "", 1, 20), (1, "a", 1, 50)])
 
 
 def auc(score, label):

@@ -447,7 +447,7 @@ SQL["adaptive_weights"] = weights(0.1, 2.0, 0.1, 0)
 SQL["semi_adaptive_weights"] = weights(0.8, 1.2, 0.05, 10)
 _LOGS = " UNION ALL ".join(f"SELECT a.domain, '{k}' AS feature, (b.w{i} - a.w{i}) / a.w{i} AS change FROM run a JOIN run b ON b.domain = a.domain AND b.n = a.n + 1" for i, k in enumerate(_F))
 SQL["adjustment_log"] = f"WITH RECURSIVE {EVENTS}, {fold(0.8, 1.2, 0.05, 10)}, l AS ({_LOGS}) SELECT domain, feature, count(*) AS n, round(sum(change), 6) AS change, count(*) FILTER (abs(change) > 0.1) AS reviews FROM l WHERE abs(change) > 0.01 GROUP BY domain, feature"
-SQL["weights_resumed"] = SQL["adaptive_weights"]
+SQL["weights_resumed"] = SQL["ordered_stream_weights"] = SQL["adaptive_weights"]
 _PLAIN = EVENTS.replace(f"{FEATURES['type']} AS f0", "1.0::DOUBLE AS f0").replace(f"{FEATURES['entity']} AS f2", "0.8::DOUBLE AS f2").replace(f"{FEATURES['metadata']} AS f5", "1.0::DOUBLE AS f5")
 SQL["batch_update_weights"] = SQL["adaptive_weights"].replace(EVENTS, _PLAIN)
 _BASE = (0.9, 1.1, 1.0, 1.0, 1.0, 1.0)

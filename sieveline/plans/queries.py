@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import scoring as S
 from ..functions import text as X
+from ..functions.scoring import FACTORS
 from ..operators import evaluate, fusion, labels, learn, lexical, plugins, segments, store, vector, vector_index
 from ..operators.ranking import ranked
 from ..sources import tables
-from ..sources.shared import shared_dir, written
+from ..sources.shared import scratch, shared_dir, written
 from ..sources.tables import table
+from ..streaming import ordered
 from .search import benchmark, bm25_quality, hybrid, indexed_text, quality_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -739,6 +741,24 @@ def adaptive_weights(spark: SparkSession, d: str) -> DataFrame:
     return six(learn.adaptive_weights(_events(spark, d)))
 
 
+@query
+def ordered_stream_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream that comes out of order: four parts, each with some of the events of its neighbours' time."""
+    at = scratch(spark, "stream")
+    e = written(_events(spark, d), "events")
+    span = e.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    first, part = span.a or 0, max(1, -(-((span.b or 0) - (span.a or 0) + 1) // 4))
+    e = e.withColumn("ts", F.timestamp_seconds(F.col("seq") - first + 1))
+    place = F.col("seq") - first + F.pmod(F.xxhash64("seq"), F.lit(part)) - part // 2
+    deal = F.least(F.greatest(F.floor(place / part), F.lit(0)), F.lit(3))
+    end = e.select(F.timestamp_seconds(F.lit(12 * part)).alias("ts"), "domain", "seq", F.lit(None).cast("double").alias("feedback"), *FACTORS).limit(1)
+    for k in range(5):
+        (e.filter(deal == k).select(end.columns) if k < 4 else end).write.parquet(f"{at}/in/p{k}")
+        stream = spark.readStream.schema(end.schema).parquet(f"{at}/in/*")
+        ordered.run_ordered(stream, f"{at}/out", f"{at}/state", late=f"{3 * part} seconds", every_ms=1000 * part).awaitTermination()
+    return six(ordered.latest_weights(spark, f"{at}/out"))
+
+
 @query
 def semi_adaptive_weights(spark: SparkSession, d: str) -> DataFrame:
     return six(learn.careful_weights(_events(spark, d)))

@@ -1,13 +1,14 @@
 """A stored vector index: cells as Parquet partitions, residual codes, integer tables.
 
-Layout: ``model`` (centres and code words, bounded by parameters), ``rows/cell=7`` (doc_id, code, v). Centres and code words are fitted on at
+Layout: ``model`` (centres and code words, bounded by parameters), ``rows/cell=7`` (doc_id, code, off, v). Centres and code words are fitted on at
 most ``sample`` rows; every row is in the cell of its nearest centre, and its code names, for each of ``subs`` parts of what it differs
-from that centre, the nearest of ``words`` code words. Rows that come later are coded with the same model and are files beside the others.
+from that centre, the nearest of ``words`` code words; off is the length of what the code leaves out. Rows that come later are coded with the same model and are files beside the others.
 
 A search opens the partitions of the cells that its queries visit and no others, and of these the codes first. Queries visit
 cells, nearest first, until these hold ``share`` of all rows. What a code word adds to a query's score is a table of whole numbers;
 a group is a block of a cell's rows with a block of the queries that visit it, so no group grows with either. The best
-``refine * k`` of a query by code are compared exactly, from the same partitions.
+``refine * k`` of a query by code are compared exactly, from the same partitions. With a share of 1 the search is exact: a row's cosine is at
+most what its code says and ``off``, and each row for which that reaches the k-th best so far is compared too.
 
 Defined cases: null vectors aren't indexed, and null queries find nothing; a zero vector has no cosine; ids are taken to differ; an empty
 table gives an index in which nothing is found.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..sources.shared import written
 from .ranking import ranked
-from .vector import _doubles, _means
+from .vector import OPEN, _best, _doubles, _means
 
 #: Rows and queries of a group.
 ROW_BLOCK, QUERY_BLOCK = 1 << 14, 256
@@ -63,11 +64,13 @@ def _append(index: VectorIndex, docs: DataFrame) -> VectorIndex:
                 cell = (v @ centres.T * 2 - (centres**2).sum(1)).argmax(1)
                 rest = v - centres[cell]
                 codes = np.stack([((b**2).sum(1)[None, :] - 2 * rest[:, p] @ b.T).argmin(1) for p, b in zip(parts, books, strict=True)], 1).astype(np.uint8)
-                yield pdf.assign(code=[c.tobytes() for c in codes], cell=cell.astype(np.int32))
+                for i, (p, b) in enumerate(zip(parts, books, strict=True)):
+                    rest[:, p] -= b[codes[:, i]]
+                yield pdf.assign(code=[c.tobytes() for c in codes], off=np.linalg.norm(rest, axis=1), cell=cell.astype(np.int32))
 
     rows = docs.filter("v is not null").select("doc_id", F.col("v").cast("array<float>").alias("v"))
     salts = max(1, rows.count() >> 20)  # a cell with most rows is many files
-    rows.mapInPandas(coded, f"doc_id {dict(rows.dtypes)['doc_id']}, v array<float>, code binary, cell int").repartition("cell", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).sortWithinPartitions("doc_id").write.partitionBy("cell").mode("append").parquet(f"{index.path}/rows")
+    rows.mapInPandas(coded, f"doc_id {dict(rows.dtypes)['doc_id']}, v array<float>, code binary, off double, cell int").repartition("cell", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).sortWithinPartitions("doc_id").write.partitionBy("cell").mode("append").parquet(f"{index.path}/rows")
     return opened(index.spark, index.path)
 
 
@@ -125,6 +128,7 @@ def tables(q: np.ndarray, books: tuple[np.ndarray, ...], parts: tuple[np.ndarray
 
 def search(index: VectorIndex, queries: DataFrame, k: int = 10, share: float = 0.1, refine: int = 8, skip_self: bool = False, counts: dict[str, int] | None = None) -> DataFrame:
     """The best k by cosine of (query_id, v), with skip_self also own, the doc_id that a query leaves out: (query_id, doc_id, score, rank).
+    With a share of 1 these are the exact best, ties to the smaller doc_id.
 
     counts takes the rows of the index, the rows scored by code (over all queries), and the partitions opened.
     """
@@ -174,4 +178,49 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, share: float = 0
     best = written(ranked(best, refine * k + skip_self).select("query_id", "doc_id"), "coded")
     vectors = index.rows().filter(F.col("cell").isin(cells)).select("doc_id", "v")
     pairs = best.join(vectors, "doc_id").join(queries.withColumnRenamed("v", "q"), "query_id").filter(F.col("own").isNull() | (F.col("own") != F.col("doc_id")))
-    return ranked(pairs.select("query_id", "doc_id", cosine(F.col("q"), F.col("v")).alias("score")).filter("score is not null"), k)
+    found = ranked(pairs.select("query_id", "doc_id", cosine(F.col("q"), F.col("v")).alias("score")).filter("score is not null"), k)
+    return found if share < 1 else _completed(index, queries, written(found, "found"), m, k)
+
+
+def _completed(index: VectorIndex, queries: DataFrame, found: DataFrame, m: int, k: int) -> DataFrame:
+    """The exact best k. found: the best k of some rows, whose k-th score says which others have to be compared.
+
+    Blocks of rows meet blocks of queries, each pair in one group of bounded size, which returns its own best k of a query from what is
+    not ruled out by code.
+    """
+    centres, books, parts = index.centres, index.books, index.parts
+    blocks, query_blocks = max(1, -(-int(index.sizes.sum()) // ROW_BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    kth = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+    left = index.rows().withColumn("i", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    right = queries.join(kth, "query_id", "left").withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "doc_id": [], "score": []}).astype({"query_id": "int64", "doc_id": "int64"})]
+        if len(rows) and len(asks):
+            ids, cell, off, v, q = rows["doc_id"].to_numpy(), rows["cell"].to_numpy(), rows["off"].to_numpy(), _doubles(rows["v"]), _doubles(asks["v"])
+            codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+            own, least = asks["own"].to_numpy(), np.nan_to_num(asks["kth"].to_numpy(np.float64), nan=-np.inf) - 1e-8
+            norm = np.linalg.norm(v, axis=1)
+            q, v = _unit(q), v / np.where(norm > 0, norm, np.nan)[:, None]
+            q[(q == 0).all(1)] = np.nan  # a zero vector has no cosine
+            table, step, nought = tables(np.nan_to_num(q), books, parts)
+            for a in range(0, len(q), 16):  # what is held is 16 times a block's rows
+                some = slice(a, a + 16)
+                sums = np.zeros((len(q[some]), len(ids)), np.int32)
+                for p, t in enumerate(table):
+                    sums += t[some][:, codes[:, p]]
+                at_centre = np.nan_to_num(q[some]) @ centres.T
+                most = sums * step[some, None] + (nought + len(parts) * step)[some, None] + at_centre[:, cell] + off[None, :]
+                maybe = (most >= least[some, None]) & (own[some, None] != ids[None, :])
+                score = np.full(maybe.shape, np.nan)
+                if maybe.mean() > OPEN:
+                    score = np.where(maybe, q[some] @ v.T, np.nan)
+                else:
+                    x, y = np.nonzero(maybe)
+                    score[x, y] = (q[some][x] * v[y]).sum(1)
+                x, y = _best(score, ids, k, 9)
+                out.append(pd.DataFrame({"query_id": asks["query_id"].to_numpy()[some][x], "doc_id": ids[y], "score": score[x, y]}))
+        return pd.concat(out)
+
+    rest = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "query_id long, doc_id long, score double")
+    return ranked(rest, k)

@@ -79,3 +79,16 @@ def test_odd_vectors(spark, tmp_path):
     index = vector_index.built(frame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, [1.0, 1.0])]), str(tmp_path / "b"), cells=2)
     assert [(r.query_id, r.doc_id) for r in vector_index.search(index, asked, 3, share=1.0).orderBy("rank").collect()] == [(1, 1), (1, 4), (1, 5)]
     assert vector_index.search(index, asked.filter("false")).count() == 0
+
+
+def test_all_cells_are_exact_with_a_narrow_funnel(spark, tmp_path):
+    """Without clusters codes say little, and more rows than the funnel holds are the same: still the exact best, ties to the smaller id."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(600, 24))
+    v[200:300] = v[7]
+    docs = spark.createDataFrame([(i, [float(np.float32(x)) for x in v[i]]) for i in range(600)] + [(900, [0.0] * 24), (901, None)], "doc_id long, v array<double>").repartition(4)
+    index = vector_index.built(docs, str(tmp_path / "index"), cells=10, subs=4, words=8)
+    asked = docs.filter("doc_id % 50 = 7 or doc_id >= 900").selectExpr("doc_id as query_id", "doc_id as own", "v")
+    rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in df.collect())
+    for own in (False, True):
+        assert rows(vector_index.search(index, asked, 10, share=1.0, refine=1, skip_self=own)) == rows(vector.vector_search(docs, asked, 10, skip_self=own))

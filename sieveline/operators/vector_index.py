@@ -139,21 +139,28 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, share: float = 0
     if not m or not sizes.sum():
         return ranked(empty, k)
 
+    whole = share >= 1  # every query visits all: a block of rows is of any cells then, and a query is one row
+
     def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 v = _unit(_doubles(pdf["v"]))
+                if whole:
+                    yield pd.DataFrame({"query_id": pdf["query_id"], "q": list(v), "cell": np.int32(-1)})
+                    continue
                 near = np.argsort(-(v @ centres.T), axis=1, kind="stable")
                 r, c = np.nonzero(visited(near, sizes, share))
                 yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[r], "q": list(v[r]), "cell": near[r, c].astype(np.int32)})
 
     asks = written(queries.mapInPandas(probing, "query_id long, q array<double>, cell int"), "probes")
-    cells = [r.cell for r in asks.select("cell").distinct().collect()]  # at most as many as there are centres
+    cells = np.flatnonzero(sizes).tolist() if whole else [r.cell for r in asks.select("cell").distinct().collect()]  # at most as many as there are centres
     if counts is not None:
         probed = asks.groupBy("cell").count().collect()
-        counts.update(rows=int(sizes.sum()) * m, scored=int(sum(sizes[r.cell] * r["count"] for r in probed)), partitions=len(cells))
-    codes = index.rows().filter(F.col("cell").isin(cells)).select("doc_id", "code", "cell")
-    row_blocks = F.element_at(F.array(*[F.lit(max(1, -(-int(s) // ROW_BLOCK))) for s in sizes]), F.col("cell") + 1)
+        counts.update(rows=int(sizes.sum()) * m, scored=int(sum((sizes.sum() if whole else sizes[r.cell]) * r["count"] for r in probed)), partitions=len(cells))
+    opened_rows = index.rows() if whole else index.rows().filter(F.col("cell").isin(cells))
+    codes = opened_rows.select("doc_id", "code", "cell", (F.lit(-1) if whole else F.col("cell")).alias("g"))
+    asks = asks.withColumnRenamed("cell", "g")
+    row_blocks = F.lit(max(1, -(-int(sizes.sum()) // ROW_BLOCK))) if whole else F.element_at(F.array(*[F.lit(max(1, -(-int(s) // ROW_BLOCK))) for s in sizes]), F.col("g") + 1)
     query_blocks = max(1, -(-m // QUERY_BLOCK))
     left = codes.withColumn("i", F.pmod(F.xxhash64("doc_id"), row_blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = asks.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), row_blocks.cast("long") - 1)))
@@ -163,20 +170,22 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, share: float = 0
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []}).astype({"query_id": "int64", "doc_id": "int64"})
         own, ids, q = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), rows["doc_id"].to_numpy(), _doubles(asks["q"])
         table, step, nought = tables(q, books, parts)
-        at_centre, out = q @ centres[rows["cell"].iloc[0]], []
+        kinds, cell = np.unique(rows["cell"].to_numpy(), return_inverse=True)
+        at_centre, out = q @ centres[kinds].T, []
         for a in range(0, len(q), 16):  # what is held is 16 times a block's rows
             sums = np.zeros((len(q[a : a + 16]), len(own)), np.int32)
             for p, t in enumerate(table):
                 sums += t[a : a + 16][:, own[:, p]]
             n = min(refine * k + skip_self, len(own))
-            best = np.argpartition(-sums, n - 1, axis=1)[:, :n]
-            score = np.take_along_axis(sums, best, 1) * step[a : a + 16, None] + (nought + at_centre)[a : a + 16, None]
+            score = sums * step[a : a + 16, None] + nought[a : a + 16, None] + at_centre[a : a + 16][:, cell]
+            best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            score = np.take_along_axis(score, best, 1)
             out.append(pd.DataFrame({"query_id": np.repeat(asks["query_id"].to_numpy()[a : a + 16], n), "doc_id": ids[best].ravel(), "score": score.ravel()}))
         return pd.concat(out)
 
-    best = left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(scored, "query_id long, doc_id long, score double")
+    best = left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(scored, "query_id long, doc_id long, score double")
     best = written(ranked(best, refine * k + skip_self).select("query_id", "doc_id"), "coded")
-    vectors = index.rows().filter(F.col("cell").isin(cells)).select("doc_id", "v")
+    vectors = opened_rows.select("doc_id", "v")
     pairs = best.join(vectors, "doc_id").join(queries.withColumnRenamed("v", "q"), "query_id").filter(F.col("own").isNull() | (F.col("own") != F.col("doc_id")))
     found = ranked(pairs.select("query_id", "doc_id", cosine(F.col("q"), F.col("v")).alias("score")).filter("score is not null"), k)
     return found if share < 1 else _completed(index, queries, written(found, "found"), m, k)

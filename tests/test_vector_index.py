@@ -92,3 +92,19 @@ def test_all_cells_are_exact_with_a_narrow_funnel(spark, tmp_path):
     rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in df.collect())
     for own in (False, True):
         assert rows(vector_index.search(index, asked, 10, share=1.0, refine=1, skip_self=own)) == rows(vector.vector_search(docs, asked, 10, skip_self=own))
+
+
+def test_all_cells_keep_the_funnel_for_each_block_of_rows(spark, tmp_path):
+    """With every cell visited no cell is a group of its own, which would hand on all its rows for each query."""
+    _, docs = clustered(spark, 500)
+    index = vector_index.built(docs, str(tmp_path / "index"), cells=100, subs=4, words=16)
+    asked, counts = docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), {}
+    known = []
+    own = vector_index.written
+    try:
+        vector_index.written = lambda df, what: known.append((what, own(df, what))) or known[-1][1]
+        found = vector_index.search(index, asked, 2, share=1.0, refine=3, counts=counts)
+    finally:
+        vector_index.written = own
+    assert dict(known)["probes"].count() == 5  # a row a query, not one for each of its cells
+    assert found.count() == 10 and counts["scored"] == counts["rows"] == 500 * 5

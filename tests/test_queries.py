@@ -40,3 +40,15 @@ def test_gives_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["rerank_plugin", "rerank_lexical"])
+def test_texts_that_were_not_found_are_not_shuffled(spark, name):
+    """The short list is what is sent to the documents, whose texts stay where they are read, also where only small tables are sent."""
+    key, old = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "128k")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

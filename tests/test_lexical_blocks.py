@@ -75,3 +75,23 @@ def test_changes_count_no_terms_until_they_are_asked_for(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "w1")], "query_id long, text string")
     assert [r.doc_id for r in lexical.bm25_search(index, asked, cut).orderBy("rank").collect()] == [1, 7, 10]
     assert names == ["counted"] * 3 + ["terms"]
+
+
+def test_a_task_holds_few_groups_however_many_there_are(spark):
+    """More groups than shuffle partitions get partitions of their own, and no further shuffle; the result stays."""
+    docs = spark.createDataFrame([(i, f"a w{i % 7}") for i in range(90)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w3")], "query_id long, text string")
+    cut = F.split("text", " ")
+    index = lexical.bm25_index(docs, cut)
+    rows = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+    many, one = lexical.bm25_search(index, asked, cut, 5, row_block=3), lexical.bm25_search(index, asked, cut, 5)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(i#\d+, j#\d+, (\d+)\)", plan) == ["60", "60"]
+    assert rows(many) == rows(one) and len(rows(many)) == 10
+
+
+def test_a_block_without_a_shared_word(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c c"), (3, "d")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "c")], "query_id long, text string")
+    cut = F.split("text", " ")
+    assert [(r.query_id, r.doc_id) for r in lexical.bm25_search(lexical.bm25_index(docs, cut), asked, cut, row_block=1).collect()] == [(1, 2)]

@@ -1,5 +1,7 @@
 """Vector work in blocks: inverted-file search without a row for each pair, links without a row for each pair of blocks."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -71,3 +73,14 @@ def test_links_are_a_row_for_each_row(spark, monkeypatch):
     assert {(r.n_links, r.class_id) for r in got.collect()} == {(299, 0)} and got.count() == 300
     assert kept["links"].count() == 300 and kept["edges"].count() < 300
     assert dict(kept["cells"].dtypes)["v"] == "array<float>"  # vectors are shipped as they come
+
+
+def test_a_task_holds_few_groups_however_many_there_are(spark):
+    rng = np.random.default_rng(9)
+    docs = frame(spark, rng.normal(size=(120, 6)))
+    asked = docs.filter("doc_id % 10 = 0").selectExpr("doc_id as query_id", "doc_id as own", "v")
+    rows = lambda df: [(r.query_id, r.doc_id, r.rank) for r in df.orderBy("query_id", "rank").collect()]
+    many, one = vector.vector_search(docs, asked, 4, skip_self=True, row_block=10), vector.vector_search(docs, asked, 4, skip_self=True)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(i#\d+, j#\d+, (\d+)\)", plan) == ["24", "24"]
+    assert rows(many) == rows(one) and len(rows(many)) == 48

@@ -36,3 +36,9 @@ def test_no_list_of_characters(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_remove(split") == 1 and plan.count("split(") == 1
     assert "INSET" in plan and "array_contains" not in plan
+
+
+def test_both_tests_read_one_count(spark):
+    """noise_flags cuts and counts a text once for its two tests."""
+    plan = QUERIES["noise_flags"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("translate(") == 1

@@ -45,14 +45,14 @@ def folder(spark: SparkSession, what: str, made: bool = False) -> str:
     return path
 
 
-def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, what: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read back: lineage ends there, and lost executors cost nothing.
 
     The table goes when the application ends, or before with ``forget``. by: a column whose values get folders of their own.
     """
     spark = df.sparkSession
     path = folder(spark, what)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path, compression=codec)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -60,6 +60,17 @@ def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def tidied(df: DataFrame, what: str, by: str | None = None, codec: str | None = None) -> DataFrame:
+    """``written``, and the files that this shuffled go at once, not when the driver happens to collect its garbage."""
+    key, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, what, by, codec)
+    finally:
+        conf.set(key, before)
+
+
 def forget(*tables: DataFrame, part: str = "") -> None:
     """Deletes written tables, or a part of them (column=value), that nothing reads any more."""
     for df in tables:

@@ -6,9 +6,11 @@ drops out at once. Of equal windows the earliest (smaller id, then earlier start
 
 Digit 1 is the anchor of a window: of the ``GRAM``-byte strings in it the one with the lowest hash, and its place. Equal
 windows have equal anchors, and neighbouring windows mostly share theirs, so one row per anchor (a fortieth of the bytes or
-so) stands for its whole stretch of suffixes. Stretches whose anchor occurs once drop out; of the others the bytes are fetched, and
+so) stands for its whole stretch of suffixes. Stretches whose anchor occurs once drop out, and so do those that share it by chance: a
+window holds the ``GRAM`` bytes at a fixed distance to the left of its anchor, or else those to the right, and a stretch that has
+neither in common with another of its anchor has no window in common. Of the others the bytes are fetched, and
 the bytes decide, eight at a time: first whole stretches are sorted within their anchor, which puts copies together, then the
-suffixes of the stretches that differ, within anchor and place. Hashes deal the work; no window is taken for a copy without
+suffixes of the stretches that differ, within anchor and place. Hashes deal the work and rule copies out; no window is taken for a copy without
 a look at its bytes.
 
 What is very common is split: copies in one slice of texts are one row from the start (their bytes are compared there); rows are put next
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, group_bounds, grouped, in_ranges, shuffle_partitions, written
+from .common import forget, group_bounds, grouped, in_ranges, shuffle_partitions, tidied
 
 WINDOW, GRAM = 100, 32
 _SPAN = WINDOW - GRAM + 1
+#: Windows with so many bytes before their anchor hold the gram that begins so far to its left; all others that which begins _SPAN - _LEFT to its right.
+_LEFT = _SPAN // 2
 #: Stretches with one anchor that one group of work sorts; beyond it their windows are dealt to several groups.
 STRETCHES = 4_000
+#: Part of all stretches whose bytes one round ships.
+SHIPPED = 0.3
+#: Rows of one anchor that are held to be compared; of more all stay open.
+HELD = 1 << 16
 #: Bytes whose places fit into an anchor's key.
 LONG = 1 << 24
 #: Bytes that are compared, and suffixes that are sorted, in one step.
@@ -55,11 +64,13 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first and last window) of every anchor in texts joined at ``starts`` (with the end); windows stay in a text."""
+def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, first and last window, sides) of every anchor in texts joined at ``starts`` (with the end); windows stay in a text.
+
+    sides: 16 bits of the hashes of the grams to its left and right, as far as a window of the stretch holds them."""
     none = np.empty(0, np.int64)
     if len(data) < WINDOW:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none.astype(np.int32)
     h = _gram_hashes(data)
     low = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
     reach = 1
@@ -72,16 +83,26 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = np.cumsum(size)
     window = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[:-1] - (ends - size), size)
     if not len(window):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none.astype(np.int32)
     at = (low[window] & np.uint64((1 << 24) - 1)).astype(np.int64)
     bounds = group_bounds(at, np.repeat(np.arange(len(size)), size))
     first, last = window[bounds[:-1]], window[bounds[1:] - 1]
     place = at[bounds[:-1]]
-    return h[place], place, first, last
+    left, right = _holds(place - first, last - first)
+    sides = np.zeros(len(place), np.uint64)
+    sides[left] = h[place[left] - _LEFT] >> np.uint64(48) << np.uint64(16)
+    sides[right] |= h[place[right] + _SPAN - _LEFT] >> np.uint64(48)
+    return h[place], place, first, last, sides.astype(np.uint32).view(np.int32)
+
+
+def _holds(before: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether some windows of a stretch hold the left gram, and some the right one; before: bytes of its first window before the anchor."""
+    return before >= _LEFT, before - width < _LEFT
 
 
 _DECIDED, _OPEN, _COUNT, _AGAIN = range(4)
 _ROWS = "kind int, anchor long, id long, h long, at long"
+_FIRST = _ROWS + ", sides int"
 _WORK = "anchor long, part long, salt int, salts int, id long, h long, at long, own binary"
 _DONE = "kind int, anchor long, part long, id long, h long, at long, own binary"
 
@@ -158,9 +179,9 @@ def _slice_digits(ids: np.ndarray, hashes: np.ndarray, parts: list[bytes]) -> It
     step = LONG - WINDOW
     spans = [(0, starts)] if len(joined) < LONG else [(s + o, np.array([0, min(step + WINDOW - 1, e - s - o)])) for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for o in range(0, max(1, e - s - WINDOW + 1), step)]
     for offset, own in spans:
-        h, place, first, last = anchors(data[offset : offset + int(own[-1])], own)
-        found.append((h, place + offset, first + offset, last + offset))
-    h, place, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+        h, place, first, last, sides = anchors(data[offset : offset + int(own[-1])], own)
+        found.append((h, place + offset, first + offset, last + offset, sides))
+    h, place, first, last, sides = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(h):
         return
     view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
@@ -180,34 +201,58 @@ def _slice_digits(ids: np.ndarray, hashes: np.ndarray, parts: list[bytes]) -> It
     moved = (doc[order[copy]] != doc[head[copy]]) | (own[order[copy]] != own[head[copy]]) | (at[order[copy]] != at[head[copy]])
     gone = order[copy][moved]
     i, j, cut = _cut_rows(doc[gone], own[gone], (first - begin)[gone], (first - begin + size)[gone])
-    yield _batch(_ROWS, _DECIDED, 0, i, j, cut)
-    yield _batch(_ROWS, _OPEN, h.view(np.int64)[stay], doc[stay], own[stay], at[stay])
+    yield _batch(_FIRST, _DECIDED, 0, i, j, cut, 0)
+    yield _batch(_FIRST, _OPEN, h.view(np.int64)[stay], doc[stay], own[stay], at[stay], sides[stay])
+
+
+def _met(group: np.ndarray, at: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Whether a stretch has a gram beside the anchor in common with another of its group."""
+    out = np.zeros(len(group), bool)
+    marks = sides.astype(np.int64)
+    for has, mark in zip(_holds(at & 255, at >> 8 & 255), (marks >> 16 & 0xFFFF, marks & 0xFFFF), strict=True):
+        rows = np.flatnonzero(has)
+        _, key, count = np.unique(group[rows] << 16 | mark[rows], return_inverse=True, return_counts=True)
+        out[rows] |= count[key] > 1
+    return out
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a range, sorted by anchor: those whose anchor another row has, or may have in the next range; counts of long runs."""
+    """Rows of a range, sorted by anchor: those that another row of the anchor has a gram in common with, or may have in the next range; counts
+    of long runs. What is held is a batch and the anchor it breaks off in, up to a bound: of more rows, as of what crosses a range, all stay."""
     held: list[np.ndarray] | None = None
-    first = None
+    edges: list[int] = []  # anchors of which not all rows are seen at once: the first, and the last that was too long
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(i).to_numpy() for i in range(4)]
-        known = held is not None
-        if known:
+        rows = [batch.column(i).to_numpy() for i in range(5)]
+        if held is not None:
             rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
         anchor = rows[0]
-        if first is None:
-            first = anchor[0]
-        same = anchor[1:] == anchor[:-1]
-        keep = (np.append(seen_before if known else False, same) | np.append(same, False) | (anchor == first))[:-1]
-        yield _batch(_ROWS, _OPEN, *[r[:-1][keep] for r in rows])
-        bounds = group_bounds(anchor[:-1]) if len(anchor) > 1 else np.zeros(1, np.int64)
-        long = np.flatnonzero(np.diff(bounds) >= 32)
-        yield _batch(_ROWS, _COUNT, anchor[bounds[:-1]][long], 0, 0, np.diff(bounds)[long])
-        seen_before = bool(len(same) and same[-1])
-        held = [r[-1:] for r in rows]
-    if held:
-        yield _batch(_ROWS, _OPEN, *held)
+        edges = edges or [anchor[0]]
+        cut = int(np.searchsorted(anchor, anchor[-1]))
+        if len(anchor) - cut > HELD:
+            edges, cut = [edges[-1], anchor[-1]], len(anchor)
+        yield from _still_open([r[:cut] for r in rows], edges)
+        held = [r[cut:] for r in rows]
+    if held is not None:
+        yield from _still_open(held, [*held[0][:1]])
+
+
+def _still_open(rows: list[np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor those that stay open, and how many of an anchor; all of those in edges stay."""
+    anchor = rows[0]
+    if not len(anchor):
+        return
+    stay = np.isin(anchor, edges)
+    bounds = group_bounds(anchor)
+    size = np.diff(bounds)
+    some = np.flatnonzero(np.repeat(size > 1, size) & ~stay)
+    group = np.repeat(np.arange(len(size)), size)
+    stay[some] = _met(group[some], rows[3][some], rows[4][some])
+    count = np.bincount(group[stay], minlength=len(size))
+    long = np.flatnonzero(count >= 32)
+    yield _batch(_ROWS, _OPEN, *[r[stay] for r in rows[:4]])
+    yield _batch(_ROWS, _COUNT, anchor[bounds[:-1]][long], 0, 0, count[long])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,17 +382,30 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _cuts(rows: DataFrame) -> DataFrame:
-    """(id, h, cuts) of texts with repeated windows: intervals as start << 32 | end, in bytes of UTF-8."""
+    """(id, h, cuts) of texts with repeated windows: intervals as start << 32 | end, in bytes of UTF-8.
+
+    Each step is a written table, and what it shuffled goes with it. Texts with open stretches are written once; their bytes are
+    dealt in rounds by anchor, so that what a round ships is a part of the texts, however much of them is repeated."""
     p = shuffle_partitions(rows.sparkSession)
-    one = written(rows.select("id", "h", "text").mapInArrow(_first_digits, _ROWS), "digits1", by="kind")
-    two = written(in_ranges(one.filter(F.col("kind") == _OPEN).select("anchor", "id", "h", "at"), "anchor", "h").mapInArrow(_shared, _ROWS), "digits2")
+    one = tidied(rows.select("id", "h", "text").mapInArrow(_first_digits, _FIRST), "digits1", by="kind")
+    two = tidied(in_ranges(one.filter(F.col("kind") == _OPEN).select("anchor", "id", "h", "at", "sides"), "anchor", "h").mapInArrow(_shared, _ROWS), "digits2")
+    most = one.filter(F.col("kind") == _OPEN).count() * SHIPPED
     forget(one, part=f"kind={_OPEN}")
     common = two.filter(F.col("kind") == _COUNT).groupBy("anchor").agg(F.sum("at").alias("several")).filter(F.col("several") > STRETCHES)
-    opened = two.filter(F.col("kind") == _OPEN).join(common, "anchor", "left").groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "several", "at")).alias("opened"))
-    work = rows.join(opened, ["id", "h"]).select("own", "text", "id", "h", "opened").mapInArrow(_cut_out, _WORK)
-    keys = ("anchor", "part", "salt")
-    three = written(work.repartition(p, *keys).sortWithinPartitions(*keys).mapInArrow(_last_digits, _DONE), "digits3")
+    marked = two.filter(F.col("kind") == _OPEN).join(F.broadcast(common), "anchor", "left")  # a row of common stands for STRETCHES at least
+    ships = marked.agg(F.sum(F.when(F.col("several").isNull(), 1).otherwise(F.expr("(at >> 8 & 255) + 1")))).first()[0] or 0
+    rounds = max(1, -int(-ships // max(most, 1)))
+    opened = marked.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "several", "at")).alias("opened"))
+    texts = tidied(rows.join(opened, ["id", "h"]).select("own", "text", "id", "h", "opened"), "opened", codec="zstd")
     forget(two)
+    keys = ("anchor", "part", "salt")
+    three = []
+    for k in range(rounds):
+        mine = texts.withColumn("opened", F.expr(f"filter(opened, x -> pmod(x.anchor, {rounds}L) = {k})")).filter(F.size("opened") > 0)
+        work = mine.mapInArrow(_cut_out, _WORK)
+        three.append(tidied(work.repartition(p, *keys).sortWithinPartitions(*keys).mapInArrow(_last_digits, _DONE), "digits3"))
+    forget(texts)
+    three = reduce(DataFrame.unionByName, three)
     again = three.filter(F.col("kind") == _AGAIN).select("anchor", "part", F.lit(0).alias("salt"), F.lit(1).alias("salts"), "id", "h", "at", "own")
     last = again.repartition(p, *keys).sortWithinPartitions(*keys).mapInArrow(_last_digits, _DONE)
     decided = [x.filter(F.col("kind") == _DECIDED).select("id", "h", "at") for x in (one, three, last)]
